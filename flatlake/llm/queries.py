@@ -10,6 +10,7 @@ from .decontamination import find_overlaps
 from .exact_dedup import exact_dedup
 from .language_id import predict_languages
 from .packing import pack
+from .quality import classify
 from .simhash_dedup import near_duplicates
 from .suffix_dedup import remove_repeats
 
@@ -48,7 +49,11 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_dedup, op3_exact_dedup, op5_decontamination, op7_language_id, op8_best_fit_packing, op9_suffix_array_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_dedup, op3_exact_dedup, op5_decontamination, op7_language_id, op8_best_fit_packing, op9_suffix_array_dedup, op10_quality_classifier)}
 
 OP3_SQL = """
 WITH base AS (
