@@ -159,14 +159,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
     """The rows of docs, all columns, that overlap no benchmark item."""
-    import pandas as pd
-
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items))
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(Index(items)))(col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not index.value.overlaps(t) for t in texts], dtype=bool)
 
-        docs = docs.filter(clean(col(text_col)))
-    return docs
+def _clean(index):
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        import pandas as pd
+
+        return pd.Series([not index.value.overlaps(t) for t in texts], dtype=bool)
+
+    return clean
