@@ -49,10 +49,10 @@ def parse_date(text: Column, today: Column) -> Column:
 
 
 def extract_dates(text: Column, today: Column) -> Column:
-    """Struct (published, updated). A date belongs to the label in the 14 characters before it or the 4 after;
-    of unlabelled ones the first is of publication and the next of the update."""
+    """Struct (published, updated). A date belongs to the label in the 14 characters before it; of unlabelled ones
+    the first is of publication and the next of the update."""
     low = F.lower(text)
-    spans = F.regexp_extract_all(low, F.lit(rf"(?U)(?:.{{0,14}}?)(?:{DATE}).{{0,4}}"), 0)
+    spans = F.regexp_extract_all(low, F.lit(rf"(?U)(?:.{{0,14}}?)(?:{DATE})"), 0)
     parts = F.transform(
         spans,
         lambda s: F.struct(
