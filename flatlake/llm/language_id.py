@@ -60,7 +60,7 @@ def ranked(text: str, size: int) -> np.ndarray:
     return found[np.argsort(-counts, kind="stable")[:size]]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[dict[str, list]]:
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[dict[str, list]]:
     """Rows as column lists, cut so that a chunk's texts have about `limit` characters at most, or one text."""
     for batch in batches:
         rows, texts = batch.to_pydict(), batch.column("text")
