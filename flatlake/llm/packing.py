@@ -99,24 +99,25 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32 and ids."""
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
-        for rows in chunks(batches, 2_000_000):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+        for rows in chunks(batches, 1_000_000):
+            out: list[tuple] = []
             for doc, ids in zip(rows["doc_id"], encode([t or "" for t in rows["text"]]), strict=True):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), size)):
                     part = ids[start : start + size]
-                    for name, value in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32)), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=list(out))
+                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for _, v, t in zip(names, columns, kinds, strict=False)], names=names)
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    kind = pa.int64()
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
@@ -247,7 +248,7 @@ def place(rows: DataFrame, size: int = SIZE, group: int = 50_000) -> DataFrame:
     first = np.searchsorted(uses[:, 0], np.arange(size + 2))
     shared = rows.sparkSession.sparkContext.broadcast((uses, first))  # its size is bounded by the number of lengths
     # Ranks among the pieces of a length: numbered in groups of about `group`, plus the groups before.
-    groups = max(1, n // group)
+    groups = max(1, min(n // 200, 1000), n // group)
     dealt = rows.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
     before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("length", "__group").agg(F.count(F.lit(1)).alias("__n")).select("length", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -272,5 +273,5 @@ def place(rows: DataFrame, size: int = SIZE, group: int = 50_000) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = pinned(pieces(docs, path, id_col, text_col, size).drop("ids"))
+    rows = pinned(pieces(docs, path, id_col, text_col, size))
     return place(rows, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
