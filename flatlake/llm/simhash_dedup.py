@@ -13,7 +13,7 @@ accumulated from the pattern's node downwards, and pairs of whole nodes beyond `
 
 Patterns with over `heavy` fingerprints are split: their fingerprints go under longer patterns, made of
 two of most + 2 blocks of the bits that are still free, and so on. That is exact by the same argument, and
-after three levels for most = 4 under 22 bits are free, so a node has a bounded size whatever the data.
+after three levels for most = 4 at most 22 bits are free, so a node has a bounded size whatever the data.
 Links leave a pattern as one star for each of its components, never as all pairs.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other. Repeated rows and
@@ -39,36 +39,48 @@ BITS, FAN = 64, 16
 LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_UPPER.lower().encode())
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """Of a UTF-8 text."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def stirred(x: np.ndarray) -> np.ndarray:
+    """Other hashes of the same things."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA24BAED4963EE407)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, wide: bool = False) -> tuple[int, int]:
+    """Of a UTF-8 text; the second number is 64 further bits, or 0 if they aren't asked for."""
     from xxhash import xxh64_intdigest
 
     own = text.translate(LOWER).split()
     if not own:
-        return 0
+        return 0, 0
     line = b" ".join(own)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
     starts = np.concatenate([[0], ends[:-1]]).tolist()
     n = max(1, len(own) - words + 1)
     stops = (ends[min(words, len(own)) - 1 :] - 1).tolist()
     hashes = np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, n, 65536):
-        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashes), majority(stirred(hashes)) if wide else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """Per row: doc_id, key (a hash of the text as it is), and fp, the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, wide: bool = False) -> DataFrame:
+    """Per row: doc_id, key (a hash of the text as it is), and fp and fp2, the fingerprint's bits as longs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), words) if t.is_valid else 0 for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
+            fps = [fingerprint(t.as_buffer().to_pybytes(), words, wide=wide) if t.is_valid else (0, 0) for t in batch.column("text")]
+            longs = np.array(fps, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(longs[:, 0].copy()), pa.array(longs[:, 1].copy())], names=["doc_id", "key", "fp", "fp2"])
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text_col)).alias("key"), col(text_col).alias("text"))
-    return rows.mapInArrow(each, "doc_id long, key long, fp long")
+    return rows.mapInArrow(each, "doc_id long, key long, fp long, fp2 long")
 
 
 def split_bits(free: list[int], most: int) -> list[int]:
@@ -142,11 +154,15 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def groups_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, pattern, fp) sorted by mask, pattern and Gray rank: links (a, b) inside each pattern."""
+def groups_links(batches: Iterator[pa.RecordBatch], most: int, total: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, pattern, fp, fp2) sorted by mask, pattern and Gray rank: links (a, b) inside each pattern."""
     rest: tuple[np.ndarray, ...] | None = None
 
-    def found(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def near(fp: np.ndarray, fp2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        first = bit_count((fp[i] ^ fp[j]).view(np.uint64)).astype(np.int64)
+        return (first <= most) & (True if total is None else first + bit_count((fp2[i] ^ fp2[j]).view(np.uint64)) <= total)
+
+    def found(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(fp)))
@@ -156,18 +172,19 @@ def groups_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Re
             if not (size[small] > lag).any():
                 break
             i = np.flatnonzero((group[:-lag] == group[lag:]) & small[group[:-lag]])
-            i = i[bit_count((fp[i] ^ fp[i + lag]).view(np.uint64)) <= most]
+            i = i[near(fp, fp2, i, i + lag)]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[i + lag])], names=["a", "b"])
         for s, n in zip(start[~small], size[~small], strict=True):
-            own = fp[s : s + n]
-            root = stars(int(n), linked_pairs(own.view(np.uint64), most))
+            own, own2 = fp[s : s + n], fp2[s : s + n]
+            pairs = ((i[ok], j[ok]) for i, j in linked_pairs(own.view(np.uint64), most) if (ok := near(own, own2, i, j)).any())
+            root = stars(int(n), pairs)
             apart = np.flatnonzero(root != np.arange(n))
             if len(apart):
                 yield pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[root[apart]])], names=["a", "b"])
 
     for batch in batches:
-        now = tuple(batch.column(c).to_numpy() for c in ("mask", "pattern", "fp"))
+        now = tuple(batch.column(c).to_numpy() for c in ("mask", "pattern", "fp", "fp2"))
         if rest is not None:
             now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
         if not len(now[0]):
@@ -181,42 +198,42 @@ def groups_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Re
         yield from found(*rest)
 
 
-def links(fps: DataFrame, most: int = 4, heavy: int = 50_000) -> DataFrame:
-    """fps: distinct longs in column fp. Pairs (a, b) whose closure links all fingerprints within `most` bits."""
+def links(fps: DataFrame, most: int = 4, heavy: int = 50_000, total: int | None = None) -> DataFrame:
+    """fps: distinct longs in column fp, and fp2. Pairs (a, b) whose closure links all fingerprints within `most`
+    bits and, if given, within `total` bits over both numbers."""
     first = split_bits(list(range(BITS)), most)
 
     def under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longer = {0: first}
         for batch in batches:
-            mask, fp = batch.column("mask").to_numpy(), batch.column("fp").to_numpy()
+            mask, fp, fp2 = (batch.column(c).to_numpy() for c in ("mask", "fp", "fp2"))
             for m in np.unique(mask).tolist():
-                own = fp[mask == m]
+                own, own2 = fp[mask == m], fp2[mask == m]
                 rank = (gray_rank(own.view(np.uint64)) ^ np.uint64(2**63)).view(np.int64)  # in order as signed longs too
                 if m not in longer:
                     longer[m] = deeper(m % 2**64, most)
                 for d in np.array(longer[m], np.uint64).view(np.int64):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), d)), pa.array(own & d), pa.array(own), pa.array(rank)], names=["mask", "pattern", "fp", "rank"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(own), d), own & d, own, own2, rank)], names=["mask", "pattern", "fp", "fp2", "rank"])
 
-    rows, masks, parts = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), set(first), []
+    rows, free, parts = fps.select(F.lit(0).cast("long").alias("mask"), "fp", "fp2"), BITS, []
     while True:
-        keys = rows.mapInArrow(under, "mask long, pattern long, fp long, rank long")
-        bounded = BITS - min(m.bit_count() for m in masks) <= 22
-        many = None if bounded else pinned(keys.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("mask", "pattern"))
-        last = bounded or many.isEmpty()
+        keys = rows.mapInArrow(under, "mask long, pattern long, fp long, fp2 long, rank long")
+        free -= 2 * (free // (most + 2))  # at most so many bits are free under a pattern now
+        many = None if free <= 22 else pinned(keys.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("mask", "pattern"))
+        last = many is None or many.isEmpty()
         light = keys if last else keys.join(many, ["mask", "pattern"], "left_anti")
         in_order = light.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "rank")
-        parts.append(in_order.mapInArrow(lambda batches: groups_links(batches, most), "a long, b long"))
+        parts.append(in_order.mapInArrow(lambda batches: groups_links(batches, most, total), "a long, b long"))
         if last:
             return reduce(DataFrame.unionByName, parts)
-        rows = keys.join(many, ["mask", "pattern"], "left_semi").select("mask", "fp")
-        masks = {d for m in masks for d in deeper(m, most)}
+        rows = keys.join(many, ["mask", "pattern"], "left_semi").select("mask", "fp", "fp2")
 
 
-def classified(docs: DataFrame, id_col: str, text_col: str, words: int, most: int, heavy: int) -> DataFrame:
+def classified(docs: DataFrame, id_col: str, text_col: str, words: int, most: int, heavy: int, total: int | None = None) -> DataFrame:
     """Per row: doc_id, key (a hash of its text), fp, root (its component's), component_id."""
-    prints = pinned(fingerprints(docs, id_col, text_col, words))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least.select("fp"), most, heavy)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    prints = pinned(fingerprints(docs, id_col, text_col, words, total is not None))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2"))
+    roots = components(links(least.select("fp", "fp2"), most, heavy, total)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
@@ -227,9 +244,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classified(docs, id_col, text_col, words, most, heavy).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4, heavy: int = 50_000) -> DataFrame:
-    """The rows of docs, all columns, one of each component: that of the least doc_id."""
-    found = classified(docs, id_col, text_col, words, most, heavy).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4, heavy: int = 50_000, total: int | None = None) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that of the least doc_id. With `total`, fingerprints
+    have 64 bits more, and links need `most` bits or fewer in the first 64 and `total` or fewer in all 128, which
+    allows a wider search without joining unlike texts."""
+    found = classified(docs, id_col, text_col, words, most, heavy, total).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("it")).select(F.col("it.doc_id").alias("__kept_id"), F.col("it.key").alias("__kept_key"))
     marked = docs.withColumn("__key", F.xxhash64(col(text_col)))
     mine = marked.join(kept, (marked["__key"] == kept["__kept_key"]) & col(id_col).eqNullSafe(kept["__kept_id"]), "left_semi")

@@ -121,7 +121,7 @@ def test_links_are_whole(spark, most, heavy):
             codes.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 7))))
     center, bits = rng.getrandbits(64), rng.sample(range(64), 12)
     codes |= {center ^ sum(1 << b for b in bits if rng.random() < 0.5) for _ in range(150)}
-    df = spark.createDataFrame([(c - 2**64 if c >= 2**63 else c,) for c in codes], "fp long")
+    df = spark.createDataFrame([(c - 2**64 if c >= 2**63 else c, 0) for c in codes], "fp long, fp2 long")
     got = {r["a"] % 2**64: r["b"] % 2**64 for r in components(simhash_dedup.links(df, most, heavy)).collect()}
     groups, want = {}, {}
     for c in codes:

@@ -1,9 +1,9 @@
 import re
 
 import corpus_pipeline
-from flatlake.llm import decontamination
+from flatlake.llm import decontamination, simhash_dedup
 
-from .test_dedup import LOWER, brute_print, roots
+from .test_dedup import LOWER, brute_print
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,10 +40,12 @@ def test_stages(spark, tmp_path):
                     best[k] = (i, t)
             kept = list(best.values())
         elif name == "near_dedup":
-            root = roots([brute_print(t, 5) for _, t in kept], 7)
+            prints = [simhash_dedup.fingerprint(t.encode(), 5, wide=True) for _, t in kept]
+            assert [p for p, _ in prints] == [brute_print(t, 5) for _, t in kept]
+            root = {p: min(q for q in prints if (p[0] ^ q[0]).bit_count() <= 10 and (p[0] ^ q[0]).bit_count() + (p[1] ^ q[1]).bit_count() <= 24) for p in prints}
             least = {}
-            for i, t in kept:
-                r = root[brute_print(t, 5)]
+            for (i, t), p in zip(kept, prints, strict=True):
+                r = root[p]
                 if r not in least or (i is not None and (least[r][0] is None or i < least[r][0])):
                     least[r] = (i, t)
             kept = list(least.values())
