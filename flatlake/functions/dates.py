@@ -16,10 +16,12 @@ DATE = r"\b(?:сегодня|позавчера|вчера)\b|[0-9]{1,2}\s+[а-
 
 
 def _month(word: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for stem, n in reversed(MONTHS):
-        out = F.when(word.startswith(stem), F.lit(n)).otherwise(out)
-    return out
+    """By the first three letters, then the rest of how the month begins."""
+    pairs = [(stem[:3], stem, n) for stem, n in MONTHS]
+    stems = F.create_map(*(F.lit(x) for three, stem, _ in pairs for x in (three, stem)))
+    numbers = F.create_map(*(F.lit(x) for three, _, n in pairs for x in (three, n)))
+    three = F.substring(word, 1, 3)
+    return F.when(word.startswith(F.try_element_at(stems, three)), F.try_element_at(numbers, three))
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:

@@ -119,3 +119,11 @@ def top_deals(df: DataFrame, n: int) -> DataFrame:
 
 def newest(df: DataFrame, n: int, open_only: bool = True) -> DataFrame:
     return (df.filter(~F.col("closed")) if open_only else df).orderBy(F.col("id").desc()).limit(n)
+
+
+def organizations_matching(organizations: DataFrame, text: str, fields: tuple[str, ...] = ("name", "address")) -> DataFrame:
+    """Rows in which a field contains the text, without regard to case."""
+    test = F.lit(False)
+    for c in fields:
+        test = test | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return organizations.filter(test)

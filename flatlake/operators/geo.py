@@ -61,3 +61,14 @@ def join_buildings(listings: DataFrame, buildings: DataFrame, fields: list[str],
     joined = listings.join(b, key, "left")
     empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     return joined.withColumns({c: F.when(empty(c), F.coalesce(f"__b_{c}", c)).otherwise(F.col(c)) for c in fields}).drop(*(f"__b_{c}" for c in fields))
+
+
+def lookup_names(df: DataFrame, text: Column, index: DataFrame, name: str = "name", broadcast_rows: int = 100_000) -> DataFrame:
+    """index: fragment, name, position, of up to broadcast_rows rows. Each row with the name of the first fragment, by
+    position, that its text contains, or null. Larger indexes raise: containment has no key to shuffle by."""
+    if index.count() > broadcast_rows:
+        raise ValueError(f"over {broadcast_rows} fragments")
+    own = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__text", F.lower(text))
+    i = F.broadcast(index.select(F.lower("fragment").alias("__f"), F.col("name").alias("__name"), F.col("position").alias("__p")))
+    hits = own.select("__id", "__text").join(i, F.col("__text").contains(F.col("__f"))).groupBy("__id").agg(F.min_by("__name", "__p").alias(name))
+    return own.join(hits, "__id", "left").drop("__id", "__text")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers, phones, tags, texts
+from ..functions import dates, numbers, phones, texts
 from ..ml import labels, model
 from ..operators import dedup, filters, geo, history, market, snapshot, stats
 from ..sources import files, pages
@@ -524,6 +524,162 @@ def event_states(spark, sf_dir):
     return v.select("event_id", F.expr("try_variant_get(v, '$.k', 'bigint')").alias("k"))
 
 
+# Texts made of known fields, so that what is read out of them is known
+
+MONTH_WORDS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
+
+
+@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS by_words, CAST(o_orderdate AS DATE) AS by_dots, CAST(o_orderdate AS DATE) AS by_iso, CAST(o_orderdate AS DATE) AS updated FROM orders")
+def dates_in_texts(spark, sf_dir):
+    on = F.to_date("o_orderdate")
+    month = F.element_at(F.array(*map(F.lit, MONTH_WORDS)), F.month(on))
+    today = F.lit("2024-08-15").cast("date")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", F.day(on).cast("string"), month, F.year(on).cast("string")).alias("words"), F.date_format(on, "dd.MM.yyyy").alias("dots"), F.date_format(on, "yyyy-MM-dd").alias("iso"))
+    read = lambda c: dates.parse_date(F.col(c), today)
+    both = dates.extract_dates(F.concat(F.lit("размещено 01.02.1990, обновлено "), "dots"), today)
+    return rows.select("id", read("words").alias("by_words"), read("dots").alias("by_dots"), read("iso").alias("by_iso"), both["updated"].alias("updated"))
+
+
+@query(f"""{L} SELECT id, CASE WHEN price >= 30000 THEN price END AS price, rooms, area, floor, CASE WHEN floor IS NOT NULL AND floor <= total_floors THEN total_floors END AS total_floors, 'WHOLE_APARTMENT' AS listing_type, address FROM listings""")
+def offers_read_back(spark, sf_dir):
+    own = all_listings(spark, sf_dir)
+    part = lambda c, *bits: F.when(F.col(c).isNotNull(), F.concat(*(F.lit(b) if isinstance(b, str) else b for b in bits))).otherwise("")
+    s = lambda c: F.col(c).cast("string")
+    text = F.concat(part("rooms", F.when(F.col("rooms") == 0, "студия").otherwise(F.concat(s("rooms"), F.lit("-комнатная"))), " "), F.lit("квартира, "), s("price"), F.lit(" тг; "), part("area", s("area"), " м²; "), part("floor", s("floor"), "/", s("total_floors"), " этаж; "), F.lit("адрес: "), "address")
+    t = F.col("text")
+    rows = own.select("id", text.alias("text"))
+    return rows.select("id", texts.rent_price(t).alias("price"), texts.rooms_in_text(t).alias("rooms"), texts.area_in_text(t).alias("area"), texts.floor_in_text(t)["floor"].alias("floor"), texts.floor_in_text(t)["total"].alias("total_floors"), texts.listing_type(t).alias("listing_type"), texts.address_in_text(t).alias("address"))
+
+
+@query(f"""{L} SELECT id, price, CAST(rooms AS INT) AS rooms, floor, CASE WHEN floor IS NOT NULL THEN total_floors END AS total_floors, area, id % 1000 * 1000 AS views, CASE WHEN rooms = 0 THEN 'студия' WHEN rooms IS NOT NULL THEN concat(rooms, '-комн.') END AS label FROM listings""")
+def numbers_read_back(spark, sf_dir):
+    s = lambda c: F.col(c).cast("string")
+    pair = numbers.parse_floor_pair(F.concat_ws("/", F.when(F.col("floor").isNotNull(), s("floor")), F.when(F.col("floor").isNotNull(), s("total_floors"))))
+    return all_listings(spark, sf_dir).select(
+        "id", numbers.parse_int(F.concat(numbers.grouped(F.col("price")), F.lit(" тг"))).alias("price"),
+        numbers.parse_rooms(F.when(F.col("rooms") == 0, "студия").otherwise(F.concat(s("rooms"), F.lit(" комн.")))).alias("rooms"),
+        pair["floor"].alias("floor"), pair["total"].alias("total_floors"), numbers.lenient_double(F.concat(F.lit(" "), F.replace(s("area"), F.lit("."), F.lit(",")))).alias("area"),
+        numbers.view_count(F.concat((F.col("id") % 1000).cast("string"), F.lit("K"))).alias("views"), numbers.room_label(F.col("rooms")).alias("label"),
+    )
+
+
+@query(f"""{L}, h AS (SELECT id, greatest(0, date_diff('hour', date_published::TIMESTAMP, TIMESTAMP '1998-06-08 00:00:00')) AS h FROM listings)
+  SELECT id, CASE WHEN h <= 2 THEN 1.0e0 WHEN h <= 6 THEN 0.95e0 WHEN h <= 12 THEN 0.9e0 WHEN h <= 24 THEN 0.8e0 WHEN h <= 48 THEN 0.6e0 WHEN h <= 168 THEN 0.3e0 ELSE 0.1e0 END AS freshness FROM h""")
+def freshness_scores(spark, sf_dir):
+    as_of = F.lit("1998-06-08 00:00:00").cast("timestamp")
+    return all_listings(spark, sf_dir).select("id", texts.freshness(F.col("date_published").cast("timestamp"), as_of).alias("freshness"))
+
+
+@query(f"""{L} SELECT id, CAST(greatest(0, least(100, 20 + 15 + CASE WHEN area IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN rooms IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN phone <> '' THEN 5 ELSE 0 END
+  + CASE WHEN id % 3 = 0 THEN 15 ELSE 0 END - CASE WHEN id % 5 = 0 THEN 20 ELSE 0 END)) AS INT) AS quality FROM listings""")
+def quality_scores(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    own = {"photo": F.when(F.col("id") % 3 == 0, "http://p"), "owner_probability": F.when(F.col("id") % 5 == 0, 0.15).otherwise(0.5), "deposit": none.cast("int"), "utilities": F.lit("unknown")}
+    score = texts.quality_score(lambda c: own[c] if c in own else F.col(c) if c in ("price", "lat", "lon", "area", "rooms", "phone", "address") else none)
+    return all_listings(spark, sf_dir).select("id", score.alias("quality"))
+
+
+@query(f"""{L} SELECT id, CASE id % 4 WHEN 0 THEN 0.85e0 WHEN 1 THEN 0.15e0 ELSE 0.5e0 END AS owner FROM listings""")
+def owner_scores(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, ["я собственник", "агентство, комиссия 50%", "собственник, услуги агентства", "квартира"])), (F.col("id") % 4 + 1).cast("int"))
+    return all_listings(spark, sf_dir).select("id", texts.owner_probability(text).alias("owner"))
+
+
+@query(f"""{L} SELECT id, CAST(50000 + id % 100000 AS BIGINT) AS deposit, CAST(1 + id % 90 AS INT) AS commission_percent, CASE WHEN id % 2 = 0 THEN 'separate' ELSE 'unknown' END AS utilities, CAST(120000 + id % 1000 AS BIGINT) AS first_payment FROM listings""")
+def costs_read_back(spark, sf_dir):
+    n = lambda c: c.cast("string")
+    k = F.col("id")
+    text = F.concat(F.lit("депозит "), n(50_000 + k % 100_000), F.lit(" тг; комиссия "), n(1 + k % 90), F.lit("%; первый взнос при заселении сразу "), F.lit("заезд "), n(120_000 + k % 1000), F.lit(" тг"), F.when(k % 2 == 0, "; коммунальные 15000").otherwise(""))
+    return all_listings(spark, sf_dir).select("id", texts.costs(text).alias("c")).select("id", "c.deposit", "c.commission_percent", "c.utilities", "c.first_payment")
+
+
+# More tables and reports
+
+
+@query("SELECT s_suppkey FROM supplier WHERE contains(lower(s_name), '00000007')")
+def organizations_by_text(spark, sf_dir):
+    own = table(spark, sf_dir, "supplier").withColumn("address", F.lit(None).cast("string"))
+    return filters.organizations_matching(own, "R#00000007"[2:], ("s_name", "address")).select("s_suppkey")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 50")
+def saved_by_rating(spark, sf_dir):
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").alias("rating"), (-F.col("s_suppkey")).alias("updated_at"))
+    return filters.by_rating(own).limit(50).select("s_suppkey", "s_name")
+
+
+@query(f"WITH {SCORES}, p AS (SELECT d.doc_id, (d.n_chars % 100) / 100.0e0 AS prob FROM documents d) SELECT doc_id, prob, CASE WHEN prob >= 0.5 THEN 'good' WHEN prob <= 0.3 THEN 'expensive' ELSE 'arguable' END AS verdict FROM p ORDER BY prob DESC, doc_id LIMIT 100")
+def top_deals(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") % 100) / F.lit(100.0)).alias("prob"), F.format_string("%020d", "doc_id").alias("url"))
+    return filters.top_deals(own, 100).select("doc_id", "prob", model.verdict(F.col("prob"), 0.4).alias("verdict"))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type <> 'error' ORDER BY event_id DESC LIMIT 50")
+def newest_open(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("closed"))
+    return filters.newest(own, 50).select("id")
+
+
+@query(r"""SELECT page_id, CAST(len(list_distinct(list_filter(regexp_extract_all(html, '(?:href|src)="([^"]+)"', 1), lambda u: regexp_matches(u, '^https?://')))) AS BIGINT) AS n_urls FROM pages""")
+def unique_urls(spark, sf_dir):
+    links = F.regexp_extract_all("html", F.lit(r'(?:href|src)="([^"]+)"'), 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.size(files.unique_urls(links)).cast("bigint").alias("n_urls"))
+
+
+@query("SELECT concat('u/', user_id) AS url, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00'")
+def fresh_copies(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").cast("string").alias("html"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    return pages.fresh_copy(own, F.lit("2024-01-31 00:00:00").cast("timestamp"), 43_200).select("url", F.col("html").cast("bigint").alias("event_id"))
+
+
+@query(r"""SELECT page_id, regexp_matches(lower(concat_ws(' ', regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1))), 'thea|chen') AS category FROM pages""")
+def category_guard(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", pages.is_category_page(F.col("html"), "thea|chen").alias("category"))
+
+
+@query(f"""{L}, c AS (SELECT regexp_replace(url, '/+$', '') AS b, min(price) AS p FROM listings GROUP BY 1) SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) ELSE p END AS price FROM part LEFT JOIN c ON b = concat('https://s.test/a/', p_partkey)""")
+def matched_cards(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://s.test/a/"), F.col("p_partkey").cast("string"), F.lit("/?from=x")).alias("url"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("bigint")).alias("price"))
+    return pages.match_cards(d, all_listings(spark, sf_dir).select("url", "price")).select("page_id", "price")
+
+
+@query(f"{L} SELECT title, median(price) AS median_price, count(price) AS n FROM listings GROUP BY title HAVING count(price) >= 5")
+def median_per_complex(spark, sf_dir):
+    return market.median_by(all_listings(spark, sf_dir), ["title"], least=5)
+
+
+@query(f"{H} SELECT listing_key, string_agg(CAST(price AS VARCHAR), ',' ORDER BY checked_at, price) AS prices FROM history GROUP BY listing_key")
+def nested_series(spark, sf_dir):
+    return history.nested(price_log(spark, sf_dir)).select("listing_key", F.array_join(F.transform("series", lambda p: p["price"].cast("string")), ",").alias("prices"))
+
+
+@query(f"{L} SELECT CAST(row_number() OVER (ORDER BY price DESC, id) AS INT) AS n, id, concat(title, '; ', coalesce(CAST(rooms AS VARCHAR), '—')) AS head FROM listings ORDER BY price DESC, id LIMIT 20")
+def report_of_top(spark, sf_dir):
+    top = all_listings(spark, sf_dir).orderBy(F.desc("price"), "id").limit(20)
+    blocks = files.report_blocks(top, [F.desc("price"), F.col("id")]).join(top.select("id", F.row_number().over(_by_price()).alias("n")), "n")
+    lines = F.split("block", "\n")
+    return blocks.select("n", "id", F.concat(F.regexp_replace(lines[0], r"^[0-9]+\. ", ""), F.lit("; "), F.regexp_extract(lines[2], "rooms: ([^,]+)", 1)).alias("head"))
+
+
+def _by_price():
+    from pyspark.sql import Window
+
+    return Window.orderBy(F.desc("price"), "id")  # over a top list
+
+
+@query(f"{L} SELECT id, CASE WHEN contains(lower(address), 'nation_1,') THEN 'One' WHEN contains(lower(address), 'machinery') THEN 'Machines' WHEN contains(lower(address), 'nation_2') THEN 'Two' END AS name FROM listings")
+def dictionary_names(spark, sf_dir):
+    index = spark.createDataFrame([("machinery", "Machines", 2), ("NATION_1,", "One", 1), ("nation_2", "Two", 3)], "fragment string, name string, position int")
+    return geo.lookup_names(all_listings(spark, sf_dir), F.col("address"), index).select("id", "name")
+
+
+@query(f"{L} SELECT source, count(*) AS n, count(rooms) AS with_rooms FROM (SELECT source, rooms FROM listings UNION ALL SELECT s_name, NULL FROM supplier) GROUP BY source")
+def union_of_sources(spark, sf_dir):
+    other = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source"), F.col("s_suppkey").alias("id"))
+    both = snapshot.union_sources(all_listings(spark, sf_dir), other)
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("rooms").alias("with_rooms"))
+
+
 # Models
 
 
