@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbers import found
@@ -122,14 +122,16 @@ def ceiling_height(low: Column) -> Column:
     return F.replace(found(low, r"(?U)потолк\w*\s*(?:—|–|-|:)?\s*([0-9](?:[.,][0-9])?)\s*(?:м\b|метр)"), F.lit(","), F.lit(".")).try_cast("double")
 
 
-def tag_columns(title: Column, description: Column) -> dict[str, Column]:
-    """All tag columns (0 or 1), the grades, and what numbers the text gives."""
-    low = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
-    grade, level = graded(low, RENOVATION), graded(low, FURNITURE)
-    same = lambda c, v: F.coalesce(c == v, F.lit(False)).cast("int")
-    out = {f"tag_{name}": holds(low, rule).cast("int") for name, rule in TAGS.items()}
-    out |= {"tag_euro_renovation": same(grade, 3), "tag_needs_repair": same(grade, 0), "tag_fully_furnished": same(level, "full"), "tag_partial_furnished": same(level, "partial"), "tag_unfurnished": same(level, "none")}
-    return out | {"renovation_grade": grade, "furniture_level": level, "building_type": graded(low, BUILDING), "bathroom_type": graded(low, BATHROOM), "year_built": year_built(low), "ceiling_height": ceiling_height(low)}
+def with_tags(df: DataFrame, title: str = "title", description: str = "description") -> DataFrame:
+    """df with all tag columns (0 or 1), the grades, and what numbers the text gives. The lower-cased text and the
+    grades are computed once, in projections of their own, as many columns use them."""
+    text = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(description), F.lit(""))))
+    low = F.col("__low")
+    own = df.withColumn("__low", text)
+    own = own.withColumns({"renovation_grade": graded(low, RENOVATION), "furniture_level": graded(low, FURNITURE), "building_type": graded(low, BUILDING), "bathroom_type": graded(low, BATHROOM), "year_built": year_built(low), "ceiling_height": ceiling_height(low)})
+    same = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False)).cast("int")
+    of_grades = {"tag_euro_renovation": same("renovation_grade", 3), "tag_needs_repair": same("renovation_grade", 0), "tag_fully_furnished": same("furniture_level", "full"), "tag_partial_furnished": same("furniture_level", "partial"), "tag_unfurnished": same("furniture_level", "none")}
+    return own.withColumns({f"tag_{name}": holds(low, rule).cast("int") for name, rule in TAGS.items()} | of_grades).drop("__low")
 
 
 def tag_list(tags: list[str]) -> Column:

@@ -36,7 +36,7 @@ def feature_rows(df: DataFrame) -> DataFrame:
     own = ratios(df)
     if "district_name" in own.columns:
         own = own.withColumn("district", F.coalesce("district_name", "district"))
-    tagged = own.repartition("url").withColumns(tags.tag_columns(F.col("title"), F.col("description")))
+    tagged = tags.with_tags(own.repartition("url"))
     for c in BASE:
         if c not in tagged.columns:
             tagged = tagged.withColumn(c, F.lit(None).cast("string"))

@@ -138,7 +138,8 @@ def test_owner(of, text, want):
 
 def test_tags(spark):
     text = "Евроремонт, студия с балконом, стиральная машина, wi-fi, лифт, рядом с метро, дом 2015 года постройки, потолки 3,2 м, без мебели"
-    row = spark.createDataFrame([("t", text), (None, None)], "title string, description string").select(*(c.alias(k) for k, c in tags.tag_columns(F.col("title"), F.col("description")).items())).collect()
+    row = spark.createDataFrame([("t", text), (None, None)], "title string, description string")
+    row = tags.with_tags(row).collect()
     r = row[0]
     assert all(r[f"tag_{t}"] for t in ("euro_renovation", "studio", "balcony", "washer", "wifi", "elevator", "near_metro", "unfurnished")) and not r["tag_garage"] and not r["tag_gym"]
     assert (r["renovation_grade"], r["furniture_level"], r["year_built"], r["ceiling_height"]) == (3, "none", 2015, 3.2)
