@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from ..operators.stats import exclusive_quantile, group_median
 
+#: The base columns of a feature row, in their order.
 BASE = [
     "price", "currency", "rooms", "area", "floor", "total_floors", "price_per_m2", "price_per_room", "floor_ratio", "is_first_floor", "is_last_floor", "district",
     "microdistrict", "residential_complex", "deal_type", "listing_type", "rental_period", "deposit", "commission_percent", "utilities", "owner_probability", "views",
