@@ -49,3 +49,14 @@ def first_of_equal(df: DataFrame, keys: list[Column], order: list[Column]) -> Da
 
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
+
+
+def rows_of(docs: DataFrame, key: Column, id_col: str, kept: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose key and id are a row (key, id) of kept; of rows alike in both, one.
+    The join and the choice have the same keys, none of them null, so that the texts are shuffled once."""
+    names = ["__key", "__id", "__none"]
+    parts = lambda k, i: {"__key": k, "__id": F.coalesce(i.cast("string"), F.lit("")), "__none": i.isNull()}
+    wanted = kept.select(*(c.alias(n) for n, c in parts(F.col("key"), F.col("id")).items()))
+    mine = docs.withColumns(parts(key, col(id_col))).join(wanted, names, "left_semi")
+    order = [col(c).asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "date", "timestamp")]
+    return first_of_equal(mine, [F.col(n) for n in names], order or [F.col("__key")]).drop(*names)

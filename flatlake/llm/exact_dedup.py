@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, col, first_of_equal, pinned
+from .common import ascii_lower, col, pinned, rows_of
 
 #: Copies of one (id, text) row are spelled out in blocks of this many.
 BLOCK = 10_000
@@ -65,8 +65,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps: one per text."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-    marked = docs.withColumn("__sha", F.sha2(normal_text(col(text_col)), 256))
-    mine = marked.join(kept, (marked["__sha"] == kept["__kept_sha"]) & col(id_col).eqNullSafe(kept["__kept_id"]), "left_semi")
-    order = [col(c).asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "date", "timestamp")]
-    return first_of_equal(mine, [F.col("__sha"), col(id_col)], order or [F.col("__sha")]).drop("__sha")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("text_sha256").alias("key"), F.col("doc_id").alias("id"))
+    return rows_of(docs, F.sha2(normal_text(col(text_col)), 256), id_col, kept)

@@ -245,8 +245,7 @@ def place(rows: DataFrame, size: int = SIZE, group: int = 50_000) -> DataFrame:
     for r in rows.groupBy("length").count().collect():  # at most `size` rows
         counts[r["length"]] = r["count"]
     uses = np.array(sorted(plan(counts, size).uses), np.int64).reshape(-1, 5)
-    first = np.searchsorted(uses[:, 0], np.arange(size + 2))
-    shared = rows.sparkSession.sparkContext.broadcast((uses, first))  # its size is bounded by the number of lengths
+    shared = rows.sparkSession.sparkContext.broadcast(uses)  # its size is bounded by the number of lengths
     # Ranks among the pieces of a length: numbered in groups of about `group`, plus the groups before.
     groups = max(1, min(n // 200, 1000), n // group)
     dealt = rows.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
@@ -256,7 +255,7 @@ def place(rows: DataFrame, size: int = SIZE, group: int = 50_000) -> DataFrame:
     ranked = dealt.withColumn("__nth", F.row_number().over(inside)).join(sums, ["length", "__group"]).withColumn("__rank", F.col("__before") + F.col("__nth") - 1)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses, first = shared.value
+        uses = shared.value
         # Ranks of one length follow each other in the plan; a length's own span makes the search one-dimensional.
         span = np.int64(uses[:, 1].max() + 1) if len(uses) else np.int64(1)
         keys = uses[:, 0] * span + uses[:, 1]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER, col, first_of_equal, pinned
+from .common import ASCII_UPPER, col, pinned, rows_of
 from .components import components
 
 BITS, FAN = 64, 16
@@ -249,8 +249,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have 64 bits more, and links need `most` bits or fewer in the first 64 and `total` or fewer in all 128, which
     allows a wider search without joining unlike texts."""
     found = classified(docs, id_col, text_col, words, most, heavy, total).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("it")).select(F.col("it.doc_id").alias("__kept_id"), F.col("it.key").alias("__kept_key"))
-    marked = docs.withColumn("__key", F.xxhash64(col(text_col)))
-    mine = marked.join(kept, (marked["__key"] == kept["__kept_key"]) & col(id_col).eqNullSafe(kept["__kept_id"]), "left_semi")
-    order = [col(c).asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "date", "timestamp")]
-    return first_of_equal(mine, [F.col("__key"), col(id_col)], order or [F.col("__key")]).drop("__key")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("it")).select("it.key", F.col("it.doc_id").alias("id"))
+    return rows_of(docs, F.xxhash64(col(text_col)), id_col, kept)
