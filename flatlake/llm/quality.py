@@ -1,26 +1,33 @@
-"""Quality classification by the perplexity of an interpolated modified Kneser-Ney n-gram model.
-
-The model is of characters, in SYMBOLS classes: blank, the letters, one class for capitals, one for digits,
-the line break, and hashed classes for punctuation and for other characters. It is trained on all trusted
-texts. Tasks count n-grams of ORDER symbols, Spark sums the counts by n-gram, and the lower orders' counts
-(of how many different n-grams end in a shorter one), the totals of contexts and the discounts come from
-further sums and joins of these sharded tables, keyed by n-gram, context or suffix. With ORDER = 4 there
-are at most SYMBOLS ** 4 = 16.8 million n-grams, whatever the input, which is what makes the last step
-possible: the table is broadcast and every document is scored where it lies, over its whole text.
-
-A document's perplexity is compared to a quantile of the trusted documents' perplexities in its language.
-Quantiles are exact on log-perplexities rounded to 1/1000, from sorted counts.
-
-Defined results: null and empty texts have perplexity null and are not kept. Documents of a language
-without trusted documents (or of null language) are held against the quantile of all trusted ones; if
-there are none, nothing is known, thresholds are null and every text that isn't empty is kept. Repeated
-rows and labels count once per row of docs; a document is trusted if any of its labels is. An empty table
-gives an empty result. Other columns are ignored, whatever their names.
+"""Quality classification by the perplexity of an interpolated modified Kneser-Ney model of words.
+
+The model is of word pairs, with no limit to its size: words are runs of letters in lower case, runs of
+digits, single characters of scripts without blanks, and single signs; a text's first word follows FIRST.
+It is trained on all trusted texts. Tasks count pairs, Spark sums the counts, and the lower order's counts
+(after how many different words a word stands), totals of contexts and discounts are further sums of that
+table. Scoring takes each document's distinct pairs with their counts, put together by pair inside
+a part of a task, joins them to the sharded table and sums log-probabilities by document. What a word
+adds (its own probability, and the weight it leaves as a context) is a broadcast while it has
+`broadcast_ids` words at most, and a shuffle join beyond.
+
+A model is sure of texts that it has seen. So that thresholds say something about texts it hasn't, a trusted
+document is scored without its own half of the trusted ones (halves by CRC-32 of the id), others by all.
+
+A document's perplexity, a word, is compared to a quantile of the trusted documents' perplexities in its
+language. Quantiles are exact on log-perplexities rounded to 1/1000, from sorted counts.
+
+Defined results: null texts and texts of nothing but blanks have perplexity null and are not kept. Documents
+of a language without trusted documents (or of null language) are held against the quantile of all trusted
+ones; if there are none, nothing is known, perplexities are 1, thresholds are null and every text that has a
+word is kept. Repeated rows and labels count once per row of docs; a document is trusted if any of its labels
+is. Rows are numbered, so docs must read alike twice, as files do. An empty table gives an empty result.
+Other columns are ignored, whatever their names.
+
+The functions up to `log_table` are a smaller model, of characters in 64 classes, that classify doesn't use.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,7 +100,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
 def discounts(counts: DataFrame) -> list[float]:
     """Of one order: what is taken from counts of 1, 2 and 3 or more."""
     m = counts.filter("n <= 4").groupBy("n").count().collect()  # four rows at most
-    n1, n2, n3, n4 = (next((r["count"] for r in m if r["n"] == k), 0) for k in (1, 2, 3, 4))
+    return discounts_of(*(next((r["count"] for r in m if r["n"] == k), 0) for k in (1, 2, 3, 4)))
+
+
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     out = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(out, 1)]
@@ -134,35 +144,160 @@ def log_table(parts: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return np.log(p)
 
 
-_tables: dict[str, np.ndarray] = {}  # of the model that this process scores with
+#: A blank-free script's character, a run of other letters, a run of digits, or a sign.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{ALONE}]|[^\W\d_{ALONE}]+|\d+|[^\w\s]|_")
+FIRST = 0  # the hash that stands before a text's first word
+MODELS = 3  # of all trusted texts, and without each half
+POSTING = np.dtype([("row", "<u2"), ("value", "<u4")])  # of a part; count * 4 + model
+_hashes: dict[str, int] = {}
+
+
+def hashed(text: str) -> np.ndarray:
+    """The XXH64 of each word."""
+    from xxhash import xxh64_intdigest
+
+    found = WORD.findall(text.lower())
+    if len(_hashes) > 500_000:
+        _hashes.clear()
+    for w in set(found):
+        if w not in _hashes:
+            _hashes[w] = xxh64_intdigest(w.encode("utf-8", "replace"))
+    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found)).view(np.int64)
+
+
+def pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of all texts: the word before it, itself, and its text's number."""
+    own = [hashed(t) if t else np.zeros(0, np.int64) for t in texts]
+    lengths = np.array([len(x) for x in own], np.int64)
+    second = np.concatenate([*own, np.zeros(0, np.int64)])
+    first = np.concatenate([[FIRST], second[:-1]])[: len(second)]
+    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = FIRST
+    return first, second, np.repeat(np.arange(len(own)), lengths)
+
 
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys (the first is the major one) are neighbours, and where each run begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.flatnonzero(new)
 
-def score(docs: DataFrame, parts: list[tuple[np.ndarray, ...]], text_col: str = "text") -> Column:
-    """A column with the mean negative log-probability of a text's characters; null for no text."""
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, parts))
 
-    @F.pandas_udf("double")
-    def mean(texts):
-        import pandas as pd
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """texts: text, half. (w1, w2, n1, n2): how often w2 follows w1 in the texts of half 1 and of half 2."""
 
-        key, own = shared.value
-        if key not in _tables:
-            _tables.clear()
-            _tables[key] = log_table(own)
-        out, at = [], 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < 4_000_000):
-                size += len(texts.iloc[stop] or "")
-                stop += 1
-            gram, which = coded(texts.iloc[at:stop].tolist())
-            n = np.bincount(which, minlength=stop - at)
-            total = np.bincount(which, -_tables[key][gram].astype(float), minlength=stop - at)
-            out.append(np.where(n > 0, total / np.maximum(n, 1), np.nan))
-            at = stop
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 8_000_000):
+                w1, w2, which = pairs(part.column("text").to_pylist())
+                if len(w1):
+                    half = part.column("half").to_numpy()[which]
+                    order, start = runs(w1, w2)
+                    n = [np.add.reduceat((half[order] == k).astype(np.int64), start) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1[order[start]], w2[order[start]], *n)], names=["w1", "w2", "n1", "n2"])
+
+    return texts.mapInArrow(count, "w1 long, w2 long, n1 long, n2 long").groupBy("w1", "w2").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+
+
+def less(counts: DataFrame) -> list[Column]:
+    """counts: c0, c1, ... of each model. What modified Kneser-Ney takes from each."""
+    names = [f"c{m}" for m in range(MODELS)]
+    row = counts.agg(*(F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4))).first()
+    out = []
+    for c in names:
+        d1, d2, d3 = discounts_of(*(row[f"{c}_{k}"] for k in (1, 2, 3, 4)))
+        out.append(F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d1).when(F.col(c) == 2, d2).otherwise(d3))
+    return out
+
+
+def word_model(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(w1, w2, s0, s1, s2): each pair's own share of the probability in each model; (word, u0.., k0..): each word's
+    lower-order probability and the weight it leaves as a context; and the probability of an unknown word.
+    Model 1 is learned from half 2 and model 2 from half 1."""
+    every = range(MODELS)
+    own = [F.col("n1") + F.col("n2"), F.col("n2"), F.col("n1")]
+    counts = pinned(count_pairs(texts)).select("w1", "w2", *(n.alias(f"c{m}") for m, n in enumerate(own)))
+    taken = less(counts)
+    contexts = counts.groupBy("w1").agg(*(F.sum(f"c{m}").alias(f"t{m}") for m in every), *(F.sum(taken[m]).alias(f"l{m}") for m in every))
+    weights = contexts.select(F.col("w1").alias("word"), *(F.coalesce(F.try_divide(f"l{m}", f"t{m}"), F.lit(1.0)).alias(f"k{m}") for m in every), *(f"t{m}" for m in every))
+    ends = pinned(counts.groupBy("w2").agg(*(F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in every)))
+    gone = less(ends)
+    sums = ends.agg(F.count(F.lit(1)).alias("words"), *(F.sum(f"c{m}").alias(f"t{m}") for m in every), *(F.sum(gone[m]).alias(f"l{m}") for m in every)).first()
+    unknown = [(sums[f"l{m}"] / sums[f"t{m}"] if sums[f"t{m}"] else 1.0) / (sums["words"] + 1) for m in every]
+    lower = [((F.col(f"c{m}") - gone[m]) / float(sums[f"t{m}"] or 1) + unknown[m]).alias(f"u{m}") for m in every]
+    both = ends.select(F.col("w2").alias("word"), *lower).join(weights, "word", "full")
+    # FIRST and words that only end or only begin a text have one side: unknown as a word, or all weight left.
+    words = pinned(both.select("word", *(F.coalesce(f"u{m}", F.lit(unknown[m])).alias(f"u{m}") for m in every), *(F.coalesce(f"k{m}", F.lit(1.0)).alias(f"k{m}") for m in every), *(f"t{m}" for m in every)))
+    shares = [F.coalesce(F.try_divide(F.col(f"c{m}") - taken[m], F.col(f"c{m}t")), F.lit(0.0)).alias(f"s{m}") for m in every]
+    totals = words.select(F.col("word").alias("w1"), *(F.col(f"t{m}").alias(f"c{m}t") for m in every))
+    return counts.join(totals, "w1").select("w1", "w2", *shares), words.drop(*(f"t{m}" for m in every)), unknown
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """rows: rid, text, half. (w1, w2, base, found): of the rows from rid `base` on, which ones have the pair, and how
+    often; a row for each pair and part of a task."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 8_000_000):
+                rid, half = part.column("rid").to_numpy(), part.column("half").to_numpy()
+                for a in range(0, len(rid), 2**16):
+                    yield from gathered(part.column("text").slice(a, 2**16).to_pylist(), rid[a : a + 2**16], half[a : a + 2**16])
+
+    return rows.mapInArrow(find, "w1 long, w2 long, base long, found binary")
+
+
+def gathered(texts: list[str | None], rid: np.ndarray, half: np.ndarray) -> Iterator[pa.RecordBatch]:
+    w1, w2, which = pairs(texts)
+    offset = rid - rid.min()
+    if offset.max() >= 2**16:  # rows that a join has mixed: those of each stretch on their own
+        for stretch in np.unique(rid >> 16):
+            at = np.flatnonzero(rid >> 16 == stretch)
+            yield from gathered([texts[k] for k in at], rid[at], half[at])
+        return
+    if not len(w1):
+        return
+    order, start = runs(w1, w2, which)
+    n = np.diff(np.append(start, len(order)))
+    w1, w2, which = (x[order[start]] for x in (w1, w2, which))
+    values = np.empty(len(n), POSTING)
+    values["row"], values["value"] = offset[which], n * 4 + half[which]
+    new = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
+    edges = np.append(new, len(n)).astype(np.int32) * POSTING.itemsize
+    for k in range(0, len(new), 100_000):
+        cut = slice(k, k + 100_000)
+        found = pa.Array.from_buffers(pa.binary(), len(new[cut]), [None, pa.py_buffer(edges[k : k + 100_001].tobytes()), pa.py_buffer(values.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(w1[new[cut]]), pa.array(w2[new[cut]]), pa.array(np.full(len(new[cut]), rid.min())), found], names=["w1", "w2", "base", "found"])
+
+
+def losses(rows: DataFrame, texts: DataFrame, broadcast_words: int) -> DataFrame:
+    """(rid, loss): the mean negative log-probability of a word, of each row that has words."""
+    shares, words, unknown = word_model(texts)
+    every = range(MODELS)
+    held = F.broadcast(words) if words.count() <= broadcast_words else words
+    before = held.select(F.col("word").alias("w1"), *(f"k{m}" for m in every))
+    after = held.select(F.col("word").alias("w2"), *(f"u{m}" for m in every))
+    met = postings(rows).join(shares, ["w1", "w2"], "left").join(before, "w1", "left").join(after, "w2", "left")
+    p = [F.coalesce(f"s{m}", F.lit(0.0)) + F.coalesce(f"k{m}", F.lit(1.0)) * F.coalesce(f"u{m}", F.lit(unknown[m])) for m in every]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [x.as_buffer() for x in batch.column("found")]
+            values = np.frombuffer(b"".join(found), POSTING)
+            at = np.repeat(np.arange(len(found)), [x.size // POSTING.itemsize for x in found])
+            loss = np.stack([batch.column(f"p{m}").to_numpy() for m in every])
+            n, model = (values["value"] >> 2).astype(np.int64), values["value"] & 3
+            rid, own = np.unique(batch.column("base").to_numpy()[at] + values["row"], return_inverse=True)
+            total = np.bincount(own, loss[model, at] * n, minlength=len(rid))
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(total), pa.array(np.bincount(own, n, minlength=len(rid)).astype(np.int64))], names=["rid", "total", "n"])
 
-    return mean(col(text_col))
+    sums = met.select("base", "found", *((-F.log(p[m])).alias(f"p{m}") for m in every)).mapInArrow(spread, "rid long, total double, n long")
+    return sums.groupBy("rid").agg((F.sum("total") / F.sum("n")).alias("loss"))
 
 
 def quantiles(scored: DataFrame, q: float) -> DataFrame:
@@ -177,11 +312,13 @@ def quantiles(scored: DataFrame, q: float) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", q: float = 0.99, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Per row: doc_id, lang, trusted, perplexity, threshold, keep. Trusted are documents with a label of 1."""
     good = labels.filter(col(quality_col) == 1).select(col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(lang_col).alias("lang"), col(text_col).alias("text"))
-    few = good.count() <= broadcast_ids  # else their texts are shuffled to them
-    parts = model(rows.join(F.broadcast(good) if few else good, "doc_id", "left_semi").select("text"))
-    losses = rows.select("doc_id", "lang", score(rows, parts).alias("loss")).withColumn("bin", F.round(F.col("loss") * 1000).cast("long"))
-    scored = pinned(losses.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
+    few = good.count() <= broadcast_ids  # else texts are shuffled to them
+    known = good.withColumn("trusted", F.lit(True))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(lang_col).alias("lang"), col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    rows = rows.join(F.broadcast(known) if few else known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    rows = rows.withColumn("half", F.when(F.col("trusted"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 + 1).otherwise(0).cast("long"))
+    found = losses(rows.select("rid", "text", "half"), rows.filter("trusted").select("text", "half"), min(broadcast_ids, 500_000))
+    scored = pinned(rows.select("rid", "doc_id", "lang", "trusted").join(found, "rid", "left").withColumn("bin", F.round(F.col("loss") * 1000).cast("long")))
     limits = quantiles(scored.filter("trusted and bin is not null"), q)
     of_all = limits.filter("lang is null").select(F.col("limit").alias("limit_of_all")).first()
     held = scored.join(limits.filter("lang is not null"), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(of_all[0] if of_all else None).cast("long")))

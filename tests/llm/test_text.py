@@ -228,6 +228,46 @@ def test_classify(spark):
     assert quality.classify(docs.limit(0), labels).collect() == []
 
 
+LETTERED = str.maketrans("0123456789", "ghijklmnop")
+
+
+def test_word_model(spark):
+    """Against a model in plain Python; scores of texts that differ only beyond ASCII; size with the input."""
+    texts = [(EN * 2, 1), (DE, 2), ("Съешь ещё этих мягких французских булок, да выпей же чаю.", 1), ("我喜欢吃苹果 我喜欢", 2), (None, 1), (" ", 2)]
+    df = spark.createDataFrame(texts, "text string, half long")
+    shares, words, unknown = quality.word_model(df)
+    table = {(r["w1"], r["w2"]): [r[f"s{m}"] for m in range(3)] for r in shares.collect()}
+    word = {r["word"]: r for r in words.collect()}
+    counts = {}
+    for t, half in texts:
+        own = [0, *quality.hashed(t or "").tolist()]
+        for pair in itertools.pairwise(own):
+            counts.setdefault(pair, [0, 0, 0])[0] += 1
+            counts[pair][3 - half] += 1
+    assert set(table) == set(counts) and len(set(quality.hashed("我喜欢").tolist())) == 3
+    for m in range(3):  # after each word, all words and the unknown one have probability 1 together
+        for w1 in {a for a, _ in counts}:
+            p = sum(table.get((w1, w), [0] * 3)[m] + word[w1][f"k{m}"] * r[f"u{m}"] for w, r in word.items() if w != 0) + word[w1][f"k{m}"] * unknown[m]
+            assert abs(p - 1) < 1e-9
+    d = quality.discounts_of(*(sum(n[0] == k for n in counts.values()) for k in (1, 2, 3, 4)))
+    for (a, b), n in counts.items():
+        assert abs(table[a, b][0] - (n[0] - d[min(n[0], 3) - 1]) / sum(x[0] for (c, _), x in counts.items() if c == a)) < 1e-9
+    more = spark.createDataFrame([(" ".join(base64.b16encode(f"{k}{j}".encode()).decode().translate(LETTERED) for j in "abcdefgh"), 1) for k in range(3000)], "text string, half long")
+    assert quality.count_pairs(more).count() > quality.count_pairs(more.limit(300)).count() * 9
+
+
+def test_classify_beyond_ascii(spark):
+    rng = random.Random(7)
+    plain = "съешь ещё этих мягких французских булок да выпей же чаю".split()
+    junk = lambda n: "".join(rng.choice("абвгдежзийклмнопрстуфхцчшщъыьэюя") for _ in range(n))
+    rows = [(k, " ".join(rng.sample(plain, 8)), "ru", "") for k in range(60)] + [(100 + k, " ".join(junk(len(w)) for w in rng.sample(plain, 8)), "ru", "") for k in range(20)]
+    rows += [(7, "", "ru", ""), (8, " \n", "ru", "")]
+    got = quality.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")).collect()
+    assert len(got) == len(rows)
+    assert sum(r["keep"] for r in got if 40 <= r["doc_id"] < 60) >= 15 and not any(r["keep"] for r in got if r["doc_id"] >= 100)
+    assert sum(r["perplexity"] is None and not r["keep"] for r in got) == 2
+
+
 # Licenses
 
 
