@@ -54,19 +54,26 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42, wide: bool = False) -> tuple[int, int]:
-    """Of a UTF-8 text; the second number is 64 further bits, or 0 if they aren't asked for."""
+def shingles(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 values of a UTF-8 text's shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     own = text.translate(LOWER).split()
     if not own:
-        return 0, 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(own)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
     starts = np.concatenate([[0], ends[:-1]]).tolist()
     n = max(1, len(own) - words + 1)
     stops = (ends[min(words, len(own)) - 1 :] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, wide: bool = False) -> tuple[int, int]:
+    """Of a UTF-8 text; the second number is 64 further bits, or 0 if they aren't asked for."""
+    hashes = shingles(text, words, seed)
+    if not len(hashes):
+        return 0, 0
     return majority(hashes), majority(stirred(hashes)) if wide else 0
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -62,3 +63,34 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_near_dedup_measures_jaccard(spark):
+    """Against brute force: near copies just above and just below 0.8, chains of them, and a passage that many share."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage = [word() for _ in range(40)]
+    texts = [" ".join([*passage, *(word() for _ in range(100))]) for _ in range(30)]
+    for k in range(60):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        edits = rng.randint(1, max(2, len(base) // 25))
+        for _ in range(3):
+            own = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                own[at] = word()
+            texts.append(" ".join(own))
+            base = own if k % 3 == 0 else base
+    texts += ["", "one", "One", "one two"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    root, near = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near += len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])
+            if alike(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = {i for i, r in enumerate(root) if i == r}
+    assert len(want) < len(texts) - 20 and near > len(texts) - len(want) + 40
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
