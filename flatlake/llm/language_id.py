@@ -144,10 +144,30 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(rows, profiles).select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
 
 
-def known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.1) -> DataFrame:
-    """The rows of docs, all columns, whose language is recognised: those with a letter whose best score is
-    `least` or more. Where no row has a language to learn from, scores say nothing and only letters count."""
+def acceptance(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", q: float = 0.02, share: float = 0.65) -> dict[str, float]:
+    """The least score that counts as each language: `share` of the score that all but `q` of the labelled rows (of any
+    label) that are judged to be of the language reach. Exact on scores rounded down to 1/1000; a language
+    without such rows takes the least of the others' scores."""
+    judged = identify(docs.filter(col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang")), profiles)
+    found = judged.filter(F.col("__lang_pred") != UNKNOWN).groupBy(F.col("__lang_pred").alias("lang"), F.floor(F.col("__lang_score") * 1000).alias("bin")).count()
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in found.collect():  # 1001 rows a language at most
+        counts.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+    out = {}
+    for lang, bins in counts.items():
+        bins.sort()
+        upto = np.cumsum([n for _, n in bins])
+        out[lang] = share * bins[int(np.searchsorted(upto, q * upto[-1], "right"))][0] / 1000
+    return {lang: out.get(lang, min(out.values(), default=0.1)) for lang in profiles.names}
+
+
+def known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", q: float = 0.02, share: float = 0.65) -> DataFrame:
+    """The rows of docs, all columns, whose language is recognised: those with a letter whose best score is that of
+    `acceptance` or more. Where no row has a language to learn from, scores say nothing and only letters count."""
     profiles = train(docs, F.lit(True), text_col, lang_col)
     if not profiles.names:
         return docs.filter(F.coalesce(col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return identify(docs, profiles, text_col).filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least)).drop("__lang_pred", "__lang_score")
+    least = acceptance(docs, profiles, text_col, lang_col, q, share)
+    limits = docs.sparkSession.createDataFrame(list(least.items()), "__lang_pred string, __least double")
+    found = identify(docs, profiles, text_col).filter(F.col("__lang_pred") != UNKNOWN).join(F.broadcast(limits), "__lang_pred")  # profiles' languages: max_languages rows at most
+    return found.filter(F.col("__lang_score") >= F.col("__least")).select(*map(col, docs.columns))

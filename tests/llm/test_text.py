@@ -62,6 +62,17 @@ def test_language_filter(spark):
     assert language_id.predict_languages(df.limit(0)).collect() == []
 
 
+def test_language_filter_rejects_unlike_texts(spark):
+    """Gibberish and an unlearned language in the same letters go, clean texts stay."""
+    rng = random.Random(9)
+    english = (EN + "when we came home that night there was nothing left to eat but bread and some cheese which my mother had bought in town ").split()
+    german = (DE + "als wir an jenem abend nach hause kamen war nichts mehr zu essen da ausser brot und etwas das meine mutter gekauft hatte ").split()
+    rows = [(k, " ".join(rng.choices(german if k % 2 else english, k=80)), "de" if k % 2 else "en", "") for k in range(60)]
+    rows += [(100 + k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(80)), None, "") for k in range(10)]
+    rows += [(200, "kun tulimme sinä iltana kotiin ei syötävää ollut jäljellä muuta kuin leipää ja juustoa jonka äitini oli ostanut kaupungista " * 4, None, "")]
+    assert {r["doc_id"] for r in language_id.known_language(spark.createDataFrame(rows, DOCS)).collect()} == set(range(60))
+
+
 # Packing
 
 
