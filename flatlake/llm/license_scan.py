@@ -66,15 +66,18 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 #: A line is a notice's only if it has one of these.
 HINT = "licen|copyright|cc0|public domain"
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/]*(copyright|\(c\)|©)[^\n]*"
-#: Letters and digits stay; all else separates words.
-OTHERS = r"[^a-z0-9À-ɏͰ-῿]+"
+OTHERS = r"[^a-z0-9À-ɏͰ-῿]+"  # COPYRIGHT_LINE and OTHERS are what the registered SQL has
+#: Letters, their marks and digits stay; all else separates words.
+SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
+#: A copyright clause in front of license text on the same line.
+COPYRIGHT_CLAUSE = r"(^|\n)[ \t#*/]*(?:copyright|\(c\)|©)[^\n]*?(permission is hereby granted|permission to use|redistribution and use|licen[sc]ed under|released under)"
 
 
 def canonical(text: Column, no_copyright_lines: bool = True) -> Column:
     text = F.lower(F.coalesce(text, F.lit("")))
     if no_copyright_lines:
-        text = F.regexp_replace(text, COPYRIGHT_LINE, "\n")
-    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, OTHERS, " ")), F.lit(" "))
+        text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_CLAUSE, "\n$2"), COPYRIGHT_LINE, "\n")
+    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "))
     spelled = reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS.items(), text)
     return F.trim(spelled)
 

@@ -295,6 +295,14 @@ def test_scan(spark):
     assert license_scan.scan(df.limit(0)).collect() == []
 
 
+def test_scan_all_scripts_and_one_line_licenses(spark):
+    zero = " ".join(next(t for i, t in license_scan.KNOWN if i == "0BSD").split())
+    rows = [(1, "这是一个文件。\nReleased under the MIT License."), (2, "这是一个文件 Released under the MIT License."), (3, "我喜欢"), (4, "こんにちは"), (5, ""), (6, "Copyright (C) 2020 by Some One. " + zero), (7, "Copyright 2020 A\nCopyright 2021 B\n" + zero)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["license_id"] for k in range(1, 8)] == [None] * 5 + ["0BSD"] * 2 and got[1]["notices"] == "MIT" and got[2]["notices"] == ""
+    assert len({got[k]["canonical_sha256"] for k in (1, 3, 4, 5)}) == 4
+
+
 # Chats
 
 
