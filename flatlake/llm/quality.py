@@ -1,33 +1,32 @@
-"""Quality classification by the perplexity of an interpolated modified Kneser-Ney model of words.
+"""Quality classification by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
-The model is of word pairs, with no limit to its size: words are runs of letters in lower case, runs of
-digits, single characters of scripts without blanks, and single signs; a text's first word follows FIRST.
-It is trained on all trusted texts. Tasks count pairs, Spark sums the counts, and the lower order's counts
-(after how many different words a word stands), totals of contexts and discounts are further sums of that
-table. Scoring takes each document's distinct pairs with their counts, put together by pair inside
-a part of a task, joins them to the sharded table and sums log-probabilities by document. What a word
-adds (its own probability, and the weight it leaves as a context) is a broadcast while it has
-`broadcast_ids` words at most, and a shuffle join beyond.
+The model's symbols are UTF-16 units as they are, none of them merged or hashed, so that an n-gram of four is
+one long; a text begins as after units of zero. The model grows with the n-grams of the trusted texts and has
+no size limit. Tasks count n-grams, Spark sums the counts by n-gram, and all else is further sums and
+joins of that sharded table: the lower orders' counts (of how many different symbols stand before), the
+contexts' totals and leftover weights, and from the lowest order upwards the probability of each n-gram that
+any document has.
+
+Scoring: the n-grams that make up a share of 1 / `held` of the corpus or more, of which there are `held` at
+most, are handed to the tasks. All others are joined to the sharded table, as a row for each document and
+different n-gram; none of them is a hot key, being rarer than that. Sums by document end it.
 
 A model is sure of texts that it has seen. So that thresholds say something about texts it hasn't, a trusted
 document is scored without its own half of the trusted ones (halves by CRC-32 of the id), others by all.
 
-A document's perplexity, a word, is compared to a quantile of the trusted documents' perplexities in its
+A document's perplexity, by symbol, is compared to a quantile of the trusted documents' perplexities in its
 language. Quantiles are exact on log-perplexities rounded to 1/1000, from sorted counts.
 
-Defined results: null texts and texts of nothing but blanks have perplexity null and are not kept. Documents
-of a language without trusted documents (or of null language) are held against the quantile of all trusted
-ones; if there are none, nothing is known, perplexities are 1, thresholds are null and every text that has a
-word is kept. Repeated rows and labels count once per row of docs; a document is trusted if any of its labels
-is. Rows are numbered, so docs must read alike twice, as files do. An empty table gives an empty result.
-Other columns are ignored, whatever their names.
-
-The functions up to `log_table` are a smaller model, of characters in 64 classes, that classify doesn't use.
+Defined results: null texts and texts of nothing but blanks have perplexity null and are not kept. Documents of a language without
+trusted documents (or of null language) are held against the quantile of all trusted ones; if there are none,
+nothing is known, perplexities are 1, thresholds are null and every other text is kept. Repeated rows
+and labels count once per row of docs; a document is trusted if any of its labels is. Rows are numbered, so
+docs must read alike twice, as files do. An empty table gives an empty result. Other columns are ignored,
+whatever their names. Very long texts are taken in stretches.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,267 +36,197 @@ from pyspark.sql import functions as F
 
 from .common import col, pinned
 
-SYMBOLS, BITS, ORDER = 64, 6, 4
-_classes: np.ndarray | None = None
-
-
-def classes() -> np.ndarray:
-    """The class of each code point."""
-    global _classes
-    if _classes is None:
-        code = np.arange(0x110000)
-        own = 46 + code * 2654435761 % 2**32 // 65536 % 18  # all that isn't ASCII
-        own[:128] = 30 + code[:128] % 16
-        own[[0, 9, 11, 12, 13, 32]] = 0
-        own[97:123] = np.arange(1, 27)
-        own[65:91], own[48:58], own[10] = 27, 28, 29
-        _classes = own.astype(np.uint8)
-    return _classes
-
-
-def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, as one number; and the document of each. Texts begin as after blanks."""
-    own = [classes()[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)] for t in texts if t]
-    which = np.repeat([k for k, t in enumerate(texts) if t] or np.zeros(0, int), [len(x) for x in own])
-    if not own:
-        return np.zeros(0, np.int32), which
-    pad = np.zeros(ORDER - 1, np.uint8)
-    flat = np.concatenate([x for a in own for x in (pad, a)]).astype(np.int32)
-    gram = flat[: len(flat) - ORDER + 1].copy()
+UNIT, ORDER = 16, 4  # bits of a symbol, symbols of an n-gram
+MODELS = 3  # of all trusted texts, and without half 1 and half 2
+SLOT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each symbol of the texts, about `most` at a time: the n-gram that ends there, and its text's number."""
+    held: list[np.ndarray] = []
+    rows: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        if not text or text.isspace():
+            continue
+        units = np.concatenate([np.zeros(ORDER - 1, np.uint16), np.frombuffer(text.encode("utf-16-le", "replace"), np.uint16)])
+        for a in range(0, len(units) - ORDER + 1, most):
+            held.append(units[a : a + most + ORDER - 1])
+            rows.append(k)
+            size += len(held[-1])
+            if size >= most:
+                yield joined(held, rows)
+                held, rows, size = [], [], 0
+    if held:
+        yield joined(held, rows)
+
+
+def joined(stretches: list[np.ndarray], rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.concatenate(stretches).astype(np.uint64)
+    n = len(flat) - ORDER + 1
+    gram = flat[:n].copy()
     for k in range(1, ORDER):
-        gram = gram << BITS | flat[k : len(flat) - ORDER + 1 + k]
-    lengths = np.array([len(a) for a in own])
-    begin = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1
-    return gram[np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())], which
+        gram <<= np.uint64(UNIT)
+        gram |= flat[k : n + k]
+    lengths = np.array([len(s) for s in stretches])
+    inside = np.ones(n, bool)
+    for back in range(1, ORDER):  # n-grams that reach from one stretch into the next
+        inside[np.cumsum(lengths)[:-1] - back] = False
+    return gram[inside].view(np.int64), np.repeat(np.array(rows), lengths - ORDER + 1)
 
 
-def sliced(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about `limit` bytes of text each, or one row."""
-    size = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")])
-    start = 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Adds up the counts (columns) of equal n-grams."""
+    gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(gram)
+    gram, n = gram[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    return gram[start], np.add.reduceat(n, start, axis=0)
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n) over all texts, summed."""
+def count_grams(texts: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """texts: text, half. (gram, n0, n1, n2): how often each n-gram stands in the texts of half 0, 1 and 2."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in sliced(batch):
-                gram, n = np.unique(coded(part.column("text").to_pylist())[0], return_counts=True)
-                total[gram] += n
-        gram = np.flatnonzero(total)
+            half = batch.column("half").to_numpy()
+            for gram, which in grams(batch.column("text").to_pylist()):
+                for k in np.unique(half[which]):
+                    own, n = np.unique(gram[half[which] == k], return_counts=True)
+                    held.append((own, n[:, None] * (np.arange(3) == k)))
+                if sum(len(g) for g, _ in held) > most:
+                    held = [summed(held)]
+                    if len(held[0][0]) > most // 2:
+                        yield from counted(*held.pop())
+        if held:
+            yield from counted(*summed(held))
+
+    def counted(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(gram), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(gram[k : k + 100_000].astype(np.int32)), pa.array(total[gram[k : k + 100_000]])], names=["gram", "n"])
-
-    return texts.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            part = n[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[k : k + 100_000]), *(pa.array(part[:, j].copy()) for j in range(3))], names=["gram", "n0", "n1", "n2"])
 
-
-def discounts(counts: DataFrame) -> list[float]:
-    """Of one order: what is taken from counts of 1, 2 and 3 or more."""
-    m = counts.filter("n <= 4").groupBy("n").count().collect()  # four rows at most
-    return discounts_of(*(next((r["count"] for r in m if r["n"] == k), 0) for k in (1, 2, 3, 4)))
+    found = texts.mapInArrow(count, "gram long, n0 long, n1 long, n2 long")
+    return found.groupBy("gram").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(3)))
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What is taken from counts of 1, 2 and 3 or more, by the numbers of n-grams that have counts of 1 to 4."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     out = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(out, 1)]
 
 
-def model(texts: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """For each order from 1 on: (grams, their own share of the probability; contexts, the weight that each
-    leaves to the next lower order). The grams' shares are those of the interpolation's first term."""
-    top = pinned(count_grams(texts))
-    out = []
-    for order in range(ORDER, 0, -1):
-        counts = top
-        for size in range(ORDER - 1, order - 1, -1):  # how many different symbols stand before a shorter gram
-            counts = counts.select(F.col("gram").bitwiseAND((1 << BITS * size) - 1).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        if order < ORDER:
-            counts = pinned(counts)
-        d1, d2, d3 = discounts(counts)
-        less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = F.shiftright("gram", BITS).alias("context")
-        totals = counts.groupBy(context).agg(F.sum("n").alias("total"), F.sum(less).alias("left"))
-        shares = counts.withColumn("context", context).join(totals, "context").select("gram", ((F.col("n") - less) / F.col("total")).alias("share"))
-        weights = totals.select("context", (F.col("left") / F.col("total")).alias("weight"))
-        # At most SYMBOLS ** order rows: the size bound of the broadcast.
-        g, w = shares.toArrow(), weights.toArrow()
-        out.append((g["gram"].to_numpy(), g["share"].to_numpy().astype(np.float32), w["context"].to_numpy(), w["weight"].to_numpy().astype(np.float32)))
-    return out[::-1]
-
-
-def log_table(parts: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """The natural log-probability of each n-gram's last symbol after the others."""
-    p = np.full(1, 1 / SYMBOLS, np.float32)
-    for order, (gram, share, context, weight) in enumerate(parts, 1):
-        w = np.ones(SYMBOLS ** (order - 1), np.float32)  # a context never seen leaves all to the lower order
-        w[context] = weight
-        lower = np.tile(p, SYMBOLS) if order > 1 else np.full(SYMBOLS, p[0])
-        p = lower * np.repeat(w, SYMBOLS)
-        p[gram] += share
-    return np.log(p)
-
-
-#: A blank-free script's character, a run of other letters, a run of digits, or a sign.
-ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(rf"[{ALONE}]|[^\W\d_{ALONE}]+|\d+|[^\w\s]|_")
-FIRST = 0  # the hash that stands before a text's first word
-MODELS = 3  # of all trusted texts, and without each half
-POSTING = np.dtype([("row", "<u2"), ("value", "<u4")])  # of a part; count * 4 + model
-_hashes: dict[str, int] = {}
-
-
-def hashed(text: str) -> np.ndarray:
-    """The XXH64 of each word."""
-    from xxhash import xxh64_intdigest
-
-    found = WORD.findall(text.lower())
-    if len(_hashes) > 500_000:
-        _hashes.clear()
-    for w in set(found):
-        if w not in _hashes:
-            _hashes[w] = xxh64_intdigest(w.encode("utf-8", "replace"))
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found)).view(np.int64)
-
-
-def pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word of all texts: the word before it, itself, and its text's number."""
-    own = [hashed(t) if t else np.zeros(0, np.int64) for t in texts]
-    lengths = np.array([len(x) for x in own], np.int64)
-    second = np.concatenate([*own, np.zeros(0, np.int64)])
-    first = np.concatenate([[FIRST], second[:-1]])[: len(second)]
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = FIRST
-    return first, second, np.repeat(np.arange(len(own)), lengths)
-
-
-def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal keys (the first is the major one) are neighbours, and where each run begins."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    return order, np.flatnonzero(new)
-
-
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """texts: text, half. (w1, w2, n1, n2): how often w2 follows w1 in the texts of half 1 and of half 2."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, 8_000_000):
-                w1, w2, which = pairs(part.column("text").to_pylist())
-                if len(w1):
-                    half = part.column("half").to_numpy()[which]
-                    order, start = runs(w1, w2)
-                    n = [np.add.reduceat((half[order] == k).astype(np.int64), start) for k in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1[order[start]], w2[order[start]], *n)], names=["w1", "w2", "n1", "n2"])
-
-    return texts.mapInArrow(count, "w1 long, w2 long, n1 long, n2 long").groupBy("w1", "w2").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
-
-
-def less(counts: DataFrame) -> list[Column]:
-    """counts: c0, c1, ... of each model. What modified Kneser-Ney takes from each."""
+def less(counts: DataFrame) -> tuple[list[Column], int]:
+    """counts: c0, c1, ... of each model. What modified Kneser-Ney takes from each, and how many n-grams model 0 has."""
     names = [f"c{m}" for m in range(MODELS)]
-    row = counts.agg(*(F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4))).first()
+    row = counts.agg(F.count(F.when(F.col("c0") > 0, 1)).alias("known"), *(F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4))).first()
     out = []
     for c in names:
         d1, d2, d3 = discounts_of(*(row[f"{c}_{k}"] for k in (1, 2, 3, 4)))
         out.append(F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d1).when(F.col(c) == 2, d2).otherwise(d3))
-    return out
+    return out, row["known"]
 
 
-def word_model(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(w1, w2, s0, s1, s2): each pair's own share of the probability in each model; (word, u0.., k0..): each word's
-    lower-order probability and the weight it leaves as a context; and the probability of an unknown word.
-    Model 1 is learned from half 2 and model 2 from half 1."""
+def probabilities(counts: DataFrame) -> DataFrame:
+    """counts: as from count_grams. (gram, p0, p1, p2): of each n-gram, its last symbol's probability after the others, in
+    each model. Model 1 is learned from half 2 and model 2 from half 1."""
     every = range(MODELS)
-    own = [F.col("n1") + F.col("n2"), F.col("n2"), F.col("n1")]
-    counts = pinned(count_pairs(texts)).select("w1", "w2", *(n.alias(f"c{m}") for m, n in enumerate(own)))
-    taken = less(counts)
-    contexts = counts.groupBy("w1").agg(*(F.sum(f"c{m}").alias(f"t{m}") for m in every), *(F.sum(taken[m]).alias(f"l{m}") for m in every))
-    weights = contexts.select(F.col("w1").alias("word"), *(F.coalesce(F.try_divide(f"l{m}", f"t{m}"), F.lit(1.0)).alias(f"k{m}") for m in every), *(f"t{m}" for m in every))
-    ends = pinned(counts.groupBy("w2").agg(*(F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in every)))
-    gone = less(ends)
-    sums = ends.agg(F.count(F.lit(1)).alias("words"), *(F.sum(f"c{m}").alias(f"t{m}") for m in every), *(F.sum(gone[m]).alias(f"l{m}") for m in every)).first()
-    unknown = [(sums[f"l{m}"] / sums[f"t{m}"] if sums[f"t{m}"] else 1.0) / (sums["words"] + 1) for m in every]
-    lower = [((F.col(f"c{m}") - gone[m]) / float(sums[f"t{m}"] or 1) + unknown[m]).alias(f"u{m}") for m in every]
-    both = ends.select(F.col("w2").alias("word"), *lower).join(weights, "word", "full")
-    # FIRST and words that only end or only begin a text have one side: unknown as a word, or all weight left.
-    words = pinned(both.select("word", *(F.coalesce(f"u{m}", F.lit(unknown[m])).alias(f"u{m}") for m in every), *(F.coalesce(f"k{m}", F.lit(1.0)).alias(f"k{m}") for m in every), *(f"t{m}" for m in every)))
-    shares = [F.coalesce(F.try_divide(F.col(f"c{m}") - taken[m], F.col(f"c{m}t")), F.lit(0.0)).alias(f"s{m}") for m in every]
-    totals = words.select(F.col("word").alias("w1"), *(F.col(f"t{m}").alias(f"c{m}t") for m in every))
-    return counts.join(totals, "w1").select("w1", "w2", *shares), words.drop(*(f"t{m}" for m in every)), unknown
-
-
-def postings(rows: DataFrame) -> DataFrame:
-    """rows: rid, text, half. (w1, w2, base, found): of the rows from rid `base` on, which ones have the pair, and how
-    often; a row for each pair and part of a task."""
+    level = counts.select("gram", *(n.alias(f"c{m}") for m, n in enumerate([F.col("n1") + F.col("n2"), F.col("n2"), F.col("n1")])))
+    levels = []
+    for order in range(ORDER, 0, -1):
+        levels.append(level if order == ORDER else pinned(level))
+        suffix = F.col("gram").bitwiseAND((1 << UNIT * (order - 1)) - 1)
+        level = levels[-1].groupBy(suffix.alias("gram")).agg(*(F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in every))
+    found = None
+    for order, level in enumerate(reversed(levels), 1):
+        taken, known = less(level)
+        context = F.shiftrightunsigned("gram", UNIT).alias("context")
+        totals = level.groupBy(context).agg(*(F.sum(f"c{m}").alias(f"t{m}") for m in every), *(F.sum(taken[m]).alias(f"l{m}") for m in every))
+        rows = level.select("*", context, F.col("gram").bitwiseAND((1 << UNIT * (order - 1)) - 1).alias("suffix")).join(totals, "context")
+        lower = [F.lit(1 / (known + 1))] * MODELS  # of all known symbols and one for the others
+        if found is not None:
+            rows, lower = rows.join(found.withColumnsRenamed({"gram": "suffix"} | {f"p{m}": f"q{m}" for m in every}), "suffix"), [F.col(f"q{m}") for m in every]
+        share = [F.coalesce(F.try_divide(F.col(f"c{m}") - taken[m], F.col(f"t{m}")), F.lit(0.0)) for m in every]
+        weight = [F.coalesce(F.try_divide(f"l{m}", f"t{m}"), F.lit(1.0)) for m in every]  # an unseen context leaves all to the lower order
+        found = rows.select("gram", *((share[m] + weight[m] * lower[m]).alias(f"p{m}") for m in every))
+    return found
+
+
+class Held:
+    """The losses of the n-grams that tasks hold; found by a slot each, and by search where two share one."""
+
+    def __init__(self, gram: np.ndarray, loss: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.loss = gram[order], loss[:, order]
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each n-gram its number, and whether it is there."""
+        if not len(self.gram):
+            return np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
+        if not hasattr(self, "slots"):
+            self.slots = np.zeros(1 << 21, np.int32)
+            self.slots[self._slot(self.gram)] = np.arange(len(self.gram))
+        at = self.slots[self._slot(gram)]
+        rest = np.flatnonzero(self.gram[at] != gram)
+        at[rest] = np.minimum(np.searchsorted(self.gram, gram[rest]), len(self.gram) - 1)
+        return at, self.gram[at] == gram
+
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram.view(np.uint64) * SLOT) >> np.uint64(43)).view(np.int64)
+
+
+FOUND = "rare boolean, gram long, rid long, half int, n long, loss double"
+
+
+def score(rows: DataFrame, held: Held) -> DataFrame:
+    """rows: rid, text, half. For each row the sum of its held n-grams' losses, and a row for each of its others. Sums have
+    the rid in place of the n-gram, so that they are spread when joined."""
+    shared = rows.sparkSession.sparkContext.broadcast(held)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, 8_000_000):
-                rid, half = part.column("rid").to_numpy(), part.column("half").to_numpy()
-                for a in range(0, len(rid), 2**16):
-                    yield from gathered(part.column("text").slice(a, 2**16).to_pylist(), rid[a : a + 2**16], half[a : a + 2**16])
-
-    return rows.mapInArrow(find, "w1 long, w2 long, base long, found binary")
-
-
-def gathered(texts: list[str | None], rid: np.ndarray, half: np.ndarray) -> Iterator[pa.RecordBatch]:
-    w1, w2, which = pairs(texts)
-    offset = rid - rid.min()
-    if offset.max() >= 2**16:  # rows that a join has mixed: those of each stretch on their own
-        for stretch in np.unique(rid >> 16):
-            at = np.flatnonzero(rid >> 16 == stretch)
-            yield from gathered([texts[k] for k in at], rid[at], half[at])
-        return
-    if not len(w1):
-        return
-    order, start = runs(w1, w2, which)
-    n = np.diff(np.append(start, len(order)))
-    w1, w2, which = (x[order[start]] for x in (w1, w2, which))
-    values = np.empty(len(n), POSTING)
-    values["row"], values["value"] = offset[which], n * 4 + half[which]
-    new = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
-    edges = np.append(new, len(n)).astype(np.int32) * POSTING.itemsize
-    for k in range(0, len(new), 100_000):
-        cut = slice(k, k + 100_000)
-        found = pa.Array.from_buffers(pa.binary(), len(new[cut]), [None, pa.py_buffer(edges[k : k + 100_001].tobytes()), pa.py_buffer(values.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(w1[new[cut]]), pa.array(w2[new[cut]]), pa.array(np.full(len(new[cut]), rid.min())), found], names=["w1", "w2", "base", "found"])
-
-
-def losses(rows: DataFrame, texts: DataFrame, broadcast_words: int) -> DataFrame:
-    """(rid, loss): the mean negative log-probability of a word, of each row that has words."""
-    shares, words, unknown = word_model(texts)
-    every = range(MODELS)
-    held = F.broadcast(words) if words.count() <= broadcast_words else words
-    before = held.select(F.col("word").alias("w1"), *(f"k{m}" for m in every))
-    after = held.select(F.col("word").alias("w2"), *(f"u{m}" for m in every))
-    met = postings(rows).join(shares, ["w1", "w2"], "left").join(before, "w1", "left").join(after, "w2", "left")
-    p = [F.coalesce(f"s{m}", F.lit(0.0)) + F.coalesce(f"k{m}", F.lit(1.0)) * F.coalesce(f"u{m}", F.lit(unknown[m])) for m in every]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [x.as_buffer() for x in batch.column("found")]
-            values = np.frombuffer(b"".join(found), POSTING)
-            at = np.repeat(np.arange(len(found)), [x.size // POSTING.itemsize for x in found])
-            loss = np.stack([batch.column(f"p{m}").to_numpy() for m in every])
-            n, model = (values["value"] >> 2).astype(np.int64), values["value"] & 3
-            rid, own = np.unique(batch.column("base").to_numpy()[at] + values["row"], return_inverse=True)
-            total = np.bincount(own, loss[model, at] * n, minlength=len(rid))
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(total), pa.array(np.bincount(own, n, minlength=len(rid)).astype(np.int64))], names=["rid", "total", "n"])
-
-    sums = met.select("base", "found", *((-F.log(p[m])).alias(f"p{m}") for m in every)).mapInArrow(spread, "rid long, total double, n long")
-    return sums.groupBy("rid").agg((F.sum("total") / F.sum("n")).alias("loss"))
+            rid, half = batch.column("rid").to_numpy(), batch.column("half").to_numpy()
+            for gram, which in grams(batch.column("text").to_pylist()):
+                at, there = shared.value.find(gram)
+                first, last = which[0], which[-1] + 1
+                mine = which[there]
+                loss = np.bincount(mine - first, shared.value.loss[half[mine], at[there]], minlength=last - first)
+                n = np.bincount(mine - first, minlength=last - first)
+                some = np.flatnonzero(n) + first
+                yield found(False, rid[some], rid[some], half[some], n[some - first], pa.array(loss[some - first], pa.float64()))
+                gram, which = gram[~there], which[~there]
+                order = np.lexsort((which, gram))
+                gram, which = gram[order], which[order]
+                start = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (which[1:] != which[:-1])])) if len(gram) else np.zeros(0, np.int64)
+                n, gram, which = np.diff(np.append(start, len(gram))), gram[start], which[start]
+                for k in range(0, len(gram), 100_000):
+                    part = slice(k, k + 100_000)
+                    yield found(True, gram[part], rid[which[part]], half[which[part]], n[part], pa.nulls(len(gram[part]), pa.float64()))
+
+    def found(rare: bool, gram: np.ndarray, rid: np.ndarray, half: np.ndarray, n: np.ndarray, loss: pa.Array) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(rid), rare)), pa.array(gram), pa.array(rid), pa.array(half.astype(np.int32)), pa.array(n.astype(np.int64)), loss]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
+
+    return rows.mapInArrow(find, FOUND)
+
+
+def losses(rows: DataFrame, held: int) -> DataFrame:
+    """rows: rid, text, half (0: not trusted). (rid, loss): the mean negative log-probability of a symbol, of each row that has any."""
+    counts = pinned(count_grams(rows.select("text", "half")))
+    of_all = counts.select("gram", (F.col("n0") + F.col("n1") + F.col("n2")).alias("n"))
+    total = of_all.agg(F.sum("n")).first()[0] or 0
+    every = [f"loss{m}" for m in range(MODELS)]
+    table = probabilities(counts).select("gram", *((-F.log(f"p{m}")).alias(every[m]) for m in range(MODELS)))
+    table = pinned(table.join(of_all, "gram"))
+    often = F.col("n") * held >= total  # `held` rows at most: each has a share of 1 / held or more
+    top = table.filter(often).select("gram", *every).toArrow()
+    arrays = Held(top["gram"].to_numpy(), np.stack([top[c].to_numpy() for c in every]).astype(np.float32))
+    rare = table.filter(~often).select(F.lit(True).alias("rare"), "gram", *every)
+    own = F.element_at(F.array(*every), F.col("half") + 1)
+    sums = score(rows, arrays).join(rare, ["rare", "gram"], "left").groupBy("rid")
+    return sums.agg((F.sum(F.coalesce("loss", F.col("n") * own)) / F.sum("n")).alias("loss"))
 
 
 def quantiles(scored: DataFrame, q: float) -> DataFrame:
@@ -309,18 +238,18 @@ def quantiles(scored: DataFrame, q: float) -> DataFrame:
     return sums.filter(F.col("upto") >= q * F.col("all")).groupBy("lang").agg(F.min("bin").alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", q: float = 0.99, broadcast_ids: int = 1_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", q: float = 0.99, broadcast_ids: int = 1_000_000, held: int = 1 << 20) -> DataFrame:
     """Per row: doc_id, lang, trusted, perplexity, threshold, keep. Trusted are documents with a label of 1."""
     good = labels.filter(col(quality_col) == 1).select(col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     few = good.count() <= broadcast_ids  # else texts are shuffled to them
     known = good.withColumn("trusted", F.lit(True))
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(lang_col).alias("lang"), col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     rows = rows.join(F.broadcast(known) if few else known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    rows = rows.withColumn("half", F.when(F.col("trusted"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 + 1).otherwise(0).cast("long"))
-    found = losses(rows.select("rid", "text", "half"), rows.filter("trusted").select("text", "half"), min(broadcast_ids, 500_000))
-    scored = pinned(rows.select("rid", "doc_id", "lang", "trusted").join(found, "rid", "left").withColumn("bin", F.round(F.col("loss") * 1000).cast("long")))
+    rows = rows.withColumn("half", F.when(F.col("trusted"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 + 1).otherwise(0).cast("int"))
+    scored = rows.select("rid", "doc_id", "lang", "trusted").join(losses(rows.select("rid", "text", "half"), held), "rid", "left")
+    scored = pinned(scored.withColumn("bin", F.round(F.col("loss") * 1000).cast("long")))
     limits = quantiles(scored.filter("trusted and bin is not null"), q)
     of_all = limits.filter("lang is null").select(F.col("limit").alias("limit_of_all")).first()
-    held = scored.join(limits.filter("lang is not null"), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(of_all[0] if of_all else None).cast("long")))
+    marked = scored.join(limits.filter("lang is not null"), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(of_all[0] if of_all else None).cast("long")))
     keep = F.col("bin").isNotNull() & F.coalesce(F.col("bin") <= F.col("limit"), F.lit(True))
-    return held.select("doc_id", "lang", "trusted", F.exp("loss").alias("perplexity"), F.exp(F.col("limit") / 1000).alias("threshold"), keep.alias("keep"))
+    return marked.select("doc_id", "lang", "trusted", F.exp("loss").alias("perplexity"), F.exp(F.col("limit") / 1000).alias("threshold"), keep.alias("keep"))

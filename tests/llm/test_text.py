@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from flatlake.llm import chat_format, decontamination, language_id, license_scan, packing, quality, warc_index
 from flatlake.llm.queries import tokenizer_path
 
+TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 DOCS = "doc_id long, text string, lang string, extra string"
 EN, DE = "the quick brown fox jumps over the lazy dog and then the other dog ", "der schnelle braune fuchs springt über den faulen hund und dann der andere "
 
@@ -203,26 +205,6 @@ def test_overlaps(spark):
 # Quality
 
 
-def test_model_is_a_distribution(spark):
-    df = spark.createDataFrame([(EN * 3,), (DE * 2,), ("Ünïcödé 123 !?\n",), (None,)], "text string")
-    p = np.exp(quality.log_table(quality.model(df)).astype(float)).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and (p > 0).all()
-    empty = np.exp(quality.log_table(quality.model(df.limit(0))).astype(float))
-    assert np.allclose(empty, 1 / quality.SYMBOLS)
-
-
-def test_counts(spark):
-    texts = ["abab", "b a", "é1", "", None]
-    got = {r["gram"]: r["n"] for r in quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
-    want = {}
-    for t in texts:
-        c = [0] * (quality.ORDER - 1) + [int(quality.classes()[ord(x)]) for x in t or ""]
-        for k in range(len(t or "")):
-            g = sum(v << quality.BITS * (quality.ORDER - 1 - j) for j, v in enumerate(c[k : k + quality.ORDER]))
-            want[g] = want.get(g, 0) + 1
-    assert got == want
-
-
 def test_classify(spark):
     rng = random.Random(5)
     clean = [(k, " ".join(rng.sample(EN.split(), 9)), "en", "") for k in range(80)]
@@ -239,32 +221,106 @@ def test_classify(spark):
     assert quality.classify(docs.limit(0), labels).collect() == []
 
 
-LETTERED = str.maketrans("0123456789", "ghijklmnop")
+def units(text):
+    flat = text.encode("utf-16-le")
+    return [0, 0, 0, *(flat[k] + 256 * flat[k + 1] for k in range(0, len(flat), 2))]
 
 
-def test_word_model(spark):
-    """Against a model in plain Python; scores of texts that differ only beyond ASCII; size with the input."""
-    texts = [(EN * 2, 1), (DE, 2), ("Съешь ещё этих мягких французских булок, да выпей же чаю.", 1), ("我喜欢吃苹果 我喜欢", 2), (None, 1), (" ", 2)]
-    df = spark.createDataFrame(texts, "text string, half long")
-    shares, words, unknown = quality.word_model(df)
-    table = {(r["w1"], r["w2"]): [r[f"s{m}"] for m in range(3)] for r in shares.collect()}
-    word = {r["word"]: r for r in words.collect()}
-    counts = {}
-    for t, half in texts:
-        own = [0, *quality.hashed(t or "").tolist()]
-        for pair in itertools.pairwise(own):
-            counts.setdefault(pair, [0, 0, 0])[0] += 1
-            counts[pair][3 - half] += 1
-    assert set(table) == set(counts) and len(set(quality.hashed("我喜欢").tolist())) == 3
-    for m in range(3):  # after each word, all words and the unknown one have probability 1 together
-        for w1 in {a for a, _ in counts}:
-            p = sum(table.get((w1, w), [0] * 3)[m] + word[w1][f"k{m}"] * r[f"u{m}"] for w, r in word.items() if w != 0) + word[w1][f"k{m}"] * unknown[m]
-            assert abs(p - 1) < 1e-9
-    d = quality.discounts_of(*(sum(n[0] == k for n in counts.values()) for k in (1, 2, 3, 4)))
-    for (a, b), n in counts.items():
-        assert abs(table[a, b][0] - (n[0] - d[min(n[0], 3) - 1]) / sum(x[0] for (c, _), x in counts.items() if c == a)) < 1e-9
-    more = spark.createDataFrame([(" ".join(base64.b16encode(f"{k}{j}".encode()).decode().translate(LETTERED) for j in "abcdefgh"), 1) for k in range(3000)], "text string, half long")
-    assert quality.count_pairs(more).count() > quality.count_pairs(more.limit(300)).count() * 9
+def brute_model(texts):
+    """Interpolated modified Kneser-Ney in plain Python: a function from (context, symbol) to the probability."""
+    top = {}
+    for t in texts:
+        u = units(t) if t and not t.isspace() else []
+        for k in range(3, len(u)):
+            top[tuple(u[k - 3 : k + 1])] = top.get(tuple(u[k - 3 : k + 1]), 0) + 1
+    levels = [top]
+    for _ in range(3):
+        lower = {}
+        for g in levels[-1]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        levels.append(lower)
+    cut = [quality.discounts_of(*(sum(n == k for n in c.values()) for k in (1, 2, 3, 4))) for c in levels]
+    sums = []
+    for c, d in zip(levels, cut, strict=True):
+        own = {}
+        for g, n in c.items():
+            t, left = own.get(g[:-1], (0, 0))
+            own[g[:-1]] = t + n, left + d[min(n, 3) - 1]
+        sums.append(own)
+
+    def p(g, known, at=0):
+        if at == 4:
+            return 1 / (known + 1)
+        n, (t, left) = levels[at].get(g, 0), sums[at].get(g[:-1], (0, 0))
+        share = (n - cut[at][min(n, 3) - 1]) / t if n else 0
+        return share + (left / t if t else 1) * p(g[1:], known, at + 1)
+
+    return p, len(levels[3])
+
+
+@pytest.mark.parametrize("held", [1 << 20, 50, 0])
+def test_perplexity_brute_force(spark, held):
+    """Perplexities, thresholds and what is kept, against plain Python; n-grams held by the tasks, some of them, or none."""
+    rng = random.Random(11)
+    plain = ("съешь ещё этих мягких французских булок да выпей же чаю 我喜欢吃苹果 😀 " + EN + DE).split()
+    rows = [(k, " ".join(rng.choices(plain, k=rng.randint(1, 12))), rng.choice(["en", "ru"]), "") for k in range(60)]
+    rows += [(100, None, "en", ""), (101, "", "en", ""), (102, " \n", "ru", ""), (103, "zzz \x00 unseen ß", "xx", ""), (None, EN, None, ""), (3, EN, "en", "")]
+    trusted = set(range(0, 40)) | {101}
+    labels = spark.createDataFrame([(k, 1) for k in sorted(trusted)] + [(50, 0), (None, 1), (2, 1), (7, None)], "doc_id long, quality int")
+    got = quality.classify(spark.createDataFrame(rows, DOCS), labels, q=0.9, held=held).collect()
+    half = lambda i: zlib.crc32(str(i).encode()) % 2 + 1
+    own = [(i, t) for i, t, _, _ in rows if i in trusted]
+    models = [brute_model([t for _, t in own]), *(brute_model([t for i, t in own if half(i) != k]) for k in (1, 2))]
+    known = models[0][1]
+    want, bins = [], {}
+    for i, t, lang, _ in rows:
+        u = units(t) if t and not t.isspace() else []
+        p = models[half(i) if i in trusted else 0][0]
+        loss = -sum(np.log(p(tuple(u[k - 3 : k + 1]), known)) for k in range(3, len(u))) / (len(u) - 3) if u else None
+        want.append((i, t, lang, loss))
+        if i in trusted and u:
+            for key in {lang, None}:
+                bins.setdefault(key, []).append(round(loss * 1000))
+    limit = {k: sorted(v)[int(np.ceil(0.9 * len(v))) - 1] for k, v in bins.items()}
+    expect = sorted((str(i), i in trusted, loss and round(loss, 4), loss is not None and round(loss * 1000) <= limit.get(lang, limit[None])) for i, _, lang, loss in want)
+    assert sorted((str(r["doc_id"]), r["trusted"], r["perplexity"] and round(float(np.log(r["perplexity"])), 4), r["keep"]) for r in got) == expect
+    assert {round(r["threshold"], 6) for r in got} == {round(float(np.exp(v / 1000)), 6) for v in limit.values()}
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = [(EN * 2, 1), (DE, 2), ("Съешь ещё этих мягких булок", 1), (None, 1)]
+    p, known = brute_model([t for t, _ in texts])
+    symbols = {u for t, _ in texts for u in units(t or "")[3:]}
+    assert known == len(symbols)
+    for context in [(0, 0, 0), tuple(map(ord, "the")), tuple(map(ord, "xqz"))]:
+        assert abs(sum(p((*context, s), known) for s in symbols) + p((*context, 1), known) - 1) < 1e-9
+    table = quality.probabilities(quality.count_grams(spark.createDataFrame(texts, "text string, half int")))
+    for r in table.collect():
+        g = tuple(r["gram"] >> 16 * k & 0xFFFF for k in (3, 2, 1, 0))
+        assert abs(r["p0"] - p(g, known)) < 1e-9
+
+
+def test_grams_of_long_texts():
+    text = "".join(random.Random(2).choices("abcdé😀", k=5000))
+    whole, _ = next(quality.grams([text]))
+    parts = list(quality.grams([None, "ab", text, ""], most=700))
+    assert np.array_equal(np.concatenate([g for g, _ in parts])[2:], whole) and {int(x) for _, w in parts for x in w} == {1, 2}
+
+
+def test_model_grows_with_the_input(spark):
+    more = spark.createDataFrame([("".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyzäöüß", k=200)), 1) for k in range(2000)], "text string, half int")
+    assert quality.count_grams(more).count() > quality.count_grams(more.limit(200)).count() * 7
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+def test_unseen_trusted_texts_are_kept_at_the_quantile(spark):
+    """With half of the labels hidden, trusted texts that the model hasn't seen are kept at about the quantile."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    shown = labels.filter("quality = 1 and crc32(cast(concat('x', doc_id) as binary)) % 2 = 0")
+    found = quality.classify(docs, shown).join(good, "doc_id").filter("not trusted and perplexity is not null")
+    share = found.agg(F.avg(F.col("keep").cast("int"))).first()[0]
+    assert share > 0.95
 
 
 def test_classify_beyond_ascii(spark):
