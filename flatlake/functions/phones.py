@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .numbers import blank_to_null, found
 
@@ -77,11 +82,47 @@ def contact_phone(html: Column, blacklist: list[str] | None = None) -> Column:
     return F.coalesce(best, F.struct(F.lit("").alias("phone"), F.lit("").alias("stage")))
 
 
-def phones_in_json(record: Column) -> Column:
-    """Distinct 10 or 11 digit numbers that start with 7 or 8, phone-like keys first, then all other scalars."""
-    keyed = F.regexp_extract_all(record, F.lit(r"(?i)\"[^\"]*(?:phone|tel|mobile)[^\"]*\"\s*:\s*\[?\s*\"?([+0-9][0-9 ()\-]*)"), 1)
-    rest = F.regexp_extract_all(record, F.lit(r"[:\[,]\s*\"?([+0-9][0-9 ()\-]*)\"?\s*(?=[,}\]])"), 1)
-    return F.array_distinct(F.filter(F.transform(F.concat(keyed, rest), digits_of), lambda d: d.rlike("^[78][0-9]{9,10}$")))
+#: Parts of keys under which contact numbers stand.
+PHONE_KEYS = ("phone", "tel", "contact", "seller")
+
+
+def _scalars(node: object, reach: int = 0) -> Iterator[tuple[bool, str]]:
+    """Texts and whole numbers of a JSON value in order, and whether each is close under a phone-like key: its value, a
+    member of it, or a member of an object in its list."""
+    if isinstance(node, dict):
+        for key, value in node.items():
+            named = any(k in str(key).lower() for k in PHONE_KEYS)
+            yield from _scalars(value, 3 if named else reach - 1 if not isinstance(value, dict | list) else 0)
+    elif isinstance(node, list):
+        for value in node:
+            yield from _scalars(value, reach - 1)
+    elif isinstance(node, str | int) and not isinstance(node, bool):
+        yield reach > 0, str(node)
+
+
+def _json_phones(record: str | None) -> list[str]:
+    try:
+        found = list(_scalars(json.loads(record or "")))
+    except (ValueError, RecursionError):
+        found = [(True, x) for x in re.findall(r'"(?:phones?|tel|telephone|mobile)"\s*:\s*\[?\s*"([^"]{6,20})"', record or "")]
+    digits = [(near, re.sub("[^0-9]", "", x)) for near, x in found]
+    good = [(near, d) for near, d in digits if re.fullmatch("[78][0-9]{9,10}", d)]
+    return list(dict.fromkeys([d for near, d in good if near] or [d for _, d in good]))
+
+
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+def phones_in_json(record):
+    """Distinct 10 or 11 digit numbers that start with 7 or 8 of a JSON text: those under phone-like keys, else all. JSON has
+    escapes and nesting that patterns don't see, so this is an Arrow UDF; broken JSON is searched by patterns."""
+    return _json_phones(record)
+
+
+def without_barred(df: DataFrame, blacklist: DataFrame, phone: str = "phone") -> DataFrame:
+    """df with the phones that the blacklist (phone) holds emptied; the list is of any length, compared in canonical form."""
+    barred = blacklist.select(normalize_phone(F.col("phone")).alias("__p")).filter("__p <> ''").distinct().withColumn("__barred", F.lit(True))
+    own = df.withColumn("__p", normalize_phone(F.col(phone)))
+    some = own.filter("__p <> ''").join(barred, "__p", "left").withColumn(phone, F.when(F.col("__barred"), F.lit("")).otherwise(F.col(phone))).select(*df.columns)
+    return some.unionByName(own.filter("__p = '' OR __p IS NULL").select(*df.columns))
 
 
 def whatsapp(text: Column) -> Column:
@@ -92,8 +133,8 @@ def chat_handle(text: Column) -> Column:
     return F.coalesce(found(text, r"(?<![A-Za-z0-9_])@([A-Za-z0-9_]{5,32})\b"), found(text, r"(?i)\bt\.me/([A-Za-z0-9_]{5,32})\b"), F.lit(""))
 
 
-def map_link(text: Column) -> Column:
-    """Struct (url, lat, lon, object_id) of a map link."""
-    url = found(text, r"(?i)(https?://2gis\.kz/almaty/(?:geo|firm|branches)/[^\s\"')]+)")
+def map_link(text: Column, city: str = "almaty") -> Column:
+    """Struct (url, lat, lon, object_id) of a map link; city is a pattern."""
+    url = found(text, rf"(?i)(https?://2gis\.kz/(?:{city})/(?:geo|firm|branches)/[^\s\"')]+)")
     number = lambda g: found(url, r"[?&]m=([0-9.]+),([0-9.]+)", g).try_cast("double")
     return F.struct(url.alias("url"), number(1).alias("lat"), number(2).alias("lon"), blank_to_null(F.regexp_extract(url, "/(?:firm|branches)/([0-9]+)", 1)).alias("object_id"))

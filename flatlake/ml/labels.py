@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags
+from ..operators.skew import quantile_by
 from ..operators.stats import exclusive_quantile, group_median
 
 #: The base columns of a feature row, in their order.
@@ -37,13 +38,12 @@ def feature_rows(df: DataFrame) -> DataFrame:
     own = ratios(df)
     if "district_name" in own.columns:
         own = own.withColumn("district", F.coalesce("district_name", "district"))
-    tagged = tags.with_tags(own.repartition("url"))
+    tagged = tags.with_tags(own)
     for c in BASE:
         if c not in tagged.columns:
             tagged = tagged.withColumn(c, F.lit(None).cast("string"))
     one = lambda test, c: F.when(F.coalesce(test, F.lit(False)), 1).otherwise(F.col(c))
-    names = [f"tag_{t}" for t in [*tags.TAGS, "euro_renovation", "needs_repair", "fully_furnished", "partial_furnished", "unfurnished"]]
-    listed = tagged.withColumn("tag_list", tags.tag_list(names))
+    listed = tagged.withColumn("tag_list", tags.tag_list(tags.NAMES))
     furnished = F.col("furnished").try_cast("boolean")
     extra = lambda c, word: F.when(F.col(c).try_cast("boolean"), F.lit(word))
     full = listed.withColumns({
@@ -53,7 +53,7 @@ def feature_rows(df: DataFrame) -> DataFrame:
         "row_key": F.concat_ws("|", F.coalesce("source", F.lit("")), F.coalesce("url", F.lit(""))),
     })
     level = F.create_map(*(x for k, v in tags.FURNITURE_LEVEL.items() for x in (F.lit(k), F.lit(v))))
-    return full.withColumn("furniture_grade", level[F.col("furniture_level")]).select(*BASE, "year_built", "ceiling_height", "renovation_grade", "furniture_level", "furniture_grade", "building_type", "bathroom_type", *names, "tag_list", "row_key", "url", "title")
+    return full.withColumn("furniture_grade", level[F.col("furniture_level")]).select(*BASE, "year_built", "ceiling_height", "renovation_grade", "furniture_level", "furniture_grade", "building_type", "bathroom_type", *tags.NAMES, "tag_list", "row_key", "url", "title")
 
 
 def area_bucket(area: Column) -> Column:
@@ -86,7 +86,7 @@ def quantile_label(df: DataFrame, q: float = 0.30, least: int = 10, compat: str
 
 def extra_features(df: DataFrame, amenities: list[str]) -> DataFrame:
     """Ratio to the source's median price, rooms times area, amenity count, log price."""
-    medians = df.groupBy("source").agg(F.percentile("price", F.lit(0.5)).alias("__m"))
+    medians = quantile_by(df, ["source"], "price", 0.5).select("source", F.col("quantile").alias("__m"))
     count = sum((F.coalesce(F.col(a), F.lit(0)) for a in amenities), F.lit(0))
     return df.join(medians, "source", "left").withColumns({"source_price_ratio": F.try_divide(F.col("price"), F.col("__m")), "rooms_area": F.col("rooms") * F.col("area"), "amenities": count, "log_price": F.ln(F.nullif("price", F.lit(0)))}).drop("__m")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_counted, pinned
+
 
 def fingerprint(location: Column, rooms: Column, area: Column, floor: Column, price: Column, building: Column | None = None) -> Column:
     """Location, rooms, whole square metres, floor and a 20 000 price band; empty without location and price."""
@@ -41,8 +41,8 @@ def cheapest(df: DataFrame) -> DataFrame:
     """For training: of rows alike in rooms, whole area and district, the cheapest; rows that lack one stay."""
     area = F.bround("area", 0)
     whole = F.col("rooms").isNotNull() & area.isNotNull() & F.col("district").isNotNull()
-    w = Window.partitionBy("rooms", area, "district")
-    some = df.filter(whole).withColumn("sources_count", F.count(F.lit(1)).over(w).cast("int")).withColumn("__n", F.row_number().over(w.orderBy("price", "url"))).filter("__n = 1").drop("__n")
+    best = df.filter(whole).groupBy("rooms", area, "district").agg(F.min_by(F.struct(*df.columns), F.struct("price", "url")).alias("m"), F.count(F.lit(1)).cast("int").alias("sources_count"))
+    some = best.select(*(F.col(f"m.`{c}`").alias(c) for c in df.columns if c != "sources_count"), "sources_count")
     return some.unionByName(df.filter(~whole).withColumn("sources_count", F.lit(1)).select(some.columns))
 
 
@@ -60,22 +60,21 @@ def near_listings(df: DataFrame, metres2: float = 2.0, share: float = 0.05) -> D
 def contact_clusters(df: DataFrame, url: str = "url", marks: tuple[str, ...] = ("phone", "duplicate_group_id"), most: int = 40) -> DataFrame:
     """(url, cluster): listings joined by equal non-empty phones or fingerprints, directly or in steps; cluster is
     the least url. Labels spread by marks, both ways in one round; rounds are checkpointed until nothing changes."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flatlake-"))
     links = None
     for m in marks:
         part = df.filter(F.coalesce(F.col(m), F.lit("")) != "").select(F.col(url).alias("url"), F.concat(F.lit(f"{m}:"), F.col(m)).alias("mark"))
         links = part if links is None else links.unionByName(part)
-    links = links.filter("url IS NOT NULL").distinct().checkpoint()
-    now = df.filter(F.col(url).isNotNull()).select(F.col(url).alias("url"), F.col(url).alias("cluster")).distinct().checkpoint()
+    links = pinned(links.filter("url IS NOT NULL").distinct())
+    total = links.count()
+    now = pinned(df.filter(F.col(url).isNotNull()).select(F.col(url).alias("url"), F.col(url).alias("cluster")).distinct())
     for _ in range(most):
-        of_mark = links.join(now, "url").groupBy("mark").agg(F.min("cluster").alias("cluster"))
-        seen = links.join(of_mark, "mark").groupBy("url").agg(F.min("cluster").alias("low"))
+        of_mark = links.join(now, "url").groupBy("mark").agg(F.min("cluster").alias("cluster"), F.count(F.lit(1)).alias("n"))
+        seen = join_counted(links, of_mark, "mark", "n", F.col("url"), total).groupBy("url").agg(F.min("cluster").alias("low"))
         step = now.join(seen, "url", "left").select("url", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
         # A label's own label is at least as low: two steps at once.
         up = step.select(F.col("url").alias("cluster"), F.col("cluster").alias("up"))
-        new = step.join(up, "cluster", "left").select("url", F.coalesce("up", "cluster").alias("cluster")).checkpoint()
+        new = step.join(up, "cluster", "left").select("url", F.coalesce("up", "cluster").alias("cluster"))
+        new = pinned(new)
         changed = new.join(now.withColumnRenamed("cluster", "was"), "url").filter("cluster <> was").isEmpty()
         now = new
         if changed:

@@ -113,6 +113,18 @@ def recheck_candidates(df: DataFrame, as_of: Column, hours: int = 6, n: int = 30
     return df.filter(due).orderBy(F.col("checked_at").asc_nulls_first(), "source", "url").limit(n)
 
 
+def by_update(df: DataFrame, key: str, newest_first: bool = True) -> DataFrame:
+    """Dimension rows by updated_at, undated ones last; equally late ones by key."""
+    on = F.col("updated_at")
+    return df.orderBy(on.desc_nulls_last() if newest_first else on.asc_nulls_last(), key)
+
+
+def good_share(df: DataFrame, threshold: float) -> DataFrame:
+    """One row: total, good (a probability of threshold + 0.1 or more) and their share, 0 of none."""
+    good = F.count_if(F.col("prob") >= threshold + 0.1)
+    return df.agg(F.count(F.lit(1)).alias("total"), good.alias("good"), F.coalesce(F.try_divide(good, F.count(F.lit(1))), F.lit(0.0)).alias("share"))
+
+
 def top_deals(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.col("prob").desc(), "url").limit(n)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import pinned
+
 EARTH = 6_371_000.0
 Polygon = tuple[str, list[tuple[float, float]]]
 
@@ -42,12 +44,13 @@ def join_districts(points: DataFrame, polygons: DataFrame, cell: float = 0.02) -
     span = lambda c: F.sequence(F.floor(ext(F.array_min, c) / cell), F.floor(ext(F.array_max, c) / cell))
     cells = corners.withColumn("cy", F.explode(span("lat"))).withColumn("cx", F.explode(span("lon")))
     edges = F.zip_with("polygon", F.concat(F.slice("polygon", 2, F.size("polygon") - 1), F.slice("polygon", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    keyed = points.withColumn("__id", F.monotonically_increasing_id())
-    own = keyed.select("__id", "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    met = own.join(cells.select("name", "ord", "cy", "cx", edges.alias("edges")), ["cy", "cx"])
-    crossed = F.filter("edges", lambda e: ((e["a"]["lat"] > F.col("lat")) != (e["b"]["lat"] > F.col("lat"))) & (F.col("lon") < (e["b"]["lon"] - e["a"]["lon"]) * (F.col("lat") - e["a"]["lat"]) / (e["b"]["lat"] - e["a"]["lat"]) + e["a"]["lon"]))
-    first = met.filter(F.size(crossed) % 2 == 1).groupBy("__id").agg(F.min_by("name", "ord").alias("district_name"))
-    return keyed.join(first, "__id", "left").drop("__id")
+    found = F.struct("ord", "name", edges.alias("edges"))
+    by_cell = cells.groupBy("cy", "cx").agg(F.array_sort(F.collect_list(found)).alias("__held"))  # the few polygons of a cell, by ord
+    own = points.withColumns({"cy": F.floor(F.col("lat") / cell), "cx": F.floor(F.col("lon") / cell)})
+    met = own.join(by_cell, ["cy", "cx"], "left")
+    crossings = lambda edges: F.size(F.filter(edges, lambda e: ((e["a"]["lat"] > F.col("lat")) != (e["b"]["lat"] > F.col("lat"))) & (F.col("lon") < (e["b"]["lon"] - e["a"]["lon"]) * (F.col("lat") - e["a"]["lat"]) / (e["b"]["lat"] - e["a"]["lat"]) + e["a"]["lon"])))
+    first = F.get(F.filter("__held", lambda h: crossings(h["edges"]) % 2 == 1), F.lit(0))
+    return met.withColumn("district_name", first["name"]).drop("cy", "cx", "__held")
 
 
 def nearest_station(lat: Column, lon: Column, stations: list[tuple[str, float, float]]) -> Column:
@@ -63,12 +66,18 @@ def join_buildings(listings: DataFrame, buildings: DataFrame, fields: list[str],
     return joined.withColumns({c: F.when(empty(c), F.coalesce(f"__b_{c}", c)).otherwise(F.col(c)) for c in fields}).drop(*(f"__b_{c}" for c in fields))
 
 
-def lookup_names(df: DataFrame, text: Column, index: DataFrame, name: str = "name", broadcast_rows: int = 100_000) -> DataFrame:
-    """index: fragment, name, position, of up to broadcast_rows rows. Each row with the name of the first fragment, by
-    position, that its text contains, or null. Larger indexes raise: containment has no key to shuffle by."""
-    if index.count() > broadcast_rows:
-        raise ValueError(f"over {broadcast_rows} fragments")
-    own = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__text", F.lower(text))
-    i = F.broadcast(index.select(F.lower("fragment").alias("__f"), F.col("name").alias("__name"), F.col("position").alias("__p")))
-    hits = own.select("__id", "__text").join(i, F.col("__text").contains(F.col("__f"))).groupBy("__id").agg(F.min_by("__name", "__p").alias(name))
+def lookup_names(df: DataFrame, text: Column, index: DataFrame, name: str = "name", gram: int = 3) -> DataFrame:
+    """index: fragment, name, position. Each row with the name of the first fragment, by position, that its text contains,
+    or null. Fragments are filed under one of their `gram`-character pieces, the one that fewest fragments have; texts meet
+    them by their own pieces, and only fragments that they share a piece with are looked for. Empty fragments name nothing."""
+    fragments = index.select(F.lower("fragment").alias("__f"), F.col("name").alias("__name"), F.col("position").alias("__p")).filter("__f <> ''")
+    cut = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))
+    each = fragments.distinct().withColumn("__g", F.explode(F.array_distinct(cut(F.col("__f"), gram))))
+    often = each.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    filed = each.join(often, "__g").groupBy("__f", "__name", "__p").agg(F.min(F.struct("__n", "__g"))["__g"].alias("__g"))
+    own = pinned(df.withColumns({"__id": F.monotonically_increasing_id(), "__text": F.lower(text)}))
+    sizes = [r[0] for r in filed.select(F.length("__g")).distinct().collect()]  # `gram` lengths at most
+    pieces = F.array_distinct(F.flatten(F.array(*(cut(F.col("__text"), n) for n in sizes)))) if sizes else F.array().cast("array<string>")
+    met = own.select("__id", F.explode(pieces).alias("__g")).join(filed, "__g").select("__id", "__f", "__name", "__p")
+    hits = met.join(own.select("__id", "__text"), "__id").filter(F.col("__text").contains(F.col("__f"))).groupBy("__id").agg(F.min_by("__name", "__p").alias(name))
     return own.join(hits, "__id", "left").drop("__id", "__text")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import quantile_by
+
 
 def median_by(df: DataFrame, keys: list[str], value: Column | str = "price", least: int = 1, name: str = "median_price") -> DataFrame:
     v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(*keys).agg(F.percentile(v, F.lit(0.5)).alias(name), F.count(v).alias("n")).filter(F.col("n") >= least)
+    own = quantile_by(df.withColumn("__value", v), keys, "__value", 0.5).withColumnRenamed("quantile", name)
+    return own.filter(F.col("n") >= least)
 
 
 def rent_per_area(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,11 +24,14 @@ def days_on_market(observations: DataFrame, key: str = "listing_key") -> DataFra
 
 
 def agency_portfolio(listings: DataFrame, organizations: DataFrame) -> DataFrame:
-    """Per organization: listings, median price, districts, kinds, mean area and mean updates a listing."""
+    """Per organization: listings, median price, districts, kinds, mean area, and the share of its dated listings that were
+    updated after they were published (null where none is dated, or without date_updated)."""
     joined = listings.join(organizations.select("org_id", "name"), listings["provider_org_id"] == organizations["org_id"])
+    dated = "date_updated" in listings.columns
+    updated = F.avg((F.coalesce("date_updated", "date_published") > F.col("date_published")).cast("int")) if dated else F.lit(None).cast("double")
     return joined.groupBy("org_id", "name").agg(
         F.count(F.lit(1)).alias("n"), F.percentile("price", F.lit(0.5)).alias("median_price"), F.count_distinct("district").alias("n_districts"),
-        F.array_join(F.array_sort(F.collect_set(F.col("rooms").cast("string"))), ",").alias("kinds"), F.avg("area").alias("mean_area"),
+        F.array_join(F.array_sort(F.collect_set(F.col("rooms").cast("string"))), ",").alias("kinds"), F.avg("area").alias("mean_area"), updated.alias("update_rate"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_counted, quantile_by, ranks, same
+
 
 def per_source(df: DataFrame) -> DataFrame:
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source")
@@ -22,12 +24,13 @@ def per_district(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def phone_repeats(df: DataFrame, phone: str = "phone") -> DataFrame:
-    """Each row with the number of rows of the same digits; 0 without digits. Counts are joined, so that a
-    number with very many rows costs no more than others."""
+    """Each row with the number of rows of the same digits; 0 without digits, as those are no key and aren't joined."""
     digits = F.regexp_replace(F.coalesce(F.col(phone), F.lit("")), "[^0-9]", "")
     own = df.withColumn("digits", digits)
-    counts = own.filter("digits <> ''").groupBy("digits").agg(F.count(F.lit(1)).alias("phone_count"))
-    return own.join(counts, "digits", "left").withColumn("phone_count", F.coalesce("phone_count", F.lit(0)))
+    some = own.filter("digits <> ''")
+    counts = some.groupBy("digits").agg(F.count(F.lit(1)).alias("phone_count"))
+    found = join_counted(some, counts, "digits", "phone_count", F.struct(*some.columns))
+    return found.unionByName(own.filter("digits = ''").withColumn("phone_count", F.lit(0).cast("long")))
 
 
 def phone_coverage(df: DataFrame) -> DataFrame:
@@ -45,31 +48,24 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 def group_median(df: DataFrame, keys: list[str], value: str = "price", least: int = 3, name: str = "median") -> DataFrame:
     """Each row with its group's median, or the median of all where the group has fewer than `least` values."""
-    of_all = df.agg(F.percentile(value, F.lit(0.5)).alias("__all"))
-    groups = df.groupBy(*(F.col(k).alias(f"__k_{k}") for k in keys)).agg(F.percentile(value, F.lit(0.5)).alias("__own"), F.count(value).alias("__n"))
-    test = F.lit(True)
-    for k in keys:
-        test = test & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = df.join(groups, test, "left").drop(*(f"__k_{k}" for k in keys)).crossJoin(F.broadcast(of_all))  # one row
-    return joined.withColumn(name, F.when(F.col("__n") >= least, F.col("__own")).otherwise(F.col("__all"))).drop("__own", "__n", "__all")
+    of_all = quantile_by(df, [], value, 0.5).select(F.col("quantile").alias("__all"))
+    groups = quantile_by(df, keys, value, 0.5).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("quantile").alias("__own"), F.col("n").alias("__n"))
+    joined = df.join(groups, same({k: F.col(k) for k in keys}, {k: F.col(f"__k_{k}") for k in keys}), "left").drop(*(f"__k_{k}" for k in keys))
+    both = joined.join(F.broadcast(of_all), how="left")  # one row, or none where there is no value
+    return both.withColumn(name, F.when(F.col("__n") >= least, F.col("__own")).otherwise(F.col("__all"))).drop("__own", "__n", "__all")
 
 
 def exclusive_quantile(df: DataFrame, keys: list[str], value: str, q: float, least: int = 1) -> DataFrame:
     """Per group of `least` values or more: the q-quantile by the exclusive method, which puts the k-th of n values
-    at k / (n + 1). By ranks: the two values around q (n + 1), weighted."""
-    own = df.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    ranked = own.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    at = F.greatest(F.lit(1.0), F.least(F.col("n") - 1.0, F.floor(F.lit(q) * (F.col("n") + 1))))
-    part = F.lit(q) * (F.col("n") + 1) - at
-    share = F.when(F.col("n") == 1, F.when(F.col("k") == 1, 1.0).otherwise(0.0)).when(F.col("k") == at, 1 - part).when(F.col("k") == at + 1, part).otherwise(0.0)
-    return ranked.filter(F.col("n") >= least).groupBy(*keys).agg(F.sum(share * F.col(value)).alias("quantile"), F.max("n").alias("n"))
+    at k / (n + 1)."""
+    return quantile_by(df, keys, value, q, exclusive=True).filter(F.col("n") >= least)
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per column: median; mean and population deviation (0 becomes 1) after filling with the median."""
-    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns))
-    filled = df.select(*columns).crossJoin(F.broadcast(medians.select(*(F.col(c).alias(f"__m_{c}") for c in columns))))
+    filled = df.select(*columns)
+    for c in columns:
+        filled = filled.join(F.broadcast(quantile_by(df, [], c, 0.5).select(F.col("quantile").alias(f"__m_{c}"))), how="left")  # one row or none
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}"))
     aggs = [a for c in columns for a in (F.max(f"__m_{c}").alias(f"median_{c}"), F.avg(value(c)).alias(f"mean_{c}"), F.stddev_pop(value(c)).alias(f"std_{c}"))]
     one = filled.agg(*aggs)
@@ -88,17 +84,9 @@ def daily_activity(events: DataFrame, limit: int = 10) -> DataFrame:
     return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("over_quota", F.col("n") > limit)
 
 
-def queue_positions(requests: DataFrame, buckets: int = 64) -> DataFrame:
-    """id, requested_at: each request's place. Numbered inside ranges of time and moved by the ranges before, so
-    that no task sees the whole queue."""
-    bounds = requests.agg(F.min(F.unix_micros("requested_at")).alias("lo"), F.max(F.unix_micros("requested_at")).alias("hi"))
-    own = requests.crossJoin(F.broadcast(bounds))  # one row
-    width = F.greatest(F.lit(1), (F.col("hi") - F.col("lo")) / buckets)
-    dealt = own.withColumn("__r", F.floor((F.unix_micros("requested_at") - F.col("lo")) / width))
-    sums = dealt.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
-    before = sums.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # at most buckets + 1 rows
-    inside = Window.partitionBy("__r").orderBy("requested_at", "id")
-    return dealt.withColumn("__k", F.row_number().over(inside)).join(F.broadcast(before), "__r").withColumn("position", F.col("__before") + F.col("__k")).select(*requests.columns, "position")
+def queue_positions(requests: DataFrame) -> DataFrame:
+    """id, requested_at: each request's place, those of one moment by id."""
+    return ranks(requests, [F.col("requested_at"), F.col("id")], "position")
 
 
 def retained(files: DataFrame, limit: int, share: float = 0.9) -> DataFrame:

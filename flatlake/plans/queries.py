@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, numbers, phones, texts
+from ..functions import dates, numbers, phones, tags, texts
 from ..ml import labels, model
 from ..operators import dedup, filters, geo, history, market, snapshot, stats
+from ..operators.skew import fresh_path
 from ..sources import files, pages
 from ..streaming import listings as streams
-from .listings import DISTRICTS, HISTORY, LISTINGS, RATES, STATIONS, duck, view
+from .listings import DISTRICTS, HISTORY, LISTINGS, RATES, STATIONS, duck
 from .listings import history as price_log
 from .listings import listings as all_listings
 
@@ -99,10 +101,22 @@ def cheapest_hundred(spark, sf_dir):
     return filters.by_price(all_listings(spark, sf_dir)).limit(100).select("id", "price")
 
 
-@query(f"{L} SELECT max(date_published) AS newest, min(date_published) AS oldest, count(*) AS n FROM (SELECT * FROM listings ORDER BY date_published DESC NULLS LAST, url, id LIMIT 500)")
+@query(f"{L} SELECT id, coalesce(date_updated, date_published) AS shown FROM (SELECT *, CASE WHEN id % 3 = 0 THEN date_published + 40 END AS date_updated FROM listings) ORDER BY shown DESC NULLS LAST, url, id LIMIT 500")
 def newest_listings(spark, sf_dir):
-    top = filters.by_date(all_listings(spark, sf_dir).withColumn("date_updated", F.lit(None).cast("date"))).limit(500)
-    return top.agg(F.max("date_published").alias("newest"), F.min("date_published").alias("oldest"), F.count(F.lit(1)).alias("n"))
+    own = all_listings(spark, sf_dir).withColumn("date_updated", F.when(F.col("id") % 3 == 0, F.date_add("date_published", 40))).withColumn("url", F.concat("url", F.format_string("/%020d", "id")))
+    return filters.by_date(own).limit(500).select("id", F.coalesce("date_updated", "date_published").alias("shown"))
+
+
+@query("SELECT doc_id, prob FROM (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN (n_chars % 100) / 100.0e0 END AS prob FROM documents) ORDER BY coalesce(prob, -1) DESC, doc_id LIMIT 400")
+def scored_order(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, (F.col("n_chars") % 100) / F.lit(100.0)).alias("prob"), F.format_string("%020d", "doc_id").alias("url"))
+    return filters.by_score(own).limit(400).select("doc_id", "prob")
+
+
+@query("SELECT s_suppkey FROM supplier ORDER BY CAST(floor(s_acctbal) AS BIGINT) % 50 DESC NULLS LAST, s_suppkey LIMIT 200")
+def latest_buildings(spark, sf_dir):
+    own = table(spark, sf_dir, "supplier").withColumn("updated_at", F.floor("s_acctbal") % 50)
+    return filters.by_update(own, "s_suppkey").limit(200).select("s_suppkey")
 
 
 @query(f"""{L} SELECT id, source, turn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY coalesce(quality_score, 0) DESC, price NULLS LAST, url) AS turn FROM listings)
@@ -168,6 +182,14 @@ def snapshot_merge(spark, sf_dir):
     return snapshot.merge(old, new, F.lit("2001-01-01").cast("date"))
 
 
+@query(f"""{L}, old AS ({OLD}), new AS ({NEW}), rated AS (SELECT *, CASE WHEN price % 3 <> 0 THEN CAST(price % 6 AS INT) END AS rating FROM old) SELECT coalesce(n.source, o.source) AS source, coalesce(n.url, o.url) AS url,
+  CASE WHEN n.url IS NULL THEN o.rating END AS rating, CASE WHEN n.url IS NOT NULL THEN nullif(o.rating, 0) END AS prev_rating FROM rated o FULL JOIN new n ON o.source = n.source AND o.url = n.url""")
+def snapshot_ratings(spark, sf_dir):
+    old, new = _halves(spark, sf_dir)
+    rated = old.withColumn("rating", F.when(F.col("price") % 3 != 0, (F.col("price") % 6).cast("int")))
+    return snapshot.merge(rated, new, F.lit("2001-01-01").cast("date")).select("source", "url", "rating", "prev_rating")
+
+
 @query(f"{L}, old AS ({OLD}), new AS ({NEW}) SELECT o.source, o.url, o.price FROM old o ANTI JOIN new n ON o.source = n.source AND o.url = n.url")
 def not_seen_again(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
@@ -332,14 +354,18 @@ def exclusive_quantiles(spark, sf_dir):
     return stats.exclusive_quantile(own, ["grp"], "price", 0.3).select("grp", F.round("quantile", 4).alias("quantile"), "n")
 
 
-@query(f"""{L}, x AS (SELECT *, CASE WHEN area IS NOT NULL THEN concat('m2|', coalesce(CAST(rooms AS VARCHAR), '?'), '|', CAST(CAST(floor((area - 1) / 15) AS BIGINT) AS VARCHAR)) ELSE concat('all|', coalesce(CAST(rooms AS VARCHAR), '?'), '|', coalesce(district, '?')) END AS k,
-  CASE WHEN area IS NOT NULL THEN price / area ELSE CAST(price AS DOUBLE) END AS v FROM listings), {EXCLUSIVE} SELECT sum(CAST(x.v <= q.quantile AS INT))::BIGINT AS n_good, count(*) AS n FROM x JOIN q USING (k) WHERE q.n >= 10""")
+KINDS = "x AS (SELECT *, CASE WHEN area IS NOT NULL THEN concat('m2|', coalesce(CAST(rooms AS VARCHAR), '?'), '|', CAST(CAST(floor((area - 1) / 15) AS BIGINT) AS VARCHAR)) ELSE concat('all|', coalesce(CAST(rooms AS VARCHAR), '?'), '|', coalesce(district, '?')) END AS k, CASE WHEN area IS NOT NULL THEN price / area ELSE CAST(price AS DOUBLE) END AS v, area IS NOT NULL AS by_area FROM listings)"
+
+
+def _quantile_of(rows: str) -> str:
+    """The exclusive quantile of 0.3 of rows (k, v), by k."""
+    return EXCLUSIVE.replace("FROM x)", f"FROM {rows})")
+
+
+@query(f"""{L}, {KINDS}, small AS (SELECT k, quantile, n FROM (WITH {_quantile_of("(SELECT k, v FROM x)")} SELECT * FROM q)), whole AS (SELECT k, quantile FROM (WITH {_quantile_of("(SELECT by_area AS k, v FROM x)")} SELECT * FROM q))
+  SELECT x.id, CAST(x.v <= CASE WHEN small.n >= 10 THEN small.quantile ELSE whole.quantile END AS INT) AS good, round(CASE WHEN small.n >= 10 THEN small.quantile ELSE whole.quantile END, 4) AS threshold FROM x JOIN small USING (k) JOIN whole ON whole.k = x.by_area""")
 def quantile_labels(spark, sf_dir):
-    own = labels.quantile_label(all_listings(spark, sf_dir))
-    key = F.when(F.col("area").isNotNull(), F.concat_ws("|", F.lit("m2"), F.coalesce(F.col("rooms").cast("string"), F.lit("?")), "bucket")).otherwise(F.concat_ws("|", F.lit("all"), F.coalesce(F.col("rooms").cast("string"), F.lit("?")), F.coalesce("district", F.lit("?"))))
-    full = own.withColumn("k", key)
-    big = full.groupBy("k").count().filter("count >= 10").select("k")
-    return full.join(big, "k").agg(F.sum("good").alias("n_good"), F.count(F.lit(1)).alias("n"))
+    return labels.quantile_label(all_listings(spark, sf_dir)).select("id", "good", F.round("threshold", 4).alias("threshold"))
 
 
 @query(f"""{L}, f AS (SELECT coalesce(area, (SELECT median(area) FROM listings)) AS area, coalesce(CAST(floor AS DOUBLE), (SELECT median(floor) FROM listings)) AS floor FROM listings)
@@ -412,12 +438,13 @@ def days_on_market(spark, sf_dir):
     return market.days_on_market(price_log(spark, sf_dir).withColumnRenamed("checked_at", "seen_at"))
 
 
-@query(f"""{L} SELECT s_suppkey AS org_id, s_name AS name, count(*) AS n, median(price) AS median_price, count(DISTINCT district) AS n_districts, coalesce(string_agg(DISTINCT CAST(rooms AS VARCHAR), ',' ORDER BY CAST(rooms AS VARCHAR)), '') AS kinds, round(avg(area), 4) AS mean_area
-  FROM listings JOIN supplier ON org = s_suppkey GROUP BY ALL""")
+@query(f"""{L} SELECT s_suppkey AS org_id, s_name AS name, count(*) AS n, median(price) AS median_price, count(DISTINCT district) AS n_districts, coalesce(string_agg(DISTINCT CAST(rooms AS VARCHAR), ',' ORDER BY CAST(rooms AS VARCHAR)), '') AS kinds, round(avg(area), 4) AS mean_area,
+  round(avg(CASE WHEN date_published IS NOT NULL THEN CAST(id % 3 = 0 AS INT) END), 6) AS update_rate FROM listings JOIN supplier ON org = s_suppkey GROUP BY ALL""")
 def agency_portfolio(spark, sf_dir):
     orgs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("org_id"), F.col("s_name").alias("name"))
-    own = market.agency_portfolio(all_listings(spark, sf_dir).withColumnRenamed("org", "provider_org_id"), orgs)
-    return own.withColumn("mean_area", F.round("mean_area", 4))
+    rows = all_listings(spark, sf_dir).withColumn("date_updated", F.when(F.col("id") % 3 == 0, F.date_add("date_published", 2)))
+    own = market.agency_portfolio(rows.withColumnRenamed("org", "provider_org_id"), orgs)
+    return own.withColumns({"mean_area": F.round("mean_area", 4), "update_rate": F.round("update_rate", 6)})
 
 
 @query(f"{L} SELECT source, rooms, count(*) AS n, median(price) AS median_price, CAST(grouping(source, rooms) AS BIGINT) AS level FROM listings GROUP BY ROLLUP (source, rooms)")
@@ -474,7 +501,43 @@ def text_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *(any_of(r).cast("int").alias(f"tag_{n}") for n, r in LATIN.items() if n != "table"))
 
 
-@query()
+def _pattern_sql(pattern: str) -> str:
+    """A pattern of tags.py for RE2, whose classes know ASCII alone."""
+    letter = r"[\p{L}\p{N}_]"
+    return re.sub(r"\\b(?=[a-zа-я])", "(^|[^\\\\p{L}\\\\p{N}_])", pattern.replace(r"\w+\b", r"\w+")).replace(r"\b", r"($|[^\p{L}\p{N}_])").replace(r"[«\"\w]", r"[«\"\p{L}\p{N}_]").replace(r"\w", letter)
+
+
+def _holds_sql(phrases: list[str], pattern: str | None) -> str:
+    return "(" + " OR ".join([*(f"contains(low, '{p}')" for p in phrases), *([f"regexp_matches(low, '{_pattern_sql(pattern)}')"] if pattern else [])]) + ")"
+
+
+def _graded_sql(rules: list) -> str:
+    return "CASE " + " ".join(f"WHEN {_holds_sql(phrases, pattern)} THEN {value!r}" for value, phrases, pattern in rules) + " END"
+
+
+def _features_sql() -> str:
+    plain = [n.removeprefix("tag_") for n in tags.NAMES[: len(tags.TAGS)]]
+    tagged = ", ".join(f"CAST({_holds_sql(tags.TAGS[t], tags.PATTERNS.get(t))} AS INT) AS tag_{t}" for t in plain)
+    known = {"price", "rooms", "area", "floor", "total_floors", "district", "quality_score", "source"}
+    made = {
+        "price_per_m2": "round_even(nullif(price, 0) / nullif(area, 0), 1)", "price_per_room": "round_even(nullif(price, 0) / nullif(rooms, 0), 1)", "floor_ratio": "round_even(nullif(floor, 0) / nullif(total_floors, 0), 2)",
+        "is_first_floor": "CAST(coalesce(floor = 1, false) AS INT)", "is_last_floor": "CAST(coalesce(floor = total_floors AND floor <> 0, false) AS INT)", "deal_type": "'long_term'", "listing_type": "'WHOLE_APARTMENT'", "n_photos": "1", "has_photo": "1",
+        "desc_length": "length(coalesce(text, ''))", "desc_words": r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))", "furnished": "id % 2 = 0", "children_allowed": "true",
+    }
+    base = ", ".join(c if c in known else f"{made.get(c, 'NULL')} AS {c}" for c in labels.BASE)
+    ends = {"tag_euro_renovation": "renovation_grade = 3", "tag_needs_repair": "renovation_grade = 0", "tag_fully_furnished": "said = 'full'", "tag_partial_furnished": "said = 'partial'", "tag_unfurnished": "said = 'none'"}
+    listed = ", ".join([*(f"CASE WHEN tag_{t} = 1 THEN '{t}' END" for t in plain), *(f"CASE WHEN {test} THEN '{n.removeprefix('tag_')}' END" for n, test in ends.items())])
+    shown = [f"tag_{t}" for t in plain if t != "long_term"] + ["1 AS tag_long_term"] + [f"CAST(coalesce({test}, false){' OR id % 2 = 0' if n == 'tag_fully_furnished' else ''} AS INT) AS {n}" for n, test in ends.items()]
+    year = f"nullif(regexp_extract(low, '{_pattern_sql(r'(?:дом|построен\w*|постройки|сдан\w*|год)\s*[:,]?\s*((?:19|20)[0-9]{2})')}', 1), '')"
+    height = f"TRY_CAST(replace(nullif(regexp_extract(low, '{_pattern_sql(r'потолк\w*\s*(?:—|–|-|:)?\s*([0-9](?:[.,][0-9])?)\s*(?:м\b|метр)')}', 1), ''), ',', '.') AS DOUBLE)"
+    return rf"""{L}, t AS (SELECT l.*, d.text, lower(concat(coalesce(title, ''), ' ', coalesce(d.text, ''))) AS low FROM listings l JOIN documents d ON doc_id = id), g AS (
+      SELECT *, TRY_CAST(coalesce({year}, nullif(regexp_extract(low, '((?:19|20)[0-9]{{2}})\s*года?\s*(?:постройки|сдачи)', 1), '')) AS INT) AS year_built, {height} AS ceiling_height, {_graded_sql(tags.RENOVATION)} AS renovation_grade, {_graded_sql(tags.FURNITURE)} AS said, {_graded_sql(tags.BUILDING)} AS building_type, {tagged} FROM t
+    ), f AS (SELECT *, coalesce(said, CASE WHEN id % 2 = 0 THEN 'full' END) AS furniture_level FROM g)
+    SELECT {base}, year_built, ceiling_height, renovation_grade, furniture_level, CASE furniture_level WHEN 'none' THEN 0 WHEN 'partial' THEN 1 WHEN 'full' THEN 2 END AS furniture_grade, building_type,
+      CASE {" ".join(f"WHEN tag_{tag} = 1 THEN '{kind}'" for kind, tag in tags.BATHROOM.items())} END AS bathroom_type, {", ".join(shown)}, concat_ws('|', {listed}, 'children_ok') AS tag_list, concat(source, '|', url) AS row_key, url, title FROM f"""
+
+
+@query(_features_sql())
 def feature_rows(spark, sf_dir):
     """All features of all listings, with texts from documents."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
@@ -585,12 +648,19 @@ def owner_scores(spark, sf_dir):
     return all_listings(spark, sf_dir).select("id", texts.owner_probability(text).alias("owner"))
 
 
-@query(f"""{L} SELECT id, CAST(50000 + id % 100000 AS BIGINT) AS deposit, CAST(1 + id % 90 AS INT) AS commission_percent, CASE WHEN id % 2 = 0 THEN 'separate' ELSE 'unknown' END AS utilities, CAST(120000 + id % 1000 AS BIGINT) AS first_payment FROM listings""")
+@query(f"""{L} SELECT id, CAST(50000 + id % 100000 AS BIGINT) AS deposit, CASE WHEN id % 3 = 0 THEN true END AS deposit_refundable, CASE WHEN id % 2 = 0 THEN CAST(1 + id % 90 AS INT) END AS commission_percent,
+  CASE WHEN id % 2 = 1 THEN CAST(20000 + id % 500 AS BIGINT) END AS commission_fixed, CASE id % 4 WHEN 0 THEN 'unknown' WHEN 3 THEN 'included' ELSE 'separate' END AS utilities, CASE WHEN id % 4 = 2 THEN CAST(15000 AS BIGINT) END AS utilities_min,
+  CASE WHEN id % 4 = 2 THEN CAST(25000 + id % 100 AS BIGINT) END AS utilities_max, id % 5 = 0 AS price_per_person, CAST(120000 + id % 1000 AS BIGINT) AS first_payment FROM listings""")
 def costs_read_back(spark, sf_dir):
     n = lambda c: c.cast("string")
     k = F.col("id")
-    text = F.concat(F.lit("депозит "), n(50_000 + k % 100_000), F.lit(" тг; комиссия "), n(1 + k % 90), F.lit("%; первый взнос при заселении сразу "), F.lit("заезд "), n(120_000 + k % 1000), F.lit(" тг"), F.when(k % 2 == 0, "; коммунальные 15000").otherwise(""))
-    return all_listings(spark, sf_dir).select("id", texts.costs(text).alias("c")).select("id", "c.deposit", "c.commission_percent", "c.utilities", "c.first_payment")
+    apart = F.lit("; просторно, светло, чисто, тихо и уютно, соседи хорошие; ")
+    utilities = F.when(k % 4 == 1, "коммунальные 15000").when(k % 4 == 2, F.concat(F.lit("коммунальные 15000-"), n(25_000 + k % 100), F.lit(" тг"))).when(k % 4 == 3, "коммунальные 9000-12000, всё включено").otherwise("")
+    text = F.concat(
+        F.lit("депозит "), n(50_000 + k % 100_000), F.lit(" тг"), F.when(k % 3 == 0, ", возвратный").otherwise(""), apart, F.lit("комиссия "), F.when(k % 2 == 0, F.concat(n(1 + k % 90), F.lit("%"))).otherwise(F.concat(n(20_000 + k % 500), F.lit(" тенге"))),
+        apart, F.lit("первый взнос, заезд "), n(120_000 + k % 1000), F.lit(" тг"), apart, utilities, apart, F.when(k % 5 == 0, "45 000 с человека").otherwise("45 000"),
+    )
+    return all_listings(spark, sf_dir).select("id", texts.costs(text).alias("c")).select("id", "c.*")
 
 
 # More tables and reports
@@ -637,12 +707,56 @@ def category_guard(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.is_category_page(F.col("html"), "thea|chen").alias("category"))
 
 
-@query(f"""{L}, c AS (SELECT regexp_replace(url, '/+$', '') AS b, min(price) AS p FROM listings GROUP BY 1) SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) ELSE p END AS price FROM part LEFT JOIN c ON b = concat('https://s.test/a/', p_partkey)""")
+@query(f"""{L}, c AS (SELECT regexp_replace(url, '/+$', '') AS b, min(price) AS p FROM listings GROUP BY 1), d AS (SELECT p_partkey, p_size, concat('https://s.test/a/', p_partkey, CASE p_partkey % 3 WHEN 1 THEN '/photos/2' ELSE '' END) AS b FROM part),
+  m AS (SELECT p_partkey, max_by(p, (d.b = c.b, least(length(d.b), length(c.b)), -p)) AS p FROM d JOIN c ON d.b = c.b OR starts_with(d.b, concat(c.b, '/')) OR starts_with(c.b, concat(d.b, '/')) GROUP BY p_partkey)
+  SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) ELSE p END AS price FROM d LEFT JOIN m USING (p_partkey)""")
 def matched_cards(spark, sf_dir):
-    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://s.test/a/"), F.col("p_partkey").cast("string"), F.lit("/?from=x")).alias("url"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("bigint")).alias("price"))
+    key = F.col("p_partkey")
+    url = F.concat(F.lit("https://s.test/a/"), key.cast("string"), F.when(key % 3 == 1, "/photos/2/").otherwise("/"), F.lit("?from=x"))
+    d = table(spark, sf_dir, "part").select(key.alias("page_id"), url.alias("url"), F.when(key % 2 == 0, F.col("p_size").cast("bigint")).alias("price"))
     return pages.match_cards(d, all_listings(spark, sf_dir).select("url", "price")).select("page_id", "price")
 
 
+@query(f"WITH {SCORES} SELECT count(*) AS total, count(*) FILTER (WHERE prob >= 0.4e0 + 0.1e0) AS good, round(count(*) FILTER (WHERE prob >= 0.4e0 + 0.1e0) / count(*), 6) AS share FROM s")
+def share_of_good(spark, sf_dir):
+    return filters.good_share(_scores(spark, sf_dir), 0.4).withColumn("share", F.round("share", 6))
+
+
+#: Phrases of listings, and the tags that each sets.
+SAMPLES = [
+    ("новостройка, сдан в эксплуатацию", "new_building"), ("вторичный рынок", "secondary"), ("уютная студия", "studio"), ("пентхаус", "apartments"), ("евро планировка", "euro_layout"), ("есть балконы", "balcony"), ("застеклённая лоджия", "loggia"),
+    ("дв санузла и 2 с/у", "two_bathrooms"), ("раздельный санузел", "separated_bathroom"), ("совмещенный с/у", "combined_bathroom"), ("душевая кабина", "shower"), ("чугунная ванна", "bath"), ("стиральная машина", "washer"), ("новый холодильник", "fridge"),
+    ("сплит система", "ac"), ("посудомоечная машина", "dishwasher"), ("smart tv", "tv"), ("плита газовая", "oven"), ("микроволновка", "microwave"), ("быстрый интернет", "internet"), ("вай-фай", "wifi"), ("умный замок", "smart_lock"), ("счётчики", "counters"),
+    ("автономное отопление", "autonomous_heating"), ("центральное отопление", "central_heating"), ("вода включена", "water_included"), ("бойлер", "boiler"), ("подземная парковка", "parking"), ("гараж", "garage"), ("охрана", "security"), ("консьерж", "concierge"),
+    ("видеонаблюдение", "cctv"), ("закрытый двор", "closed_yard"), ("детская площадка", "playground"), ("лифт", "elevator"), ("грузовой лифт", "elevator|freight_elevator"), ("тренажерный зал", "gym"), ("вид на горы", "view_mountains"), ("вид на парк", "view_park"),
+    ("панорамные окна", "panoramic"), ("угловая квартира", "corner"), ("метро", "near_metro"), ("рядом школа", "near_school"), ("около садика", "near_kindergarten"), ("рядом сквер", "near_park"), ("рядом рынок", "near_shop"), ("срочно", "urgent"), ("торг", "bargain"),
+    ("без комиссии", "no_commission"), ("без посредников", "no_agency"), ("хозяин", "owner"), ("долгосрочно", "urgent|long_term"), ("посуточно", "daily"), ("для семьи", "for_family"), ("студентам", "for_students"), ("техника есть", "appliances_included"),
+    ("тихий двор", "quiet_yard"), ("элитный дом", "prestige"), ("свежий ремонт", "euro_renovation"), ("нужен ремонт", "needs_repair"), ("вся мебель", "fully_furnished"), ("минимум мебели", "partial_furnished"), ("без мебели", "unfurnished"), ("лифты и торговый дом", ""),
+]
+
+
+@query(f"""{L}, s(k, tags) AS (VALUES {", ".join(f"({k}, '{t}')" for k, (_, t) in enumerate(SAMPLES))}) SELECT id, CASE WHEN id % 5 = 0 THEN 1990 + id % 30 END AS year_built, s.tags,
+  CASE s.tags WHEN 'euro_renovation' THEN 3 WHEN 'needs_repair' THEN 0 END AS renovation_grade, CASE s.tags WHEN 'fully_furnished' THEN 'full' WHEN 'partial_furnished' THEN 'partial' WHEN 'unfurnished' THEN 'none' END AS furniture_level FROM listings JOIN s ON id % {len(SAMPLES)} = k""")
+def tags_read_back(spark, sf_dir):
+    k = F.col("id")
+    text = F.concat(F.element_at(F.array(*(F.lit(t) for t, _ in SAMPLES)), (k % len(SAMPLES) + 1).cast("int")), F.when(k % 5 == 0, F.concat(F.lit("; построен "), (1990 + k % 30).cast("string"))).otherwise(""))
+    own = tags.with_tags(all_listings(spark, sf_dir).select("id", F.lit("Сдаётся").alias("title"), text.alias("description")))
+    return own.select("id", F.col("year_built").cast("bigint").alias("year_built"), tags.tag_list(tags.NAMES).alias("tags"), "renovation_grade", "furniture_level")
+
+
+KAZAKH = ["2 бөлмелі пәтер жалға беріледі", "депозит жоқ, жаңа ремонт", "әр айға 150 мың теңге", "қыздарға керек емес", "үлкен көше жанында, даңғыл жақын", "үй 5 қабатта"]
+
+
+def _translated_sql(text: str) -> str:
+    return reduce(lambda t, word: f"replace({t}, '{word}', '{texts.GLOSSARY[word]}')", texts.BY_LENGTH, text)
+
+
+@query(f"{L}, k(n, words) AS (VALUES {', '.join(f"({n}, '{w}')" for n, w in enumerate(KAZAKH))}) SELECT id, {_translated_sql("concat(words, ', ', address)")} AS text FROM listings JOIN k ON id % {len(KAZAKH)} = n")
+def translated_texts(spark, sf_dir):
+    words = F.element_at(F.array(*map(F.lit, KAZAKH)), (F.col("id") % len(KAZAKH) + 1).cast("int"))
+    return all_listings(spark, sf_dir).select("id", texts.translated(F.concat(words, F.lit(", "), "address")).alias("text"))
+
+
 @query(f"{L} SELECT title, median(price) AS median_price, count(price) AS n FROM listings GROUP BY title HAVING count(price) >= 5")
 def median_per_complex(spark, sf_dir):
     return market.median_by(all_listings(spark, sf_dir), ["title"], least=5)
@@ -700,6 +814,12 @@ def scored_listings(spark, sf_dir):
     return out.select("id", "good", "fold", F.bround("prob", 3).alias("prob"), model.verdict(F.col("prob"), threshold).alias("verdict"))
 
 
+@query(f"""{L}, c AS (SELECT id, CAST(price < 100000 AS INT) AS good FROM listings WHERE price IS NOT NULL), k(fold) AS (SELECT CAST(i AS INT) FROM range(5) g(i)) SELECT good, fold, (SELECT count(*) FROM c d WHERE d.good = s.good) // 5 + CASE WHEN fold < (SELECT count(*) FROM c d WHERE d.good = s.good) % 5 THEN 1 ELSE 0 END AS n
+  FROM (SELECT DISTINCT good FROM c) s, k""")
+def fold_sizes(spark, sf_dir):
+    return stratified_folds(spark, sf_dir).filter("good IS NOT NULL").groupBy("good", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def stratified_folds(spark, sf_dir):
     rows = all_listings(spark, sf_dir).select("id", (F.col("price") < 100_000).cast("int").alias("good"))
@@ -711,11 +831,7 @@ def stratified_folds(spark, sf_dir):
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and reads what it wrote."""
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flatlake-")
-    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stream")
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 

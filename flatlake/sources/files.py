@@ -43,27 +43,27 @@ def build_dataset(cached: DataFrame, saved: DataFrame, use_cached: bool = True,
     return out.filter(F.col("price") >= min_price) if min_price is not None else out
 
 
-def report_blocks(top: DataFrame, order: list[Column]) -> DataFrame:
-    """(n, block): a text block per listing of a bounded top list, numbered in order; missing values are dashes."""
+def report_blocks(top: DataFrame, order: list[Column], rows: int = 1000) -> DataFrame:
+    """(n, block): a text block for each of the first `rows` listings, numbered in order; missing values are dashes."""
     dash = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("—"))
     price = F.coalesce(grouped(F.col("price")), F.lit("—"))
     n = F.row_number().over(Window.orderBy(*order))  # a top list has one page of rows
-    numbered = top.withColumn("n", n)
+    numbered = top.orderBy(*order).limit(rows).withColumn("n", n)
     return numbered.select("n", F.concat_ws("\n", F.concat(F.col("n").cast("string"), F.lit(". "), dash("title")), F.concat(F.lit("price: "), price), F.concat(F.lit("rooms: "), dash("rooms"), F.lit(", area: "), dash("area")), F.concat(F.lit("address: "), dash("address")), F.concat(F.lit("url: "), dash("url"))).alias("block"))
 
 
 def unique_urls(photos: Column) -> Column:
     """http(s) URLs, trimmed, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(photos, F.trim), lambda u: u.rlike("^https?://")))
+    return F.array_distinct(F.filter(F.transform(photos, lambda x: F.trim(x)), lambda u: u.rlike("^https?://")))
 
 
 def merged_photos(card: Column, gallery: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(card, F.array().cast("array<string>")), F.coalesce(gallery, F.array().cast("array<string>"))))
 
 
-def report_table(df: DataFrame, order: list[Column], per_listing: int, in_all: int) -> DataFrame:
-    """A bounded report's rows in order, with their photos: `per_listing` each and `in_all` over all at most."""
-    own = df.withColumn("photos", F.slice(unique_urls(F.col("photos")), 1, per_listing))
+def report_table(df: DataFrame, order: list[Column], per_listing: int, in_all: int, rows: int = 1000) -> DataFrame:
+    """A report's first `rows` rows in order, with their photos: `per_listing` each and `in_all` over all at most."""
+    own = df.orderBy(*order).limit(rows).withColumn("photos", F.slice(unique_urls(F.col("photos")), 1, per_listing))
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.size("photos")).over(w), F.lit(0))
     cut = own.withColumn("__left", F.greatest(F.lit(0), F.lit(in_all) - before))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,10 @@ from ..functions.numbers import clean_space, found, parse_float, parse_floor_pai
 
 @dataclass(frozen=True)
 class Site:
-    """card: pattern of one card with its inside as group 1; fields: a pattern per field, value as group 1."""
+    """card: pattern of one card with its inside as group 1; fields: a pattern per field, value as group 1 (or, in
+    sites.SITES, whichever group has one). Of pictures: which to skip, how many at most, how their size is put to the large
+    one, and what the gallery's have in their URL. Of detail pages: words that say that an advert is archived, outdated or
+    gone, and marks of which a live one has one. Then how a card's floor, address and title are found."""
 
     source: str
     base: str
@@ -22,6 +26,16 @@ class Site:
     markers: str = ""
     archived: str = "архив|неактуал|удалено"
     gone: str = ""
+    outdated: str = ""
+    live: tuple[str, ...] = ()
+    skip: str = ""
+    cap: int | None = None
+    size: tuple[str, str] | None = None
+    gallery: str = ""
+    cut_address: str = ""
+    floor_mark: str = ""
+    street_of_title: bool = False
+    title_of_fields: bool = False
 
 
 def visible(html: Column) -> Column:
@@ -43,10 +57,15 @@ def is_category_page(html: Column, markers: str) -> Column:
     return (heads == "") | heads.rlike(f"(?iU){markers}") if markers else F.lit(True)
 
 
+def cards_of(pages: DataFrame, site: Site) -> DataFrame:
+    """page_id, card_no, card: the cards of a source's category pages."""
+    own = pages.filter(is_category_page(F.col("html"), site.markers))
+    return own.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(site.card), 1)).alias("card_no", "card"))
+
+
 def cards(pages: DataFrame, site: Site) -> DataFrame:
     """page_id, card_no and the listing fields of every card of a source's category pages."""
-    own = pages.filter(is_category_page(F.col("html"), site.markers))
-    each = own.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(site.card), 1)).alias("card_no", "card"))
+    each = cards_of(pages, site)
     get = lambda name: clean_space(visible(found(F.col("card"), site.fields[name]))) if name in site.fields else F.lit(None).cast("string")
     href = found(F.col("card"), site.fields["url"])
     text = F.coalesce(get("text"), visible(F.col("card")))
@@ -69,25 +88,21 @@ def clean_gallery(photos: Column, cap: int | None = None) -> Column:
     return F.slice(unique, 1, cap) if cap else unique
 
 
+#: A quoted text, whole, or a bracket; all else is passed over in one step.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
 def balanced_json(text: str | None, marker: str) -> str | None:
-    """The first {...} after a marker, by bracket depth outside strings."""
+    """The first {...} after a marker, by bracket depth outside quoted texts."""
     at = (text or "").find(marker)
     start = text.find("{", at) if at >= 0 else -1
-    depth, quoted, k = 0, False, start
-    while 0 <= k < len(text or ""):
-        c = text[k]
-        if quoted:
-            if c == "\\":
-                k += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return text[start : k + 1]
-        k += 1
+    if start < 0:
+        return None
+    depth = 0
+    for token in _TOKEN.finditer(text, start):
+        depth += {"{": 1, "}": -1}.get(token[0], 0)
+        if not depth:
+            return text[start : token.end()]
     return None
 
 
@@ -176,9 +191,17 @@ def detail_fields(pages: DataFrame) -> DataFrame:
 
 
 def match_cards(details: DataFrame, card_rows: DataFrame) -> DataFrame:
-    """Details with the price of the card of the same base URL where their own is missing."""
-    c = card_rows.groupBy(base_url(F.col("url")).alias("__base")).agg(F.min("price").alias("__card_price"))
-    joined = details.withColumn("__base", base_url(F.col("url"))).join(c, "__base", "left")
+    """Details with the price of a card where their own is missing: the card of the same base URL, else one whose base URL
+    holds theirs or is held by it, up to a slash on the same host; of several, the longest common part, then the least price."""
+    parents = lambda c: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.size(F.split(c, "/")))), lambda k: F.array_join(F.slice(F.split(c, "/"), F.lit(1), k), "/"))
+    c = card_rows.filter("url IS NOT NULL").groupBy(base_url(F.col("url")).alias("__card")).agg(F.min("price").alias("__card_price")).filter("__card_price IS NOT NULL")
+    asked = details.filter("url IS NOT NULL").select(base_url(F.col("url")).alias("__base")).distinct()
+    above = asked.select("__base", F.explode(F.array_distinct(parents(F.col("__base")))).alias("__card")).join(c, "__card")
+    below = c.select("__card", "__card_price", F.explode(F.array_distinct(parents(F.col("__card")))).alias("__base")).filter("__card <> __base").join(asked, "__base")
+    both = above.select("__base", "__card", "__card_price").unionByName(below.select("__base", "__card", "__card_price"))
+    rank = F.struct((F.col("__base") == F.col("__card")).alias("same"), F.least(F.length("__base"), F.length("__card")).alias("common"), (-F.col("__card_price")).alias("low"))
+    best = both.groupBy("__base").agg(F.max_by("__card_price", rank).alias("__card_price"))
+    joined = details.withColumn("__base", base_url(F.col("url"))).join(best, "__base", "left")
     return joined.withColumn("price", F.coalesce("price", "__card_price")).drop("__base", "__card_price")
 
 

@@ -118,11 +118,36 @@ def test_listing_type(of, text, want):
     assert of(texts.listing_type, text) == want
 
 
-def test_costs():
-    c = texts.split_costs("Аренда 250 000 тг, депозит 100 000 тг возвратный, комиссия 50%, коммунальные 15 - 25 тыс")
-    assert c["deposit"] == 100000 and c["deposit_refundable"] and c["commission_percent"] == 50 and c["utilities"] == "separate"
-    assert texts.split_costs("всё включено 200 000")["utilities"] == "included"
-    assert texts.split_costs(None)["utilities"] == "unknown"
+#: What each text says about costs; fields that aren't named are null, false or unknown.
+COSTS = [
+    ("Аренда 250 000 тг, депозит 100 000 тг возвратный, комиссия 50%, коммунальные 15 - 25 тыс", {"deposit": 100_000, "deposit_refundable": True, "commission_percent": 50, "utilities": "separate", "utilities_min": 15_000, "utilities_max": 25_000}),
+    ("коммунальные услуги 15 000 - 25 000", {"utilities": "separate", "utilities_min": 15_000, "utilities_max": 25_000}),
+    ("коммунальные 15-25к", {"utilities": "separate", "utilities_min": 15_000, "utilities_max": 25_000}),
+    ("комуслуги: ком. услуги 20000", {"utilities": "separate"}),
+    ("всё включено 200 000", {"utilities": "included"}),
+    ("коммунальные 15000-25000, все включено", {"utilities": "included"}),
+    ("комиссия 100 000 тенге наличными, агент 30%", {"commission_fixed": 100_000, "commission_percent": 30}),
+    ("комиссия 100 000, агент 30%", {"commission_percent": 30}),
+    ("комиссия 30% или комиссия 40000", {"commission_percent": 30, "commission_fixed": 40_000}),
+    ("заезд 150 тыс", {"first_payment": 150_000}),
+    ("60 000 с человека", {"price_per_person": True}),
+    ("депозит 3 000 тг, депозит 80к", {"deposit": 80_000}),
+    ("посуточно, депозит 50 000", {}),
+    ("депозит " + "9" * 30, {}),
+    ("x" * 5000 + " залог 90000 " + "y" * 5000, {"deposit": 90_000}),
+    ("1 " * 500 + "залог 70000", {"deposit": 70_000}),
+    ("", {}), (None, {}),
+]
+
+
+@pytest.mark.parametrize("text, want", COSTS)
+def test_costs(of, text, want):
+    got = of(texts.costs, text).asDict()
+    assert {k: v for k, v in got.items() if v not in (None, False, "unknown")} == want and set(got) == set(texts.COSTS) and got["price_per_person"] is not None
+
+
+def test_glossary(of):
+    assert of(texts.translated, "2 бөлмелі пәтер жалға беріледі, депозит жоқ, жаңа ремонт, үй") == "2 комнатная квартира сдаётся, без депозита, новый ремонт, үй"
 
 
 @pytest.mark.parametrize("hours, want", [(1, 1.0), (5, 0.95), (11, 0.9), (23, 0.8), (47, 0.6), (167, 0.3), (200, 0.1), (-5, 1.0)])
@@ -159,5 +184,6 @@ def test_sql_functions(spark):
     from flatlake.functions.sqlfuncs import register
 
     assert "fl_haversine" in register(spark)
-    r = spark.sql("SELECT fl_canonical_phone('8 707 123 45 67') p, fl_price_band(258000) b, fl_listing_key('a', NULL, 'c') k, fl_costs('депозит 50 000').deposit d").first()
-    assert (r["p"], r["b"], len(r["k"]), r["d"]) == ("+77071234567", 240000, 16, 50000)
+    r = spark.sql("""SELECT fl_canonical_phone('8 707 123 45 67') p, fl_price_band(258000) b, fl_listing_key('a', NULL, 'c') k, fl_listing_type('ищем девушку на подселение') t, fl_owner_probability('я собственник', false) o,
+      fl_fingerprint('Абая 1', 2, 60.5D, NULL, 258000) f, fl_in_polygon(1D, 1D, array(named_struct('lat', 0D, 'lon', 0D), named_struct('lat', 0D, 'lon', 3D), named_struct('lat', 3D, 'lon', 0D))) i""").first()
+    assert (r["p"], r["b"], len(r["k"]), r["t"], r["o"], r["f"], r["i"]) == ("+77071234567", 240000, 16, "ROOMMATE", 0.85, "абая 1|2|60|_|240000", True)

@@ -151,7 +151,7 @@ def test_small_counts(spark):
     df = spark.createDataFrame([("a", "8 707"), ("a", "8707"), ("b", ""), ("b", None)], "source string, phone string")
     assert sorted(r["phone_count"] for r in stats.phone_repeats(df).collect()) == [0, 0, 2, 2]
     e = spark.createDataFrame([(k, dt.datetime(2024, 1, 1, 0, 0, k // 2)) for k in range(30)], "id int, requested_at timestamp")
-    assert {r["id"]: r["position"] for r in stats.queue_positions(e, 7).collect()} == {k: k + 1 for k in range(30)}
+    assert {r["id"]: r["position"] for r in stats.queue_positions(e).collect()} == {k: k + 1 for k in range(30)}
     files = spark.createDataFrame([(f"p{k}", dt.datetime(2024, 1, 1 + k // 3, k % 3), 10) for k in range(12)], "path string, used_at timestamp, size long")
     assert sorted(r["path"] for r in stats.retained(files, 100).filter("kept").collect()) == sorted(f"p{k}" for k in range(3, 12))
     assert stats.retained(files, 1000).filter("kept").count() == 12
