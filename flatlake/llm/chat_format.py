@@ -1,10 +1,12 @@
 """Chat formatting with native column expressions only.
 
 Layouts. Conversations come as messages, as prompt and response, as instruction and output, or as rows by
-turn. A layout is recognised by its schema fingerprint, the hash of its sorted nested field paths, and the
-fingerprint selects a declarative mapping (paths of the turns' role and text) that makes canonical turns:
-an array of (role, text). `from_table` takes the fingerprint of a DataFrame's schema; `from_json` takes it
-row by row from JSON records of mixed layouts.
+turn. A mapping is declarative: the nested field paths that it needs, and which of them are the turns' role and
+text; it makes canonical turns, an array of (role, text). It is selected by its schema fingerprint, the hash of its
+sorted paths: the first mapping whose fingerprint is that of the paths that a table or record shares with it. Further
+fields are thus ignored. `from_table` takes the paths of a DataFrame's schema; `from_json` takes them row by row from
+JSON records of mixed layouts, over all members of an array, and also from objects inside the record, two levels deep,
+where the record itself has no known layout. A list of messages stands for a record that has only them.
 
 Template. A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. So that no text or role can hold a control string,
 "<|" becomes "<\\|", "<\\|" becomes "<\\\\|" and so on, one backslash more; in roles, line breaks become "\\n" and
@@ -14,9 +16,10 @@ how many follow it, and whether the text is the assistant's and so under the mas
 
 Defined results: null roles and texts are empty. Turns are ordered by (turn, role, text), null turns first;
 repeated rows are turns of their own. Rows of a null conv_id form one conversation. A record of an unknown
-layout has null turns (`from_json`), or raises for a table. An empty table gives an empty result. Other
-columns are ignored by the rows layout, whatever their names. A conversation is one row of the output and so
-has to fit in one.
+layout has null turns (`from_json`), or raises for a table. An empty list of messages is a conversation without turns;
+a message that lacks a field has it empty; content in parts is the texts of its parts, a line each. An empty table gives
+an empty result. Other columns are ignored, whatever their names. A conversation is one row of the output and so has to
+fit in one.
 """
 
 from __future__ import annotations
@@ -27,21 +30,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.texts import let
+
 START, STOP = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role: string, text: string>>"
 
-#: Mappings: how each layout's fields make turns. "each" is a path to an array whose members have role and text;
-#: otherwise the listed (role, path) fields are turns in that order, empty ones with a "?" left out.
+#: Mappings, in the order in which they are tried. "each" is an array whose members have role and text; otherwise the
+#: listed (role, path) fields are turns in that order, empty ones with a "?" left out.
 LAYOUTS: dict[str, dict] = {
+    "rows": {"paths": ["conv_id", "turn", "role", "text"], "rows": True},
     "messages": {"paths": ["messages[].content", "messages[].role"], "each": "messages", "role": "role", "text": "content"},
     "conversations": {"paths": ["conversations[].from", "conversations[].value"], "each": "conversations", "role": "from", "text": "value"},
+    "system_prompt": {"paths": ["system", "prompt", "response"], "fields": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
+    "instruction_input": {"paths": ["instruction", "input", "output"], "fields": [("user", "instruction"), ("user?", "input"), ("assistant", "output")]},
     "prompt_response": {"paths": ["prompt", "response"], "fields": [("user", "prompt"), ("assistant", "response")]},
     "prompt_completion": {"paths": ["prompt", "completion"], "fields": [("user", "prompt"), ("assistant", "completion")]},
-    "question_answer": {"paths": ["question", "answer"], "fields": [("user", "question"), ("assistant", "answer")]},
     "instruction": {"paths": ["instruction", "output"], "fields": [("user", "instruction"), ("assistant", "output")]},
-    "instruction_input": {"paths": ["instruction", "input", "output"], "fields": [("user", "instruction"), ("user?", "input"), ("assistant", "output")]},
-    "system_prompt": {"paths": ["system", "prompt", "response"], "fields": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
-    "rows": {"paths": ["conv_id", "turn", "role", "text"], "rows": True},
+    "question_answer": {"paths": ["question", "answer"], "fields": [("user", "question"), ("assistant", "answer")]},
 }
 #: Role names that mean a canonical one.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
@@ -51,7 +56,12 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-BY_PRINT = {fingerprint(layout["paths"]): name for name, layout in LAYOUTS.items()}
+PRINTS = {name: fingerprint(layout["paths"]) for name, layout in LAYOUTS.items()}
+
+
+def layout_of(paths: list[str]) -> str | None:
+    """The first mapping whose fingerprint is that of the paths that these share with it."""
+    return next((name for name, layout in LAYOUTS.items() if fingerprint([p for p in layout["paths"] if p in set(paths)]) == PRINTS[name]), None)
 
 
 def field_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -74,10 +84,6 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(_role(role).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _members(array: Column, layout: dict) -> Column:
-    return F.transform(array, lambda m: _turn(m[layout["role"]], m[layout["text"]]))
-
-
 def _fields(layout: dict, get) -> Column:
     parts = []
     for role, path in layout["fields"]:
@@ -87,12 +93,10 @@ def _fields(layout: dict, get) -> Column:
 
 
 def from_table(df: DataFrame) -> DataFrame:
-    """(conv_id, turns) of a table in a known layout; ids are a column conv_id or id, else null. For the rows
-    layout, further columns are allowed."""
+    """(conv_id, turns) of a table in a known layout; ids are a column conv_id or id, else null. Further columns and
+    fields are allowed."""
     paths = field_paths(df.schema)
-    rows = set(LAYOUTS["rows"]["paths"])
-    own = sorted(rows) if rows <= set(paths) else [p for p in paths if p not in ("conv_id", "id")]
-    name = BY_PRINT.get(fingerprint(own))
+    name = layout_of(paths)
     if name is None:
         raise ValueError(f"no mapping for a table with the fields {', '.join(paths)}")
     layout = LAYOUTS[name]
@@ -102,38 +106,86 @@ def from_table(df: DataFrame) -> DataFrame:
         return every.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     key = next((F.col(c) for c in ("conv_id", "id") if c in df.columns), F.lit(None).cast("long"))
     if "each" in layout:
-        turns = F.coalesce(_members(F.col(layout["each"]), layout), F.array().cast(TURNS))
+        members = F.transform(F.col(layout["each"]), lambda m: _turn(m[layout["role"]], m[layout["text"]]))
+        turns = F.coalesce(members, F.array().cast(TURNS))
     else:
         turns = _fields(layout, F.col)
     return df.select(key.alias("conv_id"), turns.alias("turns"))
 
 
-def json_paths(json_col: str) -> Column:
-    """The sorted nested field paths of a JSON object: its fields, and those of arrays of objects."""
-    value = f"get_json_object(`{json_col}`, concat('$[\\'', k, '\\']'))"
-    inner = f"json_object_keys(get_json_object({value}, '$[0]'))"
-    below = f"CASE WHEN {value} LIKE '[{{%' AND {inner} IS NOT NULL THEN transform({inner}, i -> concat(k, '[].', i)) ELSE array(k) END"
-    own = f"filter(json_object_keys(`{json_col}`), k -> k NOT IN ('id', 'conv_id'))"
-    return F.expr(f"array_join(array_sort(flatten(transform({own}, k -> {below}))), '\n')")
+def _at(record: Column, key: Column) -> Column:
+    """The JSON text of a field of a JSON object."""
+    return F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("']")))
+
+
+def _keys(record: Column) -> Column:
+    return F.coalesce(F.call_function("json_object_keys", record), F.array().cast("array<string>"))
+
+
+def json_paths(record: Column) -> Column:
+    """The nested field paths of a JSON object: its fields, and those of all members of its arrays of objects. An empty
+    array stands for the paths of the mapping that looks into it."""
+
+    def below(key: Column) -> Column:
+        members = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>"))
+        inner = lambda m: F.array_distinct(F.flatten(F.transform(F.filter(m, lambda x: x.startswith("{")), _keys)))
+        empty = F.array().cast("array<string>")
+        for layout in LAYOUTS.values():
+            if "each" in layout:
+                empty = F.when(key == layout["each"], F.array(*map(F.lit, layout["paths"]))).otherwise(empty)
+        of_array = lambda m: F.when(m.isNull(), F.array(key)).when(F.size(m) == 0, empty).otherwise(F.transform(inner(m), lambda i: F.concat(key, F.lit("[]."), i)))
+        return let(members(_at(record, key)), of_array)
+
+    return F.flatten(F.transform(_keys(record), below))
+
+
+def _json_layout(record: Column) -> Column:
+    """The name of the first mapping whose fingerprint is that of the paths that the record shares with it."""
+
+    def first(paths: Column) -> Column:
+        shared = lambda layout: F.array_join(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, layout["paths"])))), "\n")
+        return F.coalesce(*(F.when(F.sha2(shared(layout), 256) == PRINTS[name], F.lit(name)) for name, layout in LAYOUTS.items() if not layout.get("rows")))
+
+    return let(json_paths(record), first)
+
+
+def _inside(records: Column) -> Column:
+    """The objects that are fields of these objects."""
+    return F.flatten(F.transform(records, lambda r: F.filter(F.transform(_keys(r), lambda k: _at(r, k)), lambda v: F.coalesce(v.startswith("{"), F.lit(False)))))
+
+
+def _content(member: Column, field: str) -> Column:
+    """A text, or the texts of its parts."""
+    part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"))
+    parts = F.try_variant_get(member, f"$.{field}", "array<variant>")
+    texts = F.filter(F.transform(parts, lambda p: F.when(F.schema_of_variant(p) == "STRING", part(p)).otherwise(F.try_variant_get(p, "$.text", "string"))), lambda x: x.isNotNull())
+    return F.when(parts.isNotNull(), F.array_join(texts, "\n")).otherwise(F.try_variant_get(member, f"$.{field}", "string"))
+
+
+def _json_turns(layout: dict) -> Column:
+    members = F.filter(F.try_variant_get("__value", f"$.{layout['each']}", "array<variant>"), lambda m: F.schema_of_variant(m).startswith("OBJECT"))
+    return F.transform(members, lambda m: _turn(F.try_variant_get(m, f"$.{layout['role']}", "string"), _content(m, layout["text"])))
 
 
 def from_json(df: DataFrame, json_col: str = "record", id_col: str = "conv_id") -> DataFrame:
     """(conv_id, layout, turns) of JSON records, each in a layout of its own."""
-    record = F.col(json_col)
-    found = df.withColumn("__print", F.sha2(json_paths(json_col), 256))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for key, layout_name in BY_PRINT.items():
-        layout = LAYOUTS[layout_name]
+    text = F.trim(F.col(json_col))
+    record = F.when(text.startswith("["), F.concat(F.lit('{"messages":'), text, F.lit("}"))).otherwise(text)
+    named = lambda records: F.get(F.filter(F.transform(records, lambda r: F.struct(r.alias("record"), _json_layout(r).alias("layout"))), lambda x: x["layout"].isNotNull()), F.lit(0))
+    # The record itself, then the objects in it, then those in them.
+    found = let(F.array(record), lambda one: F.coalesce(named(one), let(_inside(one), lambda two: F.coalesce(named(two), named(_inside(two))))))
+    rows = df.select(F.col(id_col).alias("conv_id"), found.alias("__found")).select("conv_id", F.col("__found.layout").alias("layout"), F.col("__found.record").alias("__record"))
+    rows = rows.withColumn("__value", F.try_parse_json("__record"))
+    turns = F.lit(None).cast(TURNS)
+    for name, layout in LAYOUTS.items():
         if layout.get("rows"):
             continue
         if "each" in layout:
-            item = f"array<struct<`{layout['role']}`: string, `{layout['text']}`: string>>"
-            members = F.from_json(F.get_json_object(record, f"$.{layout['each']}"), item)
-            own = _members(members, layout)
+            own = _json_turns(layout)
         else:
-            own = _fields(layout, lambda p: F.get_json_object(record, f"$.{p}"))
-        name, turns = F.when(F.col("__print") == key, F.lit(layout_name)).otherwise(name), F.when(F.col("__print") == key, own).otherwise(turns)
-    return found.select(F.col(id_col).alias("conv_id"), name.alias("layout"), turns.alias("turns"))
+            own = _fields(layout, lambda p: F.get_json_object("__record", f"$.{p}"))
+        turns = F.when(F.col("layout") == name, own).otherwise(turns)
+    return rows.select("conv_id", "layout", turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
