@@ -1,21 +1,29 @@
 """License scans by canonical digest lookup.
 
-A text is made canonical - lower case, copyright lines out, equivalent spellings to one, punctuation and
-blanks to single blanks - and the SHA-256 of the whole result is joined to those of known license texts.
-The same is done for single lines, which finds notices such as "Released under the MIT License." inside
-other texts. Everything is a column expression, and the patterns are understood alike by RE2.
+A text is made canonical line by line: lower case, statements of copyright out, equivalent spellings to one,
+punctuation and blanks to single blanks. Lines joined by blanks are the canonical text, so that wrapping doesn't
+matter, and its SHA-256 is joined to those of known license texts. The same lines, each by itself, are joined too,
+which finds notices such as "Released under the MIT License." inside other texts; a line is hashed only if it is as
+long as a known text is. Everything is a column expression, and the patterns are understood alike by RE2.
+
+A statement of copyright is a line that starts with a sign, or with the word and then a sign, a year, a placeholder or a
+name; a line that starts with the word and goes on as license texts do ("copyright holders be liable") is none.
+License text that follows a statement on its line stays. So does the text of all scripts: only what is neither letter,
+mark nor digit separates words.
 
 Known texts are rows (license_id, text), canonicalised the same way; a table with more than
 `broadcast_rows` of them is joined by a shuffle.
 
 Defined results: null and empty texts have the digest of the empty text and match nothing. Repeated rows
 are reported each; a null id is carried along. If known texts have one canonical form, the least
-license_id is reported. An empty table gives an empty result. Other columns are ignored.
+license_id is reported. An empty table gives an empty result. Other columns are ignored. Rows are numbered, so docs
+must read alike twice, as files do.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,81 +35,95 @@ SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense",
     "organisation": "organization", "authorised": "authorized", "acknowledgement": "acknowledgment",
     "favour": "favor", "fulfil": "fulfill", "wilful": "willful", "merchantibility": "merchantability",
-    "v1": "version 1", "v2": "version 2", "v3": "version 3", "ver": "version",
+    "v1": "version 1", "v2": "version 2", "v3": "version 3", "ver": "version", "https": "http",
 }
 
-#: Texts and notices of well-known licenses.
-KNOWN = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
-    ("MIT", """MIT License
-
-Copyright (c) <year> <copyright holders>
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
-    ("ISC", """ISC License
-
-Copyright (c) <year> <owner>
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
-    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+#: Names of licenses, as notices give them.
+NAMES = [
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"), ("0BSD", "Zero-Clause BSD License"), ("Zlib", "zlib License"), ("Unlicense", "Unlicense"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("GPL-2.0-only", "GNU General Public License, version 2"), ("GPL-3.0-only", "GNU General Public License, version 3"), ("LGPL-2.1-only", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0-only", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0-only", "GNU Affero General Public License, version 3"), ("CC0-1.0", "CC0 1.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"), ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
 ]
-
-#: A line is a notice's only if it has one of these.
-HINT = "licen|copyright|cc0|public domain"
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/]*(copyright|\(c\)|©)[^\n]*"
-OTHERS = r"[^a-z0-9À-ɏͰ-῿]+"  # COPYRIGHT_LINE and OTHERS are what the registered SQL has
+#: Notices: each name in each of these forms, and each identifier in the last one.
+FORMS = ["{the}{}", "Licensed under {the}{}.", "Released under {the}{}.", *(f"This {x} is {y} under {{the}}{{}}." for x in ("project", "work", "software", "file", "program", "document") for y in ("licensed", "released", "distributed"))]
+IDENTIFIER = "SPDX-License-Identifier: {}"
+#: Titles that may stand above a text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "Unlicense": ["The Unlicense", "Unlicense"], "Zlib": ["zlib License", "The zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def known_rows() -> list[tuple[str, str]]:
+    """The whole texts of `licenses/`, with and without a title and what follows the end of their terms; and the notices."""
+    rows = []
+    for file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+        text, name = file.read_text(encoding="utf-8"), file.stem
+        rows += [(name, text), *((name, f"{title}\n\n{text}") for title in TITLES.get(name, []))]
+        if END_OF_TERMS in text:
+            terms = text[: text.index(END_OF_TERMS)]
+            rows += [(name, terms + END_OF_TERMS), (name, terms)]
+    for name, title in NAMES:
+        the = "" if title.startswith("CC") else "the "
+        rows += [(name, form.format(title, the=the)) for form in FORMS if form != "{the}{}" or title.startswith("CC")]
+        rows.append((name, IDENTIFIER.format(name)))
+    return list(dict.fromkeys(rows))
+
+
+#: A statement of copyright, in a lower-cased line, by what follows the word, or by its sign; and what follows the word in license texts.
+MARKED = r"^[\s#*/;!-]*(copyright\s*(\(c\)|©|[:,]?\s*[0-9]{4}|[<\[{])|\(c\)\s*(copyright|[0-9]{4}|[<\[{])|©)"
+NAMED = r"^[\s#*/;!-]*copyright\s+(by\s+)?[\p{L}]+"
+NO_NAME = r"^[\s#*/;!-]*copyright\s+(act|and|any|are|as|disclaimer|doctrines|for|holders?|if|in|infringement|interests?|is|it|laws?|licen[sc]ed|licen[sc]es?|licen[sc]ing|notices?|of|on|or|owners?|ownership|permission|protection|resulting|rights?|statements?|status|terms?|that|the|this|to|treaties|treaty|under|which|with)\b"
+RESERVED = r"^[\s#*/;!-]*all rights reserved[.!]?\s*$"
+#: How license text begins after a statement on the same line.
+BEGINS = r"(permission is hereby granted|permission to use|redistribution and use|licen[sc]ed under|released under|this software is provided)"
 #: Letters, their marks and digits stay; all else separates words.
 SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
-#: A copyright clause in front of license text on the same line.
-COPYRIGHT_CLAUSE = r"(^|\n)[ \t#*/]*(?:copyright|\(c\)|©)[^\n]*?(permission is hereby granted|permission to use|redistribution and use|licen[sc]ed under|released under)"
 
 
-def canonical(text: Column, no_copyright_lines: bool = True) -> Column:
-    text = F.lower(F.coalesce(text, F.lit("")))
-    if no_copyright_lines:
-        text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_CLAUSE, "\n$2"), COPYRIGHT_LINE, "\n")
-    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "))
-    spelled = reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS.items(), text)
-    return F.trim(spelled)
+def canonical_line(line: Column) -> Column:
+    low = F.lower(line)
+    statement = low.rlike(MARKED) | (low.rlike(NAMED) & ~low.rlike(NO_NAME))
+    rest = F.when(statement, F.regexp_extract(low, rf"{BEGINS}[^\n]*", 0)).when(low.rlike(RESERVED), "").otherwise(low)
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(rest, SEPARATORS, " ")), F.lit(" "))
+    return F.trim(reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS.items(), words))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text that hold words, each made canonical."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical_line), lambda x: x != "")
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame(known_rows(), "license_id string, text string")
 
 
 def digests(known: DataFrame) -> DataFrame:
-    rows = known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), canonical(F.col("text")).alias("canon"))
-    return rows.filter("canon <> ''").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """(digest, license_id, size): size is the canonical text's length."""
+    canon = known.select("license_id", F.array_join(canonical_lines(F.col("text")), " ").alias("canon")).filter("canon <> ''")
+    return canon.groupBy(F.sha2("canon", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("canon")).alias("size"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """Per row: doc_id, canonical_sha256, license_id (of the whole text, or null), notices (the license ids of its
     lines, one for each line that is a known notice, sorted and joined by blanks) and n_notices."""
-    table = digests(known if known is not None else known_texts(docs.sparkSession))
+    table = digests(known if known is not None else known_texts(docs.sparkSession)).cache()
     few = table.count() <= broadcast_rows
-    held = F.broadcast(table) if few else table
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(HINT))
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    mine = rows.select("doc_id", "rid", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
+    held = table.select("digest", "license_id")
+    held = F.broadcast(held) if few else held
+    sizes = [r["size"] for r in table.select("size").distinct().limit(1001).collect()]
+    if len(sizes) > 1000:  # then a range must do
+        ends = table.agg(F.min("size"), F.max("size")).first()
+        fits = lambda x: F.length(x).between(*ends)
+    else:
+        fits = lambda x: F.length(x).isin(sizes) if sizes else F.lit(False)
+    rows = docs.select(col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), canonical_lines(col(text_col)).alias("all"))
+    mine = rows.select("doc_id", "rid", F.sha2(F.array_join("all", " "), 256).alias("canonical_sha256"), F.transform(F.filter("all", fits), lambda x: F.sha2(x, 256)).alias("lines"))
     whole = mine.join(held, mine["canonical_sha256"] == held["digest"], "left").drop("digest")
-    # Lines with a hint are few: they alone are spelled out, joined and brought back together.
+    # Lines as long as a known text are few: they alone are spelled out, joined and brought back together.
     names = whole.withColumn("digest", F.explode("lines")).join(held.withColumnRenamed("license_id", "notice"), "digest").groupBy("rid").agg(F.array_sort(F.collect_list("notice")).alias("found"))
     both = whole.join(names, "rid", "left")
-    return both.select("doc_id", "canonical_sha256", "license_id", F.concat_ws(" ", "found").alias("notices"), F.greatest(F.size("found"), F.lit(0)).cast("long").alias("n_notices"))
+    return both.select("doc_id", "canonical_sha256", "license_id", F.concat_ws(" ", "found").alias("notices"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_notices"))

@@ -119,28 +119,30 @@ FROM turns GROUP BY conv_id
 
 
 def _canonical_sql(text: str) -> str:
-    """The SQL of license_scan.canonical."""
-    out = f"regexp_replace(lower({text}), '{license_scan.COPYRIGHT_LINE}', chr(10), 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '{license_scan.OTHERS}', ' ', 'g')) || ' '"
-    for spelling, same in license_scan.SPELLINGS.items():
+    """The SQL of license_scan.canonical_lines."""
+    from .license_scan import BEGINS, MARKED, NAMED, NO_NAME, RESERVED, SEPARATORS, SPELLINGS
+
+    low = "lower(l)"
+    rest = f"""CASE WHEN regexp_matches({low}, '{MARKED}') OR (regexp_matches({low}, '{NAMED}') AND NOT regexp_matches({low}, '{NO_NAME}')) THEN regexp_extract({low}, '{BEGINS}[^\n]*', 0)
+      WHEN regexp_matches({low}, '{RESERVED}') THEN '' ELSE {low} END"""
+    out = f"' ' || trim(regexp_replace({rest}, '{SEPARATORS}', ' ', 'g')) || ' '"
+    for spelling, same in SPELLINGS.items():
         out = f"replace({out}, ' {spelling} ', ' {same} ')"
-    return f"trim({out})"
+    return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda l: trim({out})), lambda x: x <> '')"
 
 
 def _op6_sql() -> str:
-    quoted = [(i, t.replace("'", "''")) for i, t in license_scan.KNOWN]
+    quoted = [(i, t.replace("'", "''")) for i, t in license_scan.known_rows()]
     known = ", ".join(f"('{i}', '{t}')" for i, t in quoted)
     return rf"""
 WITH known AS (
-  SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {known}) AS v(license_id, text)) GROUP BY digest
+  SELECT sha256(canon) AS digest, min(license_id) AS license_id FROM (SELECT license_id, array_to_string({_canonical_sql("text")}, ' ') AS canon FROM (VALUES {known}) AS v(license_id, text)) WHERE canon <> '' GROUP BY canon
 ), docs AS (
-  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents
-), lines AS (
-  SELECT rid, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(lower(line), '{license_scan.HINT}')
+  SELECT doc_id, row_number() OVER () AS rid, {_canonical_sql("text")} AS lines FROM documents
 ), notices AS (
-  SELECT rid, string_agg(license_id, ' ' ORDER BY license_id) AS notices, count(*) AS n_notices FROM lines JOIN known ON sha256({_canonical_sql("line")}) = digest GROUP BY rid
+  SELECT rid, string_agg(license_id, ' ' ORDER BY license_id) AS notices, count(*) AS n_notices FROM (SELECT rid, unnest(lines) AS line FROM docs) JOIN known ON sha256(line) = digest GROUP BY rid
 ), whole AS (
-  SELECT doc_id, rid, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM docs
+  SELECT doc_id, rid, sha256(array_to_string(lines, ' ')) AS canonical_sha256 FROM docs
 )
 SELECT doc_id, canonical_sha256, license_id, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
 FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN notices USING (rid)
