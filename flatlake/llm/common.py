@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster sets it,
-    else (tests, one machine) a temporary one that becomes the session's checkpoint folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="flatlake-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+from ..operators.skew import HELD, MANY, fresh_path, join_counted, pinned, shared_dir
 
+__all__ = ["ASCII_UPPER", "ascii_lower", "col", "first_of_equal", "fresh_path", "join_counted", "pinned", "rows_of", "shared_dir"]
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared folder, so that lost executors don't repeat it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def col(name: str) -> Column:
@@ -51,12 +30,22 @@ def first_of_equal(df: DataFrame, keys: list[Column], order: list[Column]) -> Da
     return df.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
 
 
-def rows_of(docs: DataFrame, key: Column, id_col: str, kept: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose key and id are a row (key, id) of kept; of rows alike in both, one.
-    The join and the choice have the same keys, none of them null, so that the texts are shuffled once."""
+def rows_of(docs: DataFrame, key: Column, id_col: str, kept: DataFrame, held: int = HELD, many: int = MANY) -> DataFrame:
+    """The rows of docs, all columns, whose key and id are a row (key, id, n) of kept; of rows alike in both, one.
+    The join and the choice have the same keys, none of them null, so that the texts are shuffled once. n is how many
+    rows have the key, or more: keys with very many rows are chosen from inside each task before they are shuffled."""
     names = ["__key", "__id", "__none"]
     parts = lambda k, i: {"__key": k, "__id": F.coalesce(i.cast("string"), F.lit("")), "__none": i.isNull()}
-    wanted = kept.select(*(c.alias(n) for n, c in parts(F.col("key"), F.col("id")).items()))
-    mine = docs.withColumns(parts(key, col(id_col))).join(wanted, names, "left_semi")
-    order = [col(c).asc_nulls_last() for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "date", "timestamp")]
-    return first_of_equal(mine, [F.col(n) for n in names], order or [F.col("__key")]).drop(*names)
+    wanted = pinned(kept.select(*(c.alias(n) for n, c in parts(F.col("key"), F.col("id")).items()), "n"))
+    mine = docs.withColumns(parts(key, col(id_col)))
+    order = [col(c) for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "date", "timestamp")] or [F.col("__key")]
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    often = (F.col("n") >= many) & (F.col("n") * held >= total)
+    top = wanted.filter(often).select(*names)  # `held` rows at most
+    if top.isEmpty():
+        return first_of_equal(mine.join(wanted.select(*names), names, "left_semi"), [F.col(n) for n in names], [c.asc_nulls_last() for c in order]).drop(*names)
+    rare = mine.join(F.broadcast(top), names, "left_anti").join(wanted.filter(~often).select(*names), names, "left_semi")
+    rare = first_of_equal(rare, [F.col(n) for n in names], [c.asc_nulls_last() for c in order]).drop(*names)
+    ranked = F.struct(*(x for c in order for x in (c.isNull(), c)))
+    best = mine.join(F.broadcast(top), names, "left_semi").groupBy(*names).agg(F.min_by(F.struct(*map(col, docs.columns)), ranked).alias("__row"))
+    return rare.unionByName(best.select(*(F.col("__row")[c].alias(c) for c in docs.columns)))

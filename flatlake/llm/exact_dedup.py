@@ -3,7 +3,8 @@
 Equal texts are found in three steps, and each compares the full normalised text, not its digest
 alone: (1) Spark's map-side aggregation merges equal texts inside a task, (2) groups keyed by digest,
 text and a salt are merged, (3) the at most `salts` winners of a text are merged into one. A text that
-a third of all rows share thus reaches the last step as `salts` rows.
+a third of all rows share thus reaches the last step as `salts` rows, and its winner is handed back to the
+rows by a broadcast, as only a bounded number of texts can be that common.
 
 Defined results: null text counts as empty, and all empty texts form one group. A null id never wins
 against a number; if all ids of a group are null, keep_id is null. Rows that repeat both id and text
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, col, pinned, rows_of
+from .common import ascii_lower, col, join_counted, pinned, rows_of
 
 #: Copies of one (id, text) row are spelled out in blocks of this many.
 BLOCK = 10_000
@@ -47,7 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # From here on a row is its id and digest; the copies of one (id, text) row travel as a count.
     alike = ["doc_id", "digest", "sha"]
     alone = winners.filter("n_texts = 1").drop("n_texts")
-    rows = base.groupBy(*alike).agg(F.count(F.lit(1)).alias("copies")).join(alone, "digest")
+    counted = base.groupBy(*alike).agg(F.count(F.lit(1)).alias("copies"))
+    rows = join_counted(counted, alone, "digest", "group_size", F.col("doc_id")).filter("group_size IS NOT NULL")
     shared = winners.filter("n_texts > 1").select("digest")
     if not shared.isEmpty():  # different texts under one digest: their rows are joined on the text too
         apart = texts.join(shared, "digest", "left_semi")
@@ -65,5 +67,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps: one per text."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("text_sha256").alias("key"), F.col("doc_id").alias("id"))
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("text_sha256").alias("key"), F.col("doc_id").alias("id"), F.col("group_size").alias("n"))
     return rows_of(docs, F.sha2(normal_text(col(text_col)), 256), id_col, kept)
