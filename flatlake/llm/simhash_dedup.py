@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER, col, pinned, rows_of
+from .common import ASCII_UPPER, col, join_counted, pinned, rows_of
 from .components import components
 
 BITS, FAN = 64, 16
@@ -239,11 +239,12 @@ def links(fps: DataFrame, most: int = 4, heavy: int = 50_000, total: int | None
 def classified(docs: DataFrame, id_col: str, text_col: str, words: int, most: int, heavy: int, total: int | None = None) -> DataFrame:
     """Per row: doc_id, key (a hash of its text), fp, root (its component's), component_id."""
     prints = pinned(fingerprints(docs, id_col, text_col, words, total is not None))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2"), F.count(F.lit(1)).alias("n"))
     roots = components(links(least.select("fp", "fp2"), most, heavy, total)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    rooted = pinned(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = pinned(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    full = pinned(join_counted(rooted.select("fp", "root", "n"), ids, "root", "prints", F.col("fp")).select("fp", "root", "component_id", "n"))
+    return join_counted(prints, full, "fp", "n", F.struct("doc_id", "key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4, heavy: int = 50_000) -> DataFrame:
@@ -256,5 +257,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have 64 bits more, and links need `most` bits or fewer in the first 64 and `total` or fewer in all 128, which
     allows a wider search without joining unlike texts."""
     found = classified(docs, id_col, text_col, words, most, heavy, total).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("it")).select("it.key", F.col("it.doc_id").alias("id"))
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("it"), F.count(F.lit(1)).alias("n")).select("it.key", F.col("it.doc_id").alias("id"), "n")
     return rows_of(docs, F.xxhash64(col(text_col)), id_col, kept)
