@@ -8,8 +8,11 @@ item is laid along the document and compared word by word: a window of 13 words
 are (a test goes through all of them). Items of 8 to 12 words must agree as a whole but for one word, and
 shorter ones exactly; their masks are four ones, and one for each word.
 
-The benchmark is indexed in blocks of `block_bytes` of text at most (or one item), each broadcast and run
-against all documents, so that what is broadcast is bounded and nothing of the documents is shuffled.
+A benchmark of `block_bytes` of text at most is indexed as a whole and broadcast, so that nothing of the documents is
+shuffled. A larger one stays sharded: its seeds' hashes are joined to those of the documents, each row with the words
+around its place, 33 at most, which is all that windows around a hit can hold; the windows that agree are put together
+by document, item and alignment. A bitmap of the benchmark's hashes, of 2 ** 27 bits whatever its size, keeps most of the
+documents' seeds from being shuffled; it does so less the more bits are set. Either way documents are read once.
 
 Defined results: null and empty texts and items overlap nothing. Repeated items are reported by each
 item_id; repeated documents each. Null ids are carried along. Empty tables give empty results. Other
@@ -19,15 +22,15 @@ columns are ignored (or kept, by `without_overlaps`), whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, pinned
 
 WORD = re.compile(r"\w+")
 WINDOW, AGREE = 13, 11
@@ -127,48 +130,143 @@ class Index:
         return np.add.reduceat((np.cumsum(edge)[:-1] > 0).astype(np.int64), begin)
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, in lists of about block_bytes of text each."""
+#: Bits of the bitmap of the benchmark's hashes.
+BITMAP = 27
+AROUND = WINDOW - 1
+SEED = "h long, mask int, at int, context binary"
+
+
+def hashed(own: list[str]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w.encode("utf-8", "replace")) for w in own), np.uint64, len(own))
+
+
+def masks() -> list[str]:
+    return [*LONG_MASKS, MIDDLE_MASK, *("1" * n for n in range(1, 8) if "1" * n != MIDDLE_MASK)]
+
+
+def seed_rows(own: np.ndarray, wanted: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each mask, its number and the hashes at all places."""
+    for number in wanted:
+        mask = masks()[number]
+        n = len(own) - len(mask) + 1
+        if n > 0:
+            total = np.full(n, len(mask) + 31 * number, np.uint64)
+            for k in (k for k, c in enumerate(mask) if c == "1"):
+                total = (total ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                total ^= total >> np.uint64(29)
+            yield number, total
+
+
+def context(own: np.ndarray, at: int, span: int) -> bytes:
+    """Of the words, those that windows around a seed can hold, from AROUND before it on; zeros stand for none."""
+    out = np.zeros(span + 2 * AROUND, np.uint64)
+    low, high = max(0, at - AROUND), min(len(own), at + span + AROUND)
+    out[low - at + AROUND : high - at + AROUND] = own[low:high]
+    return out.tobytes()
+
+
+def good_windows(doc: bytes, item: bytes, window: int, agree: int) -> np.ndarray:
+    """Where windows begin, from AROUND before the seed, that lie inside the item and agree."""
+    d, i = np.frombuffer(doc, np.uint64), np.frombuffer(item, np.uint64)
+    sums = np.concatenate([[0], np.cumsum((d == i) & (i != 0))])
+    inside = np.concatenate([[0], np.cumsum(i != 0)])
+    return np.flatnonzero((sums[window:] - sums[:-window] >= agree) & (inside[window:] - inside[:-window] == window))
+
+
+def joined_overlaps(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """rows: rid, text; benchmark: uid, item_id, text. (rid, uid, item_id, item_words, overlap_words), the documents read once."""
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uid, item, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "item_id", "text")), strict=True):
+                own = hashed(words(text))
+                for number, h in seed_rows(own, [masks().index(m) for m in terms(len(own))[2]] if len(own) else []):
+                    out += [(v, number, k, context(own, k, len(masks()[number])), uid, item, len(own)) for k, v in enumerate(h.view(np.int64).tolist())]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["h", "mask", "place", "item", "uid", "item_id", "item_words"])
+
+    seeds = pinned(benchmark.mapInArrow(item_seeds, "h long, mask int, place int, item binary, uid long, item_id long, item_words int"))
+    low = F.col("h").bitwiseAND((1 << BITMAP) - 1)
+    set_bits = seeds.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()  # 2 ** (BITMAP - 6) rows at most
+    bitmap = np.zeros(1 << (BITMAP - 6), np.int64)
+    bitmap[set_bits["word"].to_numpy()] = set_bits["bits"].to_numpy()
+    used = [r["mask"] for r in seeds.select("mask").distinct().collect()]  # a row for each mask
+    shared = rows.sparkSession.sparkContext.broadcast((bitmap.view(np.uint64), sorted(used)))
+
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, wanted = shared.value
+        for batch in batches:
+            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
+                own, out = hashed(words(text.as_py())), []
+                for number, h in seed_rows(own, wanted):
+                    place = h & np.uint64((1 << BITMAP) - 1)
+                    at = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    out += [(v, number, k, context(own, k, len(masks()[number])), rid) for k, v in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)]
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["h", "mask", "at", "context", "rid"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rid, at, doc, place, item, uid, item_id, n in zip(*(batch.column(c).to_pylist() for c in ("rid", "at", "context", "place", "item", "uid", "item_id", "item_words")), strict=True):
+                window, agree, _ = terms(n)
+                out += [(rid, uid, item_id, n, at - place, place - AROUND + int(k)) for k in good_windows(doc, item, window, agree)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["rid", "uid", "item_id", "item_words", "shift", "start"])
+
+    met = rows.mapInArrow(doc_seeds, SEED + ", rid long").join(seeds, ["h", "mask"])
+    windows = met.select("rid", "at", "context", "place", "item", "uid", "item_id", "item_words").mapInArrow(verified, "rid long, uid long, item_id long, item_words int, shift long, start long").distinct()
+    width = F.least(F.lit(WINDOW), F.col("item_words"))  # shorter items are one window
+    following = F.lead("start").over(Window.partitionBy("rid", "uid", "shift").orderBy("start"))
+    covered = windows.withColumn("own", F.least(width.cast("long"), F.coalesce(following - F.col("start"), width.cast("long"))))
+    aligned = covered.groupBy("rid", "uid", "item_id", "item_words", "shift").agg(F.sum("own").cast("int").alias("overlap_words"))
+    return aligned.groupBy("rid", "uid", "item_id", "item_words").agg(F.max("overlap_words").alias("overlap_words"))
+
+
+def items_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[list[tuple[int | None, str | None]] | None, DataFrame]:
+    """The items as a list if they have block_bytes of text at most, else None; and as rows."""
     rows = benchmark.select(col(item_col).cast("long").alias("item_id"), col(text_col).alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(-(-total // block_bytes))
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+    few = [(r["item_id"], r["text"]) for r in rows.collect()] if total <= block_bytes else None
+    return few, rows.withColumn("uid", F.monotonically_increasing_id())
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id, item_words, overlap_words) of each document and benchmark item that overlap."""
-    schema = "doc_id long, item_id long, item_words int, overlap_words int"
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    out = None
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    items, sharded = items_of(benchmark, item_col, item_text_col, block_bytes)
+    if items is None:
+        found = joined_overlaps(rows.select("rid", "text"), sharded)
+        return rows.select("rid", "doc_id").join(found, "rid").select("doc_id", "item_id", "item_words", "overlap_words")
+    index = docs.sparkSession.sparkContext.broadcast(Index(items))
 
-        def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            for batch in batches:
-                hits = [(d, own.item[i], int(own.length[i]), n) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for i, n in own.overlaps(t.as_py())]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "item_words", "overlap_words"])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            hits = [(d, own.item[i], int(own.length[i]), n) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for i, n in own.overlaps(t.as_py())]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "item_words", "overlap_words"])
 
-        found = rows.mapInArrow(find, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+    return rows.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, item_words int, overlap_words int")
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
     """The rows of docs, all columns, that overlap no benchmark item."""
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(Index(items)))(col(text_col)))
-    return docs
+    items, sharded = items_of(benchmark, item_col, item_text_col, block_bytes)
+    if items is None:
+        rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+        found = joined_overlaps(rows.select(F.col("__rid").alias("rid"), col(text_col).alias("text")), sharded)
+        return rows.join(found.select(F.col("rid").alias("__rid")).distinct(), "__rid", "left_anti").drop("__rid")
+    return docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(Index(items)))(col(text_col)))
 
 
 def _clean(index):
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        return pd.Series([not index.value.overlaps(t) for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([not index.value.overlaps(t.as_py()) for t in texts], pa.bool_())
 
     return clean
