@@ -17,6 +17,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,9 +37,22 @@ SIZE, UNITS, END = 2048, 64, 0
 class WordTokenizer:
     """A tokenizer file's ids, with the ids of words kept: its model splits words one by one, so that a
     text's ids are those of its words in turn. Texts with characters beyond Latin letters, or with a
-    special token's string, are encoded as a whole."""
-
-    #: Words of the file's splitter, for the characters that PLAIN lets through.
+    special token's string, are encoded as a whole, and so are all texts if the file's normalizer, splitter or
+    model isn't of the kind that WORDS knows."""
+
+    #: Of a file: how texts are normalised and split into words, and what ends a word. WORDS holds for this alone.
+    KIND = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"},
+    }
+    #: Words of that splitter, for the characters that PLAIN lets through.
     WORDS = re.compile(r"[a-zà-öø-ſßªº]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-zà-öø-ſßªº0-9]+")
     #: Code points that it takes as they are: ASCII and the Latin ones up to U+017F but for some odd ones.
     PLAIN = np.zeros(0x110000, bool)
@@ -53,6 +67,9 @@ class WordTokenizer:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        own = json.loads(self.tokenizer.to_str())
+        parts = {k: own.get(k) for k in ("normalizer", "pre_tokenizer")} | {"model": {k: own["model"].get(k) for k in self.KIND["model"]}}
+        self.by_words = parts == self.KIND
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -62,7 +79,7 @@ class WordTokenizer:
         """The ids of each text."""
         split: list[list[str] | None] = []
         for t in texts:
-            low = t.lower() if self.is_plain(t) else None
+            low = t.lower() if self.by_words and self.is_plain(t) else None
             split.append(self.WORDS.findall(low) if low is not None and not any(s in low for s in self.special) else None)
         if len(self.at) > self.most:
             self._empty()
@@ -270,7 +287,7 @@ def place(rows: DataFrame, size: int = SIZE, group: int = 50_000) -> DataFrame:
     return ranked.select(*names, "__rank").mapInArrow(look_up, schema)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = pinned(pieces(docs, path, id_col, text_col, size))
-    return place(rows, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids, the tokens themselves."""
+    rows = pinned(pieces(docs, path, id_col, text_col, size, with_ids))
+    return place(rows, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
