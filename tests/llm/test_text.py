@@ -3,7 +3,10 @@ import hashlib
 import itertools
 import os
 import random
+import re
+import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -94,6 +97,25 @@ def test_tokenizer_is_the_files():
         assert [g.tolist() for g in got] == [reference_ids(t)[:-1] for t in texts[k : k + 100]]
 
 
+def test_other_tokenizer_files_are_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "t.json"))
+    own = packing.tokenizer(str(tmp_path / "t.json"))
+    assert not own.by_words and packing.tokenizer(tokenizer_path()).by_words
+    assert [x.tolist() for x in own(["a b A", "b-a", ""])] == [[0, 1, 2], [1, 2, 0], []]
+
+
+def test_pack_with_ids(spark):
+    texts = [(1, "one two three"), (2, ""), (3, None), (4, "word " * 5000)]
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer_path(), with_ids=True).collect()
+    for i, t in texts:
+        ids = [x for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"]) for x in r["ids"]]
+        assert ids == reference_ids(t) and all(len(r["ids"]) == r["length"] for r in got)
+
+
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma,", "12"]) for _ in range(rng.choice([0, 3, 40, 200, 900]))), None, "") for k in range(120)]
@@ -338,12 +360,21 @@ def test_classify_beyond_ascii(spark):
 # Licenses
 
 
+def licenses(spark, texts, known=None, **more):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["license_id"] for r in sorted(license_scan.scan(rows, known, **more).collect())]
+
+
+def whole_texts():
+    return {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(license_scan.__file__).parent / "licenses").glob("*.txt"))}
+
+
 def test_scan(spark):
-    mit = next(t for i, t in license_scan.KNOWN if i == "MIT" and len(t) > 500)
-    changed = mit.replace("<year> <copyright holders>", "1999 Some One").replace("Software", "SOFTWARE").replace(",", " , ").replace("License", "Licence")
+    mit = "The MIT License (MIT)\n\n" + whole_texts()["MIT"]
+    changed = mit.replace("<year> <copyright holders>", "1999 Some One\nAll rights reserved.").replace("Software", "SOFTWARE").replace(",", " , ").replace("License", "Licence")
     rows = [(1, mit), (2, changed), (3, "hello\nReleased under the MIT Licence.\nLicensed under CC BY-NC 4.0"), (4, None), (5, ""), (None, "Copyright 2020 X"), (6, "long " * 20000), (6, "long " * 20000), (7, mit + " more")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x"))
-    for known, bound in ((None, 100), (license_scan.known_texts(spark), 0)):
+    for known, bound in ((None, 10_000), (license_scan.known_texts(spark), 0)):
         got = license_scan.scan(df, known, broadcast_rows=bound).collect()
         assert len(got) == len(rows)
         by = {r["doc_id"]: (r["license_id"], r["notices"], r["n_notices"]) for r in got}
@@ -351,8 +382,37 @@ def test_scan(spark):
     assert license_scan.scan(df.limit(0)).collect() == []
 
 
+def test_every_known_text_however_wrapped(spark):
+    """All whole texts, wrapped anew, as comments, without the copyright statement's line, and with a clause of their own."""
+    wrapped, names = [], []
+    for name, text in whole_texts().items():
+        paragraphs = re.split(r"\n\s*\n", text)
+        for width in (40, 60, 72, 80, 1_000_000):
+            # A statement of copyright stays on its line, as it ends there.
+            lines = [w for p in paragraphs for w in (p.split("\n") if re.search(r"(?m)^\s*(copyright [(\[<0-9]|all rights)", p.lower()) else textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) + [""]]
+            wrapped += ["\n".join(lines), "\n".join("# " + x for x in lines), "\n".join(lines) + "\nمع شرط آخر"]
+            names += [name, name, None]
+    assert licenses(spark, wrapped) == names
+
+
+def test_statements_of_copyright(spark):
+    body = whole_texts()["0BSD"]
+    heads = ["Copyright 2020 A", "(c) 2021 B", "© C", "Copyright (C) <year>  <name of author>", "Copyright Jane Doe", "Copyright by Jane Doe", "All rights reserved.", "# Copyright, 1999 D"]
+    others = ["Copyright holders may object", "copyright law applies", "Copyright notices stay", "my copyright 2020"]
+    assert licenses(spark, [f"{h}\n{body}" for h in heads]) == ["0BSD"] * len(heads)
+    assert licenses(spark, [f"{h}\n{body}" for h in others]) == [None] * len(others)
+
+
+def test_known_texts_of_the_caller(spark):
+    clause = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    known = spark.createDataFrame([("own", clause), ("own-zh", "保留所有权利"), ("b", "!!"), ("a", clause.upper())], "license_id string, text string")
+    rows = spark.createDataFrame([(1, f"x\n{clause}\ny"), (2, "保留所有权利"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in license_scan.scan(rows, known).collect()}
+    assert got == {1: (None, "a"), 2: ("own-zh", "own-zh"), 3: (None, "")}
+
+
 def test_scan_all_scripts_and_one_line_licenses(spark):
-    zero = " ".join(next(t for i, t in license_scan.KNOWN if i == "0BSD").split())
+    zero = " ".join(whole_texts()["0BSD"].split())
     rows = [(1, "这是一个文件。\nReleased under the MIT License."), (2, "这是一个文件 Released under the MIT License."), (3, "我喜欢"), (4, "こんにちは"), (5, ""), (6, "Copyright (C) 2020 by Some One. " + zero), (7, "Copyright 2020 A\nCopyright 2021 B\n" + zero)]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k]["license_id"] for k in range(1, 8)] == [None] * 5 + ["0BSD"] * 2 and got[1]["notices"] == "MIT" and got[2]["notices"] == ""
@@ -390,12 +450,18 @@ def test_layouts(spark):
         (1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}', "messages", [("user", "hi"), ("assistant", "yo")]), (2, '{"response":"r","prompt":"p"}', "prompt_response", [("user", "p"), ("assistant", "r")]),
         (3, '{"instruction":"i","input":"","output":"o"}', "instruction_input", [("user", "i"), ("assistant", "o")]), (4, '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":null}]}', "conversations", [("user", "h"), ("assistant", "")]),
         (5, '{"x":1}', None, None), (6, None, None, None), (7, "not json", None, None),
+        # Further fields, of the record and of messages; empty and partly filled lists; wrapped records; content in parts.
+        (8, '{"messages":[{"role":"user","content":"hi","name":"n"}],"source":"s","id":4}', "messages", [("user", "hi")]), (9, '{"messages":[]}', "messages", []),
+        (10, '{"messages":[{"content":"hi"},{"role":"assistant"},7]}', "messages", [("", "hi"), ("assistant", "")]), (11, '{"data":{"prompt":"p","response":"r"},"meta":{"a":{"b":1}}}', "prompt_response", [("user", "p"), ("assistant", "r")]),
+        (12, '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image","url":"u"},"b"]},{"role":"gpt","content":"[1]"}]}', "messages", [("user", "a\nb"), ("assistant", "[1]")]),
+        (13, '[{"role":"user","content":"x"}]', "messages", [("user", "x")]), (14, '{"a":{"b":{"question":"q","answer":"z","n":1}}}', "question_answer", [("user", "q"), ("assistant", "z")]), (15, '{"prompt":"p","response":"r","tags":["x"],"system":"s"}', "system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        (16, "", None, None), (17, '{"a b\'c":{"prompt":1}}', None, None), (18, '{"prompt":null,"response":5}', "prompt_response", [("user", ""), ("assistant", "5")]),
     ]
     got = chat_format.from_json(spark.createDataFrame([r[:2] for r in records], "conv_id long, record string")).collect()
-    assert {r["conv_id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in got} == {i: (layout, turns) for i, _, layout, turns in records}
-    table = spark.createDataFrame([(1, "p", None)], "id long, prompt string, response string")
+    assert {r["conv_id"]: (r["layout"], None if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in got} == {i: (layout, turns) for i, _, layout, turns in records}
+    table = spark.createDataFrame([(1, "p", None, "x")], "id long, prompt string, response string, source string")
     assert [tuple(t) for t in chat_format.from_table(table).first()["turns"]] == [("user", "p"), ("assistant", "")]
-    nested = spark.createDataFrame([(1, [("user", "a")]), (2, None)], "id long, messages array<struct<role: string, content: string>>")
+    nested = spark.createDataFrame([(1, [("user", "a")]), (2, None)], "id long, messages array<struct<role: string, content: string>>").withColumn("extra", F.lit(1))
     assert [len(r["turns"]) for r in chat_format.from_table(nested).orderBy("conv_id").collect()] == [1, 0]
     with pytest.raises(ValueError):
         chat_format.from_table(spark.createDataFrame([(1, 2)], "a int, b int"))
@@ -420,6 +486,8 @@ def test_archives(spark, tmp_path):
         kind = "response" if top is None or i == top else "revisit"
         want.append((i, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), kind, top if kind == "revisit" else None, u))
     assert sorted(map(str, want)) == sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["url"])) for r in got)
+    apart = warc_index.read_archives(spark, str(tmp_path / "x")) if warc_index.write_archives(df, str(tmp_path / "x"), 20, 1_000_000) is None else None
+    assert apart.count() == len(pages) and (tmp_path / "x/large").is_dir()
     large = warc_index.capture_history(df, str(tmp_path / "v"), least_bytes=5).filter("payload_bytes < 5 AND record_type <> 'response'")
     assert large.count() == 0
     assert warc_index.capture_history(df.limit(0), str(tmp_path / "e")).collect() == []
