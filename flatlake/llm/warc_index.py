@@ -29,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh_path, pinned
+from .common import col, fresh_path, join_counted, pinned
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+#: Bytes of a record besides its payload, about.
+HEADERS = 4096
+#: Index rows that a task merges, about.
+RANGE = 100_000
 #: 2024-01-01; pages without a date are dated by their id, a second apart, within a year.
 FIRST_SECOND, YEAR = 1704067200, 365 * 86400
 INDEX = "url_key string, captured timestamp, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, archive string, nth long"
@@ -54,8 +58,8 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     date = col(date_col) if date_col else F.timestamp_seconds(F.lit(FIRST_SECOND) + F.pmod(F.coalesce(col(id_col).cast("long"), F.lit(0)), F.lit(YEAR)))
     base = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).alias("payload"), date.alias("date"))
     base = base.withColumn("digest", base32_sha1(F.col("payload")))
-    tops = base.groupBy("digest").agg(F.max("page_id").alias("top"))
-    rows = base.join(tops, "digest")
+    tops = pinned(base.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")))
+    rows = join_counted(base, tops, "digest", "n", F.struct("page_id", "url"))
     revisit = (F.octet_length("payload") >= least_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload"), F.lit(CRLF + CRLF))
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
@@ -73,9 +77,18 @@ def records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url
     return rows.select(F.concat(head, block, F.lit(CRLF + "\r")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, per_file: int = 5000, **columns: Any) -> None:
-    """A folder of gzipped archives with `per_file` records each at most."""
-    records(pages, **columns).write.option("compression", "gzip").option("maxRecordsPerFile", per_file).option("lineSep", "\n").text(path)
+def write_archives(pages: DataFrame, path: str, per_file: int = 5000, most_bytes: int = 256 << 20, **columns: Any) -> None:
+    """Folders of gzipped archives with `per_file` records and about `most_bytes` each at most, before they are packed. Records
+    that are too large for that many in a file are written apart, as few to a file as the largest of them asks for."""
+    rows, size = records(pages, **columns), F.octet_length("value")
+    usual = max(1, most_bytes // per_file)
+    largest = pages.agg(F.max(F.octet_length(col(columns.get("html_col", "html"))))).first()[0] or 0
+    parts = [("usual", rows, per_file)]
+    if largest + HEADERS > usual:
+        parts = [("usual", rows.filter(size <= usual), per_file)]
+        parts.append(("large", rows.filter(size > usual), max(1, min(per_file, most_bytes // (largest + HEADERS)))))
+    for name, part, most in parts:
+        part.write.option("compression", "gzip").option("maxRecordsPerFile", most).option("lineSep", "\n").text(f"{path}/{name}")
 
 
 def url_key(url: str | None) -> str:
@@ -208,7 +221,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 yield from _batches(iter(index_run(name.rpartition("/")[2], content.as_buffer().to_pybytes())))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(read, INDEX)
 
 
@@ -219,7 +232,9 @@ def merged_index(runs: DataFrame) -> DataFrame:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         yield from _batches(iter(LoserTree(sorted_runs(rows), order)))
 
-    by_range = pinned(runs).repartitionByRange("url_key", "captured", F.col("page_id").asc_nulls_first(), "archive", "nth")
+    held = pinned(runs)
+    ranges = max(1, -(-held.count() // RANGE))  # the key is unique, so that ranges are even whatever is common
+    by_range = held.repartitionByRange(max(ranges, held.sparkSession.sparkContext.defaultParallelism), "url_key", "captured", F.col("page_id").asc_nulls_first(), "archive", "nth")
     return by_range.mapInArrow(merge, INDEX)
 
 
