@@ -1,14 +1,23 @@
+import os
 import random
 import re
 
 import corpus_pipeline
-from flatlake.llm import decontamination, simhash_dedup
+import pytest
+from pyspark.sql import functions as F
 
-from .test_dedup import LOWER, brute_print
+from flatlake.llm import alike, decontamination
+
+from .test_dedup import LOWER
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def shingle_set(text):
+    w = text.translate(LOWER).encode().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_stages(spark, tmp_path):
     item = "seven green bottles were standing on the old stone wall behind our little house today"
     words = [f"word{k:03}x" for k in range(400)]
@@ -41,12 +50,14 @@ def test_stages(spark, tmp_path):
                     best[k] = (i, t)
             kept = list(best.values())
         elif name == "near_dedup":
-            prints = [simhash_dedup.fingerprint(t.encode(), 5, wide=True) for _, t in kept]
-            assert [p for p, _ in prints] == [brute_print(t, 5) for _, t in kept]
-            root = {p: min(q for q in prints if (p[0] ^ q[0]).bit_count() <= 10 and (p[0] ^ q[0]).bit_count() + (p[1] ^ q[1]).bit_count() <= 24) for p in prints}
+            sets = [shingle_set(t) for _, t in kept]
+            root = list(range(len(kept)))
+            for i in range(len(kept)):
+                for j in range(i):
+                    if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                        root = [root[j] if r == root[i] else r for r in root]
             least = {}
-            for (i, t), p in zip(kept, prints, strict=True):
-                r = root[p]
+            for (i, t), r in zip(kept, root, strict=True):
                 if r not in least or (i is not None and (least[r][0] is None or i < least[r][0])):
                     least[r] = (i, t)
             kept = list(least.values())
@@ -94,3 +105,49 @@ def test_near_dedup_measures_jaccard(spark):
     assert len(want) < len(texts) - 20 and near > len(texts) - len(want) + 40
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+def test_near_dedup_on_a_whole_table(spark):
+    """All pairs of all texts of a table: those alike by 0.8 or more are joined (recall of 0.9 at least), and no others are
+    but those that true links connect."""
+    texts = spark.read.parquet(f"{TABLES}/documents.parquet").filter("text IS NOT NULL").select(F.xxhash64("text").alias("key"), "text").dropDuplicates(["key"])
+    sets = {r["key"]: shingle_set(r["text"]) for r in texts.collect()}
+    keys = sorted(sets)
+    true, links = {k: k for k in keys}, []
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links.append((a, b))
+                low, high = sorted((true[a], true[b]))
+                true = {k: low if r == high else r for k, r in true.items()}
+    found = {r["key"]: r["root"] for r in alike.roots_of(texts, 5, 0.8, 30, 4).collect()}
+    assert sum(found.get(a, a) == found.get(b, b) for a, b in links) >= 0.9 * len(links)
+    assert all(true[k] == true[r] for k, r in found.items())
+
+
+def test_large_groups_of_near_copies(spark):
+    """One group of near copies, chained, and one of unlike texts that share a passage; more than an index node holds."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 6)):
+            own[at] = word()
+        texts.append(" ".join(own))
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([*passage, *(word() for _ in range(90))]) for _ in range(120)]
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in alike.drop_alike(docs).collect()}
+    assert abs(len(got) - len(set(root))) <= 2 and got <= set(range(len(texts)))
