@@ -60,7 +60,7 @@ def ranked(text: str, size: int) -> np.ndarray:
     return found[np.argsort(-counts, kind="stable")[:size]]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[dict[str, list]]:
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterator[dict[str, list]]:
     """Rows as column lists, cut so that a chunk's texts have about `limit` characters at most, or one text."""
     for batch in batches:
         rows, texts = batch.to_pydict(), batch.column("text")
@@ -122,13 +122,14 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """docs, all columns, with lang_pred and lang_score appended as __lang_pred and __lang_score."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("pred string, score double")
-    def judged(texts):
-        import pandas as pd
+    @F.arrow_udf("pred string, score double")
+    def judged(texts: pa.Array) -> pa.Array:
+        # Some texts at a time, so that few of them are there as Python's own at once.
+        found = [shared.value.judge(t) for k in range(0, len(texts), 200) for t in texts.slice(k, 200).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["pred", "score"])
 
-        return pd.DataFrame([shared.value.judge(t) for t in texts], columns=["pred", "score"])
-
-    both = docs.withColumn("__judged", judged(col(text_col)))
+    # Not deterministic for Spark, so that a filter on the result doesn't have each text judged once more.
+    both = docs.withColumn("__judged", judged.asNondeterministic()(col(text_col)))
     return both.withColumns({"__lang_pred": F.col("__judged.pred"), "__lang_score": F.col("__judged.score")}).drop("__judged")
 
 
