@@ -47,6 +47,8 @@ BLOCK = 1_000_000
 TOGETHER = 500_000
 #: Different contexts of one bucket that a task compares.
 HEAVY = 2000
+#: Buckets of more contexts that are broadcast, at most; beyond, they are joined by a shuffle.
+FEW = 1_000_000
 #: What a row of names needs: whether others have its first name, its both names, or nothing, as it is known to repeat. Or
 #: it only tells of what its task has: a bucket of one context, a bucket of several, a context, a context in a bucket of several.
 BUCKET, STRING, KNOWN, TELL_BUCKET, TELL_MIXED, TELL_STRING, MIXED_STRING, TELL_MIXED_STRING = range(8)
@@ -421,8 +423,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_context = by_bucket.mapInArrow(settle_buckets, ROW).repartition(F.expr(ROUTE)).sortWithinPartitions(F.expr(KIND), "first", "second", F.desc("need"))
     found = pinned(by_context.mapInArrow(settle_contexts, "bucket long, rid long, mark long"))
     send = found.filter(F.col("mark").bitwiseAND(SEND) > 0)
-    many = send.groupBy("bucket").count().filter(F.col("count") > HEAVY).select("bucket", F.lit(True).alias("heavy"))
-    flagged = send.join(many, "bucket", "left").select("rid", F.struct("mark", "bucket", F.coalesce("heavy", F.lit(False)).alias("heavy")).alias("m"))
+    many = pinned(send.groupBy("bucket").count().filter(F.col("count") > HEAVY).select("bucket", F.lit(True).alias("heavy")))
+    few = many.count() <= FEW  # then rows of a common bucket stay where they are
+    flagged = send.join(F.broadcast(many) if few else many, "bucket", "left").select("rid", F.struct("mark", "bucket", F.coalesce("heavy", F.lit(False)).alias("heavy")).alias("m"))
     marks = flagged.groupBy("rid").agg(F.collect_list("m").alias("marks"))
     contexts = rows.join(marks, "rid").mapInArrow(send_contexts, SENT)
     target = F.when(F.col("heavy"), F.xxhash64("first", "second")).otherwise(F.col("first"))
