@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, license_scan, warc_index
+from . import chat_format, license_scan, structure_repair, warc_index
 from .decontamination import find_overlaps
 from .exact_dedup import exact_dedup
 from .language_id import predict_languages
@@ -70,11 +70,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return structure_repair.audit(structure_repair.damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_index, op2_simhash_dedup, op3_exact_dedup, op4_chat_format, op5_decontamination, op6_license_scan,
-        op7_language_id, op8_best_fit_packing, op9_suffix_array_dedup, op10_quality_classifier,
+        op7_language_id, op8_best_fit_packing, op9_suffix_array_dedup, op10_quality_classifier, op11_structure_repair,
     )
 }
 
@@ -149,4 +154,49 @@ FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN notices USING
 """
 
 
-SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_license_scan": _op6_sql()}
+def _crc_sql(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {step}))"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM keyed, range(1, 3) AS copies(n) WHERE kind <> 0 AND (n = 1 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stem
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged)
+), faulty AS (
+  SELECT *, CASE WHEN stem = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(stem, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1) || left(role, 1) AS step FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE step NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM faulty GROUP BY conv_id
+), moves(state, needs, edit, spent, given, next) AS (
+  VALUES ('0', 's', 'K', 0, '', 's'), ('0', 'u', 'K', 0, '', 'u'), ('s', 'u', 'K', 0, '', 'u'), ('a', 'u', 'K', 0, '', 'u'), ('u', 'a', 'K', 0, '', 'a'),
+    ('0', '', 'D', 3, '', '0'), ('s', '', 'D', 3, '', 's'), ('u', '', 'D', 3, '', 'u'), ('a', '', 'D', 3, '', 'a'),
+    ('0', '', 'R', 2, 'user', 'u'), ('s', '', 'R', 2, 'user', 'u'), ('a', '', 'R', 2, 'user', 'u'), ('u', '', 'R', 2, 'assistant', 'a')
+), inserts(state, edits, spent, turns, next) AS (
+  VALUES ('0', '', 0, '', '0'), ('s', '', 0, '', 's'), ('u', '', 0, '', 'u'), ('a', '', 0, '', 'a'), ('0', 'I', 2, chr(10) || 'user:', 'u'), ('s', 'I', 2, chr(10) || 'user:', 'u'), ('a', 'I', 2, chr(10) || 'user:', 'u'),
+    ('u', 'I', 2, chr(10) || 'assistant:', 'a'), ('0', 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:', 'a'), ('s', 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:', 'a')
+), ways AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, '0' AS state, {{'cost': 0, 'audit': '', 'turns': ''}} AS way FROM counted
+  UNION ALL
+  SELECT w.conv_id, f.n, m.next, min({{'cost': way.cost + i.spent + m.spent + CAST(m.edit <> 'D' AND fault = 'truncated' AS INTEGER), 'audit': way.audit || i.edits || m.edit,
+    'turns': way.turns || i.turns || CASE m.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || given || ':' || text END}})
+  FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1 JOIN inserts i ON i.state = w.state
+  JOIN moves m ON m.state = i.next AND (m.edit <> 'K' OR needs = left(role, 1)) AND (m.edit = 'D' OR fault NOT IN ('blank', 'duplicate')) GROUP BY w.conv_id, f.n, m.next
+), ended AS (
+  SELECT w.conv_id, min({{'cost': way.cost + i.spent, 'audit': way.audit || i.edits, 'turns': way.turns || i.turns}}) AS way
+  FROM ways w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.n JOIN inserts i ON i.state = w.state AND i.next IN ('0', 'a') GROUP BY w.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(way.cost, 0) AS BIGINT) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(substr(way.turns, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_license_scan": _op6_sql(), "op11_structure_repair": OP11_SQL}
