@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, license_scan, structure_repair, warc_index
+from . import chat_format, license_scan, prefix_trie, structure_repair, warc_index
 from .decontamination import find_overlaps
 from .exact_dedup import exact_dedup
 from .language_id import predict_languages
@@ -75,11 +75,16 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.audit(structure_repair.damaged(rows), rows)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_index, op2_simhash_dedup, op3_exact_dedup, op4_chat_format, op5_decontamination, op6_license_scan,
         op7_language_id, op8_best_fit_packing, op9_suffix_array_dedup, op10_quality_classifier, op11_structure_repair,
+        op12_prefix_trie,
     )
 }
 
@@ -199,4 +204,36 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_license_scan": _op6_sql(), "op11_structure_repair": OP11_SQL}
+OP12_SQL = rf"""
+WITH keyed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, coalesce({_crc_sql("CAST(conv_id AS VARCHAR)")} % 9, 0) AS h FROM (SELECT DISTINCT conv_id FROM conversations)
+), heads AS (
+  SELECT i.conv_id, n AS depth, role, text FROM ids i JOIN keyed k ON k.conv_id = i.base AND n <= h
+), placed AS (
+  SELECT * FROM heads UNION ALL
+  SELECT i.conv_id, n - h + (SELECT count(*) FROM heads t WHERE t.conv_id = i.conv_id), role, text FROM ids i JOIN keyed k ON k.conv_id IS NOT DISTINCT FROM i.conv_id AND n > h
+), members AS (
+  SELECT conv_id, 0 AS depth, 0 AS bytes, '' AS path FROM ids UNION ALL
+  SELECT conv_id, depth, octet_length(encode(text)), string_agg(length(role) || ':' || role || sha256(text), ' ') OVER (PARTITION BY conv_id ORDER BY depth) FROM placed
+), lengths AS (
+  SELECT conv_id AS id, max(depth) AS n FROM members GROUP BY conv_id
+), nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth) AS ends
+  FROM members JOIN lengths ON id IS NOT DISTINCT FROM conv_id GROUP BY depth, path
+), ups AS (
+  SELECT DISTINCT a.depth, a.path, b.depth AS up_depth, b.path AS up_path FROM members a JOIN members b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.depth <= a.depth
+), children AS (
+  SELECT up_depth AS depth, up_path AS path, count(*) AS n FROM ups WHERE up_depth = depth - 1 GROUP BY up_depth, up_path
+), sums AS (
+  SELECT u.up_depth AS depth, u.up_path AS path, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.bytes) AS saved
+  FROM ups u JOIN nodes m USING (depth, path) LEFT JOIN children c USING (depth, path) GROUP BY u.up_depth, u.up_path
+)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM nodes o JOIN sums s USING (depth, path) LEFT JOIN children c USING (depth, path)
+LEFT JOIN ups u ON u.depth = o.depth AND u.path = o.path AND u.up_depth = o.depth - 1 LEFT JOIN nodes p ON p.depth = u.up_depth AND p.path = u.up_path
+"""
+
+
+SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_license_scan": _op6_sql(), "op11_structure_repair": OP11_SQL, "op12_prefix_trie": OP12_SQL}

@@ -6,8 +6,10 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from flatlake.llm import queries, structure_repair
+from flatlake.llm import prefix_trie, queries, structure_repair
+from flatlake.llm.common import HELD
 from flatlake.llm.structure_repair import Decoder
 
 CHATS = "conv_id long, turn long, role string, text string"
@@ -118,11 +120,79 @@ def test_all_short_conversations():
             assert got == all_repairs(rows)
 
 
+# Prefix trie
+
+
+def turns_of(rows):
+    own = {}
+    for conv, turn, role, text in rows:
+        own.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    return {c: [r[2:] for r in sorted(v)] for c, v in own.items()}
+
+
+def rebuild(own):
+    out = {}
+    for c, mine in own.items():
+        h = zlib.crc32(str(c).encode()) % 9 if c is not None else 0
+        base = own.get(c - (abs(c) % 5) * (1 if c > 0 else -1), []) if c is not None else []  # the rest has the sign of c
+        out[c] = base[:h] + mine[h:]
+    return out
+
+
+def brute_trie(convs):
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    least = {node: min((c for c in m if c is not None), default=None) for node, m in members.items()}
+    out = []
+    for node, m in members.items():
+        under = [x for x in members if x[: len(node)] == node]
+        children = [x for x in under if len(x) == len(node) + 1]
+        leaves = [x for x in under if not any(y[: len(x)] == x and len(y) == len(x) + 1 for y in under)]
+        saved = sum((len(members[x]) - 1) * len(x[-1][1].encode()) for x in under if x)
+        ends = ",".join(map(str, sorted(c for c in m if c is not None and len(convs[c]) == len(node))))
+        out.append((least[node], len(node), least[node[:-1]] if node else None, len(m), len(children), len(leaves), saved, sha(ends)))
+    return sorted(out, key=str)
+
+
+def chats(rng, n):
+    rows = []
+    for c in [None, *rng.sample(range(-40, 400), n)]:
+        same = rng.random() < 0.3  # a third are copies of one conversation
+        for t in range(3 if same else rng.choice([1, 1, 2, 4, 12])):
+            rows.append((c, None if rng.random() < 0.03 else t, None if rng.random() < 0.05 else "user", f"hot{t}" if same else rng.choice(["a", "b", None, "é" * t])))
+    return rows
+
+
+@pytest.mark.parametrize("shards", [1, 7, 30])
+def test_trie(spark, shards):
+    rows = chats(random.Random(shards), 130) + [(7, 0, "user", "dup")] * 2 + [(401, k, "user", "z" * 70 + str(k % 2)) for k in range(300)] + [(406, k, "user", "z" * 70 + str(k % 2)) for k in range(290)]
+    df = spark.createDataFrame(rows, CHATS).selectExpr("*", "1 AS path", "2 AS depth").repartition(3)
+    for convs, made in ((turns_of(rows), prefix_trie.paths(df)), (rebuild(turns_of(rows)), prefix_trie.rebuilt_paths(df))):
+        got = prefix_trie.prefix_trie(made, shards, held=HELD if shards < 30 else 0)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == brute_trie(convs)
+
+
+def test_trie_edges(spark):
+    df = spark.createDataFrame([], CHATS)
+    assert prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(df)).collect() == [] and prefix_trie.prefix_trie(prefix_trie.paths(df)).collect() == []
+    copies = spark.createDataFrame([(c, t, "user", f"same{t}") for c in range(300) for t in range(3)], CHATS)
+    got = prefix_trie.prefix_trie(prefix_trie.paths(copies), 16)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_trie(turns_of(map(tuple, copies.collect()))), key=lambda r: r[1])
+    shards = prefix_trie.paths(copies).repartitionByRange(16, "path", "conv_id").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in shards.collect()) < 60  # copies of one path fill many shards
+    shown = prefix_trie.with_turns(got, copies).orderBy("depth").collect()
+    assert [(r["role"], r["text"]) for r in shown] == [(None, None), ("user", "same0"), ("user", "same1"), ("user", "same2")]
+    lost = spark.createDataFrame([(3, 0, "user", "own")], CHATS)  # its first turns are to come from 0, which isn't there
+    assert [tuple(r)[:2] for r in prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(lost)).collect()] == ([(3, 0)] if zlib.crc32(b"3") % 9 else [(3, 0), (3, 1)])
+
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op11_structure_repair"])
+@pytest.mark.parametrize("name", ["op11_structure_repair", "op12_prefix_trie"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
