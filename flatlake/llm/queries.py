@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, license_scan, prefix_trie, structure_repair, warc_index
+from . import chat_format, cutting_stock, license_scan, prefix_trie, structure_repair, warc_index
 from .decontamination import find_overlaps
 from .exact_dedup import exact_dedup
 from .language_id import predict_languages
@@ -79,12 +79,16 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
 
 
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_index, op2_simhash_dedup, op3_exact_dedup, op4_chat_format, op5_decontamination, op6_license_scan,
         op7_language_id, op8_best_fit_packing, op9_suffix_array_dedup, op10_quality_classifier, op11_structure_repair,
-        op12_prefix_trie,
+        op12_prefix_trie, op13_cutting_stock,
     )
 }
 
