@@ -1,9 +1,10 @@
-"""The library's scalar functions under SQL names."""
+"""The library's functions under SQL names."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..sources import sites
 from .texts import AGENT, KINDS, OWNER, WANTED
 
 
@@ -38,6 +39,8 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> list[str]:
+    """Scalar functions, and the table function page_cards(html, source)."""
     for name, (args, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
+    sites.register(spark)
     return [*FUNCTIONS]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .skew import pinned
 
 EARTH = 6_371_000.0
+#: Bytes of the fragments of a dictionary that is handed to all tasks; its automaton takes some thirty times as much.
+HELD_TEXT = 4_000_000
 Polygon = tuple[str, list[tuple[float, float]]]
 
 
@@ -66,18 +69,50 @@ def join_buildings(listings: DataFrame, buildings: DataFrame, fields: list[str],
     return joined.withColumns({c: F.when(empty(c), F.coalesce(f"__b_{c}", c)).otherwise(F.col(c)) for c in fields}).drop(*(f"__b_{c}" for c in fields))
 
 
-def lookup_names(df: DataFrame, text: Column, index: DataFrame, name: str = "name", gram: int = 3) -> DataFrame:
+def lookup_names(df: DataFrame, text: Column, index: DataFrame, name: str = "name", gram: int = 3, held: int = HELD_TEXT) -> DataFrame:
     """index: fragment, name, position. Each row with the name of the first fragment, by position, that its text contains,
-    or null. Fragments are filed under one of their `gram`-character pieces, the one that fewest fragments have; texts meet
-    them by their own pieces, and only fragments that they share a piece with are looked for. Empty fragments name nothing."""
-    fragments = index.select(F.lower("fragment").alias("__f"), F.col("name").alias("__name"), F.col("position").alias("__p")).filter("__f <> ''")
+    whatever the case, or null; of fragments at one position, the first as a text. Empty and null fragments name nothing,
+    nor do those without a position. An index of up to `held` bytes of fragments becomes an automaton that all tasks get; a
+    text is then read once, however many fragments there are. A larger one is joined by pieces of the texts."""
+    fragments = index.select(F.lower("fragment").alias("__f"), F.col("name").alias("__name"), F.col("position").alias("__p")).filter("__f <> '' AND __p IS NOT NULL")
+    first = fragments.groupBy("__f").agg(F.min(F.struct("__p", "__name")).alias("__s")).select("__f", "__s.*")
+    size = first.agg(F.sum(F.octet_length("__f"))).first()[0] or 0
+    if size <= held:
+        return df.withColumn(name, _named(first)(F.lower(text)))
+    return _joined_names(df, text, first, name, gram)
+
+
+def _named(fragments: DataFrame):
+    """An Arrow UDF that finds the name of a text's first fragment by an automaton (Aho-Corasick) over all of them."""
+    import ahocorasick
+
+    rows = fragments.orderBy("__p", "__f").collect()  # of bounded size
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, r in enumerate(rows):
+        found.add_word(r["__f"], k)
+    if rows:
+        found.make_automaton()
+    shared = fragments.sparkSession.sparkContext.broadcast((found if rows else None, [r["__name"] for r in rows]))
+
+    @F.pandas_udf("string")
+    def name_of(texts: pd.Series) -> pd.Series:
+        automaton, names = shared.value
+        first = [min((k for _, k in automaton.iter(t)), default=None) if automaton and t else None for t in texts]
+        return pd.Series([None if k is None else names[k] for k in first], dtype=object)
+
+    return name_of
+
+
+def _joined_names(df: DataFrame, text: Column, fragments: DataFrame, name: str, gram: int) -> DataFrame:
+    """Fragments are filed under one of their `gram`-character pieces, the one that fewest fragments have; texts meet
+    them by their own pieces, and only fragments that they share a piece with are looked for."""
     cut = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))
-    each = fragments.distinct().withColumn("__g", F.explode(F.array_distinct(cut(F.col("__f"), gram))))
+    each = fragments.withColumn("__g", F.explode(F.array_distinct(cut(F.col("__f"), gram))))
     often = each.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
     filed = each.join(often, "__g").groupBy("__f", "__name", "__p").agg(F.min(F.struct("__n", "__g"))["__g"].alias("__g"))
     own = pinned(df.withColumns({"__id": F.monotonically_increasing_id(), "__text": F.lower(text)}))
     sizes = [r[0] for r in filed.select(F.length("__g")).distinct().collect()]  # `gram` lengths at most
     pieces = F.array_distinct(F.flatten(F.array(*(cut(F.col("__text"), n) for n in sizes)))) if sizes else F.array().cast("array<string>")
     met = own.select("__id", F.explode(pieces).alias("__g")).join(filed, "__g").select("__id", "__f", "__name", "__p")
-    hits = met.join(own.select("__id", "__text"), "__id").filter(F.col("__text").contains(F.col("__f"))).groupBy("__id").agg(F.min_by("__name", "__p").alias(name))
+    hits = met.join(own.select("__id", "__text"), "__id").filter(F.col("__text").contains(F.col("__f"))).groupBy("__id").agg(F.min_by("__name", F.struct("__p", "__f")).alias(name))
     return own.join(hits, "__id", "left").drop("__id", "__text")

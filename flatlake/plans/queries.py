@@ -13,7 +13,7 @@ from ..functions import dates, numbers, phones, tags, texts
 from ..ml import labels, model
 from ..operators import dedup, filters, geo, history, market, snapshot, stats
 from ..operators.skew import fresh_path
-from ..sources import files, pages
+from ..sources import files, pages, sites
 from ..streaming import listings as streams
 from .listings import DISTRICTS, HISTORY, LISTINGS, RATES, STATIONS, duck
 from .listings import history as price_log
@@ -569,6 +569,35 @@ def page_cards(spark, sf_dir):
     return pages.cards(table(spark, sf_dir, "pages"), site).select("page_id", "card_no", "url")
 
 
+#: Pages of cards as each source builds them; {…} are columns of a listing. Prices and addresses are in nested elements.
+SITE_CARDS = {
+    "krisha": """<div class="a-card big"><div><div class="x"><a class="a-card__title" href="/a/show/{id}">{title}</a></div><p>text<p>more</div><div class="a-card__price"><div><b>{price}</b></div><div>〒<br></div></div><!-- <div class="a-card__price">1</div> -->
+      <div class="a-card__subtitle"><div>{nation},</div><div>{segment}</div></div>{inner}</div>""",
+    "olx": """<div data-cy="l-card"><a href="/d/obyavlenie/{id}"><img src="i.jpg"></a><div data-testid="ad-card-title"><div><a href='/d/obyavlenie/{id}'><h4>{title}</h4></a></div></div><p data-testid="ad-price"><span><i>{price}</i></span><span>тг</span></p>
+      <div data-testid="location-date"><div>{nation}, {segment}</div> - <div>Сегодня в 14:32</div></div>{inner}</div>""",
+    "kn": """<div class="row kn-shadow-hover-2"><script>var a = '<div data-object-id="0"></div>';</script><a href="/card/{id}">16 фото</a><div><a href="/card/{id}"><div><b class="t">{title}</b></div></a></div><span><span><b>{price}</b></span> <i>₸</i></span>{inner}</div>""",
+    "etagi": """<section><div data-testid="object_card"><div><a href="/realty_rent/{id}/"></a><a class="card-title" href="/realty_rent/{id}/"><span>{title}</span></a></div><div data-testid="object_card_price"><div>{price}</div><div>₸</div></div><div class="address"><div>{nation},</div> <div>{segment}</div></div>{inner}</div></section>""",
+}
+SITE_URLS = {"krisha": "https://krisha.kz/a/show/", "olx": "https://www.olx.kz/d/obyavlenie/", "kn": "https://www.kn.kz/card/", "etagi": "https://almaty.etagi.com/realty_rent/"}
+
+
+@query(f"""WITH c AS (SELECT o_orderkey AS id, ['krisha', 'olx', 'kn', 'etagi'][o_custkey % 4 + 1] AS source, CAST(floor(o_totalprice) AS BIGINT) + 1000 AS price, o_orderstatus AS clerk, o_orderpriority AS priority FROM orders)
+  SELECT source, CASE source {' '.join(f"WHEN '{k}' THEN '{u}'" for k, u in SITE_URLS.items())} END || id || CASE source WHEN 'etagi' THEN '/' ELSE '' END AS url, 'Listing ' || id || ' of many' AS title, price, CASE source WHEN 'kn' THEN '' ELSE clerk || ', ' || priority END AS address FROM c
+  UNION ALL SELECT source, 'https://krisha.kz/a/inner/' || id, 'Inner', NULL, '' FROM c WHERE source = 'krisha' AND id % 5 = 0""")
+def cards_of_sites(spark, sf_dir):
+    """Listings of all four sources read from pages of twenty cards each. Some of krisha's cards hold another card."""
+    names = [*SITE_CARDS]
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey % 4 AS k", "CAST(floor(o_totalprice) AS BIGINT) + 1000 AS price", "concat('Listing ', o_orderkey, ' of many') AS title", "o_orderstatus AS nation", "o_orderpriority AS segment")
+    inner = F.when((F.col("k") == 0) & (F.col("id") % 5 == 0), F.concat(F.lit('<div class="a-card"><a class="a-card__title" href="/a/inner/'), "id", F.lit('"><b>Inner</b></a></div>'))).otherwise("")
+    rows = rows.withColumn("inner", inner)
+    filled = lambda html: F.concat(*(F.col(x[1:-1]).cast("string") if x[:1] == "{" else F.lit(x) for x in re.split(r"(\{\w+\})", html) if x))
+    card = reduce(lambda c, k: c.when(F.col("k") == k, filled(SITE_CARDS[names[k]])), range(1, 4), F.when(F.col("k") == 0, filled(SITE_CARDS[names[0]])))
+    made = rows.groupBy("k", F.floor(F.col("id") / 80).alias("page_id")).agg(F.concat(F.lit("<html><body><div>"), F.array_join(F.collect_list(card), " "), F.lit("</body>")).alias("html"))
+    today = F.lit("2024-08-15").cast("date")
+    read = [sites.listings(made.filter(F.col("k") == k), sites.SITES[n], today) for k, n in enumerate(names)]
+    return reduce(DataFrame.unionByName, read).select("source", "url", "title", "price", "address")
+
+
 @query()
 def page_phones(spark, sf_dir):
     """Contact number of each page and the stage that found it."""
@@ -787,6 +816,16 @@ def dictionary_names(spark, sf_dir):
     return geo.lookup_names(all_listings(spark, sf_dir), F.col("address"), index).select("id", "name")
 
 
+@query("""WITH d AS (SELECT o_orderkey AS k, o_orderpriority AS name, (o_orderkey * 7919) % 100003 AS p FROM orders), l AS (SELECT *, row_number() OVER () AS r FROM lineitem), t AS (SELECT r, l_orderkey, l_linenumber, unnest([l_orderkey, l_orderkey + 1, l_partkey]) AS k FROM l)
+  SELECT l_orderkey, l_linenumber, min_by(name, (p, 'order ' || d.k || ';')) AS name FROM t LEFT JOIN d USING (k) GROUP BY r, l_orderkey, l_linenumber""")
+def large_dictionary(spark, sf_dir):
+    """Each line item's note looked up in a dictionary with a fragment for every order."""
+    key = lambda c: F.concat(F.lit(" ORDER "), c.cast("string"), F.lit(";"))
+    index = table(spark, sf_dir, "orders").select(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(";")).alias("fragment"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") * 7919 % 100003).alias("position"))
+    notes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Note:"), key(F.col("l_orderkey")), key(F.col("l_orderkey") + 1), key(F.col("l_partkey"))).alias("note"))
+    return geo.lookup_names(notes, F.col("note"), index).drop("note")
+
+
 @query(f"{L} SELECT source, count(*) AS n, count(rooms) AS with_rooms FROM (SELECT source, rooms FROM listings UNION ALL SELECT s_name, NULL FROM supplier) GROUP BY source")
 def union_of_sources(spark, sf_dir):
     other = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source"), F.col("s_suppkey").alias("id"))

@@ -9,19 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clean_space, found, parse_float, parse_floor_pair, parse_int, parse_rooms
+from .markup import Pick
 
 
 @dataclass(frozen=True)
 class Site:
-    """card: pattern of one card with its inside as group 1; fields: a pattern per field, value as group 1 (or, in
-    sites.SITES, whichever group has one). Of pictures: which to skip, how many at most, how their size is put to the large
+    """marks, picks: selectors of cards and of the fields inside them (`markup`). For pages that are one line a card,
+    card and fields are patterns instead, with the inside and the value as group 1. Of pictures: which to skip, how many at most, how their size is put to the large
     one, and what the gallery's have in their URL. Of detail pages: words that say that an advert is archived, outdated or
     gone, and marks of which a live one has one. Then how a card's floor, address and title are found."""
 
     source: str
     base: str
-    card: str
+    card: str = ""
     fields: dict[str, str] = field(default_factory=dict)
+    marks: tuple[str, ...] = ()
+    picks: dict[str, tuple[Pick, ...]] = field(default_factory=dict)
     photo: str = r"(?i)<img[^>]+?(?:data-src|src)=[\"']([^\"']+)[\"']"
     markers: str = ""
     archived: str = "архив|неактуал|удалено"

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import extract_dates
 from ..functions.numbers import clean_space, found, parse_float, parse_floor_pair, parse_int, parse_rooms
-from .pages import Site, absolute, cards_of, embedded_state, unquoted_state, visible
+from .markup import Pick, cards
+from .pages import Site, absolute, embedded_state, is_category_page, unquoted_state, visible
 
 #: An area: the raised sign is wanted, and no letter may follow, so that "5 мин" isn't one.
 AREA = r"([0-9.,]+\s*м[²^2·•])(?![а-яё])"
@@ -25,41 +26,36 @@ def has_class(name: str) -> str:
     return rf"\bclass=\"(?:[^\"]*\s)?{name}(?:\s[^\"]*)?\""
 
 
-def link(mark: str) -> str:
-    """The href of the first link whose tag has `mark`."""
-    return rf"(?is)<a(?=[^>]*{mark})[^>]*\bhref=\"([^\"]+)\""
-
-
-def card(mark: str) -> str:
-    """A div whose tag has `mark`, with all up to the next such div."""
-    return rf"(?is)<div(?=[^>]*{mark})[^>]*>(.*?)(?=<div(?=[^>]*{mark})|\z)"
-
+OLX_LINKS = ("[data-testid=ad-card-title] a", "a[data-cy=ad-href]", "h6 a", "a[href*=/d/obyavlenie/]")
 
 #: Marks of cards and fields, and words of pages, source by source.
 SITES: dict[str, Site] = {
     "krisha": Site(
-        "krisha", "https://krisha.kz", card(has_class("a-card")),
-        {"url": link(has_class("a-card__title")), "title": tag(has_class("a-card__title"), "a"), "price": tag(has_class("a-card__price")), "address": tag(has_class("a-card__subtitle")), "preview": tag(has_class("a-card__text-preview"))},
+        "krisha", "https://krisha.kz", marks=("div.a-card",),
+        picks={"url": (Pick("a.a-card__title", "href"),), "title": (Pick("a.a-card__title"),), "price": (Pick(".a-card__price"),), "address": (Pick(".a-card__subtitle"),), "preview": (Pick(".a-card__text-preview"),)},
         photo=r"(?is)<(?:img|source)\b[^>]*?(?:srcset|src|data-src|data-full-src)=[\"']([^\"'\s,]+)", skip=r"/static/|\.svg$|^data:", cap=10,
         archived=r"\"status\"\s*:\s*\"archive\"", outdated="is-archived-text|может быть неактуальным",
     ),
     "olx": Site(
-        "olx", "https://www.olx.kz", card(r"(?:data-cy=\"l-card\"|class=\"[^\"]*offer-wrapper)"),
-        {"url": r"(?is)data-testid=\"ad-card-title\"[^>]*>\s*<a[^>]*\bhref=\"([^\"]+)\"|<a(?=[^>]*data-cy=\"ad-href\")[^>]*\bhref=\"([^\"]+)\"|<h6[^>]*>\s*<a[^>]*\bhref=\"([^\"]+)\"|<a[^>]*\bhref=\"([^\"]*/d/obyavlenie/[^\"]*)\"[^>]*>(?=[^<]*\w)",
-         "title": r"(?is)data-testid=\"ad-card-title\"[^>]*>\s*<a[^>]*>(.*?)</a>|<a(?=[^>]*data-cy=\"ad-href\")[^>]*>(.*?)</a>|<h6[^>]*>\s*<a[^>]*>(.*?)</a>|<a[^>]*\bhref=\"[^\"]*/d/obyavlenie/[^\"]*\"[^>]*>([^<]*\w[^<]*)</a>",
-         "price": rf"{tag('data-testid=.ad-price.')}|{tag(has_class('price'))}", "address": rf"{tag('data-testid=.location-date.')}|{tag('data-cy=.location.')}"},
+        "olx", "https://www.olx.kz", fields={"price": rf"{tag('data-testid=.ad-price.')}|{tag(has_class('price'))}"}, marks=("div[data-cy=l-card]", "div.offer-wrapper"),
+        picks={
+            "url": tuple(Pick(x, "href", text=r"\w") for x in OLX_LINKS), "title": tuple(Pick(x, text=r"\w") for x in OLX_LINKS),
+            "price": (Pick("[data-testid=ad-price]"), Pick("p.price strong"), Pick(".price")), "address": tuple(map(Pick, ("[data-testid=location-date]", "[data-cy=location]", "p small", ".l-height small"))),
+        },
         photo=r"(?is)<img\b[^>]*?(?:\bsrcset=\"(?:[^\"]*,\s*)?|\b(?:src|data-src)=[\"'])([^\"'\s,]+)", skip="no_thumbnail|^data:", size=(r";.*$", ""), live=("data-testid=.ad-price", r"\"offers\""), cut_address=" - ",
     ),
     "kn": Site(
-        "kn", "https://www.kn.kz", card(r"(?:data-object-id|class=\"[^\"]*kn-shadow-hover)"),
-        {"url": r"(?is)<a[^>]*\bhref=\"([^\"]*/card/[^\"]*)\"[^>]*>(?=[^<]{11,})", "title": r"(?is)<a[^>]*\bhref=\"[^\"]*/card/[^\"]*\"[^>]*>([^<]{11,})</a>", "price": r"(?is)<span[^>]*>\s*([0-9][0-9\s&nbsp;]{3,}\s*[₸т][^<]*)</span>|<span[^>]*>\s*([^<]{0,10}[0-9]{4,}[^<]{0,10})</span>",
-         "floor": r"(?is)<span[^>]*fw-bold[^>]*>\s*([0-9]{1,2}\s*/\s*[0-9]{1,2})\s*</span>\s*<span[^>]*>[^<]*этаж", "area": r"(?is)<span[^>]*fw-bold[^>]*>\s*([0-9.,]+)\s*м²"},
+        "kn", "https://www.kn.kz", marks=("div[data-object-id]", "div[class*=kn-shadow-hover]"),
+        picks={
+            "url": (Pick("a[href*=/card/]", "href", text=".{11}"),), "title": (Pick("a[href*=/card/]", text=".{11}"),), "price": (Pick("span", text=r"^[0-9\s]{4,}\s*[₸т]|^(?=.{1,24}$).*[0-9]{4}"),),
+            "floor": (Pick("span.fw-bold", text=r"^[0-9]{1,2}\s*/\s*[0-9]{1,2}", after="этаж"),), "area": (Pick("span.fw-bold", text=r"[0-9]\s*м²"),),
+        },
         photo=r"(?is)<img\b[^>]*?\b(?:src|data-src)=[\"']([^\"']+)", skip="^data:", cap=10, gallery="/gallery_big/", street_of_title=True,
         gone="тут пусто|ошибка 404|страницы либо не существует|срок объявления уже истек",
     ),
     "etagi": Site(
-        "etagi", "https://almaty.etagi.com", card(r"(?:data-testid=\"object_card\"|class=\"[^\"]*templates-object-card)"),
-        {"url": r"(?is)<a[^>]*\bhref=\"([^\"]*/realty_rent/[0-9]+[^\"]*)\"", "title": tag(has_class("card-title"), "a"), "price": tag("data-testid=.object_card_price."), "address": rf"{tag(has_class('address'))}|{tag(has_class('EDAsp'))}", "counter": tag("data-testid=.slider_counter.")},
+        "etagi", "https://almaty.etagi.com", marks=("[data-testid=object_card]", "div.templates-object-card"),
+        picks={"url": (Pick("a[href*=/realty_rent/]", "href"),), "title": (Pick("a.card-title"),), "price": (Pick("[data-testid=object_card_price]"),), "address": (Pick("div.address"), Pick(".EDAsp")), "counter": (Pick("[data-testid=slider_counter]"),)},
         photo=r"(?is)<(?:img|source)\b[^>]*?\b(?:src|data-src|srcset)=[\"']([^\"'\s,]+)", skip="^data:", gallery="cdn.esoft.digital", size=(r"//cdn\.esoft\.digital/[0-9]+x?[0-9]*/cluster/", "//cdn.esoft.digital/content/cluster/"), floor_mark=r"(?i)([0-9]{1,2}\s*/\s*[0-9]{1,2})\s*эт", title_of_fields=True,
     ),
 }
@@ -74,12 +70,31 @@ def street_of(title: Column) -> Column:
     return F.concat(first["p"], F.when(first["next"].rlike(r"^[0-9]+(?:/[0-9]+)?$"), F.concat(F.lit(", "), first["next"])).otherwise(""))
 
 
+@F.udtf(returnType="card_no int, card string, text string, fields map<string, string>", useArrow=True)
+class PageCards:
+    """page_cards(html, source): the cards of a page of one of SITES, with their text and that of each field that is there."""
+
+    def eval(self, html: str, source: str):
+        if source in SITES:
+            yield from cards(html, SITES[source].marks, SITES[source].picks)
+
+
+def register(spark: SparkSession, name: str = "page_cards") -> None:
+    """For SQL: SELECT ... FROM pages, LATERAL page_cards(html, source)."""
+    spark.udtf.register(name, PageCards)
+
+
+def cards_of(pages: DataFrame, source: Column) -> DataFrame:
+    """page_id, card_no, card, text and fields of the cards of each page (page_id, html and what source takes)."""
+    own = pages.select("page_id", "html", source.alias("__source"))
+    return own.lateralJoin(PageCards(F.col("html").outer(), F.col("__source").outer())).select("page_id", "card_no", "card", "text", "fields")
+
+
 def listings(pages: DataFrame, site: Site, today: Column) -> DataFrame:
     """page_id, card_no and a listing row for each card of a source's pages; cards without a link or a title go."""
-    each = cards_of(pages, site)
-    card_html = F.col("card")
-    get = lambda name: clean_space(visible(_first(card_html, site.fields[name]))) if name in site.fields else F.lit(None).cast("string")
-    rows = each.select("page_id", "card_no", "card", absolute(_first(card_html, site.fields["url"]), site.base).alias("url"), get("title").alias("__title"), get("counter").alias("__counter"), visible(card_html).alias("__text"))
+    each = cards_of(pages.filter(is_category_page(F.col("html"), site.markers)), F.lit(site.source))
+    get = lambda name: F.try_element_at("fields", F.lit(name))
+    rows = each.select("page_id", "card_no", "card", "fields", absolute(get("url"), site.base).alias("url"), get("title").alias("__title"), get("counter").alias("__counter"), F.col("text").alias("__text"))
     text = F.when(F.coalesce(F.col("__counter"), F.lit("")) != "", F.replace("__text", F.col("__counter"), F.lit(" "))).otherwise(F.col("__text"))
     title = F.nullif(F.col("__title"), F.lit(""))
     address = get("address") if not site.street_of_title else street_of(title)

@@ -166,3 +166,20 @@ def test_reposts(spark):
 def test_near_listings(spark):
     df = spark.createDataFrame([("a", "x", 2, 50.0, 100), ("b", "x", 2, 52.0, 104), ("c", "x", 2, 52.1, 100), ("d", "x", 3, 50.0, 100), ("e", "", 2, 50.0, 100)], "url string, location string, rooms int, area double, price int")
     assert sorted(tuple(r) for r in dedup.near_listings(df).collect()) == [("a", "b"), ("b", "c")]
+
+
+@pytest.mark.parametrize("held", [0, 4_000_000])
+def test_dictionary_of_any_size(spark, held):
+    rng = random.Random(held)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    index = [(word(rng.randint(1, 5)).upper(), rng.choice(["x", "y", None]), rng.randint(0, 30)) for _ in range(60)] + [("", "empty", -1), (None, "null", -2), ("ab", "no place", None)]
+    texts = [(k, word(rng.randint(0, 12)), "clash") for k in range(150)] + [(150, None, None), (150, "AB" * 2000, "twice"), (150, "AB" * 2000, "twice")]
+    df = spark.createDataFrame(texts, "id long, t string, position string")
+    got = geo.lookup_names(df, F.col("t"), spark.createDataFrame(index, "fragment string, name string, position int"), held=held)
+    assert got.columns == ["id", "t", "position", "name"]
+    order = lambda r: (r[2], r[0].lower(), r[1] is not None, r[1] or "")
+    known = sorted((r for r in index if r[0] and r[2] is not None), key=order)
+    want = [(i, t, next((n for f, n, _ in known if t is not None and f.lower() in t.lower()), None)) for i, t, _ in texts]
+    assert sorted((tuple(r[c] for c in ("id", "t", "name")) for r in got.collect()), key=str) == sorted(want, key=str)
+    none = geo.lookup_names(df, F.col("t"), spark.createDataFrame([], "fragment string, name string, position int"), held=held)
+    assert {r["name"] for r in none.collect()} == {None}
