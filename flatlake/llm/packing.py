@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,14 @@ from .language_id import chunks
 SIZE, UNITS, END = 2048, 64, 0
 
 
+class Numbers(dict):
+    """Numbers of words, in the order in which they are asked for first."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class WordTokenizer:
     """A tokenizer file's ids, with the ids of words kept: its model splits words one by one, so that a
     text's ids are those of its words in turn. Texts with characters beyond Latin letters, or with a
@@ -77,31 +86,35 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            low = t.lower() if self.by_words and self.is_plain(t) else None
-            split.append(self.WORDS.findall(low) if low is not None and not any(s in low for s in self.special) else None)
         if len(self.at) > self.most:
             self._empty()
-        if new := list(set().union(*filter(None, split)) - self.at.keys()):
+        known, split = len(self.at), list(map(self._numbers, texts))
+        if len(self.at) > known:
+            new = list(islice(reversed(self.at), len(self.at) - known))[::-1]
             rows = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
-            ids = np.concatenate([np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, np.uint32) for r in rows])
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
             self.start = np.concatenate([self.start, self.start[-1] + 1 + np.flatnonzero(self.ends[ids])])
             self.flat = np.concatenate([self.flat, ids])
         return [self._join(own) if own is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for own, t in zip(split, texts, strict=True)]
 
+    def _numbers(self, text: str) -> np.ndarray | None:
+        """The numbers of a text's words, new ones included; none for a text that has to be encoded as a whole."""
+        low = text.lower() if self.by_words and self.is_plain(text) else None
+        if low is None or any(s in low for s in self.special):
+            return None
+        words = self.WORDS.findall(low)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
     def is_plain(self, text: str) -> bool:
         return bool(self.PLAIN[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].all())
 
     def _empty(self) -> None:
-        self.at: dict[str, int] = {}  # a word's number; its ids are flat[start[number]:start[number + 1]]
+        self.at = Numbers()  # a word's number; its ids are flat[start[number]:start[number + 1]]
         self.start, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _join(self, words: list[str]) -> np.ndarray:
-        if not words:
+    def _join(self, at: np.ndarray) -> np.ndarray:
+        if not len(at):
             return self.flat[:0]
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         start, stop = self.start[at], self.start[at + 1]
         ends = np.cumsum(stop - start)
         return self.flat[np.arange(ends[-1]) + np.repeat(stop - ends, stop - start)]
