@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import quantile_by
+from .skew import join_counted, quantile_by, quantile_sets, same
 
 
 def median_by(df: DataFrame, keys: list[str], value: Column | str = "price", least: int = 1, name: str = "median_price") -> DataFrame:
@@ -15,8 +15,16 @@ def median_by(df: DataFrame, keys: list[str], value: Column | str = "price", lea
 
 
 def rent_per_area(df: DataFrame, keys: list[str]) -> DataFrame:
-    per = F.try_divide(F.col("price"), F.col("area"))
-    return df.groupBy(*keys).agg(F.avg(per).alias("mean_per_m2"), F.percentile(per, F.lit(0.5)).alias("median_per_m2"), F.count(per).alias("n"))
+    """Mean and median price of a square metre, and how many rows have one, of each group."""
+    rows = df.select(*keys, F.try_divide(F.col("price"), F.col("area")).alias("__per"))
+    means = rows.groupBy(*keys).agg(F.avg("__per").alias("mean_per_m2"), F.count("__per").alias("n"))
+    return _with_median(means, quantile_by(rows, keys, "__per", 0.5), keys, "median_per_m2").select(*keys, "mean_per_m2", "median_per_m2", "n")
+
+
+def _with_median(groups: DataFrame, medians: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """groups, a row each, with the median of each; null keys are alike."""
+    own = medians.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("quantile").alias(name))
+    return groups.join(own, same({k: F.col(k) for k in keys}, {k: F.col(f"__k_{k}") for k in keys}), "left").drop(*(f"__k_{k}" for k in keys))
 
 
 def days_on_market(observations: DataFrame, key: str = "listing_key") -> DataFrame:
@@ -29,19 +37,28 @@ def agency_portfolio(listings: DataFrame, organizations: DataFrame) -> DataFrame
     joined = listings.join(organizations.select("org_id", "name"), listings["provider_org_id"] == organizations["org_id"])
     dated = "date_updated" in listings.columns
     updated = F.avg((F.coalesce("date_updated", "date_published") > F.col("date_published")).cast("int")) if dated else F.lit(None).cast("double")
-    return joined.groupBy("org_id", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("price", F.lit(0.5)).alias("median_price"), F.count_distinct("district").alias("n_districts"),
+    groups = joined.groupBy("org_id", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("district").alias("n_districts"),
         F.array_join(F.array_sort(F.collect_set(F.col("rooms").cast("string"))), ",").alias("kinds"), F.avg("area").alias("mean_area"), updated.alias("update_rate"),
     )
+    found = _with_median(groups, quantile_by(joined, ["org_id", "name"], "price", 0.5), ["org_id", "name"], "median_price")
+    return found.select("org_id", "name", "n", "median_price", "n_districts", "kinds", "mean_area", "update_rate")
 
 
 def market_rollup(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.rollup(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("price", F.lit(0.5)).alias("median_price"), F.grouping_id().alias("level"))
+    """keys, n, median_price and level for each group of keys and of each shorter list of them, down to all rows. level has
+    a bit for each key that is summed up, as grouping_id() has."""
+    sets = [keys[:k] for k in range(len(keys), -1, -1)]
+    found = quantile_sets(df, sets, "price", 0.5)
+    bits = F.element_at(F.array(*(F.lit(2 ** (len(keys) - len(own)) - 1).cast("long") for own in sets)), F.col("level") + 1)
+    return found.select(*keys, F.col("rows").alias("n"), F.col("quantile").alias("median_price"), bits.alias("level"))
 
 
 def peer_ratio(df: DataFrame, keys: list[str]) -> DataFrame:
-    peers = df.groupBy(*keys).agg(F.percentile("price", F.lit(0.5)).alias("peer_median"))
-    return df.join(peers, keys).withColumn("ratio", F.try_divide(F.col("price"), F.col("peer_median")))
+    """Every row with the median price of the rows alike in keys, nulls being alike, and its own price as a share of it."""
+    peers = quantile_sets(df, [keys], "price", 0.5).select(F.struct(*keys).alias("__key"), F.col("quantile").alias("peer_median"), "rows")
+    met = join_counted(df.withColumn("__key", F.struct(*keys)), peers, "__key", "rows", F.xxhash64(*df.columns))
+    return met.drop("__key", "rows").withColumn("ratio", F.try_divide(F.col("price"), F.col("peer_median")))
 
 
 def reposts(observations: DataFrame, gap_days: int) -> DataFrame:

@@ -69,22 +69,42 @@ def same(left: dict[str, Column], right: dict[str, Column]) -> Column:
     return out
 
 
-def quantile_by(df: DataFrame, keys: list[str], value: str, q: float, exclusive: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """(keys, quantile, n), exactly. The usual method puts the k-th of n values at (k - 1) / (n - 1), the exclusive one at
-    k / (n + 1). A sketch of each group says between which values the quantile lies; only those are counted one
-    by one and ranked, 4 / accuracy of a large group, and all below just counted."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    ends = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
-    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", ends, accuracy).alias("__s"))
-    few = F.col("n") <= accuracy
-    sketch = sketch.select(*(F.col(k).alias(f"__k_{k}") for k in keys), "n", F.when(few, F.col("__min")).otherwise(F.col("__s")[0]).alias("__lo"), F.when(few, F.col("__max")).otherwise(F.col("__s")[1]).alias("__hi"))
-    mine = {k: F.col(k) for k in keys}, {k: F.col(f"__k_{k}") for k in keys}
-    met = rows.join(sketch, same(*mine)) if keys else rows.crossJoin(F.broadcast(sketch))  # one row
+def _upto(counts: DataFrame, keys: list[str], few: int) -> DataFrame:
+    """counts (keys, __v, __c) with __upto, the sum of __c up to each __v of its group, and n, that of the group. Over `few`
+    rows, ranges of (keys, __v) are summed by themselves and moved by the ranges before, so that no task sees a whole group."""
+    group, order = Window.partitionBy(*keys), F.col("__v").asc_nulls_first()
+    if counts.count() <= few:
+        return counts.withColumns({"__upto": F.sum("__c").over(group.orderBy(order)), "n": F.sum("__c").over(group)})
+    by = [*(F.col(k).asc_nulls_first() for k in keys), order]
+    ranged = pinned(counts.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "__part").agg(F.sum("__c").alias("__sum"))  # a row for each group and the range it is in
+    before = F.coalesce(F.sum("__sum").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = sums.select("__part", *(F.col(k).alias(f"__k_{k}") for k in keys), before.alias("__before"), F.sum("__sum").over(group).alias("n"))
+    within = ranged.withColumn("__within", F.sum("__c").over(Window.partitionBy("__part", *keys).orderBy(order)))
+    met = within.withColumnRenamed("__part", "__in").join(moved, (F.col("__in") == F.col("__part")) & same({k: F.col(k) for k in keys}, {k: F.col(f"__k_{k}") for k in keys}))
+    return met.select(*counts.columns, (F.col("__before") + F.col("__within")).alias("__upto"), "n")
+
+
+def quantile_sets(df: DataFrame, sets: list[list[str]], value: str | Column, q: float, exclusive: bool = False, few: int = 2_000_000) -> DataFrame:
+    """(level, keys, quantile, n, rows) of each group of each set of keys, exactly. level: the set's number in `sets`; keys that
+    a set doesn't have are null. n: rows with a value. The usual method puts the k-th of n values at (k - 1) / (n - 1), the
+    exclusive one at k / (n + 1). Equal values are counted before they are shuffled, once for all sets, and then ranked."""
+    keys = list(dict.fromkeys(k for own in sets for k in own))
+    counted = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("__v")).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__rows"))
+    if sets != [keys]:
+        each = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), *((F.col(k) if k in own else F.lit(None).cast(dict(counted.dtypes)[k])).alias(k) for k in keys)) for n, own in enumerate(sets))))
+        counted = counted.select(each.alias("__s"), "__v", "__rows").select("__s.*", "__v", "__rows").groupBy("level", *keys, "__v").agg(F.sum("__rows").alias("__rows"))
+    else:
+        counted = counted.withColumn("level", F.lit(0))
+    counted = pinned(counted.withColumn("__c", F.when(F.col("__v").isNotNull(), F.col("__rows")).otherwise(0)))
+    by = ["level", *keys]
     at = F.greatest(F.lit(1.0), F.least(F.col("n") - 1.0, F.floor(F.lit(q) * (F.col("n") + 1)))) if exclusive else F.floor(F.lit(q) * (F.col("n") - 1)) + 1.0
     part = F.lit(q) * (F.col("n") + 1) - at if exclusive else F.lit(q) * (F.col("n") - 1) + 1 - at
-    counts = met.filter(F.col("__v") <= F.col("__hi")).groupBy(*keys, "n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    over = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()) if keys else Window.orderBy(F.col("__v").asc_nulls_first())
-    upto = counts.withColumn("__upto", F.sum("__c").over(over))
     holds = lambda k: F.max(F.when((F.col("__upto") >= k) & (F.col("__upto") - F.col("__c") < k), F.col("__v")))
-    both = upto.groupBy(*keys, "n").agg(holds(at).alias("__a"), holds(at + 1).alias("__b"))
-    return both.select(*keys, F.when((F.col("n") == 1) | (part == 0), F.col("__a")).otherwise(F.col("__a") * (1 - part) + F.col("__b") * part).alias("quantile"), "n")
+    both = _upto(counted, by, few).groupBy(*by, "n").agg(holds(at).alias("__a"), holds(at + 1).alias("__b"), F.sum("__rows").alias("rows"))
+    return both.select(*by, F.when((F.col("n") == 1) | (part == 0), F.col("__a")).otherwise(F.col("__a") * (1 - part) + F.col("__b") * part).alias("quantile"), "n", "rows")
+
+
+def quantile_by(df: DataFrame, keys: list[str], value: str | Column, q: float, exclusive: bool = False, few: int = 2_000_000) -> DataFrame:
+    """(keys, quantile, n) of the groups that have a value, exactly."""
+    return quantile_sets(df, [keys], value, q, exclusive, few).filter("n > 0").select(*keys, "quantile", "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import join_counted, quantile_by, ranks, same
+from .skew import join_counted, pinned, quantile_by, quantile_sets, ranks
 
 
 def per_source(df: DataFrame) -> DataFrame:
@@ -48,9 +48,10 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 def group_median(df: DataFrame, keys: list[str], value: str = "price", least: int = 3, name: str = "median") -> DataFrame:
     """Each row with its group's median, or the median of all where the group has fewer than `least` values."""
-    of_all = quantile_by(df, [], value, 0.5).select(F.col("quantile").alias("__all"))
-    groups = quantile_by(df, keys, value, 0.5).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("quantile").alias("__own"), F.col("n").alias("__n"))
-    joined = df.join(groups, same({k: F.col(k) for k in keys}, {k: F.col(f"__k_{k}") for k in keys}), "left").drop(*(f"__k_{k}" for k in keys))
+    levels = pinned(quantile_sets(df, [keys, []], value, 0.5).filter("n > 0"))
+    of_all = levels.filter("level = 1").select(F.col("quantile").alias("__all"))
+    groups = levels.filter("level = 0").select(F.struct(*keys).alias("__key"), F.col("quantile").alias("__own"), F.col("n").alias("__n"), "rows")
+    joined = join_counted(df.withColumn("__key", F.struct(*keys)), groups, "__key", "rows", F.xxhash64(*df.columns)).drop("__key", "rows")
     both = joined.join(F.broadcast(of_all), how="left")  # one row, or none where there is no value
     return both.withColumn(name, F.when(F.col("__n") >= least, F.col("__own")).otherwise(F.col("__all"))).drop("__own", "__n", "__all")
 
@@ -63,14 +64,12 @@ def exclusive_quantile(df: DataFrame, keys: list[str], value: str, q: float, lea
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per column: median; mean and population deviation (0 becomes 1) after filling with the median."""
-    filled = df.select(*columns)
-    for c in columns:
-        filled = filled.join(F.broadcast(quantile_by(df, [], c, 0.5).select(F.col("quantile").alias(f"__m_{c}"))), how="left")  # one row or none
-    value = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}"))
-    aggs = [a for c in columns for a in (F.max(f"__m_{c}").alias(f"median_{c}"), F.avg(value(c)).alias(f"mean_{c}"), F.stddev_pop(value(c)).alias(f"std_{c}"))]
-    one = filled.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"median_{c}").alias("median"), F.col(f"mean_{c}").alias("mean"), F.when(F.col(f"std_{c}") == 0, 1.0).otherwise(F.col(f"std_{c}")).alias("std")) for c in columns))
-    return one.select(F.inline(rows))
+    stacked = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))).alias("s")).select("s.*")
+    medians = quantile_by(stacked, ["column"], "value", 0.5).select("column", F.col("quantile").alias("median"))  # a row a column
+    value = F.coalesce("value", "median")
+    found = stacked.join(F.broadcast(medians), "column", "left").groupBy("column").agg(F.max("median").alias("median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return named.join(F.broadcast(found), "column", "left").select("column", "median", "mean", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")).alias("std"))
 
 
 def vocabulary(df: DataFrame, columns: list[str], least: int = 2) -> DataFrame:

@@ -452,7 +452,7 @@ def market_rollup(spark, sf_dir):
     return market.market_rollup(all_listings(spark, sf_dir), ["source", "rooms"])
 
 
-@query(f"{L}, m AS (SELECT source, rooms, median(price) AS m FROM listings GROUP BY ALL) SELECT id, round(price / m, 4) AS ratio FROM listings JOIN m USING (source, rooms)")
+@query(f"{L}, m AS (SELECT source, rooms, median(price) AS m FROM listings GROUP BY ALL) SELECT id, round(price / m, 4) AS ratio FROM listings l LEFT JOIN m ON l.source IS NOT DISTINCT FROM m.source AND l.rooms IS NOT DISTINCT FROM m.rooms")
 def peer_ratios(spark, sf_dir):
     return market.peer_ratio(all_listings(spark, sf_dir), ["source", "rooms"]).select("id", F.round("ratio", 4).alias("ratio"))
 

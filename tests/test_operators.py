@@ -183,3 +183,35 @@ def test_dictionary_of_any_size(spark, held):
     assert sorted((tuple(r[c] for c in ("id", "t", "name")) for r in got.collect()), key=str) == sorted(want, key=str)
     none = geo.lookup_names(df, F.col("t"), spark.createDataFrame([], "fragment string, name string, position int"), held=held)
     assert {r["name"] for r in none.collect()} == {None}
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_quantiles_of_sets(spark, few):
+    """Rows with null keys and values, one group with a third of all rows, and all ties, against sorted lists."""
+    from flatlake.operators.skew import quantile_by, quantile_sets
+
+    rng = random.Random(few)
+    rows = [(rng.choice(["hot", "hot", "a", "b", None]), rng.choice([1, 2, None]), rng.choice([None, 5.0, 5.0, float(rng.randint(-9, 99)), rng.random()])) for _ in range(400)] + [("empty", 1, None)] * 3
+    df = spark.createDataFrame(rows, "k string, m int, v double").repartition(5)
+    sets = [["k", "m"], ["k"], []]
+    got = {(r["level"], r["k"], r["m"]): (r["quantile"], r["n"], r["rows"]) for r in quantile_sets(df, sets, "v", 0.3, few=few).collect()}
+    want = {}
+    for level, own in enumerate(sets):
+        for k, m, _ in rows:
+            key = level, k if "k" in own else None, m if "m" in own else None
+            mine = [v for a, b, v in rows if (a == k or "k" not in own) and (b == m or "m" not in own)]
+            values = sorted(v for v in mine if v is not None)
+            at = 0.3 * (len(values) - 1)
+            low = int(at)
+            want[key] = (None if not values else values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low]), len(values), len(mine))
+    assert got.keys() == want.keys()
+    for key, (q, n, size) in want.items():
+        assert got[key][1:] == (n, size) and (got[key][0] is None if q is None else got[key][0] == pytest.approx(q))
+    assert {r["k"] for r in quantile_by(df, ["k"], "v", 0.5, few=few).collect()} == {"hot", "a", "b", None}
+    assert quantile_sets(df.limit(0), sets, "v", 0.5, few=few).collect() == [] and quantile_by(df.limit(0), [], "v", 0.5, few=few).collect() == []
+
+
+def test_peer_ratios_keep_all_rows(spark):
+    df = spark.createDataFrame([("a", None, 10), ("a", None, 30), (None, 1, 5), ("b", 1, None), ("b", 1, 4)], "source string, rooms int, price int")
+    got = market.peer_ratio(df, ["source", "rooms"]).collect()
+    assert sorted((str(r["source"]), r["price"] or 0, r["peer_median"], r["ratio"]) for r in got) == [("None", 5, 5.0, 1.0), ("a", 10, 20.0, 0.5), ("a", 30, 20.0, 1.5), ("b", 0, 4.0, None), ("b", 4, 4.0, 1.0)]
