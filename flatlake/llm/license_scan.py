@@ -1,15 +1,18 @@
 """License scans by canonical digest lookup.
 
-A text is made canonical line by line: lower case, statements of copyright out, equivalent spellings to one,
+Statements of copyright are cut out of a text, and its lines are made canonical: lower case, equivalent spellings to one,
 punctuation and blanks to single blanks. Lines joined by blanks are the canonical text, so that wrapping doesn't
 matter, and its SHA-256 is joined to those of known license texts. The same lines, each by itself, are joined too,
 which finds notices such as "Released under the MIT License." inside other texts; a line is hashed only if it is as
 long as a known text is. Everything is a column expression, and the patterns are understood alike by RE2.
 
-A statement of copyright is a line that starts with a sign, or with the word and then a sign, a year, a placeholder or a
-name; a line that starts with the word and goes on as license texts do ("copyright holders be liable") is none.
-License text that follows a statement on its line stays. So does the text of all scripts: only what is neither letter,
-mark nor digit separates words.
+A statement of copyright is cut out, and no word more, wherever its lines break: the word, its sign, years and the names of
+holders. A name is a run of words with capitals, of initials, short words between such words, mail addresses in brackets and the
+placeholders of license texts, on one line or two; it ends at the end of a sentence, at a word of small letters, and at a
+word that licenses use. "Copyright 2020 Some One. Commercial use is prohibited." thus leaves a sentence, and the text is no
+known license. Names in small letters are not cut. "All rights reserved" goes, as it says no more, and so does the name that
+the third clause of BSD licenses has. The text of all scripts stays: only what is neither letter, mark nor digit
+separates words.
 
 Known texts are rows (license_id, text), canonicalised the same way; a table with more than
 `broadcast_rows` of them is joined by a shuffle.
@@ -73,28 +76,50 @@ def known_rows() -> list[tuple[str, str]]:
     return list(dict.fromkeys(rows))
 
 
-#: A statement of copyright, in a lower-cased line, by what follows the word, or by its sign; and what follows the word in license texts.
-MARKED = r"^[\s#*/;!-]*(copyright\s*(\(c\)|©|[:,]?\s*[0-9]{4}|[<\[{])|\(c\)\s*(copyright|[0-9]{4}|[<\[{])|©)"
-NAMED = r"^[\s#*/;!-]*copyright\s+(by\s+)?[\p{L}]+"
-NO_NAME = r"^[\s#*/;!-]*copyright\s+(act|and|any|are|as|disclaimer|doctrines|for|holders?|if|in|infringement|interests?|is|it|laws?|licen[sc]ed|licen[sc]es?|licen[sc]ing|notices?|of|on|or|owners?|ownership|permission|protection|resulting|rights?|statements?|status|terms?|that|the|this|to|treaties|treaty|under|which|with)\b"
-RESERVED = r"^[\s#*/;!-]*all rights reserved[.!]?\s*$"
-#: How license text begins after a statement on the same line.
-BEGINS = r"(permission is hereby granted|permission to use|redistribution and use|licen[sc]ed under|released under|this software is provided)"
+#: Of texts that none of these patterns finds, nothing is cut. All patterns are understood alike by Java and RE2.
+GATE = r"(?i)copyright|©|\(c\)|rights[ \t\r\n]+reserved|neither[ \t]+the[ \t]+name"
+#: Between words of a statement: blanks, or one line break and the next line's comment marks.
+GAP = r"(?:[ \t]*\r?\n[ \t]*[#*/;!]*[ \t]*|[ \t]+)"
+#: Words of licenses and terms, which are never part of a name.
+TERMS = (
+    r"(?i)(^|[^\p{L}\p{M}\p{N}\x01])(acts?|all|any|are|be|commercial|contributors|cop(?:y|ies|ying|yright)|disclaimer|distribut\w*|everyone|except|fees?|forbid\w*|grant\w*|holders?|if|in|infringement|interest|is|it|laws?|licen[cs]\w*|may|modif\w*|must|no|non\w*|not|notices?|on|only|or|owners?"
+    r"|ownership|pay\w*|permi\w*|portions|prohibit\w*|protection|provided|redistribut\w*|releas\w*|requir\w*|reserved|restrict\w*|rights?|sell\w*|shall|statements?|status|subject|terms?|that|these|this|to|treat\w*|under|us(?:e|es|ed|ing)|version|warrant\w*|which|with|without|you|your)([^\p{L}\p{M}\p{N}]|$)"
+)
+#: Placeholders of license texts, and addresses: of years, and of names.
+YEAR_HOLDER = r"[<\[{](?:years?|yyyy)[>\]}]"
+HOLDER = rf"[<\[{{][ \t]*(?:names?|names?{GAP}of{GAP}(?:the{GAP})?(?:authors?|copyright{GAP}(?:owners?|holders?))|copyright{GAP}(?:owners?|holders?)|owners?|holders?|authors?|organi[sz]ations?|fullname|[^<>\[\]{{}}\s]+@[^<>\[\]{{}}\s]+)[ \t]*[>\]}}]"
+WORD = r"(?:\p{Lu}\.|(?:Inc|Ltd|Co|Corp|Jr|Sr|Dr|St)\.|[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}\p{N}'’&@-]*)"
+NAME = rf"{WORD}(?:,?{GAP}(?:(?:and|of|the|for|at|de|der|den|von|van|la|le|du|et|und|y|&){GAP})*{WORD})*"
+YEARS = rf"[0-9]{{4}}(?:{GAP}?[-–,]{GAP}?(?:[0-9]{{4}}|present))*,?"
+SIGN = r"(?:\([cC]\)|©)"
+COPYRIGHT = r"(?i:\x01*copyright[,:]?)"
+#: With a sign or a year a statement may lack a name; with neither it is the word and a name. A (c) alone needs a year.
+STATEMENT = (
+    rf"(?:\x01*[Pp]ortions{GAP})?(?:{COPYRIGHT}{GAP}?(?:{SIGN}[,:]?)?{GAP}?{YEARS}|{SIGN}{GAP}?(?:{COPYRIGHT})?{GAP}?{YEARS}|{COPYRIGHT}{GAP}?{SIGN}|{SIGN}{GAP}?{COPYRIGHT}|©|\x01+C(?i:opyright)(?:{GAP}by)?{GAP}{WORD})"
+    rf"(?:{GAP}(?:by{GAP}|the{GAP})*{NAME})?"
+)
+RESERVED = rf"(?i)all{GAP}rights{GAP}reserved"
+NEITHER = rf"((?i:neither{GAP}the{GAP}names?{GAP}of{GAP}))(?:(?i:the{GAP}copyright{GAP}(?:holder|owner)s?)|(?:the{GAP})?{NAME})((?i:{GAP}nor{GAP}the{GAP}names{GAP}of{GAP}))"
 #: Letters, their marks and digits stay; all else separates words.
 SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
 
 
+def without_statements(text: Column) -> Column:
+    """A text without its statements of copyright. Words of terms get a mark first, which no name can run over."""
+    named = F.regexp_replace(F.regexp_replace(text, YEAR_HOLDER, "2000"), HOLDER, "Somebody")
+    plain = F.regexp_replace(F.regexp_replace(named, NEITHER, "$1$2"), RESERVED, " ")
+    marked = lambda t: F.regexp_replace(t, TERMS, "$1\u0001$2$3")
+    return F.when(text.rlike(GATE), F.regexp_replace(marked(marked(plain)), STATEMENT, " ")).otherwise(text)  # twice, for words side by side
+
+
 def canonical_line(line: Column) -> Column:
-    low = F.lower(line)
-    statement = low.rlike(MARKED) | (low.rlike(NAMED) & ~low.rlike(NO_NAME))
-    rest = F.when(statement, F.regexp_extract(low, rf"{BEGINS}[^\n]*", 0)).when(low.rlike(RESERVED), "").otherwise(low)
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(rest, SEPARATORS, " ")), F.lit(" "))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(line), SEPARATORS, " ")), F.lit(" "))
     return F.trim(reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS.items(), words))
 
 
 def canonical_lines(text: Column) -> Column:
     """The lines of a text that hold words, each made canonical."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical_line), lambda x: x != "")
+    return F.filter(F.transform(F.split(without_statements(F.coalesce(text, F.lit(""))), "\n"), canonical_line), lambda x: x != "")
 
 
 def known_texts(spark: SparkSession) -> DataFrame:

@@ -134,15 +134,17 @@ FROM turns GROUP BY conv_id
 
 def _canonical_sql(text: str) -> str:
     """The SQL of license_scan.canonical_lines."""
-    from .license_scan import BEGINS, MARKED, NAMED, NO_NAME, RESERVED, SEPARATORS, SPELLINGS
-
-    low = "lower(l)"
-    rest = f"""CASE WHEN regexp_matches({low}, '{MARKED}') OR (regexp_matches({low}, '{NAMED}') AND NOT regexp_matches({low}, '{NO_NAME}')) THEN regexp_extract({low}, '{BEGINS}[^\n]*', 0)
-      WHEN regexp_matches({low}, '{RESERVED}') THEN '' ELSE {low} END"""
-    out = f"' ' || trim(regexp_replace({rest}, '{SEPARATORS}', ' ', 'g')) || ' '"
+    from .license_scan import GATE, HOLDER, NEITHER, RESERVED, SEPARATORS, SPELLINGS, STATEMENT, TERMS, YEAR_HOLDER
+
+    said = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    named = f"regexp_replace(regexp_replace({text}, {said(YEAR_HOLDER)}, '2000', 'g'), {said(HOLDER)}, 'Somebody', 'g')"
+    plain = f"regexp_replace(regexp_replace({named}, {said(NEITHER)}, '\\1\\2', 'g'), {said(RESERVED)}, ' ', 'g')"
+    marked = lambda t: f"regexp_replace({t}, {said(TERMS)}, '\\1' || chr(1) || '\\2\\3', 'g')"
+    cut = f"CASE WHEN regexp_matches({text}, {said(GATE)}) THEN regexp_replace({marked(marked(plain))}, {said(STATEMENT)}, ' ', 'g') ELSE {text} END"
+    out = f"' ' || trim(regexp_replace(lower(l), '{SEPARATORS}', ' ', 'g')) || ' '"
     for spelling, same in SPELLINGS.items():
         out = f"replace({out}, ' {spelling} ', ' {same} ')"
-    return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda l: trim({out})), lambda x: x <> '')"
+    return f"list_filter(list_transform(string_split(coalesce({cut}, ''), chr(10)), lambda l: trim({out})), lambda x: x <> '')"
 
 
 def _op6_sql() -> str:

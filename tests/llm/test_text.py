@@ -388,8 +388,7 @@ def test_every_known_text_however_wrapped(spark):
     for name, text in whole_texts().items():
         paragraphs = re.split(r"\n\s*\n", text)
         for width in (40, 60, 72, 80, 1_000_000):
-            # A statement of copyright stays on its line, as it ends there.
-            lines = [w for p in paragraphs for w in (p.split("\n") if re.search(r"(?m)^\s*(copyright [(\[<0-9]|all rights)", p.lower()) else textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) + [""]]
+            lines = [w for p in paragraphs for w in [*textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False), ""]]
             wrapped += ["\n".join(lines), "\n".join("# " + x for x in lines), "\n".join(lines) + "\nمع شرط آخر"]
             names += [name, name, None]
     assert licenses(spark, wrapped) == names
@@ -403,6 +402,23 @@ def test_statements_of_copyright(spark):
     assert licenses(spark, [f"{h}\n{body}" for h in others]) == [None] * len(others)
 
 
+def test_terms_beside_a_statement_stay(spark):
+    """What a line says besides its statement of copyright is part of the text."""
+    mit = whole_texts()["MIT"]
+    body = mit[mit.index("Permission") :]
+    own = ["Copyright (c) 2020 Foo. Commercial use is prohibited.", "Copyright Foo forbids any use", "Copyright 2021 Foo, and you must pay Foo 5 USD", "Copyright (c) 2020 Foo Commercial Use Prohibited", "(c) 2020 Foo; not for sale", "Copyright (C) 2020 FOO. NO COMMERCIAL USE."]
+    assert licenses(spark, [f"{x}\n\n{body}" for x in own] + [f"{body}\n{x}" for x in own]) == [None] * 2 * len(own)
+    names = [
+        "Copyright (c) 2020 The Foo Bar\nHolding Company of Baz", "Portions Copyright (c) 1999-2004 Jane Q. Public <jane@foo.example>", "Copyright 2020, 2021 Foo Inc., Bar Ltd. and Baz", "© 2020 Ürün Ağ", "Copyright (c) 2020 Foo. All rights reserved.", "# Copyright © 2001 by Foo",
+        "Copyright 2020 日本", "Copyright (c) 2015-present Foo & Bar", "Copyright (c) 2010 Foo\nCopyright (c) 2011 Bar\n Copyright (c) 2012 Baz",
+    ]
+    assert licenses(spark, [f"{x}\n\n{body}" for x in names]) == ["MIT"] * len(names)
+    assert licenses(spark, [" ".join(f"Copyright (c) 2020 Foo Bar {body}".split())]) == ["MIT"]
+    bsd = whole_texts()["BSD-3-Clause"]
+    named = [bsd.replace("the copyright holder nor", f"{x} nor") for x in ("Foo Corp", "the Foo Foundation", "the copyright holders", "FOO", "<organization>")]
+    assert named[0] != bsd and licenses(spark, [*named, bsd.replace("the copyright holder nor", "those who pay nor")]) == ["BSD-3-Clause"] * 5 + [None]
+
+
 def test_known_texts_of_the_caller(spark):
     clause = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     known = spark.createDataFrame([("own", clause), ("own-zh", "保留所有权利"), ("b", "!!"), ("a", clause.upper())], "license_id string, text string")
