@@ -167,9 +167,11 @@ SUMS = ["n_convs", "n_children", "n_leaves", "saved_tokens"]
 
 def prefix_trie(paths: DataFrame, shards: int | None = None, held: int = HELD) -> DataFrame:
     """The nodes of paths (conv_id, path), a row each: conv_id (the smallest member), depth, parent_conv_id, n_convs, n_children,
-    n_leaves, saved_tokens, ends_sha256. Skeletons of up to `held` nodes are broadcast where parents are looked up."""
+    n_leaves, saved_tokens, ends_sha256. shards: as many as a shuffle's partitions, if not given. Skeletons of up to `held`
+    nodes are broadcast where parents are looked up."""
+    shards = shards or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("path"), F.col("conv_id").asc_nulls_last()]
-    ranged = paths.select("conv_id", "path").repartitionByRange(*[shards] * (shards is not None), *order).sortWithinPartitions(*order)
+    ranged = paths.select("conv_id", "path").repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ranged = pinned(ranged.withColumn("__shard", F.spark_partition_id()))
     ends = ranged.groupBy("__shard").agg(F.min("path").alias("low"), F.max("path").alias("high"))  # a row for each shard
     next_low = F.lead("low").over(Window.orderBy("__shard"))
