@@ -4,39 +4,53 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_counted, pinned, ranks
 from ..operators.stats import column_stats, vocabulary
 from .labels import guard
+from .trees import Boosted, boost
 
 
 @dataclass(frozen=True)
 class Preparation:
-    """Median, mean and deviation of numeric columns; known values of categorical ones (all, or the `most` most frequent)."""
+    """Median, mean and deviation of numeric columns; of each categorical one a table (value, at, n) of its known values
+    (those of two rows or more, all or the `most` most frequent), numbered in order, and how many there are. The table stays
+    in Spark, so that a column may have millions of values."""
 
     numeric: dict[str, tuple[float, float, float]]
-    categorical: dict[str, list[str]]
+    categorical: dict[str, tuple[DataFrame, int]]
 
     @staticmethod
     def fit(df: DataFrame, numeric: list[str], categorical: list[str], most: int | None = None) -> Preparation:
         guard([*numeric, *categorical])
         stats = {r["column"]: (r["median"] or 0.0, r["mean"] or 0.0, r["std"] or 1.0) for r in column_stats(df, numeric).collect()} if numeric else {}
-        words = []
+        tables = {}
         for c in categorical:
-            known = vocabulary(df, [c])
-            words += (known.orderBy(F.desc("n"), "value").limit(most) if most is not None else known).collect()  # columns of features
-        return Preparation(stats, {c: sorted(r["value"] for r in words if r["column"] == c) for c in categorical})
-
-    def columns(self) -> list[Column]:
-        scaled = [(F.coalesce(F.col(c).cast("double"), F.lit(m)) - a) / s for c, (m, a, s) in self.numeric.items()]
-        hot = [(F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) == v).cast("double") for c, values in self.categorical.items() for v in values]
-        return [*scaled, *hot]
+            known = vocabulary(df, [c]).drop("column")
+            known = known.orderBy(F.desc("n"), "value").limit(most) if most is not None else known
+            table = pinned(ranks(known, [F.col("value")], "__at").select("value", (F.col("__at") - 1).cast("double").alias("at"), "n"))
+            tables[c] = table, table.count()
+        return Preparation(stats, {c: t for c, t in tables.items() if t[1]})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("features", array_to_vector(F.array(*self.columns())))
+        """df with features: the numeric columns, filled and scaled, then a place for each known value. Vectors are sparse where
+        that is shorter; an unknown value has no place. Common values are handed to all tasks, the others joined."""
+        scaled = [(F.coalesce(F.col(c).cast("double"), F.lit(m)) - a) / s for c, (m, a, s) in self.numeric.items()]
+        out, parts, names = df, [], df.columns
+        if scaled:
+            out, parts = out.withColumn("__numeric", array_to_vector(F.array(*scaled))), ["__numeric"]
+        for k, (c, (table, size)) in enumerate(self.categorical.items()):
+            keyed = out.withColumn("value", F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))))
+            out = join_counted(keyed, table, "value", "n", F.xxhash64(*names)).drop("value", "n").withColumn(f"__at{k}", F.coalesce("at", F.lit(float(size)))).drop("at")
+            encoder = OneHotEncoder(inputCol=f"__at{k}", outputCol=f"__hot{k}", handleInvalid="keep", dropLast=True)  # the last place, of unknown values, is dropped
+            out = encoder.fit(df.sparkSession.createDataFrame([(size - 1.0,)], f"__at{k} double")).transform(out)
+            parts.append(f"__hot{k}")
+        return VectorAssembler(inputCols=parts, outputCol="features").transform(out).select(*names, "features")
 
 
 def balanced(df: DataFrame, label: str = "good") -> DataFrame:
@@ -49,14 +63,10 @@ def balanced(df: DataFrame, label: str = "good") -> DataFrame:
     return df.withColumn("weight", weight)
 
 
-def boosted(df: DataFrame, rounds: int = 400, seed: int = 42, label: str = "good", hold_out: float = 0.15, **more):
-    """Boosted trees with balanced classes. Rounds end early when they no longer help on a share `hold_out` of the rows,
-    chosen by a hash of the features. Spark's trees have no l2 penalty; small steps and 15 rows a leaf stand in for it."""
-    rows = balanced(df, label)
-    if hold_out:
-        rows = rows.withColumn("__aside", F.pmod(F.xxhash64(vector_to_array("features"), F.lit(seed)), F.lit(1000)) < int(hold_out * 1000))
-        more = {"validationIndicatorCol": "__aside", "validationTol": 0.01} | more
-    return GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, stepSize=0.06, minInstancesPerNode=15, maxDepth=5, seed=seed, **more).fit(rows)
+def boosted(df: DataFrame, rounds: int = 400, seed: int = 42, label: str = "good", hold_out: float = 0.15, **more) -> Boosted:
+    """Boosted trees with balanced classes, small steps, an l2 penalty and 15 rows a leaf; rounds end early when they no longer
+    help on a share `hold_out` of the rows."""
+    return boost(balanced(df, label), label=label, weight="weight", rounds=rounds, seed=seed, hold_out=hold_out, **more)
 
 
 def network(df: DataFrame, seeds: tuple[int, ...] = (42,), label: str = "good", rounds: int = 100) -> list:

@@ -842,12 +842,18 @@ def prepared(spark, sf_dir):
     return rows, p
 
 
+@query(f"""{L}, v AS (SELECT title AS value, count(*) AS n FROM (SELECT lower(trim(title)) AS title FROM listings) GROUP BY title HAVING count(*) > 1) SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS DOUBLE) AS at, n FROM v""")
+def one_hot_places(spark, sf_dir):
+    """The place of each title that two listings have in the one-hot part of a feature vector."""
+    return model.Preparation.fit(all_listings(spark, sf_dir), [], ["title"]).categorical["title"][0]
+
+
 @query()
 def scored_listings(spark, sf_dir):
     """Verdicts of a boosted-tree model, trained on four folds of five and applied to all listings."""
     rows, p = prepared(spark, sf_dir)
     ready = p.transform(model.folds(rows, 5, ["url"])).select("id", "url", "price", "good", "fold", "features").cache()
-    fitted = model.boosted(ready.filter("fold <> 0"), rounds=10)
+    fitted = model.boosted(ready.filter("fold <> 0"), rounds=10, depth=3)
     out = model.scored(fitted, ready)
     threshold = model.best_threshold(out.filter("fold = 0")).first()["t"]
     return out.select("id", "good", "fold", F.bround("prob", 3).alias("prob"), model.verdict(F.col("prob"), threshold).alias("verdict"))
