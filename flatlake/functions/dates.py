@@ -51,17 +51,18 @@ def parse_date(text: Column, today: Column) -> Column:
 
 
 def extract_dates(text: Column, today: Column) -> Column:
-    """Struct (published, updated). A date belongs to the label in the 14 characters before it; of unlabelled ones
-    the first is of publication and the next of the update."""
-    low = F.lower(text)
-    spans = F.regexp_extract_all(low, F.lit(rf"(?U)(?:.{{0,14}}?)(?:{DATE})"), 0)
-    parts = F.transform(
-        spans,
-        lambda s: F.struct(
-            parse_date(F.regexp_extract(s, rf"(?U)(?:{DATE})", 0), today).alias("on"),
-            F.when(s.contains("обнов"), "u").when(s.rlike("публик|размест|создан|добав"), "p").otherwise("").alias("label"),
-        ),
-    )
+    """Struct (published, updated). A date belongs to the label in the 14 characters before it or the 4 after, whatever other
+    dates stand there too; of unlabelled ones the first is of publication and the next of the update."""
+    low, date = F.lower(text), rf"(?U)(?:{DATE})"
+    spans, between = F.regexp_extract_all(low, F.lit(date), 0), F.split(low, date, -1)
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+
+    def labelled(span: Column, i: Column) -> Column:
+        start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(spans, F.lit(1), i))
+        near = F.substring(low, F.greatest(start - 13, F.lit(1)), F.least(start, F.lit(14)) + F.length(span) + 4)
+        return F.struct(parse_date(span, today).alias("on"), F.when(near.contains("обнов"), "u").when(near.rlike("публик|размест|создан|добав"), "p").otherwise("").alias("label"))
+
+    parts = F.transform(spans, labelled)
     dated = F.filter(parts, lambda p: p["on"].isNotNull())
     none = F.lit(None).cast("date")
     start = F.struct(none.alias("published"), none.alias("updated"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phones import normalize_phone
 from .skew import join_counted, quantile_by, quantile_sets, same
 
 
@@ -31,10 +32,30 @@ def days_on_market(observations: DataFrame, key: str = "listing_key") -> DataFra
     return observations.groupBy(key).agg(F.datediff(F.max("seen_at"), F.min("seen_at")).cast("long").alias("days"), F.count(F.lit(1)).alias("n"))
 
 
+def with_organizations(listings: DataFrame, organizations: DataFrame) -> DataFrame:
+    """A row for each listing and organization (org_id, name and, if they are listed, phones, an array) that it belongs to: by
+    its provider_org_id, or by a phone that is one of theirs however either writes it; one row where both say so. A number
+    that a large share of the listings has is handed to all tasks, and so is an organization with as many."""
+    rows, own = listings.withColumn("__id", F.col("provider_org_id")), F.struct("org_id", "name")
+    by_id = organizations.filter("org_id IS NOT NULL").groupBy(F.col("org_id").alias("__id")).agg(F.array_distinct(F.collect_list(own)).alias("__orgs"))
+    keys = [("__id", by_id, "__of_id")]
+    if "phones" in organizations.columns and "phone" in listings.columns:
+        rows = rows.withColumn("__phone", F.nullif(normalize_phone(F.col("phone")), F.lit("")))
+        each = organizations.filter("org_id IS NOT NULL").select("org_id", "name", F.explode("phones").alias("__raw")).withColumn("__phone", F.nullif(normalize_phone(F.col("__raw")), F.lit("")))
+        keys.append(("__phone", each.filter("__phone IS NOT NULL").groupBy("__phone").agg(F.array_distinct(F.collect_list(own)).alias("__orgs")), "__of_phone"))
+    for key, table, name in keys:
+        counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        rows = join_counted(rows, table.join(counts, key), key, "__n", F.xxhash64(*listings.columns)).drop("__n").withColumnRenamed("__orgs", name)
+    none = F.array().cast("array<struct<org_id: {}, name: string>>".format(dict(organizations.dtypes)["org_id"]))
+    found = F.array_distinct(F.concat(*(F.coalesce(F.col(name), none) for _, _, name in keys)))
+    kept = [c for c in listings.columns if c not in ("org_id", "name")]
+    return rows.withColumn("__org", F.explode(found)).select(*kept, "__org.org_id", "__org.name")
+
+
 def agency_portfolio(listings: DataFrame, organizations: DataFrame) -> DataFrame:
     """Per organization: listings, median price, districts, kinds, mean area, and the share of its dated listings that were
     updated after they were published (null where none is dated, or without date_updated)."""
-    joined = listings.join(organizations.select("org_id", "name"), listings["provider_org_id"] == organizations["org_id"])
+    joined = with_organizations(listings, organizations)
     dated = "date_updated" in listings.columns
     updated = F.avg((F.coalesce("date_updated", "date_published") > F.col("date_published")).cast("int")) if dated else F.lit(None).cast("double")
     groups = joined.groupBy("org_id", "name").agg(

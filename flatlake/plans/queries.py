@@ -447,6 +447,16 @@ def agency_portfolio(spark, sf_dir):
     return own.withColumns({"mean_area": F.round("mean_area", 4), "update_rate": F.round("update_rate", 6)})
 
 
+@query(f"""{L}, o AS (SELECT s_suppkey AS org_id, s_name AS name, s_suppkey % 40 AS own, 1000000 + s_suppkey * 7 % 5000 AS a, 1000000 + s_suppkey * 11 % 5000 AS b FROM supplier),
+  met AS (SELECT DISTINCT org_id, name, id, price FROM listings JOIN o ON org = org_id OR phone IN ('8 707 ' || a, '8 707 ' || b)) SELECT org_id, name, count(*) AS n, median(price) AS median_price FROM met GROUP BY ALL""")
+def portfolio_by_phones(spark, sf_dir):
+    """Organizations with the listings that carry their id or one of their numbers."""
+    number = lambda by: F.concat(F.lit("+7 (707) "), (F.lit(1000000) + F.col("s_suppkey") * by % 5000).cast("string"))
+    orgs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("org_id"), F.col("s_name").alias("name"), F.array(number(7), number(11), F.lit("no phone"), F.lit(None)).alias("phones"))
+    own = market.agency_portfolio(all_listings(spark, sf_dir).withColumnRenamed("org", "provider_org_id"), orgs)
+    return own.select("org_id", "name", "n", "median_price")
+
+
 @query(f"{L} SELECT source, rooms, count(*) AS n, median(price) AS median_price, CAST(grouping(source, rooms) AS BIGINT) AS level FROM listings GROUP BY ROLLUP (source, rooms)")
 def market_rollup(spark, sf_dir):
     return market.market_rollup(all_listings(spark, sf_dir), ["source", "rooms"])
@@ -621,15 +631,15 @@ def event_states(spark, sf_dir):
 MONTH_WORDS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 
 
-@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS by_words, CAST(o_orderdate AS DATE) AS by_dots, CAST(o_orderdate AS DATE) AS by_iso, CAST(o_orderdate AS DATE) AS updated FROM orders")
+@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS by_words, CAST(o_orderdate AS DATE) AS by_dots, CAST(o_orderdate AS DATE) AS by_iso, CAST(o_orderdate AS DATE) AS updated, DATE '1990-02-01' AS published FROM orders")
 def dates_in_texts(spark, sf_dir):
     on = F.to_date("o_orderdate")
     month = F.element_at(F.array(*map(F.lit, MONTH_WORDS)), F.month(on))
     today = F.lit("2024-08-15").cast("date")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", F.day(on).cast("string"), month, F.year(on).cast("string")).alias("words"), F.date_format(on, "dd.MM.yyyy").alias("dots"), F.date_format(on, "yyyy-MM-dd").alias("iso"))
     read = lambda c: dates.parse_date(F.col(c), today)
-    both = dates.extract_dates(F.concat(F.lit("размещено 01.02.1990, обновлено "), "dots"), today)
-    return rows.select("id", read("words").alias("by_words"), read("dots").alias("by_dots"), read("iso").alias("by_iso"), both["updated"].alias("updated"))
+    both = dates.extract_dates(F.concat(F.lit("обновлено "), "dots", F.lit(", 01.02.1990")), today)
+    return rows.select("id", read("words").alias("by_words"), read("dots").alias("by_dots"), read("iso").alias("by_iso"), both["updated"].alias("updated"), both["published"].alias("published"))
 
 
 @query(f"""{L} SELECT id, CASE WHEN price >= 30000 THEN price END AS price, rooms, area, floor, CASE WHEN floor IS NOT NULL AND floor <= total_floors THEN total_floors END AS total_floors, 'WHOLE_APARTMENT' AS listing_type, address FROM listings""")

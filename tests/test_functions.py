@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,24 @@ def test_sql_functions(spark):
     r = spark.sql("""SELECT fl_canonical_phone('8 707 123 45 67') p, fl_price_band(258000) b, fl_listing_key('a', NULL, 'c') k, fl_listing_type('ищем девушку на подселение') t, fl_owner_probability('я собственник', false) o,
       fl_fingerprint('Абая 1', 2, 60.5D, NULL, 258000) f, fl_in_polygon(1D, 1D, array(named_struct('lat', 0D, 'lon', 0D), named_struct('lat', 0D, 'lon', 3D), named_struct('lat', 3D, 'lon', 0D))) i""").first()
     assert (r["p"], r["b"], len(r["k"]), r["t"], r["o"], r["f"], r["i"]) == ("+77071234567", 240000, 16, "ROOMMATE", 0.85, "абая 1|2|60|_|240000", True)
+
+
+def plain_dates(text):
+    """published and updated of dotted dates, by their places in the text."""
+    published = updated = None
+    for m in re.finditer(r"(?<![0-9])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])", text):
+        near, on = text[max(0, m.start() - 14) : m.end() + 4], dt.datetime.strptime(m[0], "%d.%m.%Y").date()
+        label = "u" if "обнов" in near else "p" if re.search("публик|размест|создан|добав", near) else ""
+        if label == "p" or label == "" and published is None:
+            published = published or on
+        else:
+            updated = updated or on
+    return published, updated
+
+
+def test_dates_side_by_side(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice(["обновлено ", "обнов. ", "размещено ", "создан ", " ", ", ", "x", "", "дом у реки "])
+    texts = ["".join(word() + f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.20{rng.randint(10, 24)}" + word() for _ in range(rng.randint(0, 4))) for _ in range(150)] + ["", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.extract_dates(F.col("t"), F.lit("2024-08-15").cast("date")).alias("d"), "t").collect()
+    assert [(r["d"]["published"], r["d"]["updated"]) if r["t"] is not None else (None, None) for r in got] == [plain_dates(t or "") for t in texts]

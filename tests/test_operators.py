@@ -215,3 +215,13 @@ def test_peer_ratios_keep_all_rows(spark):
     df = spark.createDataFrame([("a", None, 10), ("a", None, 30), (None, 1, 5), ("b", 1, None), ("b", 1, 4)], "source string, rooms int, price int")
     got = market.peer_ratio(df, ["source", "rooms"]).collect()
     assert sorted((str(r["source"]), r["price"] or 0, r["peer_median"], r["ratio"]) for r in got) == [("None", 5, 5.0, 1.0), ("a", 10, 20.0, 0.5), ("a", 30, 20.0, 1.5), ("b", 0, 4.0, None), ("b", 4, 4.0, 1.0)]
+
+
+def test_portfolio_by_phones(spark):
+    rows = [(1, 10, "8 707 123 45 67", 100), (2, None, "+7(707)1234567", 300), (3, 11, None, 5), (4, 12, "7071234567", 7), (5, None, "", 9), (6, None, "x", 9), (7, 99, "8 700 000 00 00", 1)]
+    rows += [(100 + k, None, "8 701 000 00 00", 50) for k in range(60)]  # most rows have one number
+    df = spark.createDataFrame(rows, "id int, provider_org_id int, phone string, price int").withColumn("name", F.lit("clash"))
+    orgs = spark.createDataFrame([(10, "A", ["87071234567", "87071234567", None]), (11, "B", []), (12, "C", None), (13, "D", ["+7 701 000-00-00", "x"]), (14, "E", ["8 701 0000000"]), (None, "N", ["87000000000"])], "org_id int, name string, phones array<string>")
+    got = sorted((r["id"], r["org_id"], r["name"]) for r in market.with_organizations(df, orgs).collect())
+    assert got == sorted([(1, 10, "A"), (2, 10, "A"), (3, 11, "B"), (4, 10, "A"), (4, 12, "C"), *((100 + k, o, n) for k in range(60) for o, n in ((13, "D"), (14, "E")))])
+    assert {r["org_id"] for r in market.with_organizations(df, orgs.drop("phones")).collect()} == {10, 11, 12}
