@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags
+from ..operators.dedup import first_of
 from ..operators.skew import quantile_by
 from ..operators.stats import exclusive_quantile, group_median
 
@@ -56,6 +57,14 @@ def feature_rows(df: DataFrame) -> DataFrame:
     return full.withColumn("furniture_grade", level[F.col("furniture_level")]).select(*BASE, "year_built", "ceiling_height", "renovation_grade", "furniture_level", "furniture_grade", "building_type", "bathroom_type", *tags.NAMES, "tag_list", "row_key", "url", "title")
 
 
+def training_rows(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Priced rows, the first by order of each (source, url), whatever the source's case and the blanks around either; rows
+    that have neither are all kept."""
+    plain = {"__source": F.lower(F.trim(F.coalesce("source", F.lit("")))), "__url": F.trim(F.coalesce("url", F.lit("")))}
+    priced = df.filter(F.trim(F.coalesce(F.col("price").cast("string"), F.lit(""))) != "").withColumns(plain)
+    return first_of(priced, ["__source", "__url"], order).drop("__source", "__url")
+
+
 def area_bucket(area: Column) -> Column:
     """Bins of 15 square metres, "?" without an area."""
     return F.coalesce(F.floor((area - 1) / 15).cast("string"), F.lit("?"))

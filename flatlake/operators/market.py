@@ -28,6 +28,14 @@ def _with_median(groups: DataFrame, medians: DataFrame, keys: list[str], name: s
     return groups.join(own, same({k: F.col(k) for k in keys}, {k: F.col(f"__k_{k}") for k in keys}), "left").drop(*(f"__k_{k}" for k in keys))
 
 
+def by_building(df: DataFrame, key: str = "building_id", least: int = 1) -> DataFrame:
+    """Of each building with `least` priced listings or more: how many, the median rent, and the mean and median of a square
+    metre's. Listings without a building are left out."""
+    own = df.filter(F.col(key).isNotNull())
+    rents = median_by(own, [key], least=least, name="median_rent")
+    return rents.join(rent_per_area(own, [key]).drop("n"), key).select(key, "n", "median_rent", "mean_per_m2", "median_per_m2")
+
+
 def days_on_market(observations: DataFrame, key: str = "listing_key") -> DataFrame:
     return observations.groupBy(key).agg(F.datediff(F.max("seen_at"), F.min("seen_at")).cast("long").alias("days"), F.count(F.lit(1)).alias("n"))
 

@@ -836,6 +836,17 @@ def large_dictionary(spark, sf_dir):
     return geo.lookup_names(notes, F.col("note"), index).drop("note")
 
 
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'bad' ELSE 'row' END AS kind, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN o_custkey END) AS BIGINT) AS prices FROM orders GROUP BY ALL""")
+def rows_kept_apart(spark, sf_dir):
+    """Records written as JSON lines, every seventh with a price that is no number and every eleventh cut short, and read back."""
+    key, path = F.col("o_orderkey"), fresh_path(spark, "lines")
+    whole = F.to_json(F.struct(key.alias("id"), F.when(key % 7 == 0, F.lit("12 or so")).otherwise(F.col("o_custkey").cast("string")).alias("price")))
+    line = F.regexp_replace(whole, r'"price":"([0-9]+)"', '"price":$1')
+    table(spark, sf_dir, "orders").select(F.when(key % 11 == 0, F.substring(line, 1, 12)).otherwise(line)).write.text(path)
+    rows, bad, _ = files.read_checked(spark, path, "id long, price long")
+    return rows.agg(F.lit("row").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("price").alias("prices")).unionByName(bad.agg(F.lit("bad").alias("kind"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("prices")))
+
+
 @query(f"{L} SELECT source, count(*) AS n, count(rooms) AS with_rooms FROM (SELECT source, rooms FROM listings UNION ALL SELECT s_name, NULL FROM supplier) GROUP BY source")
 def union_of_sources(spark, sf_dir):
     other = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source"), F.col("s_suppkey").alias("id"))
@@ -843,6 +854,78 @@ def union_of_sources(spark, sf_dir):
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("rooms").alias("with_rooms"))
 
 
+# Small functions read back from values made of known parts
+
+
+@query(f"""{H}, e AS (SELECT listing_key, min_by(price, (checked_at, seq)) AS first_price, max_by(price, (checked_at, seq)) AS last_price, count(*) AS n_prices FROM history GROUP BY 1)
+  SELECT p_partkey AS listing_key, first_price, last_price, n_prices, last_price - first_price AS diff FROM part LEFT JOIN e ON p_partkey = listing_key""")
+def saved_with_extremes(spark, sf_dir):
+    saved = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("listing_key"))
+    return history.with_extremes(saved, price_log(spark, sf_dir)).select("listing_key", "first_price", "last_price", "n_prices", "diff")
+
+
+@query(f"""{L} SELECT id, CASE WHEN phone IN (SELECT '8 707 ' || (1000000 + s_suppkey * 7 % 5000) FROM supplier) THEN '' ELSE phone END AS phone FROM listings""")
+def barred_numbers(spark, sf_dir):
+    barred = table(spark, sf_dir, "supplier").select(F.concat(F.lit("+7-707-"), (F.lit(1000000) + F.col("s_suppkey") * 7 % 5000).cast("string")).alias("phone"))
+    return phones.without_barred(all_listings(spark, sf_dir).select("id", "phone"), barred)
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN concat('8707', 1000000 + o_custkey, ',7705', 2000000 + o_custkey) WHEN 1 THEN concat('7', 1000000000 + o_orderkey) ELSE '' END AS phones FROM orders""")
+def numbers_in_records(spark, sf_dir):
+    """Phones in nested JSON: under keys that say so, else any number that could be one."""
+    k, own = F.col("o_orderkey"), F.col("o_custkey").cast("long")
+    named = F.to_json(F.struct((F.lit(71000000000) + k).alias("id"), F.struct(F.array(F.struct(F.concat(F.lit("8 707 "), (own + 1000000).cast("string")).alias("n"), (F.lit(77050000000) + own + 2000000).alias("m"))).alias("Phones")).alias("seller")))
+    plain = F.to_json(F.struct(F.concat(F.lit("7"), (F.lit(1000000000) + k).cast("string")).alias("ref"), F.lit("12").alias("room")))
+    record = F.when(k % 3 == 0, named).when(k % 3 == 1, plain).otherwise(F.lit('{"a": [1, {"b": null}]}'))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(phones.phones_in_json(record), ",").alias("phones"))
+
+
+@query("""SELECT o_orderkey AS id, CAST(1000000 + o_orderkey AS VARCHAR) AS ad FROM orders""")
+def advert_ids(spark, sf_dir):
+    k = F.col("o_orderkey")
+    n = (F.lit(1000000) + k).cast("string")
+    html = F.when(k % 4 == 0, F.concat(F.lit('<a href="/promote/?x=1&id='), n, F.lit('"> "sku": "999999999"'))).when(k % 4 == 1, F.concat(F.lit('{"sku" : "'), n, F.lit('"}'))).when(k % 4 == 2, F.concat(F.lit('<i data-ad-id="'), n, F.lit('">'))).otherwise("none 12345")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), numbers.ad_id(html, F.concat(F.lit("https://s.test/a/show/"), n)).alias("ad"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""")
+def provider_dates(spark, sf_dir):
+    k, on = F.col("o_orderkey"), F.to_date("o_orderdate")
+    said = F.when(k % 3 == 0, F.concat(F.date_format(on, "yyyy-MM-dd"), F.lit("T10:20:30.123Z"))).when(k % 3 == 1, F.unix_seconds(on.cast("timestamp")).cast("string")).otherwise("soon")
+    # From March 1973 on, seconds have nine digits or more.
+    return table(spark, sf_dir, "orders").select(k.alias("id"), dates.provider_date(said).cast("date").alias("day"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN concat(1 + o_custkey % 28, ' мая') WHEN 1 THEN 'срочно/сегодня' ELSE '' END AS available FROM orders""")
+def availability(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("Сдам квартиру с  "), (1 + F.col("o_custkey") % 28).cast("string"), F.lit(" мая, срочно"))).when(k % 3 == 1, "Срочно сдам, торг").otherwise("Сдам квартиру")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), texts.available_from(text).alias("available"))
+
+
+@query("""SELECT c_custkey AS id, concat('+7707', 1000000 + c_custkey) AS whatsapp, concat('user_', c_custkey + 10000) AS chat, concat('https://2gis.kz/almaty/firm/', c_custkey + 7000, '?m=76.5,43.25') AS url, CAST(c_custkey + 7000 AS VARCHAR) AS object_id FROM customer""")
+def contacts_in_posts(spark, sf_dir):
+    k = F.col("c_custkey").cast("long")
+    text = F.concat(F.lit("Пишите: wa.me/7707"), (k + 1000000).cast("string"), F.lit(" или @user_"), (k + 10000).cast("string"), F.lit(", a@b.kz. Тут: https://2gis.kz/almaty/firm/"), (k + 7000).cast("string"), F.lit("?m=76.5,43.25 рядом"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), phones.whatsapp(text).alias("whatsapp"), phones.chat_handle(text).alias("chat"), phones.map_link(text).alias("m"))
+    return rows.select("id", "whatsapp", "chat", "m.url", "m.object_id")
+
+
+@query(f"""{L}, u AS (SELECT id, source, url, price FROM listings UNION ALL SELECT id + 1000000, upper(source) || ' ', url || ' ', price FROM listings UNION ALL SELECT -id, NULL, '', CASE WHEN id % 2 = 0 THEN price END FROM listings), k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(source)), trim(url) ORDER BY id) AS n FROM u WHERE price IS NOT NULL AND source IS NOT NULL)
+  SELECT id, price FROM k WHERE n = 1 UNION ALL SELECT id, price FROM u WHERE source IS NULL AND price IS NOT NULL""")
+def training_rows(spark, sf_dir):
+    own = all_listings(spark, sf_dir).select("id", "source", "url", "price")
+    again = own.select((F.col("id") + 1000000).alias("id"), F.concat(F.upper("source"), F.lit(" ")).alias("source"), F.concat("url", F.lit(" ")).alias("url"), "price")
+    bare = own.select((-F.col("id")).alias("id"), F.lit(None).cast("string").alias("source"), F.lit("").alias("url"), F.when(F.col("id") % 2 == 0, F.col("price")).alias("price"))
+    return labels.training_rows(own.unionByName(again).unionByName(bare), [F.col("id")]).select("id", "price")
+
+
+@query(f"{L} SELECT org AS building_id, count(*) AS n, median(price) AS median_rent, round(median(price / area), 4) AS median_per_m2 FROM listings WHERE org <> 3 GROUP BY org")
+def rent_by_building(spark, sf_dir):
+    own = all_listings(spark, sf_dir).withColumn("building_id", F.nullif("org", F.lit(3)))
+    return market.by_building(own).select("building_id", "n", "median_rent", F.round("median_per_m2", 4).alias("median_per_m2"))
+
+
 # Models
 
 

@@ -16,6 +16,17 @@ def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("listing_key", F.coalesce(F.nullif(key, F.lit("")), listing_key(F.col("source"), F.col("url"), F.col("title"))))
 
 
+def read_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, Observation]:
+    """JSON lines as (rows, bad, counts). A line that isn't a record of the schema, with a number that is none or cut short, is
+    kept in bad (line, file) instead of becoming a row of nulls. counts.get has rows and bad, once rows were read by an action.
+    Blank lines are neither."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    read = lines.withColumn("r", F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})).withColumn("bad", F.col("r").isNull() | F.col("r.__bad").isNotNull())
+    counts = Observation()
+    seen = read.observe(counts, F.count_if(~F.col("bad")).alias("rows"), F.count_if("bad").alias("bad"))
+    return seen.filter("NOT bad").select("r.*").drop("__bad"), read.filter("bad").select(F.col("value").alias("line"), "file"), counts
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, perhaps after a byte order mark; rows without price go."""
     df = spark.read.csv(path, header=True)

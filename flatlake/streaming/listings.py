@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 CHANGES = "source string, url string, old_price long, new_price long, observed_at timestamp, kind string"
 STATE = "price long, first_seen timestamp, last_seen timestamp"
@@ -57,24 +58,50 @@ def fresh_pages(pages: DataFrame, life: str = "1 hour") -> DataFrame:
     return pages.withWatermark("fetched_at", life).dropDuplicatesWithinWatermark(["url"])
 
 
+SNAPSHOT = "source string, url string, price long, observed_at timestamp, first_seen timestamp, is_new boolean, price_changed boolean, prev_price long, seen boolean"
+
+
 def merge_batches(path: str):
-    """A foreachBatch function that merges each run into a versioned snapshot: path/v=<batch>. Batches that are
-    repeated after a failure overwrite their own version."""
+    """A foreachBatch function that merges each run into the versioned snapshot at path (`sources.versions`). A batch that is
+    repeated after a failure is merged once; what a failed write leaves is never read."""
     from ..operators.snapshot import merge
+    from ..sources.versions import Snapshots
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        kept = Snapshots(batch.sparkSession, path)
         rows = batch.groupBy("source", "url").agg(F.max_by(F.struct("price", "observed_at"), "observed_at").alias("r")).select("source", "url", "r.price", "r.observed_at")
-        if batch_id == 0:
-            kept = spark.createDataFrame([], "source string, url string, price long, observed_at timestamp, first_seen timestamp")
-        else:
-            kept = spark.read.parquet(f"{path}/v={batch_id - 1}").select("source", "url", "price", "observed_at", "first_seen")
-        merged = merge(kept, rows, F.col("observed_at"))
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        merged = merge(kept.read(SNAPSHOT).select("source", "url", "price", "observed_at", "first_seen"), rows, F.col("observed_at"))
+        kept.commit(merged, batch_id)
 
     return one
 
 
-def progress(df: DataFrame, name: str = "progress") -> DataFrame:
-    """Rows and priced rows, observed while the query runs; read them from a StreamingQueryListener."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count("price").alias("priced"))
+def progress(df: DataFrame, name: str = "progress", sources: tuple[str, ...] = ()) -> DataFrame:
+    """Rows and priced rows, of all and of each of `sources`, observed while the query runs; a ProgressLog gathers them."""
+    own = [(F.count_if(F.col("source") == s).alias(f"rows:{s}"), F.count_if((F.col("source") == s) & F.col("price").isNotNull()).alias(f"priced:{s}")) for s in sources]
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count("price").alias("priced"), *(c for pair in own for c in pair))
+
+
+class ProgressLog(StreamingQueryListener):
+    """What progress() observes, batch by batch: add it by spark.streams.addListener. batches: (query id, batch id, metrics)."""
+
+    def __init__(self, name: str = "progress"):
+        self.name, self.batches, self.ended = name, [], set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if (seen := event.progress.observedMetrics.get(self.name)) is not None:
+            self.batches.append((str(event.progress.id), event.progress.batchId, seen.asDict()))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def totals(self, query: str) -> dict[str, int]:
+        """Sums over a query's batches; a batch that was repeated counts once."""
+        last = {batch: seen for own, batch, seen in self.batches if own == query}
+        return {k: sum(seen[k] for seen in last.values()) for k in next(iter(last.values()), {})}
