@@ -210,3 +210,21 @@ def test_dates_side_by_side(spark):
     texts = ["".join(word() + f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.20{rng.randint(10, 24)}" + word() for _ in range(rng.randint(0, 4))) for _ in range(150)] + ["", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.extract_dates(F.col("t"), F.lit("2024-08-15").cast("date")).alias("d"), "t").collect()
     assert [(r["d"]["published"], r["d"]["updated"]) if r["t"] is not None else (None, None) for r in got] == [plain_dates(t or "") for t in texts]
+
+
+def test_stems_are_in_every_match():
+    import regex
+
+    assert tags.stems(r"два? санузл|2\s*с/у|ст\.?\s*машин|\bтв\b|a{2}bc(?:d|ef)|[xy]z?q") == [" санузл", "с/у", "машин", "тв", "bc", "q"]
+    patterns = [*tags.PATTERNS.values(), *(p for rules in (tags.RENOVATION, tags.FURNITURE, tags.BUILDING) for _, _, p in rules if p)]
+    rng = random.Random(1)
+    for pattern in patterns:
+        known = tags.stems(pattern)
+        assert all(known)
+        for branch, stem in zip(pattern.split("|") if "(" not in pattern else [pattern] * len(known), known, strict=True):
+            made = regex.sub(r"\\s\*|\\s\+", " ", branch).replace("\\w+", "ая").replace("\\w*", "").replace("\\b", "").replace("\\.?", ".").replace("\\d", "1")
+            if regex.search(branch, made) and "(" not in pattern:
+                assert stem in made, (branch, made)
+        text = "".join(rng.choice([*known, " ", "ый", "x"]) for _ in range(30))
+        if regex.search(pattern, text):
+            assert any(k in text for k in known)
