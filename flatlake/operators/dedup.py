@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import join_counted, pinned
+from .skew import HELD, MANY, join_counted, pinned
 
 
 def fingerprint(location: Column, rooms: Column, area: Column, floor: Column, price: Column, building: Column | None = None) -> Column:
@@ -46,15 +48,31 @@ def cheapest(df: DataFrame) -> DataFrame:
     return some.unionByName(df.filter(~whole).withColumn("sources_count", F.lit(1)).select(some.columns))
 
 
-def near_listings(df: DataFrame, metres2: float = 2.0, share: float = 0.05) -> DataFrame:
-    """(a, b): urls of listings of one location and room count whose areas and prices are within the tolerances.
-    Areas are banded so that a pair shares a band or has neighbouring ones."""
-    own = df.filter("location <> '' AND area IS NOT NULL AND price > 0").select("url", "location", "rooms", "area", "price", F.floor(F.col("area") / metres2).alias("band"))
-    left = own.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("l")
-    r = own.alias("r")
+def banded(df: DataFrame, metres2: float, share: float, held: int = HELD, many: int = MANY) -> DataFrame:
+    """df with cell, a struct of location, rooms and area band, and, where `many` listings or 1 / held of all share these, a
+    price band; and heavy, whether that is so. Pairs within the tolerances are in one cell or in neighbouring bands."""
+    own = df.withColumn("__place", F.struct("location", "rooms", F.floor(F.col("area") / metres2).alias("area")))
+    counts = pinned(own.groupBy("__place").agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    heavy = counts.filter((F.col("__n") >= many) & (F.col("__n") * held >= total)).select("__place", F.lit(True).alias("__heavy"))  # `held` rows at most
+    return own.join(F.broadcast(heavy), "__place", "left").withColumnRenamed("__place", "cell").withColumn("heavy", F.coalesce("__heavy", F.lit(False))).drop("__heavy")
+
+
+def near_listings(df: DataFrame, metres2: float = 2.0, share: float = 0.05, held: int = HELD, many: int = MANY) -> DataFrame:
+    """(a, b): urls of listings of one location and room count whose areas and prices are within the tolerances. Areas are
+    banded so that a pair shares a band or has neighbouring ones; so are prices where very many listings share a location,
+    room count and area band. share is under 1."""
+    own = df.filter("location <> '' AND area IS NOT NULL AND price > 0").select("url", "location", "rooms", "area", "price")
+    cells = pinned(banded(own, metres2, share, held, many).withColumn("band", F.floor(F.log("price") / (-math.log(1 - share) * (1 + 1e-9)))))
+    right = cells.select("*", F.when(F.col("heavy"), F.col("band")).alias("at")).alias("r")
+    beside = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("cell").withField("area", F.col("cell.area") + d))).alias("cell")
+    own_heavy = cells.filter("heavy").select("cell").distinct().withColumn("heavy", F.lit(True))  # `held` rows at most
+    left = cells.select("url", "area", "price", "band", beside).join(F.broadcast(own_heavy), "cell", "left")
+    near_bands = F.when(F.col("heavy"), F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("band") + d)).otherwise(F.array(F.lit(None).cast("long")))
+    left = left.withColumn("at", F.explode(near_bands)).alias("l")
     near = (F.abs(F.col("l.area") - F.col("r.area")) <= metres2) & (F.abs(F.col("l.price") - F.col("r.price")) <= share * F.greatest("l.price", "r.price"))
-    on = (F.col("l.location") == F.col("r.location")) & (F.col("l.band") == F.col("r.band")) & F.col("l.rooms").eqNullSafe(F.col("r.rooms"))
-    return left.join(r, on & near & (F.col("l.url") < F.col("r.url"))).select(F.col("l.url").alias("a"), F.col("r.url").alias("b")).distinct()
+    on = (F.col("l.cell") == F.col("r.cell")) & F.col("l.at").eqNullSafe(F.col("r.at"))
+    return left.join(right, on & near & (F.col("l.url") < F.col("r.url"))).select(F.col("l.url").alias("a"), F.col("r.url").alias("b")).distinct()
 
 
 def contact_clusters(df: DataFrame, url: str = "url", marks: tuple[str, ...] = ("phone", "duplicate_group_id"), most: int = 40) -> DataFrame:

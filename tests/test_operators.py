@@ -225,3 +225,16 @@ def test_portfolio_by_phones(spark):
     got = sorted((r["id"], r["org_id"], r["name"]) for r in market.with_organizations(df, orgs).collect())
     assert got == sorted([(1, 10, "A"), (2, 10, "A"), (3, 11, "B"), (4, 10, "A"), (4, 12, "C"), *((100 + k, o, n) for k in range(60) for o, n in ((13, "D"), (14, "E")))])
     assert {r["org_id"] for r in market.with_organizations(df, orgs.drop("phones")).collect()} == {10, 11, 12}
+
+
+@pytest.mark.parametrize("many", [2, 10_000])
+def test_near_listings_at_one_place(spark, many):
+    """Half of the rows at one location, room count and area: by all pairs, and in narrow cells."""
+    rng = random.Random(many)
+    rows = [(f"h{k}", "hot", 2, 50.0 + rng.choice([0, 1, 2.0]), rng.randint(1000, 9000)) for k in range(150)] + [(f"x{k}", rng.choice(["a", "b", "hot", ""]), rng.choice([1, 2, None]), float(rng.randint(20, 60)), rng.choice([0, None, 95, 100, 1000, 950, 951])) for k in range(150)]
+    rows += [(f"e{k}", "edge", None, 30.0, round(1000 * 0.95**k * 1e6)) for k in range(40)]
+    df = spark.createDataFrame(rows, "url string, location string, rooms int, area double, price long")
+    got = {tuple(r) for r in dedup.near_listings(df, held=10_000, many=many).collect()}
+    good = [r for r in rows if r[1] and r[4] and r[4] > 0]
+    want = {(a[0], b[0]) for a in good for b in good if a[0] < b[0] and a[1:3] == b[1:3] and abs(a[3] - b[3]) <= 2 and abs(a[4] - b[4]) <= 0.05 * max(a[4], b[4])}
+    assert got == want
