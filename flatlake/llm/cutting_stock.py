@@ -69,6 +69,19 @@ def knapsack(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), counts
 
 
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """By elimination. The matrices are small, and calls that start threads of their own cost more than they save."""
+    n = len(a)
+    both = np.hstack([a.astype(float), np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        others = np.arange(n) != k
+        both[others] -= np.outer(both[others, k], both[k])
+    return both[:, n:]
+
+
 def column_generation(demand: np.ndarray, room: int, rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used, fractions too, so that demand[k] items of size k + 1 are covered by the fewest
     bins of `room`. A basic solution: no more patterns than sizes."""
@@ -81,21 +94,20 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 20_000) -> li
     amounts = demand[wanted].astype(float) * (1 + 1e-9 * np.arange(n) / n)  # apart, so that no two rows leave at once
     for turn in range(rounds):
         if turn % 100 == 99:
-            inverse = np.linalg.inv(columns)
+            inverse = inverse_of(columns)
         prices = np.full(room, -np.inf)
         prices[wanted] = inverse.sum(axis=0)  # of each size, in bins
         worth, pattern = knapsack(prices, room)
         if worth <= 1 + 1e-9:
             break
-        step = inverse @ pattern[wanted]
-        left = inverse @ amounts
+        step, left = (inverse * pattern[wanted]).sum(axis=1), (inverse * amounts).sum(axis=1)
         ratios = np.where(step > 1e-9, left / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratios.argmin())
         columns[:, out] = pattern[wanted]
         inverse[out] /= step[out]
         others = np.arange(n) != out
         inverse[others] -= np.outer(step[others], inverse[out])
-    used = np.linalg.solve(columns, demand[wanted].astype(float))
+    used = (inverse_of(columns) * demand[wanted]).sum(axis=1)
     out = []
     for j in np.flatnonzero(used > 1e-9):
         pattern = np.zeros(room, int)
