@@ -19,8 +19,7 @@ Known texts are rows (license_id, text), canonicalised the same way; a table wit
 
 Defined results: null and empty texts have the digest of the empty text and match nothing. Repeated rows
 are reported each; a null id is carried along. If known texts have one canonical form, the least
-license_id is reported. An empty table gives an empty result. Other columns are ignored. Rows are numbered, so docs
-must read alike twice, as files do.
+license_id is reported. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, pinned
 
 #: Equivalent spellings: words of license texts that count as the second one.
 SPELLINGS = {
@@ -135,7 +134,7 @@ def digests(known: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """Per row: doc_id, canonical_sha256, license_id (of the whole text, or null), notices (the license ids of its
     lines, one for each line that is a known notice, sorted and joined by blanks) and n_notices."""
-    table = digests(known if known is not None else known_texts(docs.sparkSession)).cache()
+    table = pinned(digests(known if known is not None else known_texts(docs.sparkSession)))
     few = table.count() <= broadcast_rows
     held = table.select("digest", "license_id")
     held = F.broadcast(held) if few else held
@@ -146,7 +145,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     else:
         fits = lambda x: F.length(x).isin(sizes) if sizes else F.lit(False)
     rows = docs.select(col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), canonical_lines(col(text_col)).alias("all"))
-    mine = rows.select("doc_id", "rid", F.sha2(F.array_join("all", " "), 256).alias("canonical_sha256"), F.transform(F.filter("all", fits), lambda x: F.sha2(x, 256)).alias("lines"))
+    mine = pinned(rows.select("doc_id", "rid", F.sha2(F.array_join("all", " "), 256).alias("canonical_sha256"), F.transform(F.filter("all", fits), lambda x: F.sha2(x, 256)).alias("lines")))  # texts are read once
     whole = mine.join(held, mine["canonical_sha256"] == held["digest"], "left").drop("digest")
     # Lines as long as a known text are few: they alone are spelled out, joined and brought back together.
     names = whole.withColumn("digest", F.explode("lines")).join(held.withColumnRenamed("license_id", "notice"), "digest").groupBy("rid").agg(F.array_sort(F.collect_list("notice")).alias("found"))
