@@ -68,7 +68,7 @@ class WordTokenizer:
     PLAIN[[9, 10, 13, *range(32, 127), *range(0xA1, 0x17F)]] = True
     PLAIN[[0xAD, 0xB2, 0xB3, 0xB4, 0xB5, 0xB9, 0xBC, 0xBD, 0xBE, 0x130, 0x149]] = False
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,7 +92,7 @@ class WordTokenizer:
         if len(self.at) > known:
             new = list(islice(reversed(self.at), len(self.at) - known))[::-1]
             rows = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
+            ids = np.concatenate([np.array(e.ids, np.uint32) for k in range(0, len(rows), 8) for e in self.tokenizer.encode_batch_fast(rows[k : k + 8], add_special_tokens=False)])
             self.start = np.concatenate([self.start, self.start[-1] + 1 + np.flatnonzero(self.ends[ids])])
             self.flat = np.concatenate([self.flat, ids])
         return [self._join(own) if own is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for own, t in zip(split, texts, strict=True)]
