@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import pinned
+from .skew import fresh_path, join_counted, pinned
 
 EARTH = 6_371_000.0
 #: Bytes of the fragments of a dictionary that is handed to all tasks; its automaton takes some thirty times as much.
@@ -69,30 +69,36 @@ def join_buildings(listings: DataFrame, buildings: DataFrame, fields: list[str],
     return joined.withColumns({c: F.when(empty(c), F.coalesce(f"__b_{c}", c)).otherwise(F.col(c)) for c in fields}).drop(*(f"__b_{c}" for c in fields))
 
 
-def lookup_names(df: DataFrame, text: Column, index: DataFrame, name: str = "name", gram: int = 3, held: int = HELD_TEXT) -> DataFrame:
+def lookup_names(df: DataFrame, text: Column, index: DataFrame, name: str = "name", held: int = HELD_TEXT) -> DataFrame:
     """index: fragment, name, position. Each row with the name of the first fragment, by position, that its text contains,
     whatever the case, or null; of fragments at one position, the first as a text. Empty and null fragments name nothing,
     nor do those without a position. An index of up to `held` bytes of fragments becomes an automaton that all tasks get; a
-    text is then read once, however many fragments there are. A larger one is joined by pieces of the texts."""
+    text is then read once, however many fragments there are. Of a larger one the automaton has how fragments begin, and
+    texts are joined to it by the pieces that may be a fragment as a whole."""
     fragments = index.select(F.lower("fragment").alias("__f"), F.col("name").alias("__name"), F.col("position").alias("__p")).filter("__f <> '' AND __p IS NOT NULL")
     first = fragments.groupBy("__f").agg(F.min(F.struct("__p", "__name")).alias("__s")).select("__f", "__s.*")
     size = first.agg(F.sum(F.octet_length("__f"))).first()[0] or 0
     if size <= held:
         return df.withColumn(name, _named(first)(F.lower(text)))
-    return _joined_names(df, text, first, name, gram)
+    return _joined_names(df, text, first, name, held)
 
 
-def _named(fragments: DataFrame):
-    """An Arrow UDF that finds the name of a text's first fragment by an automaton (Aho-Corasick) over all of them."""
+def _automaton(words: list[str]):
+    """An automaton (Aho-Corasick) that gives the places in `words` of those that a text contains."""
     import ahocorasick
 
-    rows = fragments.orderBy("__p", "__f").collect()  # of bounded size
     found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, r in enumerate(rows):
-        found.add_word(r["__f"], k)
-    if rows:
+    for k, word in enumerate(words):
+        found.add_word(word, k)
+    if words:
         found.make_automaton()
-    shared = fragments.sparkSession.sparkContext.broadcast((found if rows else None, [r["__name"] for r in rows]))
+    return found if words else None
+
+
+def _named(fragments: DataFrame):
+    """An Arrow UDF that finds the name of a text's first fragment by an automaton over all of them."""
+    rows = fragments.orderBy("__p", "__f").collect()  # of bounded size
+    shared = fragments.sparkSession.sparkContext.broadcast((_automaton([r["__f"] for r in rows]), [r["__name"] for r in rows]))
 
     @F.pandas_udf("string")
     def name_of(texts: pd.Series) -> pd.Series:
@@ -103,16 +109,52 @@ def _named(fragments: DataFrame):
     return name_of
 
 
-def _joined_names(df: DataFrame, text: Column, fragments: DataFrame, name: str, gram: int) -> DataFrame:
-    """Fragments are filed under one of their `gram`-character pieces, the one that fewest fragments have; texts meet
-    them by their own pieces, and only fragments that they share a piece with are looked for."""
-    cut = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))
-    each = fragments.withColumn("__g", F.explode(F.array_distinct(cut(F.col("__f"), gram))))
-    often = each.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    filed = each.join(often, "__g").groupBy("__f", "__name", "__p").agg(F.min(F.struct("__n", "__g"))["__g"].alias("__g"))
-    own = pinned(df.withColumns({"__id": F.monotonically_increasing_id(), "__text": F.lower(text)}))
-    sizes = [r[0] for r in filed.select(F.length("__g")).distinct().collect()]  # `gram` lengths at most
-    pieces = F.array_distinct(F.flatten(F.array(*(cut(F.col("__text"), n) for n in sizes)))) if sizes else F.array().cast("array<string>")
-    met = own.select("__id", F.explode(pieces).alias("__g")).join(filed, "__g").select("__id", "__f", "__name", "__p")
-    hits = met.join(own.select("__id", "__text"), "__id").filter(F.col("__text").contains(F.col("__f"))).groupBy("__id").agg(F.min_by("__name", F.struct("__p", "__f")).alias(name))
-    return own.join(hits, "__id", "left").drop("__id", "__text")
+#: Lengths, in characters, of the beginnings of fragments that may be told apart.
+BEGINNINGS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 20, 24, 32, 48, 64)
+
+
+def _heads(fragments: DataFrame, held: int) -> DataFrame:
+    """(head, ends): how fragments begin, by the longest beginnings that with their ends take `held` bytes or so, and the
+    lengths and last characters of the fragments that begin so. At least one character is held of each beginning."""
+    ends = F.struct(F.length("__f").alias("length"), F.right("__f", F.lit(1)).alias("last"))
+    of = lambda n: F.struct(F.left("__f", F.lit(n)), ends)
+    seen = fragments.agg(*(F.approx_count_distinct(of(n)).alias(f"n{n}") for n in BEGINNINGS), *(F.max(F.octet_length(F.left("__f", F.lit(n)))).alias(f"b{n}") for n in BEGINNINGS)).first()
+    fit = [n for n in BEGINNINGS if seen[f"n{n}"] * (seen[f"b{n}"] + 8) <= held]
+    head = F.left("__f", F.lit(max(fit, default=1)))
+    return fragments.groupBy(head.alias("head")).agg(F.collect_set(ends).alias("ends"))
+
+
+def _pieces(fragments: DataFrame, held: int):
+    """An Arrow UDF that gives the pieces of a text that may be fragments: they begin and end like one of that length."""
+    rows = _heads(fragments, held).collect()
+    words = [r["head"] for r in rows]
+    shared = fragments.sparkSession.sparkContext.broadcast((_automaton(words), [(len(r["head"]), [tuple(e) for e in r["ends"]]) for r in rows]))
+
+    @F.pandas_udf("array<string>")
+    def pieces_of(texts: pd.Series) -> pd.Series:
+        automaton, ends = shared.value
+        out = []
+        for t in texts:
+            found = set()
+            for at, k in automaton.iter(t) if automaton and t else ():
+                own, known = ends[k]
+                start = at + 1 - own
+                found.update(t[start : start + n] for n, last in known if t[start + n - 1 : start + n] == last)
+            out.append(list(found))
+        return pd.Series(out, dtype=object)
+
+    return pieces_of
+
+
+def _joined_names(df: DataFrame, text: Column, fragments: DataFrame, name: str, held: int) -> DataFrame:
+    """Pieces are joined to equal fragments, and the texts to what was found for them by 128 bits of their SHA-256. A text that
+    very many rows have is handed to all tasks."""
+    low, path = F.lower(text), fresh_path(df.sparkSession, "fragments")
+    key = F.substring(F.unhex(F.sha2(low, 256)), 1, 16)
+    hashed = F.xxhash64("__f").alias("__h")  # sorts faster than texts that begin alike
+    fragments.select("*", hashed).write.parquet(path)
+    fragments = df.sparkSession.read.parquet(path)
+    pieces = df.select(key.alias("__key"), F.explode(_pieces(fragments, held)(low)).alias("__f")).select("*", hashed)
+    first = pieces.join(fragments, ["__h", "__f"]).groupBy("__key").agg(F.min_by("__name", F.struct("__p", "__f")).alias(name), F.count(F.lit(1)).alias("__n"))
+    own = df.withColumn("__key", key)
+    return join_counted(own, pinned(first), "__key", "__n", F.xxhash64(*df.columns)).drop("__key", "__n")

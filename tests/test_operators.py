@@ -185,6 +185,17 @@ def test_dictionary_of_any_size(spark, held):
     assert {r["name"] for r in none.collect()} == {None}
 
 
+def test_large_dictionary_of_fragments_alike(spark):
+    """Fragments that share all their short pieces: a text is joined by what it holds, not by what shares a piece with it."""
+    index = spark.range(20_000).selectExpr("concat('Order ', id, ';') AS fragment", "concat('n', id % 7) AS name", "CAST(id * 7919 % 101 AS INT) AS position")
+    notes = spark.range(3000).selectExpr("id", "concat('Note: order ', id * 31, '; ORDER ', id * 7, '; order') AS t")
+    fragments = index.select(F.lower("fragment").alias("__f"))
+    sizes = notes.select(F.size(geo._pieces(fragments, 100_000)(F.lower("t"))).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert sizes[0] <= 2 and sizes[1] <= 6000
+    few, all_ = (sorted(tuple(r) for r in geo.lookup_names(notes, F.col("t"), index, held=held).select("id", "name").collect()) for held in (100_000, 4_000_000))
+    assert few == all_ and sum(n is not None for _, n in few) > 2000
+
+
 @pytest.mark.parametrize("few", [0, 1_000_000])
 def test_quantiles_of_sets(spark, few):
     """Rows with null keys and values, one group with a third of all rows, and all ties, against sorted lists."""
