@@ -7,15 +7,19 @@ Sets: the XXH64 values of a text's shingles of `words` words. SimHash alone can'
    ceil(least * size) + 1 first values of a set in any order that is the same for all sets. The order is from rare to
    frequent values, so that a passage that very many texts share is in the prefixes of those alone that hold little
    else. Frequent values are those with a share of 2 ** -20 of all values or more: 2 ** 20 at most, broadcast.
-2. Index. Texts that share a value are sorted by the Gray rank of their fingerprints and searched by the nodes of that
-   order, which prune groups whose shared bits differ too much; pairs within `bits` of 128 bits are candidates (at
-   0.8 the difference is 19.4 with a deviation of 4.1).
-3. Comparison. The candidates' sets are joined to them, and their similarity is measured exactly.
-
-Only components are asked for, so that a group needn't be compared in all pairs: under a value that over FAN texts
-share, each text's `nearest` candidates outside its component are compared, then components are made anew, and so on
-until a round finds no link. The prefixes miss no pair that is alike; the bits miss about one in 150 of those at exactly 0.8 and
-fewer above; a search that stops with its `nearest` may leave a pair of components apart. Tests hold all of it against brute force.
+2. Bounds. Of the values of a set, each of 256 classes holds an odd or an even number; two sets differ in at least as many
+   values as in parities, and sets alike by `least` differ in (1 - least) / (1 + least) of both sizes at most. Pairs that
+   break this are dropped, which loses none that is alike. Where up to FAN texts share a value, all other pairs are candidates.
+3. Index. More texts that share a value are sorted by the Gray rank of their fingerprints and searched by the nodes of that
+   order, which prune groups whose shared bits differ too much; each text's `nearest` within `bits` of 128 bits outside
+   its component are candidates (at 0.8 the difference is 19.4 with a deviation of 4.1). Components are made anew until a
+   round finds no link. This joins most of what is alike in few comparisons, but not all.
+4. The rest. Then all pairs of different components that share a value and keep the bounds are candidates, in blocks of
+   texts that are dealt to all tasks. So every pair that is alike has been compared, or is in one component.
+5. Comparison. The candidates' parities in more classes, and of those left the sets, meet in pairs of blocks, and their similarity
+   is measured exactly.
+
+Tests hold all of it against brute force.
 
 Defined results: null and wordless texts have the empty set and are alike to each other, and to nothing else. Equal
 texts are one node. An empty table gives an empty result.
@@ -35,7 +39,10 @@ from .common import col, pinned, rows_of
 from .components import components
 from .simhash_dedup import FAN, bit_count, gray_rank, linked_pairs, majority, shingles, stirred
 
-NODES = "value long, key long, fp long, fp2 long, size int"
+PARITIES = ["p0", "p1", "p2", "p3"]
+NODES = "value long, key long, fp long, fp2 long, p0 long, p1 long, p2 long, p3 long, size int"
+#: Texts of a block, where all pairs of those that share a value are looked at, and bytes of sets of one, where pairs are compared.
+BLOCK, BLOCK_BYTES = 4096, 32_000_000
 #: Rows that are broadcast, at most; beyond, they are joined by a shuffle.
 FEW = 1_000_000
 #: Of a batch of texts, values that fewer of them have aren't counted as frequent.
@@ -50,6 +57,11 @@ def own_set(text: pa.Scalar, words: int) -> np.ndarray:
     return np.unique(shingles(text.as_buffer().to_pybytes(), words)) if text.is_valid else np.zeros(0, np.uint64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bit for each of 256 classes of values: whether the set holds an odd number of it."""
+    return np.packbits(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
 def frequent(texts: DataFrame, words: int, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """The values that make up 1 / held of all or more, sorted, and the number of binary digits of how often each is there."""
 
@@ -75,7 +87,7 @@ def nodes(texts: DataFrame, words: int, least: float) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, digits = shared.value
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[] for _ in range(9)]
             rows = 0
             for key, text in zip(batch.column("key").to_numpy(), batch.column("text"), strict=True):
                 every = shingles(text.as_buffer().to_pybytes(), words) if text.is_valid else np.zeros(0, np.uint64)
@@ -88,12 +100,12 @@ def nodes(texts: DataFrame, words: int, least: float) -> DataFrame:
                         often = np.where(common[at] == own, digits[at], often)
                     head = own[np.argsort(often, kind="stable")[: prefix(len(own), least)]].view(np.int64)
                     prints = np.array([majority(every), majority(stirred(every))], np.uint64).view(np.int64)
-                for store, x in zip(out, (head, *(np.full(len(head), v, np.int64) for v in (key, *prints, len(own)))), strict=True):
+                for store, x in zip(out, (head, *(np.full(len(head), v, np.int64) for v in (key, *prints, *parities(own), len(own)))), strict=True):
                     store.append(x)
                 rows += len(head)
                 if rows > 200_000:
                     yield packed(out)
-                    out, rows = [[] for _ in range(5)], 0
+                    out, rows = [[] for _ in range(9)], 0
             if rows:
                 yield packed(out)
 
@@ -102,17 +114,17 @@ def nodes(texts: DataFrame, words: int, least: float) -> DataFrame:
 
 def packed(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
     flat = [np.concatenate(c) for c in columns]
-    return pa.RecordBatch.from_arrays([*map(pa.array, flat[:4]), pa.array(flat[4].astype(np.int32))], names=["value", "key", "fp", "fp2", "size"])
+    return pa.RecordBatch.from_arrays([*map(pa.array, flat[:8]), pa.array(flat[8].astype(np.int32))], names=["value", "key", "fp", "fp2", *PARITIES, "size"])
 
 
-def by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by value, cut so that those of a value come together, many values at once."""
+def by_value(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("value",)) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by value, or other keys, cut so that those of a value come together, many values at once."""
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
         now = {c: batch.column(c).to_numpy() for c in batch.schema.names}
         if rest is not None:
             now = {c: np.concatenate([rest[c], x]) for c, x in now.items()}
-        last = np.flatnonzero(now["value"] != now["value"][-1]) if len(now["value"]) else []
+        last = np.flatnonzero(np.any([now[k] != now[k][-1] for k in keys], axis=0)) if len(now["value"]) else []
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
             yield {c: x[:cut] for c, x in now.items()}
@@ -137,11 +149,23 @@ def differ(rows: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return bit_count((rows["fp"][i] ^ rows["fp"][j]).view(np.uint64)).astype(np.int64) + bit_count((rows["fp2"][i] ^ rows["fp2"][j]).view(np.uint64))
 
 
+def possible(rows: Rows, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), those of different components whose sizes and parities let them be alike."""
+    ok = rows["root"][i] != rows["root"][j]
+    i, j = i[ok], j[ok]
+    a, b = rows["size"][i].astype(np.int64), rows["size"][j].astype(np.int64)
+    ok = np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+    i, j, most = i[ok], j[ok], ((1 - least) / (1 + least) * (a + b) + 1e-9)[ok]
+    apart = np.zeros(len(i), np.int64)
+    for p in PARITIES:
+        apart += bit_count((rows[p][i] ^ rows[p][j]).view(np.uint64))
+    ok = apart <= most
+    return i[ok], j[ok]
+
+
 def near(rows: Rows, i: np.ndarray, j: np.ndarray, least: float, bits: int) -> tuple[np.ndarray, ...]:
     """Of the pairs (i, j), those of different components that may be alike, and in how many bits they differ."""
-    small, large = np.minimum(rows["size"][i], rows["size"][j]), np.maximum(rows["size"][i], rows["size"][j])
-    ok = (rows["root"][i] != rows["root"][j]) & (small >= least * large - 1e-9)
-    i, j = i[ok], j[ok]
+    i, j = possible(rows, i, j, least)
     d = differ(rows, i, j)
     ok = d <= bits
     return i[ok], j[ok], d[ok]
@@ -177,7 +201,7 @@ def nearest_of(rows: Rows, least: float, bits: int, nearest: int) -> tuple[np.nd
 
 
 def candidates(batches: Iterator[pa.RecordBatch], least: float, bits: int, nearest: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) of each value's rows: all candidates where few texts share the value, else each one's nearest."""
+    """(a, b) of each value's rows: all that may be alike where few texts share the value, else each one's nearest."""
     for rows in by_value(batches):
         edges = np.flatnonzero(np.concatenate([[True], rows["value"][1:] != rows["value"][:-1], [True]]))
         size = np.diff(edges)
@@ -186,7 +210,7 @@ def candidates(batches: Iterator[pa.RecordBatch], least: float, bits: int, neare
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lag in range(1, min(FAN, int(size.max()))):
             i = np.flatnonzero((group[:-lag] == group[lag:]) & small[:-lag])
-            i, j, _ = near(rows, i, i + lag, least, bits)
+            i, j = possible(rows, i, i + lag, least)
             left.append(rows["key"][i])
             right.append(rows["key"][j])
         for k in np.flatnonzero(size > FAN):
@@ -208,46 +232,119 @@ def candidates(batches: Iterator[pa.RecordBatch], least: float, bits: int, neare
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].copy()) for x in pair], names=["a", "b"])
 
 
-def alike(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """texts: key, text. The pairs (a, b) whose sets are alike by `least`."""
+def crossing(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of texts of different components that may be alike, of the values that over FAN texts share."""
+    many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    many = many.filter((F.col("n") > FAN) & (F.col("low") < F.col("high"))).select("value", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    each = rows.join(many, "value").withColumn("own", F.pmod("key", "blocks").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    met = each.select("*", F.explode(others).alias("at")).select(*(c for c in rows.columns if c not in ("fp", "fp2")), "own", "at.i", "at.j")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_value(batches, ("value", "i", "j")):
+            new = np.any([part[k][1:] != part[k][:-1] for k in ("value", "i", "j")], axis=0)
+            edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(part["value"])]])
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                at = np.arange(start, end)
+                if (part["root"][at] == part["root"][start]).all():
+                    continue
+                left = at[part["own"][at] == part["i"][start]]
+                right = at[part["own"][at] == part["j"][start]]
+                for k in range(0, len(left), 64):
+                    x, y = np.repeat(left[k : k + 64], len(right)), np.tile(right, len(left[k : k + 64]))
+                    if part["i"][start] == part["j"][start]:
+                        x, y = x[x < y], y[x < y]
+                    x, y = possible(part, x, y, least)
+                    if len(x):
+                        x, y = part["key"][x], part["key"][y]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return met.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """A set's size, and its parities in as many classes as it has values, or up to twice as many."""
+    m = max(64, 1 << max(0, len(own) - 1).bit_length())
+    bits = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
+    return np.int64(len(own)).tobytes() + np.packbits(bits).tobytes()
+
+
+def sketches_near(x: bytes, y: bytes, least: float) -> bool:
+    """False only if the sets can't be alike by `least`."""
+    a, b = (np.frombuffer(v, np.uint8, offset=8) for v in (x, y))
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    both = sum(int(np.frombuffer(v, np.int64, 1)[0]) for v in (x, y))
+    return int(bit_count(a ^ b).sum()) <= (1 - least) / (1 + least) * both + 1e-9
+
+
+def sets_alike(x: bytes, y: bytes, least: float) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def compared(texts: DataFrame, pairs: DataFrame, words: int, least: float, made, test) -> DataFrame:
+    """The pairs (a, b) for which `test` of what `made` makes of their sets holds. That is dealt to blocks, and goes once to each
+    pair of blocks where it is wanted, not once for each pair."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([own_set(t, words).tobytes() for t in batch.column("text")], pa.binary())], names=["key", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([made(own_set(t, words)) for t in batch.column("text")], pa.binary())], names=["key", "held"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, {}
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            for i, j, a, b, own in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "a", "b")), batch.column("held"), strict=True):
+                if here != (i, j):
+                    here, held = (i, j), {}
+                if b is None:  # those of a pair of blocks come before its pairs
+                    held[a] = own.as_py()
+                keep.append(b is not None and test(held[a], held[b], least))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     named = pinned(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     few = named.count() <= FEW
     some = texts.join(F.broadcast(named) if few else named, "key", "left_semi")
-    sets = pinned(some.mapInArrow(members, "key long, set binary").groupBy("key").agg(F.first("set").alias("set")))
-    side = lambda end, name: sets.select(F.col("key").alias(end), F.col("set").alias(name))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    each = pinned(some.mapInArrow(members, "key long, held binary").groupBy("key").agg(F.first("held").alias("held")))
+    blocks = max(8, math.ceil((each.agg(F.sum(F.octet_length("held"))).first()[0] or 0) / BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
+    wanted = placed.select("i", "j", F.explode(F.array("a", "b")).alias("key")).distinct()
+    sent = wanted.join(each, "key").select("i", "j", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "held")
+    met = sent.unionByName(placed.withColumn("held", F.lit(None).cast("binary"))).repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first())
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def alike(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """texts: key, text. The pairs (a, b) whose sets are alike by `least`; those whose sketches forbid it are dropped first."""
+    near_ones = pinned(compared(texts, pairs, words, least, sketch, sketches_near))
+    return compared(texts, near_ones, words, least, np.ndarray.tobytes, sets_alike)
 
 
 def roots_of(texts: DataFrame, words: int, least: float, bits: int, nearest: int) -> DataFrame:
     """texts: key, text. (key, root) of the texts that aren't the first of their component."""
     in_order = lambda rows: rows.repartition("value").sortWithinPartitions("value", "key")
     met = pinned(in_order(nodes(texts, words, least)).mapInArrow(shared_values, NODES))
-    rows, links, tried = met.withColumn("root", F.col("key")), None, None
+    rows, links, tried, last = met.withColumn("root", F.col("key")), None, None, False
     while True:
-        found = rows.mapInArrow(lambda b: candidates(b, least, bits, nearest), "a long, b long").distinct()
+        found = crossing(rows, least) if last else rows.mapInArrow(lambda b: candidates(b, least, bits, nearest), "a long, b long").distinct()
         found = pinned(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
         new = pinned(alike(texts, found, words, least))
-        if new.isEmpty():
+        if not new.isEmpty():
+            links, tried = (new, found) if links is None else (links.unionByName(new), tried.unionByName(found))
+            roots = components(links).select(F.col("a").alias("key"), F.col("b").alias("root"))
+            few = roots.count() <= FEW  # then the rows stay where they are, in order
+            joined = met.join(F.broadcast(roots) if few else roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+            rows = joined if few else in_order(joined)
+        elif not last:
+            tried = found if tried is None else tried.unionByName(found)
+        if last:  # all that may be alike has been compared
             break
-        links, tried = (new, found) if links is None else (links.unionByName(new), tried.unionByName(found))
-        roots = components(links).select(F.col("a").alias("key"), F.col("b").alias("root"))
-        few = roots.count() <= FEW  # then the rows stay where they are, in order
-        joined = met.join(F.broadcast(roots) if few else roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rows = joined if few else in_order(joined)
+        last = new.isEmpty()
     if links is None:
         return texts.sparkSession.createDataFrame([], "key long, root long")
     return roots

@@ -151,3 +151,23 @@ def test_large_groups_of_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in alike.drop_alike(docs).collect()}
     assert abs(len(got) - len(set(root))) <= 2 and got <= set(range(len(texts)))
+
+
+@pytest.mark.parametrize("bits, nearest, block", [(0, 1, 40), (30, 4, 4096)])
+def test_no_pair_of_near_copies_is_left(spark, monkeypatch, bits, nearest, block):
+    """A passage that many short texts share, and links just above 0.8, whatever the index finds: all are joined."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage = [word() for _ in range(100)]
+    texts = [" ".join([*passage, *(word() for _ in range(rng.choice([8, 11, 30])))]) for _ in range(90)]
+    sets = [shingle_set(t) for t in texts]
+    root, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links += 1
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert links > 100 and 5 < len(set(root)) < 70
+    monkeypatch.setattr(alike.crossing, "__defaults__", (block,))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in alike.drop_alike(docs, bits=bits, nearest=nearest).collect()} == {i for i, r in enumerate(root) if i == r}
