@@ -62,8 +62,10 @@ def with_organizations(listings: DataFrame, organizations: DataFrame) -> DataFra
 
 def agency_portfolio(listings: DataFrame, organizations: DataFrame) -> DataFrame:
     """Per organization: listings, median price, districts, kinds, mean area, and the share of its dated listings that were
-    updated after they were published (null where none is dated, or without date_updated)."""
-    joined = with_organizations(listings, organizations)
+    updated after they were published (null where none is dated, or without date_updated). Organizations with the same
+    numbers, none of which a listing names by id, have the same listings: these are summed up once for all of them."""
+    orgs, members = _alike_organizations(listings, organizations)
+    joined = with_organizations(listings, orgs)
     dated = "date_updated" in listings.columns
     updated = F.avg((F.coalesce("date_updated", "date_published") > F.col("date_published")).cast("int")) if dated else F.lit(None).cast("double")
     groups = joined.groupBy("org_id", "name").agg(
@@ -71,9 +73,30 @@ def agency_portfolio(listings: DataFrame, organizations: DataFrame) -> DataFrame
         F.array_join(F.array_sort(F.collect_set(F.col("rooms").cast("string"))), ",").alias("kinds"), F.avg("area").alias("mean_area"), updated.alias("update_rate"),
     )
     found = _with_median(groups, quantile_by(joined, ["org_id", "name"], "price", 0.5), ["org_id", "name"], "median_price")
+    if members is not None:
+        own = members.select(F.col("first.org_id").alias("__id"), F.col("first.name").alias("__name"), "org_id", "name")
+        found = own.join(found.withColumnsRenamed({"org_id": "__of", "name": "__called"}), same({"a": F.col("__id"), "b": F.col("__name")}, {"a": F.col("__of"), "b": F.col("__called")}))
     return found.select("org_id", "name", "n", "median_price", "n_districts", "kinds", "mean_area", "update_rate")
 
 
+def _alike_organizations(listings: DataFrame, organizations: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One organization of those that have the same numbers and no listing by id, with these numbers; and (first, org_id, name):
+    for each organization, that one. An organization that listings name by its id stands for itself, as all with its id do."""
+    if "phones" not in organizations.columns or "phone" not in listings.columns:
+        return organizations, None
+    known = organizations.filter("org_id IS NOT NULL").select("org_id", "name", F.explode_outer("phones").alias("__raw"))
+    numbers = F.array_sort(F.collect_set(F.nullif(normalize_phone(F.col("__raw")), F.lit(""))))
+    each = known.groupBy("org_id", "name").agg(numbers.alias("phones"))
+    named = listings.select(F.col("provider_org_id").alias("__by")).filter("__by IS NOT NULL").distinct()
+    own = F.struct("org_id", "name")
+    held = each.join(named, F.col("org_id") == F.col("__by"), "left").withColumn("__own", F.when(F.col("__by").isNotNull(), own))
+    held = held.filter((F.size("phones") > 0) | F.col("__own").isNotNull())  # the others have no listing
+    sets = held.groupBy("phones", "__own").agg(F.min(own).alias("first"))
+    of = sets.select("first", F.col("phones").alias("__phones"), F.col("__own").alias("__of"))
+    members = held.join(of, same({"p": F.col("phones"), "o": F.col("__own")}, {"p": F.col("__phones"), "o": F.col("__of")}))
+    return sets.select("first.org_id", "first.name", "phones"), members.select("first", "org_id", "name")
+
+
 def market_rollup(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, median_price and level for each group of keys and of each shorter list of them, down to all rows. level has
     a bit for each key that is summed up, as grouping_id() has."""

@@ -238,6 +238,18 @@ def test_portfolio_by_phones(spark):
     assert {r["org_id"] for r in market.with_organizations(df, orgs.drop("phones")).collect()} == {10, 11, 12}
 
 
+def test_portfolio_of_organizations_with_the_same_numbers(spark, monkeypatch):
+    """Their listings are summed up once, not once for each organization; those named by id have more listings."""
+    rows = [(k, 3 if k < 4 else None, "8 707 123 45 67" if k % 2 else "8 701 000 00 00", 10 * k, "d", 2, 40.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "id int, provider_org_id int, phone string, price int, district string, rooms int, area double")
+    orgs = spark.createDataFrame([(k, f"o{k}" if k % 9 else None, ["87071234567", None, "x"][:: 1 if k % 2 else -1]) for k in range(60)] + [(99, "none", [])], "org_id int, name string, phones array<string>")
+    sizes, joined = [], market.with_organizations
+    monkeypatch.setattr(market, "with_organizations", lambda a, b: sizes.append((out := joined(a, b)).count()) or out)
+    got = {(r["org_id"], r["name"], r["n"], r["median_price"]) for r in market.agency_portfolio(df, orgs).collect()}
+    assert got == {(k, f"o{k}" if k % 9 else None, *((22, 180.0) if k == 3 else (20, 200.0))) for k in range(60)}
+    assert sizes == [42]
+
+
 @pytest.mark.parametrize("many", [2, 10_000])
 def test_near_listings_at_one_place(spark, many):
     """Half of the rows at one location, room count and area: by all pairs, and in narrow cells."""
