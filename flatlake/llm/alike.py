@@ -14,9 +14,10 @@ Sets: the XXH64 values of a text's shingles of `words` words. SimHash alone can'
    order, which prune groups whose shared bits differ too much; each text's `nearest` within `bits` of 128 bits outside
    its component are candidates (at 0.8 the difference is 19.4 with a deviation of 4.1). Components are made anew until a
    round finds no link. This joins most of what is alike in few comparisons, but not all.
-4. The rest. Then all pairs of different components that share a value and keep the bounds are candidates, in blocks of
-   texts that are dealt to all tasks. So every pair that is alike has been compared, or is in one component.
-5. Comparison. The candidates' parities in more classes, and of those left the sets, meet in pairs of blocks, and their similarity
+4. The rest. Then all texts that share a value with one of another component are dealt to blocks by size, and each pair of blocks
+   compares, in one task, all pairs that share a value and keep the bounds: by parities in four classes a value, and by the sets.
+   Only links leave the task. So every pair that is alike has been compared, or is in one component.
+5. Comparison. In steps 2 and 3, the candidates' parities in more classes, and of those left the sets, meet in pairs of blocks, and their similarity
    is measured exactly.
 
 Tests hold all of it against brute force.
@@ -41,7 +42,7 @@ from .simhash_dedup import FAN, bit_count, gray_rank, linked_pairs, majority, sh
 
 PARITIES = ["p0", "p1", "p2", "p3"]
 NODES = "value long, key long, fp long, fp2 long, p0 long, p1 long, p2 long, p3 long, size int"
-#: Texts of a block, where all pairs of those that share a value are looked at, and bytes of sets of one, where pairs are compared.
+#: Texts of a block, and bytes of its sets; pairs of blocks are compared.
 BLOCK, BLOCK_BYTES = 4096, 32_000_000
 #: Rows that are broadcast, at most; beyond, they are joined by a shuffle.
 FEW = 1_000_000
@@ -232,39 +233,146 @@ def candidates(batches: Iterator[pa.RecordBatch], least: float, bits: int, neare
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].copy()) for x in pair], names=["a", "b"])
 
 
-def crossing(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): all pairs of texts of different components that may be alike, of the values that over FAN texts share."""
-    many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    many = many.filter((F.col("n") > FAN) & (F.col("low") < F.col("high"))).select("value", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    each = rows.join(many, "value").withColumn("own", F.pmod("key", "blocks").cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    met = each.select("*", F.explode(others).alias("at")).select(*(c for c in rows.columns if c not in ("fp", "fp2")), "own", "at.i", "at.j")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_value(batches, ("value", "i", "j")):
-            new = np.any([part[k][1:] != part[k][:-1] for k in ("value", "i", "j")], axis=0)
-            edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(part["value"])]])
-            for start, end in zip(edges[:-1], edges[1:], strict=True):
-                at = np.arange(start, end)
-                if (part["root"][at] == part["root"][start]).all():
-                    continue
-                left = at[part["own"][at] == part["i"][start]]
-                right = at[part["own"][at] == part["j"][start]]
-                for k in range(0, len(left), 64):
-                    x, y = np.repeat(left[k : k + 64], len(right)), np.tile(right, len(left[k : k + 64]))
-                    if part["i"][start] == part["j"][start]:
-                        x, y = x[x < y], y[x < y]
-                    x, y = possible(part, x, y, least)
-                    if len(x):
-                        x, y = part["key"][x], part["key"][y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return met.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
-
-
-def sketch(own: np.ndarray) -> bytes:
-    """A set's size, and its parities in as many classes as it has values, or up to twice as many."""
-    m = max(64, 1 << max(0, len(own) - 1).bit_length())
+def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the values that over FAN texts share, not all of one component: key, root, size and half of the value's bits."""
+    for rows in by_value(batches):
+        start = np.flatnonzero(np.concatenate([[True], rows["value"][1:] != rows["value"][:-1]]))
+        n = np.diff(np.append(start, len(rows["value"])))
+        wanted = np.repeat((n > FAN) & (np.minimum.reduceat(rows["root"], start) < np.maximum.reduceat(rows["root"], start)), n)
+        if wanted.any():
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[c][wanted]) for c in ("key", "root", "size")), pa.array(rows["value"][wanted].astype(np.int32))], names=["key", "root", "size", "half"])
+
+
+def blocks_of(bands: list[tuple], least: float, block: int) -> tuple[list[tuple], list[tuple]]:
+    """bands: number, texts, least and largest size, sum of the sizes; from small to large sets. Returns (band, first block, blocks), and
+    (block, i, j) for the pairs of blocks whose sizes let sets be alike."""
+    placed, spans, texts, values = [], [], 0, 0
+    for band, n, low, high, total in bands:
+        parts = max(math.ceil(n / block), math.ceil(total * 8 / BLOCK_BYTES), 1)
+        if parts == 1 and spans and texts + n <= block and (values + total) * 8 <= BLOCK_BYTES:
+            spans[-1], texts, values = (spans[-1][0], high), texts + n, values + total
+            placed.append((band, len(spans) - 1, 1))
+        else:
+            placed.append((band, len(spans), parts))
+            spans += [(low, high)] * parts
+            texts, values = (n, total) if parts == 1 else (block, 0)  # a band that is dealt to several blocks is alone in them
+    met = [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if spans[i][1] >= least * spans[j][0] - 1e-9]
+    return placed, [(k, i, j) for i, j in met for k in sorted({i, j})]
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The parities of sketches in as many classes as the smallest of them has."""
+    each = [np.frombuffer(x, np.uint64, offset=8) for x in sketches]
+    least = min(map(len, each))
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in each])
+
+
+def meeting(root: np.ndarray, side: np.ndarray, sketches: list[bytes], shared: list[np.ndarray], least: float, test) -> Iterator[tuple[int, int]]:
+    """Pairs (one of side False, one of True; any, if all are of one side) of different components that share one of `shared`, that
+    may be alike, and for which test(x, y) holds. A pair makes one component of two, if test is given; else each text comes once or twice."""
+    size, bits = np.array([int(np.frombuffer(x, np.int64, 1)[0]) for x in sketches]), folded(sketches)
+    few = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, 4), axis=1)
+    both = side.any() and not side.all()
+    right = np.flatnonzero(side) if both else np.arange(len(side))
+    left = np.flatnonzero(~side) if both else right
+    value, of = np.concatenate([shared[k] for k in right]), np.repeat(right, [len(shared[k]) for k in right])
+    order = np.argsort(value, kind="stable")
+    value, of = value[order], of[order]
+    _, component = np.unique(root, return_inverse=True)
+    hit = np.zeros(len(side), bool)
+    for x in left:
+        hit[:] = False
+        for a, b in zip(np.searchsorted(value, shared[x]), np.searchsorted(value, shared[x], "right"), strict=True):
+            hit[of[a:b]] = True
+        y = np.flatnonzero(hit & (component != component[x]))
+        if not both:
+            y = y[y > x]
+        y = y[np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x]) - 1e-9]
+        for by in (few, bits):  # sets differ in as many values as in parities, or more
+            apart = bit_count(by[y] ^ by[x]).astype(np.int64).sum(axis=1)
+            ok = apart <= (1 - least) / (1 + least) * (size[y] + size[x]) + 1e-9
+            y, apart = y[ok], apart[ok]
+        for k in y[np.argsort(apart, kind="stable")]:
+            if test is None:
+                yield int(x), int(k)
+            elif component[k] != component[x] and test(x, k):
+                component[component == component[k]] = component[x]
+                yield int(x), int(k)
+
+
+def crossing(texts: DataFrame, rows: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join all texts that are alike, of different components, and share a value that over FAN texts have.
+    The texts are dealt to blocks by the sizes of their sets; each task has the texts of a pair of blocks. First their sketches meet, and
+    what has a pair there that may be alike is named. Then the sets of these are compared. Pairs never leave a task: texts and
+    links do, so that what is shuffled doesn't grow with the number of pairs."""
+    spark = texts.sparkSession
+    each = rows.select("value", "key", "root", "size").mapInArrow(crossed, "key long, root long, size int, half int")
+    each = pinned(each.groupBy("key").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.collect_set("half").alias("shared")))
+    band = F.floor(F.log1p("size") * 100).cast("int")
+    sums = each.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.min("size"), F.max("size"), F.sum("size")).collect()  # some thousands at most
+    if not sums:
+        return spark.createDataFrame([], "a long, b long")
+    placed, met = blocks_of(sorted(map(tuple, sums)), least, block)
+    where, meets = spark.createDataFrame(placed, "band int, first int, parts int"), spark.createDataFrame(met, "block int, i int, j int")
+
+    def made(named: DataFrame, of) -> DataFrame:
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([of(own_set(t, words)) for t in batch.column("text")], pa.binary())], names=["key", "held"])
+
+        some = texts.join(F.broadcast(named) if named.count() <= FEW else named, "key", "left_semi")
+        return some.mapInArrow(members, "key long, held binary").groupBy("key").agg(F.first("held").alias("held"))
+
+    def pairs_of(part: pa.Table, sets: bool) -> tuple[np.ndarray, Iterator[tuple[int, int]]]:
+        key, root, i, at = (part.column(c).to_numpy() for c in ("key", "root", "i", "block"))
+        if (root == root[0]).all() or i[0] != part.column("j")[0].as_py() and (at == at[0]).all():
+            return key, iter(())
+        held, shared = [x.as_buffer().to_pybytes() for x in part.column("held")], [x.values.to_numpy() for x in part.column("shared")]
+        if not sets:
+            return key, meeting(root, at != i, held, shared, least, None)
+        own = [np.frombuffer(x, np.uint64) for x in held]
+        return key, meeting(root, at != i, [sketch(x, 4) for x in own], shared, least, lambda x, y: sets_alike(own[x], own[y], least))
+
+    def named_ones(part: pa.Table) -> list[np.ndarray]:
+        key, pairs = pairs_of(part, False)
+        near_ones = np.zeros(len(key), bool)
+        for pair in pairs:
+            near_ones[list(pair)] = True
+        n = int(near_ones.sum())
+        return [np.full(n, part.column("i")[0].as_py(), np.int32), np.full(n, part.column("j")[0].as_py(), np.int32), key[near_ones]]
+
+    def links(part: pa.Table) -> list[np.ndarray]:
+        key, pairs = pairs_of(part, True)
+        a, b = key[np.array([*pairs], np.int64).reshape(-1, 2)].T
+        return [np.minimum(a, b), np.maximum(a, b)]
+
+    def meet(rows: DataFrame, use, names: list[str], schema: str) -> DataFrame:
+        def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: list[pa.RecordBatch] = []
+            for batch in batches:
+                i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+                cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(i)]
+                for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                    if parts and start < end and (parts[0].column("i")[0].as_py(), parts[0].column("j")[0].as_py()) != (i[start], j[start]):
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, use(pa.Table.from_batches(parts)))], names=names)
+                        parts = []
+                    if start < end:
+                        parts.append(batch.slice(start, end - start))
+            if parts:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, use(pa.Table.from_batches(parts)))], names=names)
+
+        return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(each_pair, schema)
+
+    dealt = each.withColumn("band", band).join(F.broadcast(where), "band").select("key", "root", "shared", (F.col("first") + F.pmod("key", "parts")).cast("int").alias("block"))
+    drawn = dealt.join(made(each.select("key"), lambda own: sketch(own, 4)), "key").join(F.broadcast(meets), "block")
+    named = pinned(meet(drawn, named_ones, ["i", "j", "key"], "i int, j int, key long"))
+    whole = dealt.join(named, "key").join(made(named.select("key").distinct(), np.ndarray.tobytes), "key")
+    return meet(whole, links, ["a", "b"], "a long, b long").distinct()
+
+
+def sketch(own: np.ndarray, finer: int = 1) -> bytes:
+    """A set's size, and its parities in `finer` times as many classes as it has values, or up to twice as many."""
+    m = max(64 * finer, 1 << max(0, finer * len(own) - 1).bit_length())
     bits = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
     return np.int64(len(own)).tobytes() + np.packbits(bits).tobytes()
 
@@ -280,8 +388,8 @@ def sketches_near(x: bytes, y: bytes, least: float) -> bool:
     return int(bit_count(a ^ b).sum()) <= (1 - least) / (1 + least) * both + 1e-9
 
 
-def sets_alike(x: bytes, y: bytes, least: float) -> bool:
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+def sets_alike(x: np.ndarray | bytes, y: np.ndarray | bytes, least: float) -> bool:
+    x, y = (np.frombuffer(v, np.uint64) if isinstance(v, bytes) else v for v in (x, y))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both >= least * (len(x) + len(y) - both) - 1e-9
 
@@ -331,17 +439,19 @@ def roots_of(texts: DataFrame, words: int, least: float, bits: int, nearest: int
     met = pinned(in_order(nodes(texts, words, least)).mapInArrow(shared_values, NODES))
     rows, links, tried, last = met.withColumn("root", F.col("key")), None, None, False
     while True:
-        found = crossing(rows, least) if last else rows.mapInArrow(lambda b: candidates(b, least, bits, nearest), "a long, b long").distinct()
-        found = pinned(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-        new = pinned(alike(texts, found, words, least))
+        if last:
+            new = pinned(crossing(texts, rows, words, least))
+        else:
+            found = rows.mapInArrow(lambda b: candidates(b, least, bits, nearest), "a long, b long").distinct()
+            found = pinned(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+            new = pinned(alike(texts, found, words, least))
+            tried = found if tried is None else tried.unionByName(found)
         if not new.isEmpty():
-            links, tried = (new, found) if links is None else (links.unionByName(new), tried.unionByName(found))
+            links = new if links is None else links.unionByName(new)
             roots = components(links).select(F.col("a").alias("key"), F.col("b").alias("root"))
             few = roots.count() <= FEW  # then the rows stay where they are, in order
             joined = met.join(F.broadcast(roots) if few else roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
             rows = joined if few else in_order(joined)
-        elif not last:
-            tried = found if tried is None else tried.unionByName(found)
         if last:  # all that may be alike has been compared
             break
         last = new.isEmpty()

@@ -171,3 +171,23 @@ def test_no_pair_of_near_copies_is_left(spark, monkeypatch, bits, nearest, block
     monkeypatch.setattr(alike.crossing, "__defaults__", (block,))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in alike.drop_alike(docs, bits=bits, nearest=nearest).collect()} == {i for i, r in enumerate(root) if i == r}
+
+
+def test_pairs_of_a_large_group_stay_in_their_tasks(spark, monkeypatch):
+    """Texts alike by a little less than 0.8, and some pairs by more, of one group: the pairs that are shuffled grow with the texts, not
+    with the square of their number, and none alike is lost."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage = [word() for _ in range(100)]
+    texts = [" ".join([*passage, *(word() for _ in range(13))]) for _ in range(140)]
+    texts += [f"{t} {word()}" for t in texts[:10]]
+    shuffled, compared = [], alike.compared
+
+    def counted(texts, pairs, *rest):
+        shuffled.append(pairs.count())
+        return compared(texts, pairs, *rest)
+
+    monkeypatch.setattr(alike, "compared", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in alike.drop_alike(docs, bits=0, nearest=1).collect()}
+    assert got == set(range(140)) and max(shuffled) <= 16 * len(texts)
