@@ -32,7 +32,11 @@ def digits_of(x: Column) -> Column:
 
 def normalize_phone(x: Column) -> Column:
     """Empty if it is no phone; a WhatsApp link's number comes first."""
-    return F.coalesce(canonical_digits(F.coalesce(found(x, WHATSAPP), digits_of(x))), F.lit(""))
+    return F.coalesce(canonical_digits(_said(x)), F.lit(""))
+
+
+def _said(x: Column) -> Column:
+    return F.coalesce(found(x, WHATSAPP), digits_of(x))
 
 
 def valid_phone(x: Column) -> Column:
@@ -119,10 +123,13 @@ def phones_in_json(record):
 
 def without_barred(df: DataFrame, blacklist: DataFrame, phone: str = "phone") -> DataFrame:
     """df with the phones that the blacklist (phone) holds emptied; the list is of any length, compared in canonical form."""
-    barred = blacklist.select(normalize_phone(F.col("phone")).alias("__p")).filter("__p <> ''").distinct().withColumn("__barred", F.lit(True))
-    own = df.withColumn("__p", normalize_phone(F.col(phone)))
-    some = own.filter("__p <> ''").join(barred, "__p", "left").withColumn(phone, F.when(F.col("__barred"), F.lit("")).otherwise(F.col(phone))).select(*df.columns)
-    return some.unionByName(own.filter("__p = '' OR __p IS NULL").select(*df.columns))
+    # Columns of their own, so that the patterns are tried once a row, and one join of all rows. Those without a number are spread.
+    numbered = lambda rows, c: rows.withColumn("__said", _said(F.col(c))).withColumn("__p", F.coalesce(canonical_digits(F.col("__said")), F.lit("")))
+    barred = numbered(blacklist, "phone").select("__p").filter("__p <> ''").distinct().withColumn("__barred", F.lit(True))
+    own = numbered(df, phone)
+    none = F.concat(F.lit("-"), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind)), F.lit(4096)).cast("string"))
+    own = own.withColumn("__p", F.when(F.col("__p") == "", none).otherwise(F.col("__p")))
+    return own.join(barred, "__p", "left").withColumn(phone, F.when(F.col("__barred"), F.lit("")).otherwise(F.col(phone))).select(*df.columns)
 
 
 def whatsapp(text: Column) -> Column:
