@@ -193,7 +193,7 @@ def nearest_of(rows: Rows, least: float, bits: int, nearest: int) -> tuple[np.nd
         i, j, d = near(own, i, j, least, bits)
         if len(i):
             held += [(i, j, d), (j, i, d)]
-            if sum(len(h[0]) for h in held) > 2_000_000:
+            if sum(len(h[0]) for h in held) > 500_000:
                 held = first(held)
     if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -123,12 +123,17 @@ def levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def linked_pairs(fps: np.ndarray, most: int, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of Gray-sorted fingerprints that differ in `most` bits or fewer, in parts."""
+def linked_pairs(fps: np.ndarray, most: int, at_once: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of Gray-sorted fingerprints that differ in `most` bits or fewer, in parts. Up to `at_once` pairs are
+    there for each level of the tree, however many there are in all."""
     tree = levels(fps)
     todo = [(len(tree) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while todo:  # depth first, so that few pairs of nodes wait
+    step = max(1, at_once // FAN**2)
+    while todo:  # depth first; pairs of nodes wait as they are, not as the FAN**2 pairs that each has below
         level, a, b = todo.pop()
+        if level and len(a) > step:
+            todo.append((level, a[step:], b[step:]))
+            a, b = a[:step], b[:step]
         value, mask = tree[level]
         near = bit_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= most
         a, b = a[near], b[near]
@@ -137,11 +142,10 @@ def linked_pairs(fps: np.ndarray, most: int, at_once: int = 1_000_000) -> Iterat
                 yield a[inside], b[inside]
             continue
         n = len(tree[level - 1][0])
-        step = max(1, at_once // FAN**2)
-        for k in range(0, len(a), step):
-            x = (a[k : k + step, None, None] * FAN + np.arange(FAN)[:, None] + np.zeros((1, FAN), np.int64)).ravel()
-            y = (b[k : k + step, None, None] * FAN + np.zeros((FAN, 1), np.int64) + np.arange(FAN)).ravel()
-            keep = (x <= y) & (y < n)
+        x = (a[:, None, None] * FAN + np.arange(FAN)[:, None] + np.zeros((1, FAN), np.int64)).ravel()
+        y = (b[:, None, None] * FAN + np.zeros((FAN, 1), np.int64) + np.arange(FAN)).ravel()
+        keep = (x <= y) & (y < n)
+        if keep.any():
             todo.append((level - 1, x[keep], y[keep]))
 
 

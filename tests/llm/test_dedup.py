@@ -207,3 +207,21 @@ def test_repeats(spark, tmp_path, monkeypatch, block, together, heavy):
 
 def test_repeats_empty(spark, tmp_path):
     assert suffix_dedup.remove_repeats(saved(spark, tmp_path, [])).collect() == []
+
+
+def test_linked_pairs_hold_few_at_once():
+    """Texts that share a common passage and nothing else: no node prunes, and all pairs of leaves are wanted in turn."""
+    import tracemalloc
+
+    import numpy as np
+
+    from flatlake.llm.simhash_dedup import gray_rank, linked_pairs
+
+    fps = np.random.default_rng(7).integers(0, 2**64, 4000, np.uint64)
+    fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+    tracemalloc.start()
+    found = sum(len(i) for i, _ in linked_pairs(fps, 18))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(int((np.bitwise_count(fps[k] ^ fps[k + 1 :]) <= 18).sum()) for k in range(len(fps)))
+    assert peak < 50_000_000
