@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,42 +10,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-CHANGES = "source string, url string, old_price long, new_price long, observed_at timestamp, kind string"
-STATE = "price long, first_seen timestamp, last_seen timestamp"
+CHANGES = "source string, url string, old_price long, new_price long, observed_at long, kind string"
+STATE = "keys binary"
+#: Groups of keys. One call reads a group's rows and its keys' state, so that what a call costs is shared by its keys.
+GROUPS = 4096
 
 
-def price_changes(observations: DataFrame, late: str = "1 hour", stale_ms: int | None = None) -> DataFrame:
+def price_changes(observations: DataFrame, late: str = "1 hour", stale_ms: int | None = None, groups: int = GROUPS) -> DataFrame:
     """observations: source, url, price, observed_at. Emits an event for a new key, for each price that differs from
-    the last known, and, with stale_ms, for keys not seen for so long in event time. A late row never overwrites a newer one."""
+    the last known, and, with stale_ms, for keys not seen for so long in event time. A late row never overwrites a newer one.
+    Keys are dealt to `groups` by a hash, which has to stay the same for a stream's checkpoint; a group's state is all its keys'."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            price, _, last = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, price, None, last, "stale")], columns=[c.split()[0] for c in CHANGES.split(", ")])
-            return
-        price, first, last = state.get if state.exists else (None, None, None)
-        out = []
-        rows = pd.concat(list(parts)).sort_values("observed_at", kind="stable")
-        for at, now in zip(rows["observed_at"], rows["price"], strict=True):
-            now = None if pd.isna(now) else int(now)
-            if last is not None and at <= last:
-                first = min(first, at)
-                continue
-            if first is None:
-                out.append((*key, None, now, at, "new"))
-            elif now is not None and price is not None and now != price:
-                out.append((*key, price, now, at, "changed"))
-            price, first, last = now if now is not None else price, first or at, at
-        state.update((price, first, last))
+        # (source, url) to (price, when seen first and last in microseconds, when it is stale in milliseconds)
+        known: dict[tuple, tuple] = pickle.loads(state.get[0]) if state.exists else {}
+        out, seen = [], set()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values("__at", kind="stable")
+            plain = lambda c: rows[c].astype(object).where(rows[c].notna(), None).tolist()
+            for source, url, now, at in zip(plain("source"), plain("url"), plain("price"), plain("__at"), strict=True):
+                own = source, url
+                now, at = None if now is None else int(now), None if at is None else int(at)
+                price, first, last, _ = known.get(own, (None, None, None, None))
+                seen.add(own)
+                if last is not None and at is not None and at <= last:
+                    known[own] = price, at if first is None else min(first, at), last, None
+                    continue
+                if own not in known:
+                    out.append((*own, None, now, at, "new"))
+                elif now is not None and price is not None and now != price:
+                    out.append((*own, price, now, at, "changed"))
+                known[own] = now if now is not None else price, at if first is None else first, last if at is None else at, None
         if stale_ms:
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + stale_ms, state.getCurrentWatermarkMs() + 1))
+            mark = state.getCurrentWatermarkMs()
+            for own in seen:
+                price, first, last, _ = known[own]
+                known[own] = price, first, last, max((last or 0) // 1000 + stale_ms, mark + 1)
+            for own in [k for k, v in known.items() if v[3] < mark]:
+                price, _, last, _ = known.pop(own)
+                out.append((*own, price, None, last, "stale"))
+        if known:
+            state.update((pickle.dumps(known),))
+            if stale_ms:
+                state.setTimeoutTimestamp(max(min(v[3] for v in known.values()), mark + 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({"old_price": "Int64", "new_price": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({c: "Int64" for c in ("old_price", "new_price", "observed_at")})
 
     timeout = GroupStateTimeout.EventTimeTimeout if stale_ms else GroupStateTimeout.NoTimeout
-    return observations.withWatermark("observed_at", late).groupBy("source", "url").applyInPandasWithState(step, CHANGES, STATE, "append", timeout)
+    rows = observations.withWatermark("observed_at", late).select(F.pmod(F.xxhash64("source", "url"), F.lit(groups)).alias("group"), "source", "url", F.col("price").cast("long").alias("price"), "observed_at", F.unix_micros("observed_at").alias("__at"))
+    return rows.groupBy("group").applyInPandasWithState(step, CHANGES, STATE, "append", timeout).withColumn("observed_at", F.timestamp_micros("observed_at"))
 
 
 def daily_quota(events: DataFrame, limit: int = 10, late: str = "1 day") -> DataFrame:

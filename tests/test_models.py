@@ -115,3 +115,22 @@ def test_streams(spark, tmp_path):
     assert any(r["kind"] == "stale" for r in stale)
     stream.writeStream.foreachBatch(streams.merge_batches(str(tmp_path / "snap"))).option("checkpointLocation", str(tmp_path / "snap-c")).trigger(availableNow=True).start().awaitTermination()
     assert {r["url"]: r["price"] for r in spark.read.parquet(str(tmp_path / "snap/v=2")).collect()} == last
+
+
+def test_price_changes_by_groups(spark, tmp_path):
+    """The same events, stale keys' too, however many keys a call reads; 4,000 keys take few calls."""
+    from flatlake.streaming import listings as streams
+
+    t0 = dt.datetime(2024, 1, 1)
+    rng = random.Random(6)
+    for k in range(4):
+        rows = [("s", f"u{rng.randint(0, 12)}", rng.choice([None, 10, 20]), t0 + dt.timedelta(hours=9 * k + rng.randint(0, 12))) for _ in range(12)]
+        rows += [("t", f"u{n}", n, t0) for n in range(4000 if k == 0 else 0)]
+        spark.createDataFrame(rows, "source string, url string, price long, observed_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, url string, price long, observed_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = []
+    for groups in (3, 100_000):
+        out = streams.price_changes(stream, "1 minute", stale_ms=6 * 3600_000, groups=groups).filter("source = 's' OR url < 'u2'")
+        out.writeStream.format("parquet").option("path", str(tmp_path / f"o{groups}")).option("checkpointLocation", str(tmp_path / f"c{groups}")).trigger(availableNow=True).start().awaitTermination()
+        got.append(sorted(map(str, spark.read.schema(out.schema).parquet(str(tmp_path / f"o{groups}")).collect())))
+    assert got[0] == got[1] and {k for k in ("new", "changed", "stale") if any(f"'{k}'" in r for r in got[0])} == {"new", "changed", "stale"}
