@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clean_space, found, parse_float, parse_floor_pair, parse_int, parse_rooms
+from ..operators.skew import join_counted, pinned
 from .markup import Pick
 
 
@@ -197,13 +198,17 @@ def match_cards(details: DataFrame, card_rows: DataFrame) -> DataFrame:
     """Details with the price of a card where their own is missing: the card of the same base URL, else one whose base URL
     holds theirs or is held by it, up to a slash on the same host; of several, the longest common part, then the least price."""
     parents = lambda c: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.size(F.split(c, "/")))), lambda k: F.array_join(F.slice(F.split(c, "/"), F.lit(1), k), "/"))
-    c = card_rows.filter("url IS NOT NULL").groupBy(base_url(F.col("url")).alias("__card")).agg(F.min("price").alias("__card_price")).filter("__card_price IS NOT NULL")
-    asked = details.filter("url IS NOT NULL").select(base_url(F.col("url")).alias("__base")).distinct()
-    above = asked.select("__base", F.explode(F.array_distinct(parents(F.col("__base")))).alias("__card")).join(c, "__card")
-    below = c.select("__card", "__card_price", F.explode(F.array_distinct(parents(F.col("__card")))).alias("__base")).filter("__card <> __base").join(asked, "__base")
-    both = above.select("__base", "__card", "__card_price").unionByName(below.select("__base", "__card", "__card_price"))
-    rank = F.struct((F.col("__base") == F.col("__card")).alias("same"), F.least(F.length("__base"), F.length("__card")).alias("common"), (-F.col("__card_price")).alias("low"))
-    best = both.groupBy("__base").agg(F.max_by("__card_price", rank).alias("__card_price"))
+    c = pinned(card_rows.filter("url IS NOT NULL").groupBy(base_url(F.col("url")).alias("__card")).agg(F.min("price").alias("__card_price")).filter("__card_price IS NOT NULL"))
+    asked = pinned(details.filter("url IS NOT NULL").select(base_url(F.col("url")).alias("__base")).distinct())
+    # Very many URLs are under one parent, that of all listings of a site. What is asked of it is counted before it is joined, and
+    # its cards are summed up before they are shuffled: all that its URL holds have as much in common with it.
+    up = asked.select("__base", F.explode(F.array_distinct(parents(F.col("__base")))).alias("__card"))
+    of = pinned(up.groupBy("__card").agg(F.count(F.lit(1)).alias("__n")).join(c, "__card", "left"))
+    met = join_counted(up, of, "__card", "__n", F.col("__base")).filter("__card_price IS NOT NULL")
+    own = F.col("__card") == F.col("__base")
+    above = met.groupBy("__base").agg(F.max(F.when(own, F.col("__card_price"))).alias("__same"), F.max_by(F.when(~own, F.col("__card_price")), F.when(~own, F.length("__card"))).alias("__over"))
+    below = c.select("__card_price", F.explode(F.filter(F.array_distinct(parents(F.col("__card"))), lambda x: x != F.col("__card"))).alias("__base")).groupBy("__base").agg(F.min("__card_price").alias("__under"))
+    best = asked.join(above, "__base", "left").join(below, "__base", "left").select("__base", F.coalesce("__same", "__under", "__over").alias("__card_price"))
     joined = details.withColumn("__base", base_url(F.col("url"))).join(best, "__base", "left")
     return joined.withColumn("price", F.coalesce("price", "__card_price")).drop("__base", "__card_price")
 

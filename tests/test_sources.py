@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import json
 
 import pytest
@@ -65,6 +66,28 @@ def test_details(spark):
     assert [r["x"] for r in df.orderBy("page_id").select(pages.status_of(F.col("html"), SITE).alias("x")).collect()] == ["active", "active", "archived", "active"]
 
 
+def test_cards_under_one_parent(spark):
+    """Against all pairs; what is under a very common parent is summed up by hash before it is shuffled, and nothing is sorted for it."""
+    rng = random.Random(3)
+    some = lambda n: [("https://s.test/" + "/".join(rng.choice("ab") for _ in range(rng.randint(0, 4))), rng.choice([None, *range(9)])) for _ in range(n)] + [(f"https://s.test/hot/{k}", k) for k in range(2 * n, 3 * n)]
+    asked, have = some(60), some(40)
+    details = spark.createDataFrame([(k, u, None) for k, (u, _) in enumerate(asked)], "page_id int, url string, price long")
+    found = pages.match_cards(details, spark.createDataFrame(have, "url string, price long"))
+    least: dict = {}
+    for u, p in have:
+        if p is not None:
+            least[u.rstrip("/")] = min(p, least.get(u.rstrip("/"), p))
+
+    def best(u):
+        u = u.rstrip("/")
+        fits = [(u == c, min(len(u), len(c)), -p, p) for c, p in least.items() if u == c or u.startswith(c + "/") and c.count("/") > 2 or c.startswith(u + "/") and u.count("/") > 2]
+        return max(fits)[3] if fits else None
+
+    assert {r["page_id"]: r["price"] for r in found.collect()} == {k: best(u) for k, (u, _) in enumerate(asked)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_fresh_copy(spark):
     t = dt.datetime(2024, 1, 1, 12)
     df = spark.createDataFrame([("a", "old", t - dt.timedelta(hours=2)), ("a", "new", t), ("b", "old", t - dt.timedelta(hours=2))], "url string, html string, fetched_at timestamp")
