@@ -72,7 +72,15 @@ def near_listings(df: DataFrame, metres2: float = 2.0, share: float = 0.05, held
     left = left.withColumn("at", F.explode(near_bands)).alias("l")
     near = (F.abs(F.col("l.area") - F.col("r.area")) <= metres2) & (F.abs(F.col("l.price") - F.col("r.price")) <= share * F.greatest("l.price", "r.price"))
     on = (F.col("l.cell") == F.col("r.cell")) & F.col("l.at").eqNullSafe(F.col("r.at"))
-    return left.join(right, on & near & (F.col("l.url") < F.col("r.url"))).select(F.col("l.url").alias("a"), F.col("r.url").alias("b")).distinct()
+    pairs = lambda x, y: x.join(y, on & near & (F.col("l.url") < F.col("r.url"))).select(F.col("l.url").alias("a"), F.col("r.url").alias("b"))
+    # Two rows meet once, so that a pair of URLs comes more often only if one of them has several rows. Only such pairs are shuffled again.
+    again = pinned(cells.groupBy("url").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("url").alias("__again")))
+    if again.isEmpty():
+        return pairs(left, right)
+    some = lambda x, name, how: x.join(again, F.col(f"{name}.url") == F.col("__again"), how).alias(name)
+    once = some(left, "l", "left_anti")
+    repeated = pairs(some(left, "l", "left_semi"), right).unionByName(pairs(once, some(right, "r", "left_semi"))).distinct()
+    return pairs(once, some(right, "r", "left_anti")).unionByName(repeated)
 
 
 def contact_clusters(df: DataFrame, url: str = "url", marks: tuple[str, ...] = ("phone", "duplicate_group_id"), most: int = 40) -> DataFrame:

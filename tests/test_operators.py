@@ -261,3 +261,14 @@ def test_near_listings_at_one_place(spark, many):
     good = [r for r in rows if r[1] and r[4] and r[4] > 0]
     want = {(a[0], b[0]) for a in good for b in good if a[0] < b[0] and a[1:3] == b[1:3] and abs(a[3] - b[3]) <= 2 and abs(a[4] - b[4]) <= 0.05 * max(a[4], b[4])}
     assert got == want
+
+
+def test_near_listings_pairs_stay(spark):
+    """Pairs are shuffled again only where a URL has several rows."""
+    rng = random.Random(4)
+    rows = [(f"u{k}", rng.choice("xy"), 2, 50.0 + rng.randint(0, 3), rng.randint(90, 110)) for k in range(80)]
+    for own in (rows, [(u if k % 3 else "u1", *r) for k, (u, *r) in enumerate(rows)]):
+        found = dedup.near_listings(spark.createDataFrame(own, "url string, location string, rooms int, area double, price long"))
+        want = {(a[0], b[0]) for a in own for b in own if a[0] < b[0] and a[1:3] == b[1:3] and abs(a[3] - b[3]) <= 2 and abs(a[4] - b[4]) <= 0.05 * max(a[4], b[4])}
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+        assert ("Aggregate [a#" in found._jdf.queryExecution().optimizedPlan().toString()) == (own is not rows)
