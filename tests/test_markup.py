@@ -77,3 +77,12 @@ def test_every_site_has_marks():
         for each in site.picks.values():
             for pick in each:
                 assert markup._steps(pick.select)
+
+
+def test_attributes_are_read_where_they_may_fit():
+    """An element whose tag hasn't the words of a selector isn't taken apart; entities may stand for them."""
+    from flatlake.sources.markup import elements, selects
+
+    other, own, coded = elements('<p class="x">a</p><p class="big card">b</p><p class="c&#97;rd">c</p>')
+    assert [selects(e, "p.card") for e in (other, own, coded)] == [False, True, True]
+    assert other._attrs is None and own._attrs is not None
