@@ -238,3 +238,15 @@ def test_barred_numbers_in_one_pass(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Union" not in plan
     assert sorted(map(tuple, got.collect())) == [(1, ""), (2, None), (3, ""), (4, "no number"), (5, "+7 (705) 000-00-01"), (6, "")]
+
+
+def test_bare_rents_are_looked_for_where_they_may_be(spark):
+    """A number without a unit is a rent near a word of rent alone; a text without such a word isn't searched by stretches."""
+    import time
+
+    said = {"оплата 150000": 150000, "оплата" + "." * 60 + " 25": None, "150 000": 150000, "цена 45.000 в": 45000, "номер 150": None, "": None, "цена сто": None}
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", texts.rent_price(F.col("t")).alias("p"))
+    assert {r["t"]: r["p"] for r in got.collect()} == said
+    long = spark.createDataFrame([("проза " * 700_000,)], "t string").select(texts.rent_price(F.col("t")).alias("p"))
+    began = time.time()
+    assert long.first()["p"] is None and time.time() - began < 60
