@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, pinned, rows_of
+from .common import col, gathered, pinned, rows_of
 from .components import components
 from .simhash_dedup import FAN, bit_count, gray_rank, linked_pairs, majority, shingles, stirred
 
@@ -46,6 +46,8 @@ NODES = "value long, key long, fp long, fp2 long, p0 long, p1 long, p2 long, p3
 BLOCK, BLOCK_BYTES = 4096, 32_000_000
 #: Rows that are broadcast, at most; beyond, they are joined by a shuffle.
 FEW = 1_000_000
+#: Texts whose sets a task takes where few are wanted.
+SETS = 1250
 #: Of a batch of texts, values that fewer of them have aren't counted as frequent.
 SEVERAL = 8
 
@@ -312,6 +314,8 @@ def crossing(texts: DataFrame, rows: DataFrame, words: int, least: float, block:
     sums = each.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.min("size"), F.max("size"), F.sum("size")).collect()  # some thousands at most
     if not sums:
         return spark.createDataFrame([], "a long, b long")
+    n = sum(x[1] for x in sums)
+    each = gathered(each, n, SETS)
     placed, met = blocks_of(sorted(map(tuple, sums)), least, block)
     where, meets = spark.createDataFrame(placed, "band int, first int, parts int"), spark.createDataFrame(met, "block int, i int, j int")
 
@@ -364,9 +368,12 @@ def crossing(texts: DataFrame, rows: DataFrame, words: int, least: float, block:
         return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(each_pair, schema)
 
     dealt = each.withColumn("band", band).join(F.broadcast(where), "band").select("key", "root", "shared", (F.col("first") + F.pmod("key", "parts")).cast("int").alias("block"))
-    drawn = dealt.join(made(each.select("key"), lambda own: sketch(own, 4)), "key").join(F.broadcast(meets), "block")
+    drawn = gathered(dealt.join(made(each.select("key"), lambda own: sketch(own, 4)), "key"), n, SETS).join(F.broadcast(meets), "block")
     named = pinned(meet(drawn, named_ones, ["i", "j", "key"], "i int, j int, key long"))
-    whole = dealt.join(named, "key").join(made(named.select("key").distinct(), np.ndarray.tobytes), "key")
+    if not (m := named.count()):
+        return spark.createDataFrame([], "a long, b long")
+    named = gathered(named, m)
+    whole = gathered(gathered(dealt.join(named, "key"), m, SETS).join(made(named.select("key").distinct(), np.ndarray.tobytes), "key"), m, SETS)
     return meet(whole, links, ["a", "b"], "a long, b long").distinct()
 
 
@@ -414,16 +421,21 @@ def compared(texts: DataFrame, pairs: DataFrame, words: int, least: float, made,
                 keep.append(b is not None and test(held[a], held[b], least))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = pinned(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    few = named.count() <= FEW
-    some = texts.join(F.broadcast(named) if few else named, "key", "left_semi")
-    each = pinned(some.mapInArrow(members, "key long, held binary").groupBy("key").agg(F.first("held").alias("held")))
+    n = pairs.count()
+    if not n:
+        return pairs
+    pairs = gathered(pairs, n)
+    named = pinned(gathered(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), 2 * n))
+    m = named.count()
+    some = texts.join(F.broadcast(named) if m <= FEW else named, "key", "left_semi")
+    each = pinned(gathered(some.mapInArrow(members, "key long, held binary").groupBy("key").agg(F.first("held").alias("held")), m, SETS))
     blocks = max(8, math.ceil((each.agg(F.sum(F.octet_length("held"))).first()[0] or 0) / BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
-    wanted = placed.select("i", "j", F.explode(F.array("a", "b")).alias("key")).distinct()
-    sent = wanted.join(each, "key").select("i", "j", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "held")
-    met = sent.unionByName(placed.withColumn("held", F.lit(None).cast("binary"))).repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").asc_nulls_first())
+    wanted = gathered(placed.select("i", "j", F.explode(F.array("a", "b")).alias("key")).distinct(), 2 * n)
+    sent = gathered(wanted.join(each, "key"), 2 * n, SETS).select("i", "j", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "held")
+    both = sent.unionByName(placed.withColumn("held", F.lit(None).cast("binary")))
+    met = gathered(both.repartition("i", "j"), 2 * n, SETS).sortWithinPartitions("i", "j", F.col("b").asc_nulls_first())
     return met.mapInArrow(compare, "a long, b long")
 
 
@@ -444,6 +456,7 @@ def roots_of(texts: DataFrame, words: int, least: float, bits: int, nearest: int
         else:
             found = rows.mapInArrow(lambda b: candidates(b, least, bits, nearest), "a long, b long").distinct()
             found = pinned(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+            found = gathered(found, found.count())
             new = pinned(alike(texts, found, words, least))
             tried = found if tried is None else tried.unionByName(found)
         if not new.isEmpty():

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from flatlake.llm import components as module
 from flatlake.llm import exact_dedup, simhash_dedup, suffix_dedup
 from flatlake.llm.components import components
 
@@ -164,6 +165,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles of 96 partitions, which stay as they are however small."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_edges_take_few_partitions(spark, monkeypatch, many_partitions):
+    """Each round writes as many files as its edges need, not as many as a shuffle has partitions."""
+    written, pinned = [], module.pinned
+
+    def counted(df):
+        out = pinned(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(module, "pinned", counted)
+    chain = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)]
+    got = {r["a"]: r["b"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1, 301)} | {k: 1000 for k in range(1001, 1200)}
+    assert len(written) > 3 and max(written[1:]) <= 8
+
+
 # Repeated strings
 
 

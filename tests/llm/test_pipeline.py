@@ -191,3 +191,27 @@ def test_pairs_of_a_large_group_stay_in_their_tasks(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in alike.drop_alike(docs, bits=0, nearest=1).collect()}
     assert got == set(range(140)) and max(shuffled) <= 16 * len(texts)
+
+
+def test_rounds_over_few_pairs_take_few_tasks(spark):
+    """Shuffles of 96 partitions, which stay as they are however small: near-dedup's tasks don't each write files in every round."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in range(20, 60)] + [" ".join(word() for _ in range(80)) for _ in range(60)]
+    settings = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    status, group = spark.sparkContext.statusTracker(), "few-pairs"
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, "")
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r["doc_id"] for r in alike.drop_alike(docs).collect()} == {0, *range(40, 100)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := status.getStageInfo(s)))
+    assert tasks < 5000
