@@ -14,9 +14,11 @@ Sets: the XXH64 values of a text's shingles of `words` words. SimHash alone can'
    order, which prune groups whose shared bits differ too much; each text's `nearest` within `bits` of 128 bits outside
    its component are candidates (at 0.8 the difference is 19.4 with a deviation of 4.1). Components are made anew until a
    round finds no link. This joins most of what is alike in few comparisons, but not all.
-4. The rest. Then all texts that share a value with one of another component are dealt to blocks by size, and each pair of blocks
-   compares, in one task, all pairs that share a value and keep the bounds: by parities in four classes a value, and by the sets.
-   Only links leave the task. So every pair that is alike has been compared, or is in one component.
+4. The rest. Then, inside the task that holds the texts of a value, all pairs of different components meet by the bounds. What has a
+   pair there that may be alike goes to the task of the value's head, which is the least of these texts: values that the same texts share
+   have the same head, so a text is sent a few times, however many texts there are and values it shares. That task compares all
+   pairs that share a value: by parities in one class a value, in four, and by the sets; a head of very many texts is dealt to blocks by size, and
+   its pairs of blocks are tasks. Only links leave the task. So every pair that is alike has been compared, or is in one component.
 5. Comparison. In steps 2 and 3, the candidates' parities in more classes, and of those left the sets, meet in pairs of blocks, and their similarity
    is measured exactly.
 
@@ -46,6 +48,8 @@ NODES = "value long, key long, fp long, fp2 long, p0 long, p1 long, p2 long, p3
 BLOCK, BLOCK_BYTES = 4096, 32_000_000
 #: Rows that are broadcast, at most; beyond, they are joined by a shuffle.
 FEW = 1_000_000
+#: Classes for each value of a set in the sketches that meet; the finer are for what the coarse leave.
+FINER = (1, 4)
 #: Texts whose sets a task takes where few are wanted.
 SETS = 1250
 #: Of a batch of texts, values that fewer of them have aren't counted as frequent.
@@ -235,14 +239,38 @@ def candidates(batches: Iterator[pa.RecordBatch], least: float, bits: int, neare
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000].copy()) for x in pair], names=["a", "b"])
 
 
-def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the values that over FAN texts share, not all of one component: key, root, size and half of the value's bits."""
+def partnered(rows: Rows, least: float, at_once: int = 250_000) -> np.ndarray:
+    """Whether each text of one value has another of a different component that it may be alike to. Pairs of some texts are there at once."""
+    order = np.argsort(rows["size"], kind="stable")
+    own = {c: x[order] for c, x in rows.items()}
+    n, has = len(order), np.zeros(len(order), bool)
+    after = np.searchsorted(own["size"], own["size"] / least + 1e-9, "right") - np.arange(n) - 1  # larger ones that are not too large
+    upto = np.concatenate([[0], np.cumsum(after)])
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + at_once, "right")) - 1)
+        i = np.repeat(np.arange(first, last), after[first:last])
+        i, j = possible(own, i, i + 1 + np.arange(len(i)) - np.repeat(upto[first:last] - upto[first], after[first:last]), least)
+        has[i] = has[j] = True
+        first = last
+    return has[np.argsort(order)]
+
+
+def crossed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of the values that over FAN texts share, the texts that may be alike to one of another component: head (the least key of
+    these texts of the value), key, root, size and half of the value's bits."""
     for rows in by_value(batches):
         start = np.flatnonzero(np.concatenate([[True], rows["value"][1:] != rows["value"][:-1]]))
         n = np.diff(np.append(start, len(rows["value"])))
-        wanted = np.repeat((n > FAN) & (np.minimum.reduceat(rows["root"], start) < np.maximum.reduceat(rows["root"], start)), n)
-        if wanted.any():
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[c][wanted]) for c in ("key", "root", "size")), pa.array(rows["value"][wanted].astype(np.int32))], names=["key", "root", "size", "half"])
+        out: list[list[np.ndarray]] = []
+        for k in np.flatnonzero((n > FAN) & (np.minimum.reduceat(rows["root"], start) < np.maximum.reduceat(rows["root"], start))):
+            own = {c: x[start[k] : start[k] + n[k]] for c, x in rows.items()}
+            has = partnered(own, least)
+            if has.any():
+                key = own["key"][has]
+                out.append([np.full(len(key), key.min()), key, own["root"][has], own["size"][has], own["value"][has].astype(np.int32)])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["head", "key", "root", "size", "half"])
 
 
 def blocks_of(bands: list[tuple], least: float, block: int) -> tuple[list[tuple], list[tuple]]:
@@ -262,18 +290,24 @@ def blocks_of(bands: list[tuple], least: float, block: int) -> tuple[list[tuple]
     return placed, [(k, i, j) for i, j in met for k in sorted({i, j})]
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """The parities of sketches in as many classes as the smallest of them has."""
+def folded(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The length of each sketch's parities, and for each length that there is the parities, folded to it, of the sketches that are as long or
+    longer, with the row of each. Sets of like sizes meet by the parities of the smaller, however small others are."""
     each = [np.frombuffer(x, np.uint64, offset=8) for x in sketches]
-    least = min(map(len, each))
-    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in each])
+    length, out = np.array([len(x) for x in each]), {}
+    for n in np.unique(length).tolist():
+        own = np.flatnonzero(length >= n)
+        row = np.zeros(len(each), np.int64)
+        row[own] = np.arange(len(own))
+        out[n] = row, np.stack([np.bitwise_xor.reduce(each[k].reshape(-1, n), axis=0) for k in own])
+    return length, out
 
 
 def meeting(root: np.ndarray, side: np.ndarray, sketches: list[bytes], shared: list[np.ndarray], least: float, test) -> Iterator[tuple[int, int]]:
     """Pairs (one of side False, one of True; any, if all are of one side) of different components that share one of `shared`, that
     may be alike, and for which test(x, y) holds. A pair makes one component of two, if test is given; else each text comes once or twice."""
-    size, bits = np.array([int(np.frombuffer(x, np.int64, 1)[0]) for x in sketches]), folded(sketches)
-    few = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, 4), axis=1)
+    size, (length, bits) = np.array([int(np.frombuffer(x, np.int64, 1)[0]) for x in sketches]), folded(sketches)
+    few = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64, offset=8).reshape(-1, 4), axis=0) for x in sketches])
     both = side.any() and not side.all()
     right = np.flatnonzero(side) if both else np.arange(len(side))
     left = np.flatnonzero(~side) if both else right
@@ -290,10 +324,13 @@ def meeting(root: np.ndarray, side: np.ndarray, sketches: list[bytes], shared: l
         if not both:
             y = y[y > x]
         y = y[np.minimum(size[y], size[x]) >= least * np.maximum(size[y], size[x]) - 1e-9]
-        for by in (few, bits):  # sets differ in as many values as in parities, or more
-            apart = bit_count(by[y] ^ by[x]).astype(np.int64).sum(axis=1)
-            ok = apart <= (1 - least) / (1 + least) * (size[y] + size[x]) + 1e-9
-            y, apart = y[ok], apart[ok]
+        y = y[bit_count(few[y] ^ few[x]).astype(np.int64).sum(axis=1) <= (1 - least) / (1 + least) * (size[y] + size[x]) + 1e-9]
+        apart, shorter = np.zeros(len(y), np.int64), np.minimum(length[y], length[x])
+        for n in np.unique(shorter).tolist():
+            row, by = bits[n]
+            apart[shorter == n] = bit_count(by[row[y[shorter == n]]] ^ by[row[x]]).astype(np.int64).sum(axis=1)
+        ok = apart <= (1 - least) / (1 + least) * (size[y] + size[x]) + 1e-9  # sets differ in as many values as in parities, or more
+        y, apart = y[ok], apart[ok]
         for k in y[np.argsort(apart, kind="stable")]:
             if test is None:
                 yield int(x), int(k)
@@ -304,20 +341,28 @@ def meeting(root: np.ndarray, side: np.ndarray, sketches: list[bytes], shared: l
 
 def crossing(texts: DataFrame, rows: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join all texts that are alike, of different components, and share a value that over FAN texts have.
-    The texts are dealt to blocks by the sizes of their sets; each task has the texts of a pair of blocks. First their sketches meet, and
-    what has a pair there that may be alike is named. Then the sets of these are compared. Pairs never leave a task: texts and
-    links do, so that what is shuffled doesn't grow with the number of pairs."""
+    A task has the texts of a head, or of a pair of blocks of one that has over `block` texts, dealt by the sizes of their sets. First
+    their sketches meet, coarse ones and then finer ones, and what has a pair there that may be alike is named. Then the sets of these are compared. Pairs never leave a task:
+    texts and links do, each text once for a head, so that what is shuffled grows neither with the number of pairs nor with that of other texts."""
     spark = texts.sparkSession
-    each = rows.select("value", "key", "root", "size").mapInArrow(crossed, "key long, root long, size int, half int")
-    each = pinned(each.groupBy("key").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.collect_set("half").alias("shared")))
-    band = F.floor(F.log1p("size") * 100).cast("int")
-    sums = each.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.min("size"), F.max("size"), F.sum("size")).collect()  # some thousands at most
-    if not sums:
+    each = rows.mapInArrow(lambda b: crossed(b, least), "head long, key long, root long, size int, half int")
+    each = pinned(each.groupBy("head", "key").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.collect_set("half").alias("shared")))
+    n = each.count()
+    if not n:
         return spark.createDataFrame([], "a long, b long")
-    n = sum(x[1] for x in sums)
     each = gathered(each, n, SETS)
-    placed, met = blocks_of(sorted(map(tuple, sums)), least, block)
-    where, meets = spark.createDataFrame(placed, "band int, first int, parts int"), spark.createDataFrame(met, "block int, i int, j int")
+    band = F.floor(F.log1p("size") * 100).cast("int")
+    large = each.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("values")).filter((F.col("n") > block) | (F.col("values") * 8 > BLOCK_BYTES)).select("head")
+    sums = each.join(F.broadcast(large), "head", "left_semi").groupBy("head", band.alias("band")).agg(F.count(F.lit(1)), F.min("size"), F.max("size"), F.sum("size"))
+    bands: dict[int, list[tuple]] = {}
+    for head, *one in sums.collect():  # some hundreds for each of few heads
+        bands.setdefault(head, []).append(tuple(one))
+    placed, met = [], []
+    for head, own in bands.items():
+        blocks, pairs = blocks_of(sorted(own), least, block)
+        placed += [(head, *x) for x in blocks]
+        met += [(head, *x) for x in pairs]
+    where, meets = spark.createDataFrame(placed, "head long, band int, first int, parts int"), spark.createDataFrame(met, "head long, block int, i int, j int")
 
     def made(named: DataFrame, of) -> DataFrame:
         def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +387,7 @@ def crossing(texts: DataFrame, rows: DataFrame, words: int, least: float, block:
         near_ones = np.zeros(len(key), bool)
         for pair in pairs:
             near_ones[list(pair)] = True
-        n = int(near_ones.sum())
-        return [np.full(n, part.column("i")[0].as_py(), np.int32), np.full(n, part.column("j")[0].as_py(), np.int32), key[near_ones]]
+        return [part.column(c).to_numpy()[near_ones] for c in ("head", "i", "j", "key")]
 
     def links(part: pa.Table) -> list[np.ndarray]:
         key, pairs = pairs_of(part, True)
@@ -351,35 +395,43 @@ def crossing(texts: DataFrame, rows: DataFrame, words: int, least: float, block:
         return [np.minimum(a, b), np.maximum(a, b)]
 
     def meet(rows: DataFrame, use, names: list[str], schema: str) -> DataFrame:
+        task = ["head", "i", "j"]
+
         def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: list[pa.RecordBatch] = []
+            here: tuple | None = None
             for batch in batches:
-                i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
-                cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(i)]
-                for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                    if parts and start < end and (parts[0].column("i")[0].as_py(), parts[0].column("j")[0].as_py()) != (i[start], j[start]):
+                at = [batch.column(c).to_numpy() for c in task]
+                cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+                for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    if start == end:
+                        continue
+                    was, here = here, tuple(x[start] for x in at)
+                    if parts and was != here:
                         yield pa.RecordBatch.from_arrays([*map(pa.array, use(pa.Table.from_batches(parts)))], names=names)
                         parts = []
-                    if start < end:
-                        parts.append(batch.slice(start, end - start))
+                    parts.append(batch.slice(start, end - start))
             if parts:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, use(pa.Table.from_batches(parts)))], names=names)
 
-        return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(each_pair, schema)
-
-    dealt = each.withColumn("band", band).join(F.broadcast(where), "band").select("key", "root", "shared", (F.col("first") + F.pmod("key", "parts")).cast("int").alias("block"))
-    drawn = gathered(dealt.join(made(each.select("key"), lambda own: sketch(own, 4)), "key"), n, SETS).join(F.broadcast(meets), "block")
-    named = pinned(meet(drawn, named_ones, ["i", "j", "key"], "i int, j int, key long"))
-    if not (m := named.count()):
-        return spark.createDataFrame([], "a long, b long")
-    named = gathered(named, m)
-    whole = gathered(gathered(dealt.join(named, "key"), m, SETS).join(made(named.select("key").distinct(), np.ndarray.tobytes), "key"), m, SETS)
+        return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(each_pair, schema)
+
+    block_of = F.coalesce(F.col("first") + F.pmod("key", "parts"), F.lit(0)).cast("int")  # without a row in `where`, a head is one block
+    dealt = each.withColumn("band", band).join(F.broadcast(where), ["head", "band"], "left").select("head", "key", "root", "shared", block_of.alias("block"))
+    named, m = dealt.join(F.broadcast(meets), ["head", "block"], "left").fillna(0, ["i", "j"]), n
+    for finer in FINER:
+        drawn = gathered(named.join(made(named.select("key").distinct(), lambda own, finer=finer: sketch(own, finer)), "key"), m, SETS)
+        found = pinned(meet(drawn, named_ones, ["head", "i", "j", "key"], "head long, i int, j int, key long"))
+        if not (m := found.count()):
+            return spark.createDataFrame([], "a long, b long")
+        named = gathered(dealt.join(gathered(found, m), ["head", "key"]), m, SETS)
+    whole = gathered(named.join(made(named.select("key").distinct(), np.ndarray.tobytes), "key"), m, SETS)
     return meet(whole, links, ["a", "b"], "a long, b long").distinct()
 
 
 def sketch(own: np.ndarray, finer: int = 1) -> bytes:
-    """A set's size, and its parities in `finer` times as many classes as it has values, or up to twice as many."""
-    m = max(64 * finer, 1 << max(0, finer * len(own) - 1).bit_length())
+    """A set's size, and its parities in `finer` times as many classes as it has values, or up to twice as many, and 256 at least."""
+    m = max(256, 1 << max(0, finer * len(own) - 1).bit_length())
     bits = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
     return np.int64(len(own)).tobytes() + np.packbits(bits).tobytes()
 

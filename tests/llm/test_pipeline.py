@@ -215,3 +215,40 @@ def test_rounds_over_few_pairs_take_few_tasks(spark):
     stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
     tasks = sum(i.numCompletedTasks for s in stages if (i := status.getStageInfo(s)))
     assert tasks < 5000
+
+
+def test_texts_meet_only_those_they_share_values_with(spark, monkeypatch):
+    """Many passages, each shared by twenty texts alike by a little less than 0.8, and blocks of few texts: what is dealt to tasks grows
+    with the texts, not with the pairs of blocks."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    texts = []
+    for _ in range(12):
+        passage = [word() for _ in range(100)]
+        texts += [" ".join([*passage, *(word() for _ in range(13))]) for _ in range(20)]
+    dealt, kind = [], type(spark.range(1))
+    repartition = kind.repartition
+
+    def counted(self, *by):
+        if "shared" in self.columns:
+            dealt.append(self.count())
+        return repartition(self, *by)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    monkeypatch.setattr(alike.crossing, "__defaults__", (40,))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in alike.drop_alike(docs, bits=0, nearest=1).collect()} == set(range(240))
+    assert dealt and max(dealt) <= 2 * len(texts)
+
+
+def test_sketches_of_unlike_lengths_meet():
+    """Pairs of large sets are told apart by their own classes, though a small set is among the texts."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    own = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (40, 3000, 3000, 2500)] + [np.zeros(0, np.uint64)]
+    own.append(np.unique(np.concatenate([own[1][: int(0.9 * 3000)], own[2][:200]])))
+    held = [alike.sketch(x, 4) for x in own]
+    shared = [np.zeros(1, np.int32)] * len(own)
+    side = np.zeros(len(own), bool)
+    assert list(alike.meeting(np.arange(len(own)), side, held, shared, 0.8, None)) == [(1, 5)]

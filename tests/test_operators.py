@@ -272,3 +272,24 @@ def test_near_listings_pairs_stay(spark):
         want = {(a[0], b[0]) for a in own for b in own if a[0] < b[0] and a[1:3] == b[1:3] and abs(a[3] - b[3]) <= 2 and abs(a[4] - b[4]) <= 0.05 * max(a[4], b[4])}
         assert sorted(tuple(r) for r in found.collect()) == sorted(want)
         assert ("Aggregate [a#" in found._jdf.queryExecution().optimizedPlan().toString()) == (own is not rows)
+
+
+def test_pinned_leaves_no_shuffle_files(spark):
+    """What a kept table was shuffled by doesn't stay on disk; the setting of the session is as before, and the rows can be used again."""
+    import time
+
+    from flatlake.operators.skew import CLEANED, pinned
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return sum(found.apply(k).getName().startswith("shuffle_") for k in range(found.size()))
+
+    before, was = files(), spark.conf.get(CLEANED, "false")
+    rows = pinned(spark.range(5000).select((F.col("id") % 7).alias("k"), F.col("id").alias("a.b")).repartition(6, "k"))
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(CLEANED, "false") == was
+    assert rows.columns == ["k", "a.b"] and rows.groupBy("k").count().count() == 7 and rows.join(rows.select(F.col("k").alias("j")).distinct(), F.col("k") == F.col("j")).count() == 5000
