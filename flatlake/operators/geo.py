@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from .skew import fresh_path, join_counted, pinned
 EARTH = 6_371_000.0
 #: Bytes of the fragments of a dictionary that is handed to all tasks; its automaton takes some thirty times as much.
 HELD_TEXT = 4_000_000
+#: Bytes of texts whose pieces are shuffled at once, which takes some four times as much disk.
+SLICED = 2_000_000_000
 Polygon = tuple[str, list[tuple[float, float]]]
 
 
@@ -148,13 +153,18 @@ def _pieces(fragments: DataFrame, held: int):
 
 def _joined_names(df: DataFrame, text: Column, fragments: DataFrame, name: str, held: int) -> DataFrame:
     """Pieces are joined to equal fragments, and the texts to what was found for them by 128 bits of their SHA-256. A text that
-    very many rows have is handed to all tasks."""
+    very many rows have is handed to all tasks. Texts are dealt to slices by these bits, and the pieces of a slice are off the disks before
+    those of the next are made; what is found, a row for each text, stays."""
     low, path = F.lower(text), fresh_path(df.sparkSession, "fragments")
     key = F.substring(F.unhex(F.sha2(low, 256)), 1, 16)
     hashed = F.xxhash64("__f").alias("__h")  # sorts faster than texts that begin alike
     fragments.select("*", hashed).write.parquet(path)
     fragments = df.sparkSession.read.parquet(path)
-    pieces = df.select(key.alias("__key"), F.explode(_pieces(fragments, held)(low)).alias("__f")).select("*", hashed)
-    first = pieces.join(fragments, ["__h", "__f"]).groupBy("__key").agg(F.min_by("__name", F.struct("__p", "__f")).alias(name), F.count(F.lit(1)).alias("__n"))
-    own = df.withColumn("__key", key)
-    return join_counted(own, pinned(first), "__key", "__n", F.xxhash64(*df.columns)).drop("__key", "__n")
+    pieces_of, found = _pieces(fragments, held), []
+    slices = math.ceil((df.agg(F.sum(F.octet_length(low))).first()[0] or 1) / SLICED)
+    for k in range(slices):
+        own = df.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == k) if slices > 1 else df
+        pieces = own.select(key.alias("__key"), F.explode(pieces_of(low)).alias("__f")).select("*", hashed)
+        first = pieces.join(fragments, ["__h", "__f"]).groupBy("__key").agg(F.min_by("__name", F.struct("__p", "__f")).alias(name), F.count(F.lit(1)).alias("__n"))
+        found.append(pinned(first))
+    return join_counted(df.withColumn("__key", key), reduce(DataFrame.unionByName, found), "__key", "__n", F.xxhash64(*df.columns)).drop("__key", "__n")

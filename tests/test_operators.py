@@ -293,3 +293,15 @@ def test_pinned_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert files() <= before and spark.conf.get(CLEANED, "false") == was
     assert rows.columns == ["k", "a.b"] and rows.groupBy("k").count().count() == 7 and rows.join(rows.select(F.col("k").alias("j")).distinct(), F.col("k") == F.col("j")).count() == 5000
+
+
+def test_large_dictionary_in_slices(spark, monkeypatch):
+    """The pieces of a part of the texts are shuffled at a time, and all rows get their names: of texts that many rows have, and null ones too."""
+    index = spark.range(2000).selectExpr("concat('Order ', id, ';') AS fragment", "concat('n', id % 7) AS name", "CAST(id * 7919 % 101 AS INT) AS position")
+    notes = spark.range(900).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'order 5; ORDER 6;' WHEN id % 10 < 9 THEN concat('Note: order ', id * 3, '; ORDER ', id * 2, '; order') END AS t")
+    sizes, kept = [], geo.pinned
+    monkeypatch.setattr(geo, "pinned", lambda df: sizes.append((out := kept(df)).count()) or out)
+    monkeypatch.setattr(geo, "SLICED", 4000)
+    few, all_ = (sorted(map(tuple, geo.lookup_names(notes, F.col("t"), index, held=held).select("id", "name").collect())) for held in (1000, 4_000_000))
+    assert few == all_ and len(few) == 900 and sum(n is not None for _, n in few) > 700
+    assert len(sizes) > 4 and sum(sizes) > 600 and max(sizes) < 250
